@@ -85,11 +85,23 @@ def sketch(own: np.ndarray) -> np.ndarray:
     return out
 
 
-def alike(a: np.ndarray, b: np.ndarray, share: float) -> np.ndarray:
-    """For rows of sketches: whether the similarity may reach ``share`` (five standard errors allowed)."""
-    union = ((a != 0) | (b != 0)).sum(axis=-1)
-    same = ((a == b) & (a != 0)).sum(axis=-1)
-    return same >= share * union - 5 * np.sqrt(share * (1 - share) * np.maximum(union, 1)) - 1
+def alike(a: np.ndarray, b: np.ndarray, share: float, total: np.ndarray) -> np.ndarray:
+    """Whether pairs of sketches (rows; ``a`` may be one row) may reach the similarity ``share``; five standard errors allowed.
+
+    ``total``: the sum of both set sizes. A look at the first bins drops most pairs. On all bins the error is that of
+    sampling without replacement: the smaller the sets, the nearer a sketch is to the set itself.
+    """
+    first = 128
+    x, y = a[..., :first], b[..., :first]
+    same, union = np.count_nonzero((x == y) & (x != 0), axis=-1), np.count_nonzero(x | y, axis=-1)
+    out = same >= share * union - 5 * np.sqrt(share * (1 - share) * np.maximum(union, 1)) - 1
+    at = np.flatnonzero(out)
+    x, y = (a if a.ndim == 1 else a[at]), b[at]
+    same, union = np.count_nonzero((x == y) & (x != 0), axis=-1), np.maximum(np.count_nonzero(x | y, axis=-1), 1)
+    size = np.maximum(np.maximum(total[at] / (1 + share), union), 2)
+    var = share * (1 - share) * np.maximum((1 + 1 / (size - 1)) / union - 1 / (size - 1), 0)
+    out[at] = same >= (share - 5 * np.sqrt(var)) * union - 1
+    return out
 
 
 _FEATURES = T.StructType(
@@ -187,7 +199,7 @@ def _across(share: float):
                 lo = max(lo, i + 1) if one == two else lo
                 at = lo + np.flatnonzero(cy[lo:hi] != cx[i])
                 if len(at):
-                    at = at[alike(sx[i], sy[at], share)]
+                    at = at[alike(sx[i], sy[at], share, nx[i] + ny[at])]
                     found += [(min(px[i], py[j]), max(px[i], py[j])) for j in at]
         return pd.DataFrame(found, columns=["a", "b"]).drop_duplicates()
 
@@ -234,14 +246,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     star = star.select(F.least("print", "hub").alias("a"), F.greatest("print", "hub").alias("b")).distinct()
 
     @F.pandas_udf("boolean")
-    def may(a: pd.Series, b: pd.Series) -> pd.Series:
+    def may(a: pd.Series, b: pd.Series, total: pd.Series) -> pd.Series:
         if not len(a):
             return pd.Series([], dtype=bool)
         x, y = (np.frombuffer(b"".join(z), np.uint8).reshape(-1, BINS) for z in (a, b))
-        return pd.Series(alike(x, y, share))
+        return pd.Series(alike(x, y, share, total.to_numpy()))
 
     side = lambda c: classes.select(F.col("print").alias(c), F.col("sketch").alias(f"s{c}"), F.col("n_shingles").alias(f"n{c}"))
-    star = star.join(side("a"), "a").join(side("b"), "b").where(f"na * {den} >= nb * {num} and nb * {den} >= na * {num}").where(may("sa", "sb")).select("a", "b")
+    star = star.join(side("a"), "a").join(side("b"), "b").where(f"na * {den} >= nb * {num} and nb * {den} >= na * {num}").where(may("sa", "sb", F.col("na") + F.col("nb"))).select("a", "b")
     star = C.materialize(star, "neardup-star")
     edges = C.materialize(_confirmed(star, docs, classes, width, num, den), "neardup-edges")
     comp = C.components(edges, "neardup-comp")
