@@ -4,11 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import neardup
+from . import bpe, fingerprint, langid, media, mixing, neardup, quality, secrets, substrings, tokenstore
 
 QUERIES: dict[str, Callable] = {
+    "op1_media_columns": media.op1,
+    "op2_token_store": tokenstore.op2,
     "op3_minhash_near_dedup": neardup.op3,
+    "op4_fingerprints": fingerprint.op4,
+    "op5_language_id": langid.op5,
+    "op6_substring_dedup": substrings.op6,
+    "op7_bpe_round_trip": bpe.op7,
+    "op8_secret_scan": secrets.op8,
+    "op9_source_mix": mixing.op9,
+    "op10_quality": quality.op10,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_minhash_near_dedup": neardup.oracle(),
+    "op9_source_mix": mixing.oracle(),
 }
