@@ -91,11 +91,12 @@ def alike(a: np.ndarray, b: np.ndarray, share: float, total: np.ndarray) -> np.n
     ``total``: the sum of both set sizes. A look at the first bins drops most pairs. On all bins the error is that of
     sampling without replacement: the smaller the sets, the nearer a sketch is to the set itself.
     """
-    first = 128
-    x, y = a[..., :first], b[..., :first]
-    same, union = np.count_nonzero((x == y) & (x != 0), axis=-1), np.count_nonzero(x | y, axis=-1)
-    out = same >= share * union - 5 * np.sqrt(share * (1 - share) * np.maximum(union, 1)) - 1
-    at = np.flatnonzero(out)
+    out = np.zeros(len(b), bool)
+    at = np.arange(len(b))
+    for first in (48, 160):
+        x, y = (a if a.ndim == 1 else a[at])[..., :first], b[at, :first]
+        same, union = np.count_nonzero((x == y) & (x != 0), axis=-1), np.count_nonzero(x | y, axis=-1)
+        at = at[same >= share * union - 5 * np.sqrt(share * (1 - share) * np.maximum(union, 1)) - 1]
     x, y = (a if a.ndim == 1 else a[at]), b[at]
     same, union = np.count_nonzero((x == y) & (x != 0), axis=-1), np.maximum(np.count_nonzero(x | y, axis=-1), 1)
     size = np.maximum(np.maximum(total[at] / (1 + share), union), 2)
@@ -183,10 +184,13 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int
 
 
 def _across(share: float):
-    """Within a block of one posting list: pairs of different components that may be alike, told once."""
+    """Within a block of one posting list: pairs of different components that may be alike.
+
+    Of all the lists that hold a pair, only that of its smallest common token tells it.
+    """
 
     def run(key, pdf):
-        one, two = key[1], key[2]
+        token, one, two = int(key[0]), key[1], key[2]
         x = pdf[pdf.block == one].sort_values("n_shingles")
         y = x if one == two else pdf[pdf.block == two].sort_values("n_shingles")
         sx, sy = (np.stack([np.frombuffer(s, np.uint8) for s in z["sketch"]]) for z in (x, y)) if len(x) and len(y) else (None, None)
@@ -194,13 +198,14 @@ def _across(share: float):
         if sx is not None:
             nx, ny, cx, cy = x.n_shingles.to_numpy(), y.n_shingles.to_numpy(), x.comp.to_numpy(), y.comp.to_numpy()
             px, py = x["print"].to_numpy(), y["print"].to_numpy()
+            tx, ty = ([set(map(int, m)) for m in z["mine"]] for z in (x, y))
             for i in range(len(x)):
                 lo, hi = np.searchsorted(ny, share * nx[i], "left"), np.searchsorted(ny, nx[i] / share + 1e-9, "right")
                 lo = max(lo, i + 1) if one == two else lo
                 at = lo + np.flatnonzero(cy[lo:hi] != cx[i])
                 if len(at):
                     at = at[alike(sx[i], sy[at], share, nx[i] + ny[at])]
-                    found += [(min(px[i], py[j]), max(px[i], py[j])) for j in at]
+                    found += [(min(px[i], py[j]), max(px[i], py[j])) for j in at if min(tx[i] & ty[j]) == token]
         return pd.DataFrame(found, columns=["a", "b"]).drop_duplicates()
 
     return run
@@ -232,15 +237,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     common = C.materialize(tokens.join(shared, "token"), "neardup-tokens")
     # the rarest tokens first; those that no other class has fill the prefix without being posted
     prefix = COORDS - MATCHES + 1
-    ranked = (
+    posted = (
         common.groupBy("print")
         .agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("own"), F.sum("df").alias("score"))
         .withColumn("take", F.lit(prefix) - (F.lit(COORDS) - F.size("own")))
         .where("take > 0")
-        .select("print", "score", F.explode(F.slice("own", F.lit(1), F.col("take"))).alias("x"))
-        .select("print", "score", F.col("x.token").alias("token"))
+        .select("print", "score", F.slice("own", F.lit(1), F.col("take"))["token"].alias("mine"))
     )
-    posts = C.materialize(ranked, "neardup-posts")
+    posted = C.materialize(posted, "neardup-posts")
+    posts = posted.select("print", "score", F.explode("mine").alias("token"))
     medoid = posts.groupBy("token").agg(F.max(F.struct("score", "print")).alias("top"), F.count("*").alias("m")).where("m > 1")
     star = posts.join(medoid, "token").select("print", F.col("top.print").alias("hub")).where("print <> hub").distinct()
     star = star.select(F.least("print", "hub").alias("a"), F.greatest("print", "hub").alias("b")).distinct()
@@ -263,11 +268,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     mixed = now.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("token", "m")
     rest = (
         now.join(mixed, "token")
-        .join(classes.select("print", "n_shingles", "sketch"), "print")
+        .join(classes.select("print", "n_shingles", "sketch").join(posted.select("print", "mine"), "print"), "print")
         .withColumn("parts", F.ceil(F.col("m") / BLOCK).cast("int"))
         .withColumn("block", F.pmod(F.xxhash64("print"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("token", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "print", "comp", "n_shingles", "sketch")
+        .select("token", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "print", "comp", "n_shingles", "sketch", "mine")
     )
     across = rest.groupBy("token", "one", "two").applyInPandas(_across(share), "a binary, b binary").distinct().join(star, ["a", "b"], "left_anti")
     across = C.materialize(across, "neardup-across")
