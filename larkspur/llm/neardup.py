@@ -42,10 +42,10 @@ def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
         words = C.span_hashes(data, start, end)
         edges = np.cumsum([0] + [len(t) + 1 for t in part])
         at = np.searchsorted(start, edges)
-        n = len(words)
-        runs = np.zeros(max(n - width + 1, 0), _U)
+        n = max(len(words) - width + 1, 0)
+        runs = np.zeros(n, _U)
         for k in range(width):
-            runs += C.mix(words[k : n - width + 1 + k] * _LAG[k])
+            runs += C.mix(words[k : n + k] * _LAG[k])
         runs = C.mix(runs)
         for i in range(len(part)):
             a, b = at[i], at[i + 1]
@@ -162,7 +162,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int
     need = classes.join(pairs.select(F.explode(F.array("a", "b")).alias("print")).distinct(), "print", "left_semi").select("print", "rep")
     texts = docs.join(need, docs.doc_id.eqNullSafe(need.rep), "left_semi").select("text")
     sets = C.materialize(
-        texts.mapInArrow(_sets(width), "print binary, own binary").join(need.select("print"), "print", "left_semi").groupBy("print").agg(F.first("own").alias("own")),
+        texts.mapInArrow(C.tidy(_sets(width)), "print binary, own binary").join(need.select("print"), "print", "left_semi").groupBy("print").agg(F.first("own").alias("own")),
         "neardup-sets",
     )
 
@@ -191,6 +191,7 @@ def _across(share: float):
 
     def run(key, pdf):
         token, one, two = int(key[0]), key[1], key[2]
+        pdf["comp"] = pd.factorize(pdf["comp"])[0]  # numbers compare faster
         x = pdf[pdf.block == one].sort_values("n_shingles")
         y = x if one == two else pdf[pdf.block == two].sort_values("n_shingles")
         sx, sy = (np.stack([np.frombuffer(s, np.uint8) for s in z["sketch"]]) for z in (x, y)) if len(x) and len(y) else (None, None)
@@ -225,14 +226,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     """
     docs = C.spread(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
     share = num / den
-    features = C.materialize(docs.mapInArrow(_features(width), _FEATURES), "neardup-features")
+    features = C.materialize(docs.mapInArrow(C.tidy(_features(width)), _FEATURES), "neardup-features")
     classes = C.materialize(
         features.where("print is not null")
         .groupBy("print")
         .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch")),
         "neardup-classes",
     )
-    tokens = classes.select("print", "sig").mapInArrow(_tokens, "print binary, token long")
+    tokens = classes.select("print", "sig").mapInArrow(C.tidy(_tokens), "print binary, token long")
     shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     common = C.materialize(tokens.join(shared, "token"), "neardup-tokens")
     # the rarest tokens first; those that no other class has fill the prefix without being posted
