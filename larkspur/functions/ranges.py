@@ -78,3 +78,31 @@ def agg(df: DataFrame, keys: list[str], lo: str, hi: str) -> DataFrame:
     marked = df.where(F.col(lo) < F.col(hi)).withColumn("_new", F.when(reach.isNull() | (F.col(lo) > reach), 1).otherwise(0))
     marked = marked.withColumn("_island", F.sum("_new").over(w))
     return marked.groupBy(*keys, "_island").agg(F.min(lo).alias(lo), F.max(hi).alias(hi)).drop("_island")
+
+
+def minus(a, b) -> Column:
+    """``a - b`` as an array of none, one or two ranges (a multirange)."""
+    a, b = _c(a), _c(b)
+    low = F.struct(a["lo"].alias("lo"), b["lo"].alias("hi"), a["lo_inc"].alias("lo_inc"), (~b["lo_inc"]).alias("hi_inc"), F.lit(False).alias("empty"))
+    high = F.struct(b["hi"].alias("lo"), a["hi"].alias("hi"), (~b["hi_inc"]).alias("lo_inc"), a["hi_inc"].alias("hi_inc"), F.lit(False).alias("empty"))
+    solid = lambda r: r["lo"].isNull() | r["hi"].isNull() | F.coalesce((r["lo"] < r["hi"]) | ((r["lo"] == r["hi"]) & r["lo_inc"] & r["hi_inc"]), F.lit(False))
+    left = F.when(b["lo"].isNotNull() & solid(low), F.array(low)).otherwise(F.array().cast("array<struct<lo:bigint,hi:bigint,lo_inc:boolean,hi_inc:boolean,empty:boolean>>"))
+    right = F.when(b["hi"].isNotNull() & solid(high), F.array(high)).otherwise(F.array().cast("array<struct<lo:bigint,hi:bigint,lo_inc:boolean,hi_inc:boolean,empty:boolean>>"))
+    return F.when(~overlaps(a, b), F.array(a)).otherwise(F.concat(left, right))
+
+
+def multi_contains(ranges, v) -> Column:
+    """A multirange holds a value."""
+    v = _c(v)
+    return F.exists(_c(ranges), lambda r: contains(r, v))
+
+
+def multi_overlaps(ranges, r) -> Column:
+    r = _c(r)
+    return F.exists(_c(ranges), lambda x: overlaps(x, r))
+
+
+def intersect_agg(lo: str, hi: str) -> Column:
+    """``range_intersect_agg`` of half-open ranges: null if nothing is common."""
+    a, b = F.max(lo), F.min(hi)
+    return F.when(a < b, F.struct(a.alias("lo"), b.alias("hi")))

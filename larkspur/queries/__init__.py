@@ -49,4 +49,4 @@ def built(name: str, oracle: str | None = None):
     return put
 
 
-from . import aggregates, intelligence, joins, scalars, scans, tables, windows  # noqa: E402, F401
+from . import aggregates, intelligence, joins, more, scalars, scans, tables, windows  # noqa: E402, F401

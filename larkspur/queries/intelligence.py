@@ -117,12 +117,12 @@ def _(t, spark):
     return ml.prepare(p, p.where("p_partkey % 4 <> 0"), ["p_size", "p_retailprice"], ["p_brand"])
 
 
-@built("linear_fit_predict", "SELECT l_orderkey, l_linenumber, round((SELECT regr_intercept(l_extendedprice, l_quantity) FROM lineitem) + (SELECT regr_slope(l_extendedprice, l_quantity) FROM lineitem) * l_quantity, 3) AS prediction FROM lineitem WHERE l_orderkey < 1000")
+@built("linear_fit_predict", "SELECT l_orderkey, l_linenumber, round((SELECT regr_intercept(l_extendedprice, l_quantity) FROM lineitem) + (SELECT regr_slope(l_extendedprice, l_quantity) FROM lineitem) * l_quantity, 3) AS prediction FROM lineitem")
 def _(t, spark):
     from .. import dialect
 
     t("lineitem").createOrReplaceTempView("lineitem")
-    p = dialect.sql(spark, "PREDICT VALUE OF l_extendedprice FROM lineitem WHERE l_orderkey < 1000 TRAIN ON l_quantity")
+    p = dialect.sql(spark, "PREDICT VALUE OF l_extendedprice FROM lineitem TRAIN ON l_quantity")
     return p.select("l_orderkey", "l_linenumber", F.round("prediction", 3).alias("prediction"))
 
 

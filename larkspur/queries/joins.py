@@ -9,11 +9,11 @@ same("join_inner", "SELECT o.o_orderkey, c.c_name FROM orders o JOIN customer c
 same("join_left", "SELECT c.c_custkey, count(o.o_orderkey) AS n FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P' GROUP BY c.c_custkey")
 same("join_right", "SELECT c.c_custkey, n.n_name FROM nation n RIGHT JOIN customer c ON n.n_nationkey = c.c_nationkey AND n.n_regionkey = 2")
 same("join_full", "SELECT a.k AS ak, b.k AS bk FROM (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F') a FULL JOIN (SELECT c_custkey AS k FROM customer WHERE c_acctbal > 0) b ON a.k = b.k")
-same("join_cross", "SELECT r_name, n_name FROM region CROSS JOIN nation WHERE n_nationkey < 5")
+same("join_cross", "SELECT r_name, n_name FROM region CROSS JOIN nation")
 same("join_using", "SELECT k, n_name, r_name FROM (SELECT n_regionkey AS k, n_name FROM nation) a JOIN (SELECT r_regionkey AS k, r_name FROM region) b USING (k)")
 same("join_natural", "SELECT k, n_name, r_name FROM (SELECT n_regionkey AS k, n_name FROM nation) a NATURAL JOIN (SELECT r_regionkey AS k, r_name FROM region) b")
 same("join_theta_range", "SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_acctbal < b.s_acctbal AND a.s_nationkey = b.s_nationkey")
-same("join_self", "SELECT a.c_custkey AS a, b.c_custkey AS b FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_custkey < b.c_custkey AND a.c_mktsegment = b.c_mktsegment WHERE a.c_custkey < 100")
+same("join_self", "SELECT a.c_custkey AS a, b.c_custkey AS b FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_custkey < b.c_custkey AND a.c_mktsegment = b.c_mktsegment")
 same("join_semi_exists", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)")
 same("join_semi_in", "SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 50)")
 pair("join_any_subquery", "SELECT p_partkey FROM part WHERE p_partkey = ANY (SELECT l_partkey FROM lineitem WHERE l_quantity = 1)", "SELECT p_partkey FROM part WHERE p_partkey = ANY (SELECT l_partkey FROM lineitem WHERE l_quantity = 1)")
@@ -21,7 +21,7 @@ same("join_anti_not_exists", "SELECT c_custkey FROM customer WHERE NOT EXISTS (S
 same("join_not_in_nullaware", "SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000) AND n_nationkey NOT IN (SELECT nullif(r_regionkey, 9) FROM region)")
 same("join_not_in_with_null", "SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT nullif(r_regionkey, 3) FROM region)")
 same("join_lateral", "SELECT r.r_name, x.n_name FROM region r, LATERAL (SELECT n_name FROM nation WHERE n_regionkey = r.r_regionkey AND n_nationkey > 10) x")
-same("scalar_subquery", "SELECT o_orderkey, round(o_totalprice - (SELECT avg(o_totalprice) FROM orders), 2) AS diff FROM orders WHERE o_orderkey < 200")
+same("scalar_subquery", "SELECT o_orderkey, round(o_totalprice - (SELECT avg(o_totalprice) FROM orders), 2) AS diff FROM orders ")
 same("correlated_subquery", "SELECT l_orderkey, l_linenumber FROM lineitem l WHERE l_quantity > (SELECT 1.8 * avg(l_quantity) FROM lineitem i WHERE i.l_partkey = l.l_partkey)")
 same("star_join_5way", """
 SELECT r_name, p_brand, count(*) AS n, round(sum(l_extendedprice), 2) AS price FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey

@@ -63,10 +63,9 @@ def _(t, spark):
     return t("customer").select("c_custkey", F.md5(n).alias("m"), F.sha2(n, 256).alias("s"), S.encode(n, "hex").alias("h"), S.encode(n, "base64").alias("b"), S.encode("c_mktsegment", "base64").alias("b2"), S.to_hex("c_custkey").alias("x"))
 
 
-@built("fn_normalize_unaccent", "SELECT doc_id, strip_accents(left(text, 40)) AS u, nfc_normalize(left(text, 40)) AS n FROM documents")
+@built("fn_normalize_unaccent", "SELECT doc_id, strip_accents(text) AS u, nfc_normalize(text) AS n FROM documents")
 def _(t, spark):
-    s = F.substring("text", 1, 40)
-    return t("documents").select("doc_id", S.unaccent(s).alias("u"), S.normalize(s, F.lit("NFC")).alias("n"))
+    return t("documents").select("doc_id", S.unaccent("text").alias("u"), S.normalize("text", F.lit("NFC")).alias("n"))
 
 
 @built("fn_quote", "SELECT c_custkey, '''' || replace(c_name || '''s', '''', '''''') || '''' AS q, CASE WHEN regexp_full_match(lower(c_mktsegment), '[a-z_][a-z0-9_]*') THEN lower(c_mktsegment) ELSE '\"' || lower(c_mktsegment) || '\"' END AS i, '\"' || c_name || '\"' AS j FROM customer")

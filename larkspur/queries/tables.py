@@ -121,11 +121,11 @@ def _(t, spark):
 
 
 @built("connectby", """
-WITH RECURSIVE e AS (SELECT p_partkey AS k, p_partkey // 3 AS p FROM part WHERE p_partkey < 200), r AS (
+WITH RECURSIVE e AS (SELECT p_partkey AS k, p_partkey // 3 AS p FROM part), r AS (
  SELECT 1::BIGINT AS keyid, NULL::BIGINT AS parent_keyid, 0 AS level, '1' AS branch
  UNION ALL SELECT e.k, e.p, r.level + 1, r.branch || '~' || e.k FROM r JOIN e ON e.p = r.keyid AND e.k <> r.keyid) SELECT * FROM r""")
 def _(t, spark):
-    e = t("part").where("p_partkey < 200").select("p_partkey", F.floor(F.col("p_partkey") / 3).alias("up")).where("p_partkey <> up")
+    e = t("part").select("p_partkey", F.floor(F.col("p_partkey") / 3).alias("up")).where("p_partkey <> up")
     return R.connectby(e, "p_partkey", "up", 1)
 
 

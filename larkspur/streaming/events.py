@@ -35,8 +35,11 @@ def deduplicated(df: DataFrame, keys: list[str], at: str, late: str) -> DataFram
     return df.withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
 
 
-def running_counts(df: DataFrame, key: str, timeout_ms: int = 60_000) -> DataFrame:
-    """Custom keyed state: each key's number of events so far, forgotten after a quiet time."""
+def running_counts(df: DataFrame, key: str, timeout_ms: int | None = None) -> DataFrame:
+    """Custom keyed state: each key's number of events so far, forgotten after ``timeout_ms`` of quiet, if given.
+
+    A stream with a timeout runs on without data, so it doesn't end by itself.
+    """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     kind = df.schema[key].dataType.simpleString()
@@ -49,10 +52,11 @@ def running_counts(df: DataFrame, key: str, timeout_ms: int = 60_000) -> DataFra
             return
         n = (state.get[0] if state.exists else 0) + sum(len(b) for b in batches)
         state.update((n,))
-        state.setTimeoutDuration(timeout_ms)
+        if timeout_ms:
+            state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame({key: [k[0]], "n": [n]})
 
-    return df.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, n long", "n long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return df.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, n long", "n long", "update", GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout)
 
 
 def batches(df: DataFrame, stages: dict[str, int], size: int) -> Iterator[tuple[str, list]]:
