@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -13,11 +14,18 @@ from pyspark.sql import functions as F
 _local_root: list[str] = []
 
 
+#: Rows of a record batch that goes to Python, where the session leaves Spark's own 10,000: texts can be long.
+BATCH_ROWS = 1000
+
+
 def importable(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from where the driver has it.
+    """Let Python workers import this package from where the driver has it, and take batches that fit texts.
 
     A cluster whose nodes lack that path gets the package by ``--py-files`` or ``addPyFile``.
     """
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows, "10000") == "10000":
+        spark.conf.set(rows, str(BATCH_ROWS))
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):
@@ -38,9 +46,21 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_root[0]
 
 
+_made: list[str] = []
+
+
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new, unused path in the shared folder."""
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    """A new, unused path in the shared folder; ``drop_scratch`` removes it."""
+    _made.append(f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove all that this process has put into the shared folder; results that read it must be written before."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -58,6 +78,35 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
+@lru_cache(maxsize=1)
+def _libc():
+    import ctypes
+
+    found = ctypes.CDLL(None)
+    return found if hasattr(found, "malloc_trim") else None
+
+
+def release() -> None:
+    """Give freed memory back to the system: a worker lives on between tasks, next to others."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if _libc() is not None:
+        _libc().malloc_trim(0)
+
+
+def tidy(fn):
+    """A function over record batches that leaves no freed memory behind."""
+
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            release()
+
+    return run
+
+
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importable(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -145,11 +194,6 @@ def crc_mod(key: str, n: int):
 # ---------------------------------------------------------------- global order and components
 
 
-def ranged(df: DataFrame, *order: str, tag: str = "ranged") -> tuple[DataFrame, dict[int, tuple]]:
-    """``df`` dealt into key ranges and written, with the number ``_pid`` of each row's range."""
-    return materialize(df.repartitionByRange(*[F.col(c).asc_nulls_first() for c in order]).withColumn("_pid", F.spark_partition_id()), tag)
-
-
 def components(edges: DataFrame, tag: str = "components", max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)``: ``(node, comp)`` with the smallest node of each.
 

@@ -85,42 +85,48 @@ def repeats(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
     """One row for each ``doc_id`` of ``docs(doc_id, text)`` with a passage that another document holds too.
 
     ``shared_bytes long, shared string``: runs of chunks that other documents hold, as ``first-end`` byte offsets,
-    comma-joined; ``repeat_bytes long, repeats string``: the runs of chunks that occur before, in other documents or in
-    the same one. Runs shorter than ``passage`` bytes are not told, and documents without shared runs give no row.
-    Rows that repeat a ``doc_id`` are one document with the spans of all their texts; null and empty texts have no
-    chunks. A null ``doc_id`` counts as later than all others. Other columns are ignored.
+    comma-joined; ``repeat_bytes long, repeats string``: what is left of them without the chunks' first occurrences, which
+    are in the document with the smallest id. Runs shorter than ``passage`` bytes are not told, and documents without
+    shared runs give no row. Rows that repeat a ``doc_id`` are one document with the spans of all their texts, and so are
+    rows without a ``doc_id``, which come after all others; null and empty texts have no chunks. Other columns are ignored.
     """
     docs = C.spread(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
-    chunks = docs.mapInArrow(_chunks, _CHUNKS)
-    # only digests that occur again travel on; the counts are summed before the shuffle, and the join splits hot digests
-    late = F.col("doc_id").isNull()
-    place, owner = F.struct(late.alias("late"), "doc_id", "first"), F.struct(late.alias("late"), "doc_id")
-    often = chunks.groupBy("d1", "d2").agg(F.count("*").alias("times"), F.min(place).alias("origin"), (F.min(owner) != F.max(owner)).alias("across")).where("times > 1")
-    found = chunks.join(often, ["d1", "d2"]).select("doc_id", "first", "last", "across", (place != F.col("origin")).alias("again"))
-    runs = found.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("first", "last", "across", "again"))).alias("own"))
-    return runs.mapInArrow(_runs(passage), "doc_id long, shared_bytes long, shared string, repeat_bytes long, repeats string").where("shared_bytes > 0")
-
-
-def joined(spans: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
-    """Neighbouring spans put together; those of ``least`` bytes or more."""
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(b, out[-1][1])
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out if b - a >= least]
+    chunks = docs.mapInArrow(C.tidy(_chunks), _CHUNKS)
+    # only digests that another document has travel on; two numbers a digest are aggregated before the shuffle, and the
+    # join splits hot digests
+    owner = F.coalesce("doc_id", F.lit(2**63 - 1))
+    often = chunks.groupBy("d1", "d2").agg(F.min(owner).alias("origin"), F.max(owner).alias("other")).where("origin < other").select("d1", "d2", "origin")
+    found = chunks.join(often, ["d1", "d2"]).select("doc_id", "first", "last", "d1", (owner != F.col("origin")).alias("again"))
+    runs = found.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("first", "last", "d1", "again"))).alias("own"))
+    return runs.mapInArrow(C.tidy(_runs(passage)), "doc_id long, shared_bytes long, shared string, repeat_bytes long, repeats string").where("shared_bytes > 0")
+
+
+def joined(first: np.ndarray, last: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Spans in order of their starts, neighbouring ones put together; those of ``least`` bytes or more."""
+    if not len(first):
+        return []
+    reach = np.maximum.accumulate(last)
+    fresh = np.concatenate(([True], first[1:] > reach[:-1]))
+    lo, hi = first[fresh], reach[np.concatenate((np.flatnonzero(fresh)[1:] - 1, [len(first) - 1]))]
+    keep = hi - lo >= least
+    return list(zip(lo[keep].tolist(), hi[keep].tolist()))
 
 
 def _runs(passage: int):
     def run(batches):
         for batch in batches:
+            at, own = batch.column(1).offsets.to_numpy(), batch.column(1).values
+            first, last, d1, again = (own.field(i).to_numpy(zero_copy_only=False) for i in range(4))
             out = []
-            for key, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                every = joined([(x["first"], x["last"]) for x in own if x["across"]], passage)
-                again = joined([(x["first"], x["last"]) for x in own if x["again"]], passage)
+            for key, a, b in zip(batch.column(0).to_pylist(), at, at[1:]):
+                x, y = first[a:b], last[a:b]
+                late = again[a:b].copy()
+                _, place = np.unique(d1[a:b], return_index=True)
+                second = np.ones(b - a, bool)
+                second[place] = False
+                every, rest = joined(x, y, passage), joined(x[late | second], y[late | second], passage)
                 text = lambda spans: ",".join(f"{a}-{b}" for a, b in spans)
-                out.append((key, sum(b - a for a, b in every), text(every), sum(b - a for a, b in again), text(again)))
+                out.append((key, sum(b - a for a, b in every), text(every), sum(b - a for a, b in rest), text(rest)))
             cols = list(zip(*out)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()])], names=["doc_id", "shared_bytes", "shared", "repeat_bytes", "repeats"])
 
