@@ -7,7 +7,8 @@ whose ends the states start anew; the last window is moved back so that it is fu
 windows cover count once.
 
 Training uses a bounded sample: at most about ``PER_LANG`` documents of each language are drawn by a hash of
-their id, and ``CUTS`` windows of ``CUT`` characters of each, spread over the whole text.
+their id, and ``CUTS`` windows of ``CUT`` characters of each, spread over the whole text. At most the ``LANGS`` most frequent
+labels are learned.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-HIDDEN, WINDOW, PER_LANG, CUTS, CUT, STEPS = 12, 128, 400, 2, 160, 260
+HIDDEN, WINDOW, PER_LANG, LANGS, CUTS, CUT, STEPS = 12, 128, 400, 100, 2, 160, 260
 PAD = 256
 _LETTER = np.zeros(257, np.float32)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
@@ -148,7 +149,7 @@ def fit(windows: list[tuple[bytes, str]], hidden: int = HIDDEN, steps: int = STE
     return model
 
 
-def predict(model: ByteGRU, texts: list[bytes], window: int = WINDOW, rows: int = 2048) -> np.ndarray:
+def predict(model: ByteGRU, texts: list[bytes], window: int = WINDOW, rows: int = 1024) -> np.ndarray:
     """Pooled label probabilities of each text: texts by labels; zeros for a text without letter bytes."""
     total = np.zeros((len(texts), len(model.labels)), np.float64)
     weight = np.zeros(len(texts), np.float64)
@@ -194,9 +195,13 @@ def train(docs: DataFrame, learn=None, per_lang: int = PER_LANG) -> ByteGRU | No
     """Fit on a bounded sample of ``docs(doc_id, text, lang)``; ``learn`` tells which rows may teach."""
     docs = C.spread(docs, "doc_id", "text", "lang").where("lang is not null and text is not null and length(text) > 0")
     docs = docs.where(learn) if learn is not None else docs
-    counts = docs.groupBy("lang").count()
+    counts = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()
+    if not counts:
+        return None
+    # one pass picks each language's share by a hash, so no text is shuffled
     key = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(5)), F.lit(1 << 30))
-    near = docs.join(counts, "lang").where(key < F.least(F.lit(1.0), per_lang / F.col("count")) * (1 << 30))
+    share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_lang / r["count"]) * (1 << 30))))
+    near = docs.where(key < F.coalesce(share[F.col("lang")], F.lit(0.0)))
     cuts = [F.substring("text", F.pmod(F.xxhash64("doc_id", F.lit(k)), F.greatest(F.length("text") - CUT, F.lit(1))).cast("int") + 1, F.lit(CUT)) for k in range(CUTS)]
     rows = near.select("doc_id", "lang", F.array(*cuts).alias("cuts")).toLocalIterator()
     found = sorted((r.lang, r.doc_id if r.doc_id is not None else -1, tuple(r.cuts)) for r in rows)
@@ -231,7 +236,7 @@ def identify(docs: DataFrame, model: ByteGRU | None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(best, pa.string()), pa.array(top, pa.float64())], names=[*schema, "lang_pred", "score"])
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
-    return out.mapInArrow(run, f"{types}, lang_pred string, score double")
+    return out.mapInArrow(C.tidy(run), f"{types}, lang_pred string, score double")
 
 
 def held_out(doc_id: int | None) -> bool:
