@@ -175,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, learn=None, limit: int = DOCS) ->
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 200), batch.column(2).slice(lo, 200), pa.array(own, pa.binary())], names=["doc_id", "y", "x"])
 
     rows = C.spread(docs, "doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "y")
-    found = sorted((r.doc_id, r.y, bytes(r.x)) for r in rows.mapInArrow(run, "doc_id long, y double, x binary").toLocalIterator())
+    found = sorted((r.doc_id, r.y, bytes(r.x)) for r in rows.mapInArrow(C.tidy(run), "doc_id long, y double, x binary").toLocalIterator())
     kept = [(np.frombuffer(x, np.float32).reshape(-1, WIDTH), y) for _, y, x in found]
     return fit(kept) if len({y >= 0.5 for _, y in kept}) > 1 else None
 
@@ -204,11 +204,11 @@ def score(docs: DataFrame, model: AttentionPool | None, threshold: float = 0.7)
                 got = got.round(5)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got), pa.array((got >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
 
-    return out.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema) + ", score double, predicted int")
+    return out.mapInArrow(C.tidy(run), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema) + ", score double, predicted int")
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
     docs = C.read_documents(spark, sf_dir)
     rest = F.coalesce(C.crc_mod("doc_id", 4), F.lit(2))
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), rest != 2)
-    return score(docs.select("doc_id", "text"), model).select("doc_id", (C.crc_mod("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+    return score(docs.select("doc_id", "text"), model).select("doc_id", (rest == 2).alias("held_out"), "score", "predicted")
