@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import catalog, dialect
+from ..session import importable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -26,7 +27,7 @@ def pair(name: str, spark_sql: str, oracle: str | None) -> None:
     """A statement for this engine's front end, and its like."""
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        catalog.register(spark, folder, _tables(spark_sql))
+        catalog.register(importable(spark), folder, _tables(spark_sql))
         return dialect.sql(spark, spark_sql)
 
     QUERIES[name] = run
@@ -39,7 +40,7 @@ def built(name: str, oracle: str | None = None):
 
     def put(fn):
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            return fn(lambda t: catalog.table(spark, folder, t), spark)
+            return fn(lambda t: catalog.table(spark, folder, t), importable(spark))
 
         QUERIES[name] = run
         if oracle:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 #: Adaptive execution deals with skew and partition counts; statistics drive join order where tables are analysed.
@@ -18,11 +20,20 @@ SETTINGS = {
 }
 
 
+def importable(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package from where the driver has it (clusters without that path: ``--py-files``)."""
+    root = str(Path(__file__).resolve().parents[1])
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(filter(None, [root, env.get("PYTHONPATH", "")]))
+    return spark
+
+
 def session(app: str = "larkspur", **settings: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     for k, v in {**SETTINGS, **settings}.items():
         builder = builder.config(k, v)
-    return builder.getOrCreate()
+    return importable(builder.getOrCreate())
 
 
 def current_setting(spark: SparkSession, name: str, missing_ok: bool = False) -> str | None:
