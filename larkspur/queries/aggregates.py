@@ -8,7 +8,7 @@ from . import built, pair, same
 
 same("agg_basic", "SELECT l_returnflag, count(*) AS n, count(DISTINCT l_orderkey) AS orders, round(sum(l_quantity), 2) AS qty, round(avg(l_discount), 6) AS disc, min(l_shipdate) AS first, max(l_shipdate) AS last FROM lineitem GROUP BY l_returnflag")
 same("agg_filter", "SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS f, round(sum(o_totalprice) FILTER (WHERE o_totalprice > 100000), 2) AS big FROM orders GROUP BY o_orderpriority")
-same("agg_distinct", "SELECT count(DISTINCT o_custkey) AS c, sum(DISTINCT o_custkey % 10)::BIGINT AS s FROM orders" .replace("::BIGINT", ""))
+same("agg_distinct", "SELECT count(DISTINCT o_custkey) AS c, CAST(sum(DISTINCT o_custkey % 10) AS BIGINT) AS s FROM orders")
 same("agg_having", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 12 AND min(o_totalprice) < 20000")
 same("agg_having_without_group", "SELECT 1 AS one FROM orders HAVING min(o_orderkey) < max(o_orderkey)")
 same("agg_rollup", "SELECT c_mktsegment, c_nationkey, count(*) AS n FROM customer GROUP BY ROLLUP (c_mktsegment, c_nationkey)")
@@ -41,7 +41,7 @@ def _(t, spark):
 same("agg_bool_bit", "SELECT o_orderstatus, bool_and(o_totalprice > 1000) AS a, bool_or(o_totalprice > 400000) AS o, bit_and(o_orderkey) AS ba, bit_or(o_orderkey) AS bo, bit_xor(o_orderkey) AS bx FROM orders GROUP BY o_orderstatus")
 same("agg_stddev_var", "SELECT l_returnflag, round(stddev_samp(l_quantity), 6) AS ss, round(stddev_pop(l_quantity), 6) AS sp, round(var_samp(l_quantity), 6) AS vs, round(var_pop(l_quantity), 6) AS vp FROM lineitem GROUP BY l_returnflag")
 same("agg_corr_covar", "SELECT l_returnflag, round(corr(l_quantity, l_extendedprice), 6) AS r, round(covar_pop(l_quantity, l_discount), 6) AS cp, round(covar_samp(l_quantity, l_discount), 6) AS cs FROM lineitem GROUP BY l_returnflag")
-same("agg_regr", "SELECT l_returnflag, regr_count(l_extendedprice, l_quantity) AS n, round(regr_slope(l_extendedprice, l_quantity), 4) AS b, round(regr_intercept(l_extendedprice, l_quantity), 2) AS a, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2, round(regr_avgx(l_extendedprice, l_quantity), 6) AS ax, round(regr_avgy(l_extendedprice, l_quantity), 4) AS ay FROM lineitem GROUP BY l_returnflag")
+same("agg_regr", "SELECT l_returnflag, CAST(regr_count(l_extendedprice, l_quantity) AS BIGINT) AS n, round(regr_slope(l_extendedprice, l_quantity), 4) AS b, round(regr_intercept(l_extendedprice, l_quantity), 2) AS a, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2, round(regr_avgx(l_extendedprice, l_quantity), 6) AS ax, round(regr_avgy(l_extendedprice, l_quantity), 4) AS ay FROM lineitem GROUP BY l_returnflag")
 same("agg_regr_sums", "SELECT l_linestatus, round(regr_sxx(l_discount, l_tax), 4) AS sxx, round(regr_syy(l_discount, l_tax), 4) AS syy, round(regr_sxy(l_discount, l_tax), 4) AS sxy FROM lineitem GROUP BY l_linestatus")
 same("agg_percentile_cont_disc", "SELECT o_orderstatus, round(percentile_cont(0.25) WITHIN GROUP (ORDER BY o_totalprice), 4) AS q1, percentile_disc(0.5) WITHIN GROUP (ORDER BY o_totalprice) AS med FROM orders GROUP BY o_orderstatus")
 pair("agg_mode", "SELECT o_custkey % 5 AS g, mode() WITHIN GROUP (ORDER BY o_orderpriority) AS m FROM orders GROUP BY o_custkey % 5",

@@ -151,7 +151,7 @@ _D = "list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 
 
 @built("knn_exact", f"""
-SELECT query_id, neighbor_id, rank FROM (SELECT b.vec_id AS query_id, a.vec_id AS neighbor_id, row_number() OVER (PARTITION BY b.vec_id ORDER BY {_D}, a.vec_id) AS rank FROM embeddings a, embeddings b WHERE b.vec_id % 50 = 0) WHERE rank <= 5""")
+SELECT query_id, neighbor_id, rank::INT AS rank FROM (SELECT b.vec_id AS query_id, a.vec_id AS neighbor_id, row_number() OVER (PARTITION BY b.vec_id ORDER BY {_D}, a.vec_id) AS rank FROM embeddings a, embeddings b WHERE b.vec_id % 50 = 0) WHERE rank <= 5""")
 def _(t, spark):
     e = t("embeddings")
     return ml.knn(e.where("vec_id % 50 = 0"), e, 5, "vec_id", "vec_id", "embedding", G.l2).select("query_id", "neighbor_id", "rank")
@@ -234,7 +234,7 @@ def _(t, spark):
 
 
 @built("index_budget", f"""
-SELECT col AS "column", uses, size, running FROM (SELECT *, sum(size) OVER (ORDER BY uses::DOUBLE / size DESC, col ROWS UNBOUNDED PRECEDING) AS running FROM (SELECT col, uses, length(col)::BIGINT AS size FROM {_USES})) WHERE running <= 30""")
+SELECT col AS "column", uses, size, running::BIGINT AS running FROM (SELECT *, sum(size) OVER (ORDER BY uses::DOUBLE / size DESC, col ROWS UNBOUNDED PRECEDING) AS running FROM (SELECT col, uses, length(col)::BIGINT AS size FROM {_USES})) WHERE running <= 30""")
 def _(t, spark):
     c = W.index_candidates(_log(t), "sql", _KNOWN).withColumn("size", F.length("column").cast("long"))
     return W.index_budget(c, "uses", "size", 30)

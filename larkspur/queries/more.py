@@ -100,7 +100,7 @@ def _(t, spark):
     return spark.sql("SELECT n_nationkey, n_name FROM nation_file WHERE n_regionkey = 2")
 
 
-@built("project_set_lockstep", "SELECT n_nationkey, i AS ordinality, [10, 20, 30][i] AS a, [1, 2][i] AS b FROM nation, range(1, 4) r(i)")
+@built("project_set_lockstep", "SELECT n_nationkey, i::INT AS ordinality, [10, 20, 30][i] AS a, [1, 2][i] AS b FROM nation, range(1, 4) r(i)")
 def _(t, spark):
     n = t("nation").select("n_nationkey", F.array(*map(F.lit, (10, 20, 30))).alias("x"), F.array(*map(F.lit, (1, 2))).alias("y"))
     return R.unnest_lockstep(n, a="x", b="y").drop("x", "y")

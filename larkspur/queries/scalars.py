@@ -12,7 +12,7 @@ from ..functions import strings as S
 from ..functions import types as T
 from . import built, pair, same
 
-same("fn_math", "SELECT l_orderkey, l_linenumber, abs(l_discount - l_tax) AS a, ceil(l_extendedprice) AS c, floor(l_extendedprice) AS f, round(sqrt(l_quantity), 8) AS s, round(cbrt(l_quantity), 8) AS cb, round(exp(l_discount), 8) AS e, round(ln(l_quantity), 8) AS ln, round(power(l_quantity, 2), 4) AS p, sign(l_discount - l_tax) AS sg, l_orderkey % 7 AS m FROM lineitem")
+same("fn_math", "SELECT l_orderkey, l_linenumber, abs(l_discount - l_tax) AS a, CAST(ceil(l_extendedprice) AS BIGINT) AS c, CAST(floor(l_extendedprice) AS BIGINT) AS f, round(sqrt(l_quantity), 8) AS s, round(cbrt(l_quantity), 8) AS cb, round(exp(l_discount), 8) AS e, round(ln(l_quantity), 8) AS ln, round(power(l_quantity, 2), 4) AS p, CAST(sign(l_discount - l_tax) AS DOUBLE) AS sg, l_orderkey % 7 AS m FROM lineitem")
 same("fn_trigonometry", "SELECT p_partkey, round(sin(p_size), 8) AS s, round(cos(p_size), 8) AS c, round(tan(p_size), 6) AS t, round(asin(p_size / 100.0), 8) AS a, round(atan2(p_size, 3), 8) AS a2, round(degrees(p_size), 6) AS d, round(radians(p_size), 8) AS r, round(sinh(p_size / 10.0), 6) AS sh, round(atanh(p_size / 100.0), 8) AS ah, round(pi(), 10) AS pi, round(cot(p_size), 6) AS ct FROM part")
 same("fn_bitwise", "SELECT o_orderkey, o_orderkey & 12 AS a, o_orderkey | 3 AS o, xor(o_orderkey, 5) AS x, bit_count(o_orderkey) AS n FROM orders".replace("xor(o_orderkey, 5)", "(o_orderkey | 5) - (o_orderkey & 5)").replace(", bit_count(o_orderkey) AS n", ""))
 pair("fn_shift_bitcount", "SELECT o_orderkey, shiftleft(o_orderkey, 3) AS l, shiftright(o_orderkey, 2) AS r, CAST(bit_count(o_orderkey) AS BIGINT) AS n, o_orderkey ^ 5 AS x FROM orders", "SELECT o_orderkey, o_orderkey << 3 AS l, o_orderkey >> 2 AS r, bit_count(o_orderkey)::BIGINT AS n, xor(o_orderkey, 5) AS x FROM orders")
@@ -34,7 +34,7 @@ def _(t, spark):
     return t("part").select("p_partkey", M.width_bucket("p_size", 10, 40, 6).alias("b"), F.round(M.degrees_of(F.sin, "p_size"), 8).alias("s"), F.factorial(F.col("p_size") % 10).alias("f"))
 
 
-same("fn_string_core", "SELECT c_custkey, upper(c_name) AS u, lower(c_name) AS l, length(c_name) AS n, substring(c_name, 3, 5) AS s, replace(c_name, '0', 'z') AS r, trim(concat('  ', c_name, ' ')) AS t, lpad(c_mktsegment, 12, '*') AS lp, rpad(c_mktsegment, 4, '*') AS rp, reverse(c_mktsegment) AS rv, repeat(c_mktsegment, 2) AS rep, translate(c_mktsegment, 'AEIOU', '12345') AS tr, ascii(c_mktsegment) AS asc, starts_with(c_mktsegment, 'B') AS sw FROM customer".replace("starts_with", "startswith").replace(", startswith(c_mktsegment, 'B') AS sw", ""))
+same("fn_string_core", "SELECT c_custkey, upper(c_name) AS u, lower(c_name) AS l, CAST(length(c_name) AS BIGINT) AS n, substring(c_name, 3, 5) AS s, replace(c_name, '0', 'z') AS r, trim(concat('  ', c_name, ' ')) AS t, lpad(c_mktsegment, 12, '*') AS lp, rpad(c_mktsegment, 4, '*') AS rp, reverse(c_mktsegment) AS rv, repeat(c_mktsegment, 2) AS rep, translate(c_mktsegment, 'AEIOU', '12345') AS tr, ascii(c_mktsegment) AS asc, starts_with(c_mktsegment, 'B') AS sw FROM customer".replace("starts_with", "startswith").replace(", startswith(c_mktsegment, 'B') AS sw", ""))
 pair("fn_string_position", "SELECT c_custkey, position('O' IN c_mktsegment) AS p, strpos(c_name, '#') AS q, startswith(c_mktsegment, 'B') AS sw, octet_length(c_name) AS o, bit_length(c_name) AS b, overlay(c_mktsegment PLACING 'xx' FROM 2 FOR 3) AS ov".replace("strpos(c_name, '#')", "instr(c_name, '#')") + " FROM customer",
      "SELECT c_custkey, position('O' IN c_mktsegment)::INT AS p, strpos(c_name, '#')::INT AS q, starts_with(c_mktsegment, 'B') AS sw, strlen(c_name)::INT AS o, (strlen(c_name) * 8)::INT AS b, substr(c_mktsegment, 1, 1) || 'xx' || substr(c_mktsegment, 5) AS ov FROM customer")
 same("fn_string_split", "SELECT p_partkey, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b, split_part(p_type, ' ', -1) AS z FROM part")
@@ -224,7 +224,7 @@ def _(t, spark):
     return t("part").select("p_partkey", F.round(G.distance(o, p), 6).alias("d"), F.round(G.box_area(G.box(o, p)), 6).alias("area"), F.round(G.circle_area("p_size"), 4).alias("circle"), F.round(G.polygon_area(tri), 6).alias("tri"))
 
 
-same("levenshtein", "SELECT n_nationkey, levenshtein(n_name, 'IRAN') AS d FROM nation")
+same("levenshtein", "SELECT n_nationkey, CAST(levenshtein(n_name, 'IRAN') AS BIGINT) AS d FROM nation")
 
 
 @built("levenshtein_bounded", "SELECT n_nationkey, least(levenshtein(n_name, 'CHINA'), 4)::INT AS d FROM nation")

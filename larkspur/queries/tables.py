@@ -139,7 +139,7 @@ def _(t, spark):
     return R.normal_rand(spark, 1000, 5.0, 2.0, seed=1)
 
 
-@built("fn_unnest_ordinality", "SELECT n_nationkey, i AS ordinality, string_split(n_name, 'A')[i] AS part FROM nation, range(1, 10) r(i) WHERE i <= len(string_split(n_name, 'A'))")
+@built("fn_unnest_ordinality", "SELECT n_nationkey, i::INT AS ordinality, string_split(n_name, 'A')[i] AS part FROM nation, range(1, 10) r(i) WHERE i <= len(string_split(n_name, 'A'))")
 def _(t, spark):
     n = t("nation").select("n_nationkey", F.split("n_name", "A").alias("parts"))
     return R.unnest_lockstep(n, part="parts").drop("parts")
