@@ -1,6 +1,7 @@
 """Byte-pair encoding and decoding by speculation and verification.
 
-A word's tokens are first guessed by greedy longest match (one automaton over the whole vocabulary). A guess is
+Texts are split at blanks, and the ids of each piece, and of each word in it, are remembered by worker, so that the
+work per text is a lookup for each piece. A new word's tokens are first guessed by greedy longest match (one automaton over the whole vocabulary). A guess is
 the true encoding exactly if every pair of neighbours is *compatible*: merging the two tokens' bytes from
 scratch would end in just these two. All distinct pairs are tested together, in numpy, by undoing merges on
 both sides of the seam: at no stage may a merge across the seam come before the merges that were undone. Only
@@ -11,8 +12,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from functools import lru_cache
-from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-CACHE = 400_000
+CACHE = 160_000
 #: The word pattern of this family of vocabularies, as published with them.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Code points that count as white space for the pattern (property White_Space).
@@ -37,6 +38,28 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
 
 
+class Memo:
+    """A bounded memory of two generations: what a batch uses is young; when the young are many, the old are forgotten."""
+
+    def __init__(self, limit: int):
+        self.limit, self.now, self.old = limit, {}, {}
+
+    def turn(self) -> None:
+        if len(self.now) > self.limit:
+            self.now, self.old = {}, self.now
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """Those of ``keys`` that must be learned; the others are young afterwards."""
+        now, old, out = self.now, self.old, []
+        for k in keys.difference(now):
+            v = old.get(k)
+            if v is None:
+                out.append(k)
+            else:
+                now[k] = v
+        return out
+
+
 class Codec:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -57,26 +80,30 @@ class Codec:
         # a merge's rank is its place in the list; a token's rank is that of the merge that makes it, -1 for bytes
         self.rank = np.full(n, -1, np.int64)
         self.left, self.right = np.arange(n), np.arange(n)
-        self.merge: dict[tuple[int, int], tuple[int, int]] = {}
+        made: dict[tuple[int, int], tuple[int, int]] = {}
         for r, (a, b) in enumerate(merges):
             x, y, z = vocab[a], vocab[b], vocab[a + b]
-            self.merge.setdefault((x, y), (r, z))
+            made.setdefault((x, y), (r, z))
             if self.rank[z] < 0:
                 self.rank[z], self.left[z], self.right[z] = r, x, y
         self.byte_list = self.byte_id.tolist()
-        self.joined = {x << 24 | y: r << 24 | z for (x, y), (r, z) in self.merge.items()}
-        keys = np.array([x * n + y for x, y in self.merge], np.int64)
+        self.joined = {x << 24 | y: r << 24 | z for (x, y), (r, z) in made.items()}
+        keys = np.array([x * n + y for x, y in made], np.int64)
         order = np.argsort(keys)
         self.n, self.keys = n, keys[order]
-        self.ranks = np.array([r for r, _ in self.merge.values()], np.int64)[order]
+        self.ranks = np.array([r for r, _ in made.values()], np.int64)[order]
         self.guess = ahocorasick.Automaton()
         for token, i in vocab.items():
             self.guess.add_word(token, i)
         self.guess.make_automaton()
         self.words = regex.compile(PATTERN.replace(r"\s\p", WHITE.replace("\\", "\\") + r"\p").replace(r"\s", f"[{WHITE}]").replace(r"(?!\S)", f"(?![^{WHITE}])"))
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[int, bool] = {}
+        self.known, self.pieces = Memo(CACHE // 4), Memo(CACHE)
+        # where blanks meet other white space, a split at blanks is not what the pattern does
+        self.odd = re.compile(f" (?:[{WHITE}]|$)")
+        sizes = np.array(list(map(len, self.bytes_of)))
+        self.blob, self.size = np.frombuffer(b"".join(self.bytes_of), np.uint8), sizes
+        self.at = np.concatenate(([0], np.cumsum(sizes)[:-1]))
         self.stats = {"words": 0, "failed": 0}
 
     def across(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -113,7 +140,7 @@ class Codec:
             b[live] = np.where(undo_left, y, self.left[y])
         return ok
 
-    def exact(self, word: str) -> tuple[int, ...]:
+    def exact(self, word: str) -> list[int]:
         """Merge by rank, leftmost first."""
         byte_id, get, none = self.byte_list, self.joined.get, 1 << 60
         ids = [byte_id[b] for b in word.encode("utf-8", "surrogatepass")]
@@ -130,10 +157,14 @@ class Codec:
                 ranks[i] = get(made << 24 | ids[i + 1], none)
             if i:
                 ranks[i - 1] = get(ids[i - 1] << 24 | made, none)
-        return tuple(ids)
+        return ids
 
-    def learn(self, words: list[str]) -> dict[str, tuple[int, ...]]:
-        """Encode distinct words: speculate, verify, and merge the failing ones exactly."""
+    def learn_plain(self, pieces: list[str]) -> list[bytes]:
+        """Ids of words of a blank and Latin letters, given without the blank."""
+        return self.learn([" " + p for p in pieces])
+
+    def learn(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words: speculate, verify, and merge the failing ones exactly."""
         shown = ["".join(map(self.to_chars.__getitem__, w.encode("utf-8", "surrogatepass"))) for w in words]
         # no token holds a line feed's own character, so matches never cross words
         text = "\n".join(shown)
@@ -154,41 +185,80 @@ class Codec:
         failed[owner[~good]] = True
         self.stats["words"] += len(words)
         self.stats["failed"] += int(failed.sum())
-        flat = ids.tolist()
-        return {w: self.exact(w) if f else tuple(flat[a:b]) for w, a, b, f in zip(words, start.tolist(), stop.tolist(), failed.tolist())}
-
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
-        """Ids of each text, as the vocabulary's library gives them without added tokens."""
-        pieces: list[list] = []
-        unknown: set[str] = set()
-        cache = self.cache
-        if len(cache) > CACHE:
-            cache.clear()
+        raw = ids.astype("<u4").tobytes()
+        return [np.array(self.exact(w), "<u4").tobytes() if f else raw[4 * a : 4 * b] for w, a, b, f in zip(words, start.tolist(), stop.tolist(), failed.tolist())]
+
+    def rest(self) -> None:
+        """Forget all words: a worker that waits for its next task holds little."""
+        for memo in (self.known, self.pieces):
+            memo.now, memo.old = {}, {}
+
+    def encode_bytes(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text, as the vocabulary's library gives them without added tokens: 32 bits each, little-endian."""
+        self.known.turn()
+        self.pieces.turn()
+        cut: list = []
+        pieces: set[str] = set()
+        words: set[str] = set()
         for s in texts:
-            own: list = []
-            for part in (self.cut.split(s) if self.cut and s and any(k in s for k in self.special) else [s]) if s else []:
-                if part in self.special:
-                    own.append(self.special[part])
-                elif part:
-                    words = self.words.findall(part)
-                    own.append(words)
-                    unknown.update(w for w in words if w not in cache)
-            pieces.append(own)
+            if not s:
+                cut.append(())
+            elif self.odd.search(s) or any(k in s for k in self.special):
+                own: list = []
+                for part in self.cut.split(s) if self.cut else [s]:
+                    if part in self.special:
+                        own.append(np.array([self.special[part]], "<u4").tobytes())
+                    elif part:
+                        own.append(self.words.findall(part))
+                        words.update(own[-1])
+                cut.append(own)
+            else:
+                # the first piece has no blank before it
+                head, *rest = s.split(" ")
+                own = self.words.findall(head)
+                words.update(own)
+                pieces.update(rest)
+                cut.append((own, rest))
+        fresh = self.pieces.missing(pieces)
+        # a piece of letters alone is one word, and remembered as a piece only
+        plain, mixed = [], []
+        for p in fresh:
+            (plain if p.isalpha() and (p.isascii() or max(p) < "\u0250") else mixed).append(p)
+        inside = [self.words.findall(" " + p) for p in mixed]
+        for own in inside:
+            words.update(own)
+        unknown = self.known.missing(words)
         if unknown:
-            cache.update(self.learn(sorted(unknown)))
+            self.known.now.update(zip(unknown, self.learn(unknown)))
+        if plain:
+            self.pieces.now.update(zip(plain, self.learn_plain(plain)))
+        word, join = self.known.now.__getitem__, b"".join
+        self.pieces.now.update((p, join(map(word, own))) for p, own in zip(mixed, inside))
+        piece = self.pieces.now.__getitem__
         out = []
-        for own in pieces:
-            ids: list[int] = []
-            for part in own:
-                if isinstance(part, int):
-                    ids.append(part)
-                else:
-                    ids.extend(chain.from_iterable(map(cache.__getitem__, part)))
-            out.append(ids)
+        for own in cut:
+            if isinstance(own, tuple):
+                out.append(join(map(word, own[0])) + join(map(piece, own[1])) if own else b"")
+            else:
+                out.append(join(x if isinstance(x, bytes) else join(map(word, x)) for x in own))
         return out
 
+    def encode(self, texts: list[str | None]) -> list[list[int]]:
+        return [np.frombuffer(b, "<u4").tolist() for b in self.encode_bytes(texts)]
+
+    def decode_bytes(self, ids: list[bytes]) -> list[bytes]:
+        """The bytes of each text's ids, all texts in one gather."""
+        counts = [len(b) // 4 for b in ids]
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        sizes = self.size[flat]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        data = self.blob[np.repeat(self.at[flat] - (ends - sizes), sizes) + np.arange(total)].tobytes()
+        edges = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))].tolist()
+        return [data[a:b] for a, b in zip(edges, edges[1:])]
+
     def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+        return self.decode_bytes([np.array(ids, "<u4").tobytes()])[0].decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=2)
@@ -196,10 +266,22 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def sliced(batch, rows: int = 256):
-    """An Arrow batch in slices, so that one slice's tokens stay few."""
-    for lo in range(0, batch.num_rows, rows):
-        yield batch.slice(lo, rows)
+def sliced(batch, rows: int = 1024, limit: int = 4 << 20):
+    """An Arrow batch in slices of so many rows, or of so many bytes of text, so that one slice's tokens stay few."""
+    import pyarrow.compute as pc
+
+    at = batch.schema.get_field_index("text")
+    if at < 0:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+        return
+    total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < batch.num_rows:
+        before = total[lo - 1] if lo else 0
+        hi = min(lo + rows, max(lo + 1, int(np.searchsorted(total, before + limit))))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
 
 
 def tokenize(docs: DataFrame, path: str) -> DataFrame:
@@ -214,7 +296,7 @@ def tokenize(docs: DataFrame, path: str) -> DataFrame:
                 ids = codec(path).encode(part.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*names, "ids"])
 
-    return out.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema) + ", ids array<int>")
+    return out.mapInArrow(C.tidy(run), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema) + ", ids array<int>")
 
 
 def detokenize(rows: DataFrame, path: str) -> DataFrame:
@@ -225,10 +307,11 @@ def detokenize(rows: DataFrame, path: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in sliced(batch):
-                texts = [codec(path).decode(i or []) for i in part.column(at).to_pylist()]
+                raw = codec(path).decode_bytes([np.array(i or [], "<u4").tobytes() for i in part.column(at).to_pylist()])
+                texts = [b.decode("utf-8", "replace") for b in raw]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*names, "decoded"])
 
-    return rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", decoded string")
+    return rows.mapInArrow(C.tidy(run), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", decoded string")
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
@@ -239,16 +322,17 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """
 
     def run(batches):
+        own = codec(path)
         for batch in batches:
             for part in sliced(batch):
-                own = codec(path)
-                ids = own.encode(part.column(1).to_pylist())
-                sha = [hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest() for x in ids]
-                back = [hashlib.sha256(own.decode(x).encode("utf-8")).hexdigest() for x in ids]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(map(len, ids)), pa.int64()), pa.array(sha), pa.array(back)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                ids = own.encode_bytes(part.column(1).to_pylist())
+                sha = [hashlib.sha256(x).hexdigest() for x in ids]
+                back = [hashlib.sha256(x.decode("utf-8", "replace").encode("utf-8")).hexdigest() for x in own.decode_bytes(ids)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        own.rest()
 
     docs = C.spread(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
-    return docs.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.mapInArrow(C.tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def vocabulary() -> str:

@@ -175,16 +175,15 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int | None = 2,
                     fs.create_dir(root, recursive=True)
                     ids_file = fs.open_output_stream(f"{root}/{name}.ids")
                     pid = part.column(2)[0].as_py()
-                rows = own.encode(part.column(1).to_pylist())
-                for ids in rows:
-                    if end_id is not None:
-                        ids.append(end_id)
-                sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-                flat = np.fromiter((i for ids in rows for i in ids), own.dtype, int(sizes.sum()))
+                tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+                rows = [ids + tail for ids in own.words.encode_bytes(part.column(1).to_pylist())]
+                sizes = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
+                flat = np.frombuffer(b"".join(rows), "<u4").astype(own.dtype)
                 ids_file.write(flat.tobytes())
                 total += len(flat)
                 keys.append(np.array([NULL_KEY if k is None else k for k in part.column(0).to_pylist()], np.int64))
                 lengths.append(sizes)
+        own.words.rest()
         if ids_file is None:
             return
         ids_file.close()
@@ -196,7 +195,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int | None = 2,
         yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((pid, pa.int32()), (name, pa.string()), (len(k), pa.int64()), (total, pa.int64()), (int(k[0]), pa.int64()), (int(k[-1]), pa.int64()))], names=["pid", "name", "docs", "ids", "first_key", "last_key"])
 
     # one small row a shard comes to the driver, never a document
-    found = sorted(dealt.mapInArrow(run, "pid int, name string, docs long, ids long, first_key long, last_key long").collect(), key=lambda r: r.pid)
+    found = sorted(dealt.mapInArrow(C.tidy(run), "pid int, name string, docs long, ids long, first_key long, last_key long").collect(), key=lambda r: r.pid)
     rows, start = [], 0
     for k, r in enumerate(found):
         rows.append((k, f"{folder}/{r.name}", r.docs, r.ids, start, r.first_key, r.last_key))
@@ -230,7 +229,7 @@ def scan(manifest: DataFrame, each, schema: str) -> DataFrame:
                         out.append(each(None if key == NULL_KEY else int(key), row["start"] + first, shard.ids(slot)))
                     yield pa.RecordBatch.from_pandas(_frame(out, names), preserve_index=False)
 
-    return manifest.repartitionByRange(n, "shard").mapInArrow(run, schema)
+    return manifest.repartitionByRange(n, "shard").mapInArrow(C.tidy(run), schema)
 
 
 def _frame(rows: list[tuple], names: list[str]):
@@ -269,7 +268,7 @@ def lookup(manifest: DataFrame, keys: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_pylist(out, pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.list_(pa.int64()))]))
 
-    return salted.sortWithinPartitions("path").mapInArrow(run, "doc_id long, start long, ids array<long>")
+    return salted.sortWithinPartitions("path").mapInArrow(C.tidy(run), "doc_id long, start long, ids array<long>")
 
 
 class _Library:
@@ -282,21 +281,32 @@ class _Library:
         from tokenizers import Tokenizer
 
         self.words = bpe.Codec(path)  # a codec of its own: its cache holds the library's ids only
-        self.words.learn = self._learn
+        self.words.learn, self.words.learn_plain = self._learn, self._learn_plain
+        self.begins = np.array([b[:1] == b" " for b in self.words.bytes_of])
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
 
-    def _learn(self, words: list[str]) -> dict[str, tuple[int, ...]]:
-        out = {}
+    def _learn(self, words: list[str]) -> list[bytes]:
+        out: list[bytes] = []
         for lo in range(0, len(words), 4096):
-            part = words[lo : lo + 4096]
-            out.update((w, tuple(e.ids)) for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)))
+            out += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words[lo : lo + 4096], add_special_tokens=False)]
         return out
 
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
-        return self.words.encode(texts)
+    def _learn_plain(self, pieces: list[str]) -> list[bytes]:
+        """Many words go to the library as one text, which it cuts at the blanks again."""
+        out: list[bytes] = []
+        for lo in range(0, len(pieces), 2048):
+            part = pieces[lo : lo + 2048]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            at = np.flatnonzero(self.begins[ids]).tolist()
+            if len(at) != len(part):
+                raise ValueError("the library cuts words otherwise than the pattern")
+            raw = ids.tobytes()
+            at.append(len(ids))
+            out += [raw[4 * a : 4 * b] for a, b in zip(at, at[1:])]
+        return out
 
 
 @lru_cache(maxsize=2)
