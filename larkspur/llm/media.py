@@ -310,7 +310,7 @@ def store(docs: DataFrame, folder: str) -> None:
                 yield _batch([("null" if i is None else str(i), json.dumps({"doc_id": i, "n_bytes": len(t)}), png(padded(t))) for i, t in zip(ids, texts)])
 
     docs = C.spread(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
-    docs.mapInArrow(run, _COLUMNS).write.format(NAME).mode("append").save(folder)
+    docs.mapInArrow(C.tidy(run), _COLUMNS).write.format(NAME).mode("append").save(folder)
 
 
 def load(spark: SparkSession, folder: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -337,7 +337,7 @@ def features(members: DataFrame) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=_OUT)
 
-    return members.select("meta", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return members.select("meta", "media").mapInArrow(C.tidy(run), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 _OUT = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]

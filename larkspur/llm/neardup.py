@@ -35,7 +35,7 @@ _LAG = C.mix(np.arange(77, 177, dtype=_U)) | _U(1)
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     """The sorted distinct 64-bit hashes of each text's ``width``-word shingles."""
     out: list[np.ndarray] = []
-    for lo, hi in C.batches_by_bytes(texts):
+    for lo, hi in C.batches_by_bytes(texts, 1 << 19):
         part = texts[lo:hi]
         data = np.frombuffer(b" ".join(part).lower(), np.uint8)
         start, end = C.word_spans(data)
@@ -94,7 +94,7 @@ def alike(a: np.ndarray, b: np.ndarray, share: float, total: np.ndarray) -> np.n
     out = np.zeros(len(b), bool)
     at = np.arange(len(b))
     for first in (48, 160):
-        x, y = (a if a.ndim == 1 else a[at])[..., :first], b[at, :first]
+        x, y = a[:first] if a.ndim == 1 else a[at, :first], b[at, :first]
         same, union = np.count_nonzero((x == y) & (x != 0), axis=-1), np.count_nonzero(x | y, axis=-1)
         at = at[same >= share * union - 5 * np.sqrt(share * (1 - share) * np.maximum(union, 1)) - 1]
     x, y = (a if a.ndim == 1 else a[at]), b[at]
@@ -183,35 +183,94 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int
     )
 
 
-def _across(share: float):
-    """Within a block of one posting list: pairs of different components that may be alike.
+def _across(share: float, flush: int = 1 << 13):
+    """Within blocks of posting lists: pairs of different components that may be alike.
 
-    Of all the lists that hold a pair, only that of its smallest common token tells it.
+    Rows come sorted by list, block pair and set size; a block pair has at most two blocks of rows. Of all the lists
+    that hold a pair, only that of its smallest common token tells it. Candidates of many small lists are tested
+    together.
     """
 
-    def run(key, pdf):
-        token, one, two = int(key[0]), key[1], key[2]
-        pdf["comp"] = pd.factorize(pdf["comp"])[0]  # numbers compare faster
-        x = pdf[pdf.block == one].sort_values("n_shingles")
-        y = x if one == two else pdf[pdf.block == two].sort_values("n_shingles")
-        sx, sy = (np.stack([np.frombuffer(s, np.uint8) for s in z["sketch"]]) for z in (x, y)) if len(x) and len(y) else (None, None)
-        found: list[tuple[bytes, bytes]] = []
-        if sx is not None:
-            nx, ny, cx, cy = x.n_shingles.to_numpy(), y.n_shingles.to_numpy(), x.comp.to_numpy(), y.comp.to_numpy()
-            px, py = x["print"].to_numpy(), y["print"].to_numpy()
-            tx, ty = ([set(map(int, m)) for m in z["mine"]] for z in (x, y))
-            for i in range(len(x)):
-                lo, hi = np.searchsorted(ny, share * nx[i], "left"), np.searchsorted(ny, nx[i] / share + 1e-9, "right")
-                lo = max(lo, i + 1) if one == two else lo
-                at = lo + np.flatnonzero(cy[lo:hi] != cx[i])
-                if len(at):
-                    at = at[alike(sx[i], sy[at], share, nx[i] + ny[at])]
-                    found += [(min(px[i], py[j]), max(px[i], py[j])) for j in at if min(tx[i] & ty[j]) == token]
-        return pd.DataFrame(found, columns=["a", "b"]).drop_duplicates()
+    def pairs_of(lo, hi, one, two, block, sizes, comp):
+        """Candidate index pairs of the rows ``lo:hi``: of different components, of sizes that allow a link."""
+        if comp[lo:hi].min() == comp[lo:hi].max():
+            return
+        rows = np.arange(lo, hi)
+        x = rows[block[lo:hi] == one]
+        y = x if one == two else rows[block[lo:hi] == two]
+        ends = np.searchsorted(sizes[y], sizes[x] / share + 1e-9, "right")
+        begins = np.arange(1, len(x) + 1) if one == two else np.searchsorted(sizes[y], share * sizes[x] - 1e-9, "left")
+        for i, b, e in zip(x, begins, ends):
+            j = y[b:e]
+            j = j[comp[j] != comp[i]]
+            if len(j):
+                yield np.full(len(j), i), j
+
+    def told(table, starts):
+        token, one, two, block, sizes = (table.column(c).to_numpy() for c in ("token", "one", "two", "block", "n_shingles"))
+        comp = pd.factorize(np.array(table.column("comp").to_pylist(), dtype=object))[0]
+        prints = table.column("print").to_pylist()
+        sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
+        mine = table.column("mine").combine_chunks()
+        at, values = mine.offsets.to_numpy(), mine.values.to_numpy()
+        found: set[tuple[bytes, bytes]] = set()
+
+        def test(i, j):
+            ok = alike(sketches[i], sketches[j], share, sizes[i] + sizes[j])
+            for a, b in zip(i[ok].tolist(), j[ok].tolist()):
+                common = np.intersect1d(values[at[a] : at[a + 1]], values[at[b] : at[b + 1]])
+                if common[0] == token[a]:
+                    found.add((min(prints[a], prints[b]), max(prints[a], prints[b])))
+
+        held, n = [], 0
+        for lo, hi in zip(starts, [*starts[1:], table.num_rows]):
+            for pair in pairs_of(lo, hi, one[lo], two[lo], block, sizes, comp):
+                held.append(pair)
+                n += len(pair[0])
+                if n >= flush:
+                    test(*(np.concatenate(x) for x in zip(*held)))
+                    held, n = [], 0
+        if held:
+            test(*(np.concatenate(x) for x in zip(*held)))
+        return found
+
+    def run(batches):
+        held: list = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = list(zip(*(batch.column(c).to_pylist() for c in ("token", "one", "two"))))
+            new = [i for i in range(len(key)) if key[i] != (key[i - 1] if i else last)]
+            cut = new[-1] if new else 0
+            if new and (held or cut):
+                # all rows before the last list's are complete
+                table = pa.Table.from_batches([*held, batch.slice(0, cut)])
+                yield from _pair_batches(told(table, _starts(table)))
+                held = []
+            held.append(batch.slice(cut) if new else batch)
+            last = key[-1]
+        if held:
+            table = pa.Table.from_batches(held)
+            yield from _pair_batches(told(table, _starts(table)))
 
     return run
 
 
+def _starts(table) -> list[int]:
+    change = np.zeros(table.num_rows, bool)
+    for c in ("token", "one", "two"):
+        v = table.column(c).to_numpy()
+        change[1:] |= v[1:] != v[:-1]
+    change[:1] = True
+    return np.flatnonzero(change).tolist()
+
+
+def _pair_batches(pairs):
+    pairs = sorted(pairs)
+    yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)], names=["a", "b"])
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs(doc_id, text)``.
 
@@ -275,7 +334,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select("token", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "print", "comp", "n_shingles", "sketch", "mine")
     )
-    across = rest.groupBy("token", "one", "two").applyInPandas(_across(share), "a binary, b binary").distinct().join(star, ["a", "b"], "left_anti")
+    lists = rest.repartition("token", "one", "two").sortWithinPartitions("token", "one", "two", "n_shingles")
+    across = lists.mapInArrow(C.tidy(_across(share)), "a binary, b binary").distinct().join(star, ["a", "b"], "left_anti")
     across = C.materialize(across, "neardup-across")
     if not across.isEmpty():
         more = C.materialize(_confirmed(across, docs, classes, width, num, den), "neardup-more")

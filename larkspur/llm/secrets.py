@@ -140,7 +140,7 @@ def scan(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_guess", "guess_bits"])
 
     docs = C.spread(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
-    return docs.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long, guess_bits double")
+    return docs.mapInArrow(C.tidy(run), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long, guess_bits double")
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
@@ -162,7 +162,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
                 cols[count] = pa.array([o if t is None else len(t) for o, t in zip(old, texts)], cols[count].type)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(C.tidy(run), docs.schema)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
