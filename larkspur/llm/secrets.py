@@ -2,7 +2,8 @@
 
 A candidate is the value after a credential word and ``:``, ``=`` or ``is``. Dynamic programming finds the cheapest
 way to guess it as a sequence of dictionary words, dates, repeats, keyboard walks and brute-forced characters; it is
-a secret from ``BITS`` bits on. Costs grow along the value in one pass, whatever its length.
+a secret from ``BITS`` bits on, told beside the fixed patterns' spans unless they hold all of it. A value in quotes goes on to
+the closing one. Costs grow along the value in one pass, whatever its length.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ _HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal, so shorter ones need no
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _HINTS = ("pass", "pwd", "credential", "auth", "bearer", "secret", "key", "login", "pin", "token")
 _CONTEXT = re.compile(
-    r"""\b(?:pass(?:word|wd|phrase|code)?|pwd|credentials?|auth(?:orization)?|bearer|(?:client|shared)[_-]?secret|(?:private|access|account|signing|encryption)[_-]?key|login|pin|secret|token)\b["']?(?:[\x20\t]*(?:[:=]|=>)[\x20\t]*|[\x20\t]+is[\x20\t]+)["'`]?([^\s"'`,;<>]{6,})""",
+    r"""\b(?:pass(?:word|wd|phrase|code)?|pwd|credentials?|auth(?:orization)?|bearer|(?:client|shared)[_-]?secret|(?:private|access|account|signing|encryption)[_-]?key|login|pin|secret|token)\b["']?(?:[\x20\t]*(?:[:=]|=>)[\x20\t]*|[\x20\t]+is[\x20\t]+)(?:"([^\s"]{6,})"|'([^\s']{6,})'|`([^\s`]{6,})`|["'`]?([^\s"'`,;<>]{6,}))""",
     re.I | re.A,
 )
 #: Words that guessers try first, in order of rank.
@@ -83,6 +84,17 @@ def guess_bits(value: str) -> float:
     return best[n]
 
 
+def covered(spans: list[tuple[int, int, int]], start: int, end: int) -> bool:
+    """Whether the sorted ``spans`` together hold all of ``start`` to ``end``."""
+    for a, _, b in spans:
+        if a > start:
+            break
+        start = max(start, b)
+        if start >= end:
+            return True
+    return start >= end
+
+
 def find(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], float]:
     """Spans ``(start, kind, end)`` of the fixed patterns, spans by guess cost, and the costliest value's bits."""
     if not text:
@@ -100,9 +112,11 @@ def find(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     base.sort()
     if any(k in low for k in _HINTS):
         for m in _CONTEXT.finditer(text):
-            cost = guess_bits(m[1].rstrip(".)]}"))
+            at = m.start(m.lastindex)
+            value = m[m.lastindex].rstrip(".)]}")
+            cost = guess_bits(value)
             bits = max(bits, cost)
-            if cost >= BITS and not any(a < m.end() and m.start() < b for a, _, b in base):
+            if cost >= BITS and not covered(base, at, at + len(value)):
                 more.append((m.start(), 3, m.end()))
     return base, more, bits
 

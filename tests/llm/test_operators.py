@@ -452,6 +452,17 @@ def test_guess_costs():
     assert bits("x1" * 40000) < bits("Zr8vQ1nB5cT0" * 100 + "y")
 
 
+@pytest.mark.parametrize("value", ["abc123!Kq9#vLm2$Wz8", "abc123;Kq9,vLm2<Wz8", "abc123'Kq9#vLm2$Wz8", "f0ddae3b09ae356cbefe0123!Kq9#vLm2"])
+def test_values_that_go_on_after_a_fixed_pattern(value):
+    text = f'a password = "{value}" b'
+    base, more, _ = secrets.find(text)
+    assert base and [text[x:y] for x, _, y in more][0].rstrip('"').endswith(value)
+    left = secrets.redacted(text, base + more)
+    assert left.startswith("a [SECRET]") and not any(value[i : i + 3] in left for i in range(len(value) - 2))
+    # nothing is told twice where the fixed pattern holds the value
+    assert secrets.find("(token=Zr8vQ1nB5cT0Kq9)")[1] == []
+
+
 def test_redaction_keeps_rows(spark, odd):
     rows = spark.createDataFrame([(1, "my token: abcdefgh1 end", 23, "k"), (2, None, None, None)], "doc_id long, text string, n_chars long, extra string")
     got = by_id(secrets.redact(rows))
