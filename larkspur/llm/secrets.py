@@ -1,6 +1,7 @@
 """Secrets in texts: fixed patterns, and values in a credential's place judged by their guess cost.
 
-A candidate is the value after a credential word and ``:``, ``=`` or ``is``. Dynamic programming finds the cheapest
+A candidate is the value after a credential word and ``:``, ``=`` or ``is``. The word can end a longer name (``DB_PASSWORD``);
+the short ones start at a letter's edge or a capital (``dbPass``), so that ``compass`` is none. Dynamic programming finds the cheapest
 way to guess it as a sequence of dictionary words, dates, repeats, keyboard walks and brute-forced characters; it is
 a secret from ``BITS`` bits on, told beside the fixed patterns' spans unless they hold all of it. A value in quotes goes on to
 the closing one. Costs grow along the value in one pass, whatever its length.
@@ -26,7 +27,7 @@ _HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal, so shorter ones need no
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _HINTS = ("pass", "pwd", "credential", "auth", "bearer", "secret", "key", "login", "pin", "token")
 _CONTEXT = re.compile(
-    r"""\b(?:pass(?:word|wd|phrase|code)?|pwd|credentials?|auth(?:orization)?|bearer|(?:client|shared)[_-]?secret|(?:private|access|account|signing|encryption)[_-]?key|login|pin|secret|token)\b["']?(?:[\x20\t]*(?:[:=]|=>)[\x20\t]*|[\x20\t]+is[\x20\t]+)(?:"([^\s"]{6,})"|'([^\s']{6,})'|`([^\s`]{6,})`|["'`]?([^\s"'`,;<>]{6,}))""",
+    r"""(?:password|passwd|passphrase|passcode|pwd|credentials?|authorization|bearer|(?:client|shared)[_-]?secret|(?:private|access|account|signing|encryption|secret|api)[_-]?key|login|secret|token|(?:(?<![A-Za-z])|(?-i:(?<=[a-z])(?=[A-Z])))(?:pass|auth|pin))\b["']?(?:[\x20\t]*(?:[:=]|=>)[\x20\t]*|[\x20\t]+is[\x20\t]+)(?:"([^\s"]{6,})"|'([^\s']{6,})'|`([^\s`]{6,})`|["'`]?([^\s"'`,;<>]{6,}))""",
     re.I | re.A,
 )
 #: Words that guessers try first, in order of rank.

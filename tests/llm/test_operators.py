@@ -463,6 +463,17 @@ def test_values_that_go_on_after_a_fixed_pattern(value):
     assert secrets.find("(token=Zr8vQ1nB5cT0Kq9)")[1] == []
 
 
+@pytest.mark.parametrize(
+    "text",
+    ["DB_PASSWORD=x7!Kq9#vLm2$Wz", "user_password: x7!Kq9#vLm2$Wz", "PGPASSWORD=x7!Kq9#vLm2$Wz", "MYSQL_PWD=x7!Kq9#vLm2$Wz", 'api_key: "x7!Kq9#vLm2$Wz"', "apikey = x7!Kq9#vLm2$Wz", "dbPass: x7!Kq9#vLm2$Wz", "DB_PASS=x7!Kq9#vLm2$Wz", "DJANGO_SECRET_KEY='x7!Kq9#vLm2$Wz'"],
+)
+def test_credential_names_with_prefixes(text):
+    base, more, bits = secrets.find(text)
+    assert base == [] and len(more) == 1 and bits > secrets.BITS
+    assert "Kq9" not in secrets.redacted(text, more)
+    assert secrets.find("compass: x7!Kq9#vLm2$Wz, spin: x7!Kq9#vLm2$Wz")[1] == []
+
+
 def test_redaction_keeps_rows(spark, odd):
     rows = spark.createDataFrame([(1, "my token: abcdefgh1 end", 23, "k"), (2, None, None, None)], "doc_id long, text string, n_chars long, extra string")
     got = by_id(secrets.redact(rows))
