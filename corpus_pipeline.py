@@ -26,10 +26,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies: words in runs of five, similarity 0.8 or more."""
+    """Keeps one row of each group of near copies: words in runs of five, similarity 0.8 or more.
+
+    Rows are told apart by a number written beside them, so rows that repeat a ``doc_id`` or have none are rows of their own.
+    The row with the smallest ``doc_id`` stays, one without an id only if no other is in the group. Texts without words all stay.
+    """
     C.importable(spark)
-    ids = neardup.near_duplicates(docs, width=5).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(ids, docs.doc_id.eqNullSafe(ids._kept), "left_semi")
+    row = "_row"
+    while row.lower() in map(str.lower, docs.columns):
+        row = f"_{row}"
+    # written, as a number drawn anew in each reading need not fall on the same row
+    rows = C.materialize(docs.withColumn(row, F.monotonically_increasing_id()), "pipeline-rows")
+    groups = neardup.near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), width=5).select(F.col("doc_id").alias(row), F.col("component_id").alias("_group"))
+    best = groups.join(rows.select(row, F.col("doc_id").alias("_id")), row).groupBy("_group").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", row)).alias("_best"))
+    return rows.join(best.select(F.col(f"_best.{row}").alias(row)), row, "left_semi").select(*docs.columns)
 
 
 def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -60,6 +60,21 @@ def test_stages_on_odd_rows(spark, odd, none):
     assert langid.train(none) is None
 
 
+def test_one_row_of_each_group_stays(spark):
+    one, two, three = (" ".join(f"{w}{i}" for i in range(60)) for w in ("ab", "cd", "ef"))
+    rows = [
+        (1, one, "a"), (1, one, "b"), (2, one + " more", "c"),  # copies under one id, and a near copy
+        (3, two, "d"), (4, three, "e"), (4, two + " more", "f"),  # an id of which one row is a near copy of another document
+        (None, three + " more", "g"), (None, "pq " * 9 + "rs", "h"), (None, "pq " * 9 + "rs", "i"),  # without ids: a near copy of a numbered one, and copies among them
+        (5, "", "j"), (5, None, "k"), (None, " ", "l"),
+    ]
+    got = P.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, _row string"), SMALL)
+    assert got.columns == ["doc_id", "text", "_row"]
+    kept = sorted(r._row for r in got.collect())
+    assert len(kept) == 7 and set(kept) - {"a", "b", "h", "i"} == {"d", "e", "j", "k", "l"}
+    assert len({"a", "b"} & set(kept)) == len({"h", "i"} & set(kept)) == 1
+
+
 def test_run(spark):
     out = P.run(spark, SMALL)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 0
