@@ -3,8 +3,10 @@
 A gear hash rolls over a text's bytes; a chunk ends where its low bits are all zero (or after ``LONGEST`` bytes, but
 not before ``SHORTEST``), so boundaries depend on the bytes near them alone and come together again after an
 insertion. The hash of a position is a sum over its last 16 bytes and is computed for all positions at once, by
-doubling. Chunks are compared by 128-bit digests over the whole table; runs of repeated chunks of ``PASSAGE`` bytes or
-more are passages. The first occurrence (smallest ``doc_id``, then place) stays, the others are repeats.
+doubling. Chunks are compared by 96-bit digests over the whole table; runs of repeated chunks of ``PASSAGE`` bytes or
+more are passages. Chunks at a passage's edges are seldom whole, so runs of ``WORDS`` words, chosen by the smallest hash
+among ``WORDS`` in a row, are compared beside them, and texts as a whole: a passage of over 50 words holds a chosen run
+wherever it stands. The first occurrence (smallest ``doc_id``, then place) stays, the others are repeats.
 """
 
 from __future__ import annotations
@@ -16,7 +18,8 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-MASK, SHORTEST, LONGEST, PASSAGE = 15, 16, 96, 160
+MASK, SHORTEST, LONGEST, PASSAGE, WORDS = 15, 16, 96, 160, 26
+_LAG = C.mix(np.arange(1001, 1001 + 2 * WORDS, dtype=np.uint64)) | np.uint64(1)
 _GEAR = (C.mix(np.arange(501, 757, dtype=np.uint64)) & np.uint64(0xFFFF)).astype(np.uint16)
 
 
@@ -55,60 +58,137 @@ def boundaries(data: np.ndarray) -> list[int]:
     return ends
 
 
-_CHUNKS = "doc_id long, first int, last int, d1 long, d2 long"
+def _sliding(v: np.ndarray, best, pad: int) -> np.ndarray:
+    """``best`` of each entry and the ``WORDS - 1`` after it; ``pad`` stands after the end."""
+    n, size = len(v), 1
+    v = np.concatenate((v, np.full(WORDS, pad, v.dtype)))
+    while size * 2 <= WORDS:
+        v[:-size] = best(v[:-size], v[size:])
+        size *= 2
+    return best(v[:n], v[WORDS - size : WORDS - size + n])
 
 
-def _chunks(batches):
+def windows(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First and last byte and two hashes of chosen runs of ``WORDS`` words in the texts that end at ``edges`` of ``data``.
+
+    Of any ``WORDS`` runs in a row the one with the smallest hash is chosen, so two texts that share ``2 * WORDS - 1`` words
+    in a row share a chosen run. No run goes over a text's end. Of equal runs one word apart every 16th is told.
+    """
+    start, end = C.word_spans(data)
+    n = len(start) - WORDS + 1
+    if n < 1:
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.int64), np.zeros(0, np.int32))
+    words = C.span_hashes(data, start, end)
+    h = np.zeros(n, np.uint64)
+    for k in range(WORDS):
+        h += words[k : k + n] * _LAG[k]
+    h = C.mix(h) >> np.uint64(1)
+    text = np.searchsorted(edges, start, "right")
+    whole = text[:n] == text[WORDS - 1 :]
+    none = np.uint64(2**63)
+    v = np.where(whole, h, none)
+    least = _sliding(v, np.minimum, 2**63)
+    # a row of runs counts if all of them lie in one text
+    inside = np.zeros(n, bool)
+    m = n - WORDS + 1
+    if m > 0:
+        inside[:m] = text[:m] == text[2 * WORDS - 2 :]
+    least = np.where(inside, least, np.uint64(0))
+    top = _sliding(np.concatenate((np.zeros(WORDS - 1, np.uint64), least)), np.maximum, 0)[:n]
+    chosen = whole & (v == top)
+    same = np.zeros(n, bool)
+    same[1:] = (v[1:] == v[:-1]) & chosen[:-1]
+    at = np.flatnonzero(chosen & (~same | (np.arange(n) % 16 == 0)))
+    other = (words[at[:, None] + np.arange(WORDS)] * _LAG[WORDS:]).sum(axis=1, dtype=np.uint64)
+    return start[at], end[at + WORDS - 1], h[at].view(np.int64), (C.mix(other) >> np.uint64(33)).astype(np.int32)
+
+
+_UNITS = "doc_id long, key long, first int, last int, d1 long, d2 int, kind byte, lead boolean"
+
+
+def _units(batches):
+    """Chunks, chosen runs of words, and each text as a whole; the latter two (``kind`` 1 and 2) are passages by themselves.
+
+    ``key`` is a digest of the text, ``lead`` marks a unit's first place in its row.
+    """
     import xxhash
 
     for batch in batches:
-        for lo in range(0, batch.num_rows, 256):
-            part = batch.slice(lo, 256)
-            ids: list = []
-            cols: list[list] = [[], []]
-            digests = []
-            for key, text in zip(part.column(0).to_pylist(), C.encoded(part.column(1))):
+        rows = list(zip(batch.column(0).to_pylist(), C.encoded(batch.column(1))))
+        for lo, hi in C.batches_by_bytes([t for _, t in rows], 1 << 19):
+            part = [(k, t) for k, t in rows[lo:hi] if t]
+            if not part:
+                continue
+            # a blank between texts, so that no word goes over an end
+            data = np.frombuffer(b" ".join(t for _, t in part) + b" ", np.uint8)
+            edges = np.cumsum([len(t) + 1 for _, t in part])
+            begin = edges - [len(t) + 1 for _, t in part]
+            first, last, w1, w2 = windows(data, edges)
+            owner = np.searchsorted(edges, first, "right")
+            first, last = first - begin[owner], last - begin[owner]
+            bounds = np.searchsorted(owner, np.arange(len(part) + 1))
+            cols: list[list] = [[] for _ in range(8)]
+            for j, (key, text) in enumerate(part):
                 ends = boundaries(np.frombuffer(text, np.uint8))
-                starts = [0, *ends[:-1]] if ends else []
-                ids += [key] * len(ends)
-                cols[0] += starts
-                cols[1] += ends
-                digests += [xxhash.xxh3_128_digest(text[a:b]) for a, b in zip(starts, ends)]
-            flat = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), *(pa.array(c, pa.int32()) for c in cols), pa.array(flat[:, 0].copy()), pa.array(flat[:, 1].copy())],
-                names=["doc_id", "first", "last", "d1", "d2"],
-            )
+                starts = [0, *ends[:-1]]
+                digests = [xxhash.xxh3_128_digest(text[a:b]) for a, b in zip(starts, ends)]
+                digests.append(xxhash.xxh3_128_digest(text, 1))
+                flat = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+                x, y = bounds[j], bounds[j + 1]
+                d1 = np.concatenate((flat[:, 0], w1[x:y]))
+                lead = np.zeros(len(d1), bool)
+                lead[np.unique(d1, return_index=True)[1]] = True
+                n = len(d1)
+                cols[0] += [key] * n
+                cols[1].append(np.full(n, xxhash.xxh3_64_intdigest(text, 2) >> 1, np.int64))
+                cols[2].append(np.concatenate((starts, [0], first[x:y])))
+                cols[3].append(np.concatenate((ends, [len(text)], last[x:y])))
+                cols[4].append(d1)
+                cols[5].append(np.concatenate((flat[:, 1].astype(np.int32), w2[x:y])))
+                cols[6].append(np.where(np.arange(n) < len(ends), 0, np.where(np.arange(n) == len(ends), 2, 1)))
+                cols[7].append(lead)
+            kinds = [np.int64, np.int32, np.int32, np.int64, np.int32, np.int8, bool]
+            flat = [np.concatenate(c).astype(k) for c, k in zip(cols[1:], kinds)]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *map(pa.array, flat)], names=["doc_id", "key", "first", "last", "d1", "d2", "kind", "lead"])
 
 
 def repeats(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
-    """One row for each ``doc_id`` of ``docs(doc_id, text)`` with a passage that another document holds too.
+    """One row for each row of ``docs(doc_id, text)`` with a passage that another row holds too.
+
+    ``shared_bytes long, shared string``: what other rows hold, as ``first-end`` byte offsets, comma-joined; ``repeat_bytes
+    long, repeats string``: what is left of it without the first occurrences, which are in the row with the smallest
+    ``doc_id``. Told are runs of shared chunks of ``passage`` bytes or more, shared runs of ``WORDS`` words (so all that has
+    ``2 * WORDS - 1`` words), and texts that are equal as a whole, whatever their length. Rows without these give no row.
 
-    ``shared_bytes long, shared string``: runs of chunks that other documents hold, as ``first-end`` byte offsets,
-    comma-joined; ``repeat_bytes long, repeats string``: what is left of them without the chunks' first occurrences, which
-    are in the document with the smallest id. Runs shorter than ``passage`` bytes are not told, and documents without
-    shared runs give no row. Rows that repeat a ``doc_id`` are one document with the spans of all their texts, and so are
-    rows without a ``doc_id``, which come after all others; null and empty texts have no chunks. Other columns are ignored.
+    Rows that repeat a ``doc_id`` or have none are rows of their own; those without one come after all others, and of rows
+    with one id the smallest digest of the text comes first. Of rows equal in id and text one holds the first occurrence.
+    Null and empty texts share nothing. Other columns are ignored.
     """
     docs = C.spread(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
-    chunks = docs.mapInArrow(C.tidy(_chunks), _CHUNKS)
-    # only digests that another document has travel on; two numbers a digest are aggregated before the shuffle, and the
-    # join splits hot digests
-    owner = F.coalesce("doc_id", F.lit(2**63 - 1))
-    often = chunks.groupBy("d1", "d2").agg(F.min(owner).alias("origin"), F.max(owner).alias("other")).where("origin < other").select("d1", "d2", "origin")
-    found = chunks.join(often, ["d1", "d2"]).select("doc_id", "first", "last", "d1", (owner != F.col("origin")).alias("again"))
-    runs = found.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("first", "last", "d1", "again"))).alias("own"))
-    return runs.mapInArrow(C.tidy(_runs(passage)), "doc_id long, shared_bytes long, shared string, repeat_bytes long, repeats string").where("shared_bytes > 0")
-
-
-def joined(first: np.ndarray, last: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """Spans in order of their starts, neighbouring ones put together; those of ``least`` bytes or more."""
+    units = docs.mapInArrow(C.tidy(_units), _UNITS)
+    # only digests that another row has travel on; they are aggregated before the shuffle, and the join splits hot digests
+    owner = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), F.col("doc_id").isNull().alias("none"), "key")
+    often = units.where("lead").groupBy("d1", "d2").agg(F.min(owner).alias("origin"), F.count("*").alias("rows")).where("rows > 1").select("d1", "d2", "origin")
+    found = units.drop("lead").join(often, ["d1", "d2"]).select("doc_id", "key", "first", "last", "d1", "kind", (owner != F.col("origin")).alias("again"))
+    # equal rows have equal units: one set of them, made before the shuffle, and their number from the units of whole texts
+    runs = found.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.struct("first", "last", "d1", "again", "kind"))).alias("own"), F.greatest(F.count_if(F.col("kind") == 2), F.lit(1)).alias("n"))
+    told = runs.select("doc_id", "own", "n").mapInArrow(C.tidy(_runs(passage)), "doc_id long, shared_bytes long, shared string, repeat_bytes long, repeats string, n long").where("shared_bytes > 0")
+    copy = F.col("copy") > 1
+    return told.withColumn("copy", F.explode(F.sequence(F.lit(1), "n"))).select(
+        "doc_id", "shared_bytes", "shared", F.when(copy, F.col("shared_bytes")).otherwise(F.col("repeat_bytes")).alias("repeat_bytes"), F.when(copy, F.col("shared")).otherwise(F.col("repeats")).alias("repeats")
+    )
+
+
+def joined(first: np.ndarray, last: np.ndarray, least: int, sure: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Spans in order of their starts, neighbouring ones put together; those of ``least`` bytes or more, or with a ``sure`` one."""
     if not len(first):
         return []
     reach = np.maximum.accumulate(last)
     fresh = np.concatenate(([True], first[1:] > reach[:-1]))
     lo, hi = first[fresh], reach[np.concatenate((np.flatnonzero(fresh)[1:] - 1, [len(first) - 1]))]
     keep = hi - lo >= least
+    if sure is not None:
+        keep |= np.logical_or.reduceat(sure, np.flatnonzero(fresh))
     return list(zip(lo[keep].tolist(), hi[keep].tolist()))
 
 
@@ -116,19 +196,21 @@ def _runs(passage: int):
     def run(batches):
         for batch in batches:
             at, own = batch.column(1).offsets.to_numpy(), batch.column(1).values
-            first, last, d1, again = (own.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+            first, last, d1, again, kind = (own.field(i).to_numpy(zero_copy_only=False) for i in range(5))
             out = []
-            for key, a, b in zip(batch.column(0).to_pylist(), at, at[1:]):
-                x, y = first[a:b], last[a:b]
-                late = again[a:b].copy()
+            for key, n, a, b in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), at, at[1:]):
+                x, y, sure = first[a:b], last[a:b], kind[a:b] > 0
+                late = again[a:b].astype(bool)
                 _, place = np.unique(d1[a:b], return_index=True)
                 second = np.ones(b - a, bool)
                 second[place] = False
-                every, rest = joined(x, y, passage), joined(x[late | second], y[late | second], passage)
+                late = late | second
+                every, rest = joined(x, y, passage, sure), joined(x[late], y[late], passage, sure[late])
                 text = lambda spans: ",".join(f"{a}-{b}" for a, b in spans)
-                out.append((key, sum(b - a for a, b in every), text(every), sum(b - a for a, b in rest), text(rest)))
-            cols = list(zip(*out)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()])], names=["doc_id", "shared_bytes", "shared", "repeat_bytes", "repeats"])
+                out.append((key, sum(b - a for a, b in every), text(every), sum(b - a for a, b in rest), text(rest), n))
+            cols = list(zip(*out)) if out else [[]] * 6
+            names = ["doc_id", "shared_bytes", "shared", "repeat_bytes", "repeats", "n"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()])], names=names)
 
     return run
 

@@ -393,6 +393,49 @@ def test_passages_that_repeat(spark, odd, none):
     assert {r.doc_id for r in substrings.repeats(odd, passage=20).collect()} == {4, 5} and substrings.repeats(none).count() == 0
 
 
+def test_short_passages_and_whole_copies(spark):
+    rng = random.Random(8)
+    prose = lambda n, size=4: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(size - 2, size + 1))) for _ in range(n))
+    rows, copies = [], []
+    for i in range(150):  # passages of 51 short words between other words
+        passage = prose(51)
+        rows += [(2 * i, f"{prose(20)} {passage}\n{prose(30)}"), (2 * i + 1, f"{prose(33)}\t{passage} {prose(9)}")]
+    for i in range(1000, 1040):  # short texts and copies of them
+        rows += [(i, text := prose(6)), (i + 100, text)]
+        copies += [i, i + 100]
+    rows += [(2000 + i, prose(60)) for i in range(40)]
+    got = by_id(substrings.repeats(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert set(got) == {*range(300), *copies}
+    assert all(got[i].repeat_bytes == 0 < got[i + 100].repeat_bytes == len(dict(rows)[i]) for i in range(1000, 1040))
+
+
+def test_passages_of_rows_without_an_id(spark):
+    rng = random.Random(9)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n))
+    one, two, three, four = (prose(70) for _ in range(4))
+    rows = [(None, one), (None, one), (None, one), (None, f"{prose(30)} {two}"), (None, f"{two} {prose(40)}"), (None, prose(90)), (7, f"{three} {prose(20)}"), (7, f"{prose(10)} {three}"), (8, four), (8, four), (9, prose(50))]
+    found = substrings.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    count = lambda key: sorted(r.repeat_bytes > 0 for r in found if r.doc_id == key)
+    assert len(found) == 9
+    assert count(None) == [False, False, True, True, True] and count(7) == [False, True] and count(8) == [False, True]
+    assert all(int(r.shared.split("-")[-1]) <= max(len(t) for k, t in rows if k == r.doc_id) for r in found)
+
+
+def test_chosen_runs_of_words():
+    rng = np.random.default_rng(3)
+    texts = [" ".join(map(str, rng.integers(0, top, n))).encode() for top, n in ((9, 300), (10**6, 900), (1, 400), (10**6, 50), (10**6, 51), (3, 500))]
+    alone = [set(zip(*(x.tolist() for x in substrings.windows(np.frombuffer(t + b" ", np.uint8), np.array([len(t) + 1]))))) for t in texts]
+    edges = np.cumsum([len(t) + 1 for t in texts])
+    first, last, one, two = substrings.windows(np.frombuffer(b" ".join(texts) + b" ", np.uint8), edges)
+    for i, t in enumerate(texts):
+        low = edges[i] - len(t) - 1
+        here = (first >= low) & (first < edges[i])
+        # the same as alone, but for which of equal runs is told
+        assert set(one[here].tolist()) == {x[2] for x in alone[i]} and (last[here] <= edges[i]).all()
+    assert len(alone[3]) == 0 < len(alone[4]) and len(alone[1]) < 120 and len(alone[2]) < 30
+    assert all(len(texts[1][a:b].split()) == substrings.WORDS for a, b, *_ in alone[1])
+
+
 def test_chunks_cover_and_shift():
     rng = np.random.default_rng(6)
     data = rng.integers(0, 256, 20000, dtype=np.uint8)
