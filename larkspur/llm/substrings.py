@@ -3,7 +3,8 @@
 A gear hash rolls over a text's bytes; a chunk ends where its low bits are all zero (or after ``LONGEST`` bytes, but
 not before ``SHORTEST``), so boundaries depend on the bytes near them alone and come together again after an
 insertion. The hash of a position is a sum over its last 16 bytes and is computed for all positions at once, by
-doubling. Chunks are compared by 96-bit digests over the whole table; runs of repeated chunks of ``PASSAGE`` bytes or
+doubling. Chunks are compared by 64-bit digests over the whole table (in 30 GB, some two billion of them,
+about 0.1 pairs of different units are expected to fall together); runs of repeated chunks of ``PASSAGE`` bytes or
 more are passages. Chunks at a passage's edges are seldom whole, so runs of ``WORDS`` words, chosen by the smallest hash
 among ``WORDS`` in a row, are compared beside them, and texts as a whole: a passage of over 50 words holds a chosen run
 wherever it stands. The first occurrence (smallest ``doc_id``, then place) stays, the others are repeats.
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 MASK, SHORTEST, LONGEST, PASSAGE, WORDS = 15, 16, 96, 160, 26
-_LAG = C.mix(np.arange(1001, 1001 + 2 * WORDS, dtype=np.uint64)) | np.uint64(1)
+_LAG = C.mix(np.arange(1001, 1001 + WORDS, dtype=np.uint64)) | np.uint64(1)
 _GEAR = (C.mix(np.arange(501, 757, dtype=np.uint64)) & np.uint64(0xFFFF)).astype(np.uint16)
 
 
@@ -68,8 +69,8 @@ def _sliding(v: np.ndarray, best, pad: int) -> np.ndarray:
     return best(v[:n], v[WORDS - size : WORDS - size + n])
 
 
-def windows(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First and last byte and two hashes of chosen runs of ``WORDS`` words in the texts that end at ``edges`` of ``data``.
+def windows(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, end and hash of chosen runs of ``WORDS`` words in the texts that end at ``edges`` of ``data``.
 
     Of any ``WORDS`` runs in a row the one with the smallest hash is chosen, so two texts that share ``2 * WORDS - 1`` words
     in a row share a chosen run. No run goes over a text's end. Of equal runs one word apart every 16th is told.
@@ -77,12 +78,13 @@ def windows(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray
     start, end = C.word_spans(data)
     n = len(start) - WORDS + 1
     if n < 1:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.int64), np.zeros(0, np.int32))
+        return (np.zeros(0, np.int64),) * 3
     words = C.span_hashes(data, start, end)
     h = np.zeros(n, np.uint64)
     for k in range(WORDS):
         h += words[k : k + n] * _LAG[k]
-    h = C.mix(h) >> np.uint64(1)
+    full = C.mix(h)
+    h = full >> np.uint64(1)
     text = np.searchsorted(edges, start, "right")
     whole = text[:n] == text[WORDS - 1 :]
     none = np.uint64(2**63)
@@ -99,17 +101,17 @@ def windows(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray
     same = np.zeros(n, bool)
     same[1:] = (v[1:] == v[:-1]) & chosen[:-1]
     at = np.flatnonzero(chosen & (~same | (np.arange(n) % 16 == 0)))
-    other = (words[at[:, None] + np.arange(WORDS)] * _LAG[WORDS:]).sum(axis=1, dtype=np.uint64)
-    return start[at], end[at + WORDS - 1], h[at].view(np.int64), (C.mix(other) >> np.uint64(33)).astype(np.int32)
+    return start[at], end[at + WORDS - 1], full[at].view(np.int64)
 
 
-_UNITS = "doc_id long, key long, first int, last int, d1 long, d2 int, kind byte, lead boolean"
+_UNITS = "doc_id long, key long, place long, digest long, lead boolean"
 
 
 def _units(batches):
     """Chunks, chosen runs of words, and each text as a whole; the latter two (``kind`` 1 and 2) are passages by themselves.
 
-    ``key`` is a digest of the text, ``lead`` marks a unit's first place in its row.
+    ``key`` is a digest of the text, its lowest bit set where there is no id; ``place`` holds first byte, end and kind, by
+    ``33``, ``31`` and ``2`` bits, in few bytes for the shuffles; ``lead`` marks a unit's first place in its row.
     """
     import xxhash
 
@@ -123,33 +125,30 @@ def _units(batches):
             data = np.frombuffer(b" ".join(t for _, t in part) + b" ", np.uint8)
             edges = np.cumsum([len(t) + 1 for _, t in part])
             begin = edges - [len(t) + 1 for _, t in part]
-            first, last, w1, w2 = windows(data, edges)
+            first, last, runs = windows(data, edges)
             owner = np.searchsorted(edges, first, "right")
             first, last = first - begin[owner], last - begin[owner]
             bounds = np.searchsorted(owner, np.arange(len(part) + 1))
-            cols: list[list] = [[] for _ in range(8)]
+            ids: list = []
+            cols: list[list] = [[] for _ in range(4)]
             for j, (key, text) in enumerate(part):
                 ends = boundaries(np.frombuffer(text, np.uint8))
                 starts = [0, *ends[:-1]]
-                digests = [xxhash.xxh3_128_digest(text[a:b]) for a, b in zip(starts, ends)]
-                digests.append(xxhash.xxh3_128_digest(text, 1))
-                flat = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+                digests = [xxhash.xxh3_64_intdigest(text[a:b]) for a, b in zip(starts, ends)]
+                digests.append(xxhash.xxh3_64_intdigest(text, 1))
                 x, y = bounds[j], bounds[j + 1]
-                d1 = np.concatenate((flat[:, 0], w1[x:y]))
-                lead = np.zeros(len(d1), bool)
-                lead[np.unique(d1, return_index=True)[1]] = True
-                n = len(d1)
-                cols[0] += [key] * n
-                cols[1].append(np.full(n, xxhash.xxh3_64_intdigest(text, 2) >> 1, np.int64))
-                cols[2].append(np.concatenate((starts, [0], first[x:y])))
-                cols[3].append(np.concatenate((ends, [len(text)], last[x:y])))
-                cols[4].append(d1)
-                cols[5].append(np.concatenate((flat[:, 1].astype(np.int32), w2[x:y])))
-                cols[6].append(np.where(np.arange(n) < len(ends), 0, np.where(np.arange(n) == len(ends), 2, 1)))
-                cols[7].append(lead)
-            kinds = [np.int64, np.int32, np.int32, np.int64, np.int32, np.int8, bool]
-            flat = [np.concatenate(c).astype(k) for c, k in zip(cols[1:], kinds)]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *map(pa.array, flat)], names=["doc_id", "key", "first", "last", "d1", "d2", "kind", "lead"])
+                digest = np.concatenate((np.array(digests, np.uint64).view(np.int64), runs[x:y]))
+                n = len(digest)
+                lead = np.zeros(n, bool)
+                lead[np.unique(digest, return_index=True)[1]] = True
+                kind = np.ones(n, np.int64)
+                kind[: len(ends)], kind[len(ends)] = 0, 2
+                ids += [key] * n
+                cols[0].append(np.full(n, xxhash.xxh3_64_intdigest(text, 2) >> 2 << 1 | (key is None), np.int64))
+                cols[1].append(np.concatenate((starts, [0], first[x:y])) << 33 | np.concatenate((ends, [len(text)], last[x:y])) << 2 | kind)
+                cols[2].append(digest)
+                cols[3].append(lead)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(np.concatenate(c)) for c in cols)], names=["doc_id", "key", "place", "digest", "lead"])
 
 
 def repeats(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
@@ -167,11 +166,11 @@ def repeats(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
     docs = C.spread(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
     units = docs.mapInArrow(C.tidy(_units), _UNITS)
     # only digests that another row has travel on; they are aggregated before the shuffle, and the join splits hot digests
-    owner = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), F.col("doc_id").isNull().alias("none"), "key")
-    often = units.where("lead").groupBy("d1", "d2").agg(F.min(owner).alias("origin"), F.count("*").alias("rows")).where("rows > 1").select("d1", "d2", "origin")
-    found = units.drop("lead").join(often, ["d1", "d2"]).select("doc_id", "key", "first", "last", "d1", "kind", (owner != F.col("origin")).alias("again"))
+    owner = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "key")
+    often = units.where("lead").groupBy("digest").agg(F.min(owner).alias("origin"), F.count("*").alias("rows")).where("rows > 1").select("digest", "origin")
+    found = units.drop("lead").join(often, "digest").select("doc_id", "key", "place", "digest", (owner != F.col("origin")).alias("again"))
     # equal rows have equal units: one set of them, made before the shuffle, and their number from the units of whole texts
-    runs = found.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.struct("first", "last", "d1", "again", "kind"))).alias("own"), F.greatest(F.count_if(F.col("kind") == 2), F.lit(1)).alias("n"))
+    runs = found.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.struct("place", "digest", "again"))).alias("own"), F.greatest(F.count_if(F.col("place").bitwiseAND(3) == 2), F.lit(1)).alias("n"))
     told = runs.select("doc_id", "own", "n").mapInArrow(C.tidy(_runs(passage)), "doc_id long, shared_bytes long, shared string, repeat_bytes long, repeats string, n long").where("shared_bytes > 0")
     copy = F.col("copy") > 1
     return told.withColumn("copy", F.explode(F.sequence(F.lit(1), "n"))).select(
@@ -196,14 +195,15 @@ def _runs(passage: int):
     def run(batches):
         for batch in batches:
             at, own = batch.column(1).offsets.to_numpy(), batch.column(1).values
-            first, last, d1, again, kind = (own.field(i).to_numpy(zero_copy_only=False) for i in range(5))
+            place, d1, again = (own.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            first, last, kind = place >> 33, place >> 2 & 0x7FFFFFFF, place & 3
             out = []
             for key, n, a, b in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), at, at[1:]):
                 x, y, sure = first[a:b], last[a:b], kind[a:b] > 0
                 late = again[a:b].astype(bool)
-                _, place = np.unique(d1[a:b], return_index=True)
+                _, once = np.unique(d1[a:b], return_index=True)
                 second = np.ones(b - a, bool)
-                second[place] = False
+                second[once] = False
                 late = late | second
                 every, rest = joined(x, y, passage, sure), joined(x[late], y[late], passage, sure[late])
                 text = lambda spans: ",".join(f"{a}-{b}" for a, b in spans)

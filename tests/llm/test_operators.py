@@ -426,7 +426,7 @@ def test_chosen_runs_of_words():
     texts = [" ".join(map(str, rng.integers(0, top, n))).encode() for top, n in ((9, 300), (10**6, 900), (1, 400), (10**6, 50), (10**6, 51), (3, 500))]
     alone = [set(zip(*(x.tolist() for x in substrings.windows(np.frombuffer(t + b" ", np.uint8), np.array([len(t) + 1]))))) for t in texts]
     edges = np.cumsum([len(t) + 1 for t in texts])
-    first, last, one, two = substrings.windows(np.frombuffer(b" ".join(texts) + b" ", np.uint8), edges)
+    first, last, one = substrings.windows(np.frombuffer(b" ".join(texts) + b" ", np.uint8), edges)
     for i, t in enumerate(texts):
         low = edges[i] - len(t) - 1
         here = (first >= low) & (first < edges[i])
