@@ -14,6 +14,7 @@ import hashlib
 import json
 import re
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import ahocorasick
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-CACHE = 160_000
+CACHE, SHORT = 160_000, 64
 #: The word pattern of this family of vocabularies, as published with them.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Code points that count as white space for the pattern (property White_Space).
@@ -141,9 +142,11 @@ class Codec:
         return ok
 
     def exact(self, word: str) -> list[int]:
-        """Merge by rank, leftmost first."""
+        """Merge by rank, leftmost first. A long word goes by a heap, in n log n steps; both ways give the same."""
         byte_id, get, none = self.byte_list, self.joined.get, 1 << 60
         ids = [byte_id[b] for b in word.encode("utf-8", "surrogatepass")]
+        if len(ids) > SHORT:
+            return self._by_heap(ids)
         ranks = [get(x << 24 | y, none) for x, y in zip(ids, ids[1:])]
         while ranks:
             low = min(ranks)
@@ -159,6 +162,29 @@ class Codec:
                 ranks[i - 1] = get(ids[i - 1] << 24 | made, none)
         return ids
 
+    def _by_heap(self, ids: list[int]) -> list[int]:
+        """Symbols in a linked list, and a heap of neighbours by rank and place; what has changed since is passed over."""
+        get, n = self.joined.get, len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [low << 32 | i for i in range(n - 1) if (low := get(ids[i] << 24 | ids[i + 1])) is not None]
+        heapify(heap)
+        while heap:
+            low = heappop(heap)
+            i, low = low & 0xFFFFFFFF, low >> 32
+            j = after[i]
+            if ids[i] < 0 or j == n or get(ids[i] << 24 | ids[j]) != low:
+                continue
+            ids[i], ids[j] = low & 0xFFFFFF, -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (low := get(ids[i] << 24 | ids[k])) is not None:
+                    heappush(heap, low << 32 | i)
+            h = before[i]
+            if h >= 0 and (low := get(ids[h] << 24 | ids[i])) is not None:
+                heappush(heap, low << 32 | h)
+        return [i for i in ids if i >= 0]
+
     def learn_plain(self, pieces: list[str]) -> list[bytes]:
         """Ids of words of a blank and Latin letters, given without the blank."""
         return self.learn([" " + p for p in pieces])

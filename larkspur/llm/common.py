@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 from functools import lru_cache
 from pathlib import Path
 
@@ -36,11 +37,13 @@ def importable(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests in local mode) a temporary folder is made.
+    Only a session in local mode (tests) that has none gets a temporary folder; on a cluster its absence is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _local_root:
         _local_root.append("file://" + tempfile.mkdtemp(prefix="larkspur-"))
     return _local_root[0]
@@ -50,17 +53,30 @@ _made: list[str] = []
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new, unused path in the shared folder; ``drop_scratch`` removes it."""
+    """A new, unused path in the shared folder; a ``workspace`` around the call removes it."""
     _made.append(f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}")
     return _made[-1]
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Remove all that this process has put into the shared folder; results that read it must be written before."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _made:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
-        path.getFileSystem(conf).delete(path, True)
+@contextmanager
+def workspace(spark: SparkSession, *keep: str):
+    """Remove at the end all that is put into the shared folder inside, but for folders whose tag is in ``keep``.
+
+    Results that read the removed folders must be written before the end.
+    """
+    start = len(_made)
+    try:
+        yield
+    finally:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        inside = _made[start:]
+        del _made[start:]
+        for name in inside:
+            if any(name.rsplit("/", 1)[1].startswith(f"{tag}-") for tag in keep):
+                _made.append(name)
+                continue
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -121,7 +137,8 @@ def spread(df: DataFrame, *need: str) -> DataFrame:
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
-_powers = {"n": 0, "up": np.ones(0, _U), "down": np.ones(0, _U)}
+#: Bytes that a prefix sum covers at once, so that memory beside a text does not grow with it.
+SEGMENT = 1 << 16
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -139,25 +156,41 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if _powers["n"] < n:
-        n = max(n, 1 << 16)
-        for name, base in (("up", _BASE), ("down", _BASE_INV)):
-            steps = np.full(n, base, _U)
-            steps[0] = 1
-            _powers[name] = np.cumprod(steps, dtype=_U)
-        _powers["n"] = n
-    return _powers["up"], _powers["down"]
+def _powers(base: int, n: int) -> np.ndarray:
+    steps = np.full(n, base, _U)
+    steps[0] = 1
+    return np.cumprod(steps, dtype=_U)
+
+
+_UP, _DOWN = _powers(_BASE, SEGMENT), _powers(_BASE_INV, SEGMENT)
+
+
+def _sums_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The polynomial's prefix sum before each of the ascending positions ``at``."""
+    out = np.zeros(len(at), _U)
+    total, lift, lift_by = 0, 1, pow(_BASE, SEGMENT, 1 << 64)
+    cuts = np.searchsorted(at, np.arange(0, len(data) + SEGMENT, SEGMENT), "right")
+    for k, lo in enumerate(range(0, len(data), SEGMENT)):
+        part = data[lo : lo + SEGMENT]
+        run = np.cumsum(_BYTE[part] * _UP[: len(part)], dtype=_U)
+        run *= _U(lift)
+        run += _U(total)
+        own = slice(cuts[k], cuts[k + 1])
+        out[own] = run[at[own] - lo - 1]
+        total, lift = int(run[-1]), lift * lift_by % (1 << 64)
+    return out
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each non-empty ``data[start:end]`` (uint8), by prefix sums of a polynomial."""
+    """64-bit hash of each non-empty ``data[start:end]`` (uint8, spans in order and apart), by prefix sums of a polynomial."""
     if len(start) == 0:
         return np.zeros(0, _U)
-    up, down = _power_tables(len(data))
-    total = np.zeros(len(data) + 1, _U)
-    np.cumsum(_BYTE[data] * up[: len(data)], dtype=_U, out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(_U))
+    high, low = np.divmod(start, SEGMENT)
+    down = _DOWN[low]
+    if high[-1]:
+        far = _powers(pow(_BASE_INV, SEGMENT, 1 << 64), int(high[-1]) + 1)
+        down *= far[high]
+    return mix((_sums_at(data, end) - _sums_at(data, start)) * down + (end - start).astype(_U))
 
 
 def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,17 +227,18 @@ def crc_mod(key: str, n: int):
 # ---------------------------------------------------------------- global order and components
 
 
-def components(edges: DataFrame, tag: str = "components", max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     """Connected components of ``edges(a, b)``: ``(node, comp)`` with the smallest node of each.
 
-    Label propagation with pointer jumping; only aggregates travel, no neighbour lists, and the driver
-    sees one count a round. Every round's labels are written to the shared folder.
+    Label propagation with pointer jumping, to the fixpoint; only aggregates travel, no neighbour lists, and the driver
+    sees one count a round. Every round's labels are written to the shared folder. Edges with a null end, edges from a
+    node to itself and repeated edges add nothing; without edges the result is empty.
     """
     both = materialize(
         edges.select("a", "b").where("a <> b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct(), tag
     )
     labels = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp")), tag)
-    for _ in range(max_rounds):
+    while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("m"))
         low = labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "m").alias("comp"))
         jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
@@ -213,4 +247,3 @@ def components(edges: DataFrame, tag: str = "components", max_rounds: int = 60)
         labels = new.select("node", "comp")
         if not changed:
             return labels
-    raise RuntimeError("components: no fixpoint was reached")

@@ -7,8 +7,7 @@ whose ends the states start anew; the last window is moved back so that it is fu
 windows cover count once.
 
 Training uses a bounded sample: at most about ``PER_LANG`` documents of each language are drawn by a hash of
-their id, and ``CUTS`` windows of ``CUT`` characters of each, spread over the whole text. At most the ``LANGS`` most frequent
-labels are learned.
+their id and text, and ``CUTS`` windows of ``CUT`` characters of each, spread over the whole text. Every label is learned.
 """
 
 from __future__ import annotations
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-HIDDEN, WINDOW, PER_LANG, LANGS, CUTS, CUT, STEPS = 12, 128, 400, 100, 2, 160, 260
+HIDDEN, WINDOW, PER_LANG, CUTS, CUT, STEPS = 12, 128, 400, 2, 160, 260
 PAD = 256
 _LETTER = np.zeros(257, np.float32)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
@@ -150,7 +149,10 @@ def fit(windows: list[tuple[bytes, str]], hidden: int = HIDDEN, steps: int = STE
 
 
 def predict(model: ByteGRU, texts: list[bytes], window: int = WINDOW, rows: int = 1024) -> np.ndarray:
-    """Pooled label probabilities of each text: texts by labels; zeros for a text without letter bytes."""
+    """Pooled label probabilities of each text: texts by labels; zeros for a text without letter bytes.
+
+    Windows run in blocks of about ``rows``, across texts and within them, so that memory doesn't grow with a text.
+    """
     total = np.zeros((len(texts), len(model.labels)), np.float64)
     weight = np.zeros(len(texts), np.float64)
 
@@ -176,9 +178,9 @@ def predict(model: ByteGRU, texts: list[bytes], window: int = WINDOW, rows: int
             at = moved[:, None] + np.arange(window)
             full.append((data[at], (at >= starts[:, None]).astype(np.float32), np.full(len(starts), i)))
             held += len(starts)
-        if held >= rows:
-            run(*(np.concatenate(x) for x in zip(*full)))
-            full, held = [], 0
+            if held >= rows:
+                run(*(np.concatenate(x) for x in zip(*full)))
+                full, held = [], 0
     if full:
         run(*(np.concatenate(x) for x in zip(*full)))
     short.sort(key=lambda x: len(x[1]))
@@ -191,20 +193,28 @@ def predict(model: ByteGRU, texts: list[bytes], window: int = WINDOW, rows: int
     return total / np.maximum(weight, 1e-9)[:, None]
 
 
-def train(docs: DataFrame, learn=None, per_lang: int = PER_LANG) -> ByteGRU | None:
-    """Fit on a bounded sample of ``docs(doc_id, text, lang)``; ``learn`` tells which rows may teach."""
+def train(docs: DataFrame, learn=None, per_lang: int = PER_LANG, cuts: int | None = CUTS) -> ByteGRU | None:
+    """Fit on a bounded sample of ``docs(doc_id, text, lang)``; ``learn`` tells which rows may teach.
+
+    ``cuts``: windows taken of each sampled text; None takes the whole text. Rows with a null language or without text don't
+    teach; rows that repeat id and text teach once; a null ``doc_id`` is an id like any other. Labels and the sample come to
+    the driver, the sample some ``per_lang`` documents a label. None if there is nothing to learn.
+    """
     docs = C.spread(docs, "doc_id", "text", "lang").where("lang is not null and text is not null and length(text) > 0")
     docs = docs.where(learn) if learn is not None else docs
-    counts = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()
+    counts = docs.groupBy("lang").count().collect()
     if not counts:
         return None
-    # one pass picks each language's share by a hash, so no text is shuffled
-    key = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(5)), F.lit(1 << 30))
-    share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_lang / r["count"]) * (1 << 30))))
-    near = docs.where(key < F.coalesce(share[F.col("lang")], F.lit(0.0)))
-    cuts = [F.substring("text", F.pmod(F.xxhash64("doc_id", F.lit(k)), F.greatest(F.length("text") - CUT, F.lit(1))).cast("int") + 1, F.lit(CUT)) for k in range(CUTS)]
-    rows = near.select("doc_id", "lang", F.array(*cuts).alias("cuts")).toLocalIterator()
-    found = sorted((r.lang, r.doc_id if r.doc_id is not None else -1, tuple(r.cuts)) for r in rows)
+    # one pass picks each language's share by a hash, so only drawn texts are shuffled, to drop repeats
+    row = F.xxhash64(F.col("doc_id").cast("string"), "text")
+    share = F.create_map(*(F.lit(x) for r in sorted(counts) for x in (r["lang"], min(1.0, per_lang / r["count"]) * (1 << 30))))
+    near = docs.withColumn("row", row).where(F.pmod("row", F.lit(1 << 30)) < F.coalesce(share[F.col("lang")], F.lit(0.0)))
+    if cuts is None:
+        own = F.array("text")
+    else:
+        own = F.array(*(F.substring("text", F.pmod(F.xxhash64("row", F.lit(k)), F.greatest(F.length("text") - CUT, F.lit(1))).cast("int") + 1, F.lit(CUT)) for k in range(cuts)))
+    rows = near.select("lang", "row", own.alias("cuts")).distinct().toLocalIterator()
+    found = sorted((r.lang, r.row, tuple(r.cuts)) for r in rows)
     windows = [(c.encode("utf-8", "surrogatepass"), lang) for lang, _, cut in found for c in cut if c]
     return fit(windows) if windows else None
 

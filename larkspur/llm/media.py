@@ -1,10 +1,11 @@
 """Media columns: payloads as 8-bit grey images in archives, read by a custom Spark data source.
 
 Format ``larkspur_archive`` stores one member a row in zip archives (members uncompressed, as they are compressed
-themselves). Reading plans byte ranges of the archives from their sizes alone, so that the driver never lists
-members; each task reads the directories at the archives' ends and takes the members whose offset falls into its
-range, by offset, each tried anew on its own when a read fails. Payloads stream as Arrow batches of bounded size.
-Writing commits by name: an attempt writes a file of its own, and only the files of winning attempts are listed.
+themselves) of about ``ROLL`` bytes. Reading plans byte ranges of the archives from their sizes alone, so that the driver
+never lists members. An archive's comment marks places of its directory, so each task reads just the part of the directory
+that tells of its range, and takes the members whose offset falls into the range, by offset, each tried anew on its own
+when a read fails. Payloads stream as Arrow batches of bounded size. Writing commits by name: an attempt writes files of its
+own, every commit adds one listing of its winning attempts' files, and readers see what any listing names.
 """
 
 from __future__ import annotations
@@ -25,10 +26,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from . import bpe
 from . import common as C
 
 WIDTH, PAD = 576, 255
 RANGE_BYTES, BATCH_BYTES, BATCH_ROWS, TRIES = 16 << 20, 4 << 20, 512, 4
+ROLL, MARKS, MARKED = 256 << 20, 1000, b"LKMARKS1"
 NAME = "larkspur_archive"
 _PNG = b"\x89PNG\r\n\x1a\n"
 
@@ -105,15 +108,19 @@ def feature(pixels: np.ndarray) -> str:
 
     Integers throughout, so that equal samples give equal strings everywhere.
     """
-    flat = pixels.reshape(-1).astype(np.int64)
+    flat = pixels.reshape(-1)
     n = len(flat)
-    edges = np.arange(73) * n // 72
-    total = np.concatenate(([0], np.cumsum(flat)))
-    grid = ((total[edges[1:]] - total[edges[:-1]]) * 1024 // np.maximum(np.diff(edges), 1)).reshape(8, 9)
+    edges = np.arange(72) * n // 72
+    cells = np.add.reduceat(flat, edges, dtype=np.int64)
+    grid = (cells * 1024 // np.diff(np.append(edges, n))).reshape(8, 9)
     bits = "".join("1" if x else "0" for x in (grid[:, 1:] > grid[:, :-1]).reshape(-1))
-    mean = int(total[-1]) * 100 // n
-    spread = int((n * int((flat * flat).sum()) - int(total[-1]) ** 2) * 100 // (n * n))
-    edge = int(np.abs(np.diff(flat)).sum()) * 100 // n
+    counts, steps = np.zeros(256, np.int64), 0
+    for lo in range(0, n, 1 << 20):  # wide numbers for a piece at a time
+        part = flat[max(lo - 1, 0) : lo + (1 << 20)]
+        counts += np.bincount(part[lo > 0 :], minlength=256)
+        steps += int(np.abs(np.diff(part.astype(np.int16))).sum(dtype=np.int64))
+    total, squares = (int((counts * np.arange(256) ** k).sum()) for k in (1, 2))
+    mean, spread, edge = total * 100 // n, (n * squares - total**2) * 100 // (n * n), steps * 100 // n
     return f"{int(bits, 2):016x}:{mean}:{spread}:{edge}"
 
 
@@ -132,7 +139,7 @@ class ByteRange(InputPartition):
 
 @dataclass
 class Written(WriterCommitMessage):
-    name: str = ""
+    names: list[str]
     members: int = 0
 
 
@@ -140,7 +147,10 @@ _COLUMNS = "member string, meta string, media binary"
 
 
 class ArchiveSource(DataSource):
-    """``member string, meta string, media binary``; option ``path``: a folder. ``rangeBytes``: bytes a partition."""
+    """``member string, meta string, media binary``; option ``path``: a folder. ``rangeBytes``: bytes a partition; ``rollBytes``: an archive.
+
+    Mode ``append`` adds to what the folder holds, ``overwrite`` takes its place once the new archives are listed.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -153,7 +163,7 @@ class ArchiveSource(DataSource):
         return ArchiveReader(self.options)
 
     def writer(self, schema, overwrite):
-        return ArchiveWriter(self.options)
+        return ArchiveWriter(self.options, overwrite)
 
 
 class ArchiveReader(DataSourceReader):
@@ -161,19 +171,12 @@ class ArchiveReader(DataSourceReader):
         self.folder, self.bytes = options["path"], int(options.get("rangeBytes", RANGE_BYTES))
 
     def partitions(self):
-        from pyarrow import fs as pafs
-
         fs, root = C.filesystem(self.folder)
+        infos, names, listings = listed(fs, root)
         out = []
-        listed = None
-        found = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))
-        for info in found:
-            if info.base_name == "_files.json":
-                with fs.open_input_file(info.path) as f:
-                    listed = set(json.loads(f.read()))
-        for info in sorted(found, key=lambda x: x.path):
-            if info.base_name.endswith(".zip") and (listed is None or info.base_name in listed):
-                out += [ByteRange(info.base_name, at, min(at + self.bytes, info.size)) for at in range(0, info.size, self.bytes)]
+        for name in sorted(infos):
+            if name.endswith(".zip") and (not listings or name in names):
+                out += [ByteRange(name, at, min(at + self.bytes, infos[name])) for at in range(0, infos[name], self.bytes)]
         return out or [ByteRange("", 0, 0)]
 
     def read(self, partition):
@@ -181,11 +184,9 @@ class ArchiveReader(DataSourceReader):
             return
         fs, root = C.filesystem(self.folder)
         path = f"{root}/{partition.path}"
-        with fs.open_input_file(path) as f, zipfile.ZipFile(f) as z:
-            members = [(m.header_offset, m.compress_size, m.CRC, m.filename, m.comment.decode()) for m in z.infolist() if partition.start <= m.header_offset < partition.end]
         rows, held = [], 0
         opened: list = []
-        for offset, size, crc, name, meta in sorted(members):
+        for offset, size, crc, name, meta in tried(lambda: directory(fs, path, partition.start, partition.end)):
             rows.append((name, meta, read_member(fs, path, opened, offset, size, crc)))
             held += size
             if held >= BATCH_BYTES or len(rows) >= BATCH_ROWS:
@@ -197,70 +198,152 @@ class ArchiveReader(DataSourceReader):
             yield _batch(rows)
 
 
+def listed(fs, root: str) -> tuple[dict[str, int], set[str], list[str]]:
+    """Sizes of the folder's files, the archives that its listings name, and the listings' names."""
+    from pyarrow import fs as pafs
+
+    infos = {x.base_name: x.size for x in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)) if x.is_file}
+    listings = sorted(x for x in infos if x.startswith("_files") and x.endswith(".json"))
+    names: set[str] = set()
+    for x in listings:
+        with fs.open_input_file(f"{root}/{x}") as f:
+            names.update(json.loads(f.read()))
+    return infos, names, listings
+
+
+def directory(fs, path: str, start: int, end: int) -> list[tuple]:
+    """``(offset, size, crc, name, comment)`` of the members that begin in ``start:end``, in order.
+
+    Reads the archive's tail and, where its comment has marks, only the directory's entries between the nearest ones.
+    """
+    with fs.open_input_file(path) as f:
+        size = f.size()
+        tail = f.read_at(min(size, 65557), size - min(size, 65557))
+        at, note = len(tail), -1
+        while at + 22 + note != len(tail):  # a comment may hold the record's mark by chance
+            at = tail.rfind(b"PK\x05\x06", 0, at)
+            if at < 0:
+                raise OSError(f"{path}: no directory")
+            note = struct.unpack_from("<H", tail, at + 20)[0] if at + 22 <= len(tail) else -1
+        length, first = struct.unpack_from("<II", tail, at + 12)
+        comment = tail[at + 22 : at + 22 + note]
+        if 0xFFFFFFFF in (length, first) or not comment.startswith(MARKED):  # not of ours, or too large for plain fields
+            with zipfile.ZipFile(f) as z:
+                found = [(m.header_offset, m.compress_size, m.CRC, m.filename, m.comment.decode()) for m in z.infolist()]
+            return sorted(m for m in found if start <= m[0] < end)
+        marks = np.frombuffer(comment, "<u8", offset=len(MARKED)).reshape(-1, 2)
+        low = int(np.searchsorted(marks[:, 0], start, "right")) - 1
+        high = int(np.searchsorted(marks[:, 0], end, "left"))
+        lo = int(marks[low, 1]) if low >= 0 else 0
+        hi = int(marks[high, 1]) if high < len(marks) else length
+        part = f.read_at(hi - lo, first + lo)
+    out, at = [], 0
+    while at < len(part):
+        crc, packed = struct.unpack_from("<II", part, at + 16)
+        n, extra, note = struct.unpack_from("<HHH", part, at + 28)
+        offset = struct.unpack_from("<I", part, at + 42)[0]
+        at += 46
+        if start <= offset < end:
+            out.append((offset, packed, crc, part[at : at + n].decode(), part[at + n + extra : at + n + extra + note].decode()))
+        at += n + extra + note
+    return out
+
+
+def marks(members: list[zipfile.ZipInfo]) -> bytes:
+    """The comment of an archive: offsets of evenly spread members and of their entries in the directory."""
+    sizes = [46 + len(m.filename.encode()) + len(m.extra) + len(m.comment) for m in members]
+    entry = np.concatenate(([0], np.cumsum(sizes)))
+    pick = range(0, len(members), -(-len(members) // MARKS))
+    return MARKED + np.array([(members[i].header_offset, entry[i]) for i in pick], "<u8").tobytes()
+
+
 def _batch(rows):
     a, b, c = zip(*rows)
     return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(c, pa.binary())], names=["member", "meta", "media"])
 
 
-def read_member(fs, path: str, opened: list, offset: int, size: int, crc: int, wait: float = 0.2) -> bytes:
-    """One stored member by its offset. A failed or damaged read is tried anew with the archive opened again."""
+def tried(read, wait: float = 0.2, again=lambda: None):
+    """``read()``, tried anew after a pause when it fails."""
     for attempt in range(TRIES):
         try:
-            if not opened:
-                opened.append(fs.open_input_file(path))
-            f = opened[0]
-            f.seek(offset)
-            head = f.read(30)
-            if head[:4] != b"PK\x03\x04":
-                raise OSError(f"{path}: no member at {offset}")
-            f.seek(offset + 30 + sum(struct.unpack_from("<HH", head, 26)))
-            data = f.read(size)
-            if len(data) != size or zlib.crc32(data) != crc:
-                raise OSError(f"{path}: the member at {offset} is damaged")
-            return data
+            return read()
         except OSError:
-            while opened:
-                opened.pop().close()
+            again()
             if attempt + 1 == TRIES:
                 raise
             time.sleep(wait * 2**attempt)
-    raise AssertionError
+
+
+def read_member(fs, path: str, opened: list, offset: int, size: int, crc: int, wait: float = 0.2) -> bytes:
+    """One stored member by its offset. A failed or damaged read is tried anew with the archive opened again."""
+
+    def read():
+        if not opened:
+            opened.append(fs.open_input_file(path))
+        f = opened[0]
+        f.seek(offset)
+        head = f.read(30)
+        if head[:4] != b"PK\x03\x04":
+            raise OSError(f"{path}: no member at {offset}")
+        f.seek(offset + 30 + sum(struct.unpack_from("<HH", head, 26)))
+        data = f.read(size)
+        if len(data) != size or zlib.crc32(data) != crc:
+            raise OSError(f"{path}: the member at {offset} is damaged")
+        return data
+
+    def close():
+        while opened:
+            opened.pop().close()
+
+    return tried(read, wait, close)
 
 
 class ArchiveWriter(DataSourceArrowWriter):
-    def __init__(self, options):
-        self.folder = options["path"]
+    def __init__(self, options, overwrite: bool = False):
+        self.folder, self.roll, self.overwrite = options["path"], int(options.get("rollBytes", ROLL)), overwrite
 
     def write(self, iterator):
         fs, root = C.filesystem(self.folder)
-        name, n, z, out = f"{uuid.uuid4().hex}.zip", 0, None, None
+        names: list[str] = []
+        n, z, out = 0, None, None
+
+        def close():
+            z.comment = marks(z.filelist) if out.at < 1 << 31 else b""
+            z.close()
+            out.out.close()
+
         for batch in iterator:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if z is None:
                     fs.create_dir(root, recursive=True)
-                    out = fs.open_output_stream(f"{root}/{name}")
-                    z = zipfile.ZipFile(_Stream(out), "w", zipfile.ZIP_STORED)
+                    names.append(f"{uuid.uuid4().hex}.zip")
+                    out = _Stream(fs.open_output_stream(f"{root}/{names[-1]}"))
+                    z = zipfile.ZipFile(out, "w", zipfile.ZIP_STORED)
                 info = zipfile.ZipInfo(f"{n:09d}-{row[0]}.png")
                 info.comment = row[1].encode()
                 z.writestr(info, row[2])
                 n += 1
-        if z is None:
-            return Written("", 0)
-        z.close()
-        out.close()
-        return Written(name, n)
+                if out.at >= self.roll:
+                    close()
+                    z = None
+        if z is not None:
+            close()
+        return Written(names, n)
 
     def commit(self, messages):
         fs, root = C.filesystem(self.folder)
         fs.create_dir(root, recursive=True)
-        with fs.open_output_stream(f"{root}/_files.json") as f:
-            f.write(json.dumps([m.name for m in messages if m is not None and m.name]).encode())
+        old = listed(fs, root) if self.overwrite else ({}, set(), [])
+        with fs.open_output_stream(f"{root}/_files-{uuid.uuid4().hex}.json") as f:
+            f.write(json.dumps([name for m in messages if m is not None for name in m.names]).encode())
+        for name in [*old[2], *(x for x in old[1] if x in old[0])]:
+            fs.delete_file(f"{root}/{name}")
 
     def abort(self, messages):
         fs, root = C.filesystem(self.folder)
         for m in messages:
-            if m is not None and m.name:
-                fs.delete_file(f"{root}/{m.name}")
+            for name in m.names if m is not None else ():
+                fs.delete_file(f"{root}/{name}")
 
 
 class _Stream(io.RawIOBase):
@@ -298,14 +381,13 @@ def store(docs: DataFrame, folder: str) -> None:
     """Store every text of ``docs(doc_id, text)`` as an image in archives under ``folder``.
 
     Null texts count as empty and are stored too; a null ``doc_id`` is kept in the member's note; repeated rows give
-    members of their own. An empty table gives a folder without archives. Other columns are ignored.
+    members of their own. What the folder holds already stays. An empty table adds no archive. Other columns are ignored.
     """
     register(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for part in bpe.sliced(batch, 256):
                 ids, texts = part.column(0).to_pylist(), C.encoded(part.column(1))
                 yield _batch([("null" if i is None else str(i), json.dumps({"doc_id": i, "n_bytes": len(t)}), png(padded(t))) for i, t in zip(ids, texts)])
 

@@ -5,8 +5,9 @@ Efraimidis-Spirakis scheme). A source first gives as many complete epochs as fit
 key order while their sizes, summed, stay within what is left of the budget.
 
 No source is sorted whole: keys fall into buckets by their logarithm (none holds more than some 0.5 % of a source),
-bucket sums are aggregated before they travel, and only the bucket where a source's budget ends is sorted. The draw
-depends on ``doc_id`` and ``seed`` alone, so reruns agree whatever the partitions.
+bucket sums are aggregated before they travel, and only the bucket where a source's budget ends goes on. It is cut into
+finer buckets again and again until ``EDGE_ROWS`` places are left to sort. The draw depends on ``doc_id`` (the text's
+digest where there is none) and ``seed`` alone, so reruns agree whatever the partitions.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-CAP = 3
+CAP, EDGE_ROWS, FINER = 3, 200_000, 1024
 WEIGHTS = (1, 2, 3)
 SYMBOLS = "#$%&*|!@^~<>{}=+_\\/"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -27,18 +28,26 @@ def quality_weight(text: Column) -> Column:
     return F.greatest(F.lit(0.05), F.coalesce(F.try_divide(F.length(F.translate(text, SYMBOLS, "")).cast("double"), F.length(text)), F.lit(0.05)))
 
 
-def sampling_key(doc_id: Column, weight: Column, seed: int) -> Column:
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))).cast("binary"))
+def sampling_key(doc_id: Column, text: Column, weight: Column, seed: int) -> Column:
+    name = F.coalesce(doc_id.cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), name).cast("binary"))
     u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
     return -F.log(u) / weight
 
 
-def _drawn(docs: DataFrame, seed: int) -> DataFrame:
-    """Adds ``_size, _key, _bucket``."""
-    text = F.col("text")
-    out = docs.withColumn("_size", F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long"))
-    out = out.withColumn("_key", sampling_key(F.col("doc_id"), quality_weight(text), seed))
-    return out.withColumn("_bucket", F.floor(F.log2("_key") * 64).cast("long"))
+def _drawn(docs: DataFrame, seed: int, *more: Column) -> DataFrame:
+    """``doc_id, source, _size, _key`` of each row, and further columns over ``docs``."""
+    text, doc_id, source = (F.col(c) if c in docs.columns else F.lit(None).cast(t) for c, t in (("text", "string"), ("doc_id", "long"), ("source", "string")))
+    size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    return docs.select(doc_id.alias("doc_id"), source.alias("source"), size.alias("_size"), sampling_key(doc_id, text, quality_weight(text), seed).alias("_key"), *more)
+
+
+def _octave() -> Column:
+    return F.log2("_key") * 64
+
+
+def _bucket() -> Column:
+    return F.floor(_octave()).cast("long")
 
 
 def numbered(df: DataFrame, column: str) -> DataFrame:
@@ -77,45 +86,88 @@ def targets(sizes: DataFrame) -> DataFrame:
     return table.withColumn("target", F.least((F.col("source_size") * CAP).cast("double"), F.lit(level) * F.col("_w"))).drop("_w")
 
 
+def _ending(sums: DataFrame, keys: list[str], bucket: str) -> DataFrame:
+    """Of ``sums(keys…, bucket, _sum, _from, _left)`` the bucket where each budget ends, with ``_before``, the words up to it."""
+    w = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("_from") + F.coalesce(F.sum("_sum").over(w), F.lit(0))
+    return sums.withColumn("_before", before).where("_before <= _left and _left < _before + _sum")
+
+
 def plan(docs: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Rows ``(doc_id, source, _size, _key, _bucket)``, and for each source its target, epochs and last partial document."""
-    rows = C.materialize(_drawn(C.spread(docs, "doc_id", "text", "source"), seed).select("doc_id", "source", "_size", "_key", "_bucket"), "mix-rows")
-    sums = C.materialize(rows.groupBy("source", "_bucket").agg(F.sum("_size").alias("_sum")), "mix-buckets")
+    """Rows ``(doc_id, source, _size, _key)``, and for each source its target, epochs and the place where its budget ends.
+
+    ``_last``: the last place (key, id, size) of which the partial epoch takes a row, ``_ties`` rows have it and ``_take`` are taken.
+    """
+    rows = C.materialize(_drawn(docs, seed), "mix-rows")
+    sums = C.materialize(rows.groupBy("source", _bucket().alias("_bucket")).agg(F.sum("_size").alias("_sum")), "mix-buckets")
     sources = targets(sums.groupBy("source").agg(F.sum("_sum").alias("source_size")))
     epochs = F.least(F.floor(F.coalesce(F.try_divide("target", "source_size"), F.lit(0))), F.lit(CAP)).cast("int")
     sources = C.materialize(sources.withColumn("_epochs", epochs).withColumn("_left", F.col("target") - F.col("_epochs") * F.col("source_size")), "mix-targets")
-    w = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(w), F.lit(0)))
     s = sources.select(F.col("source").alias("_s"), "_left")
-    at = before.join(s, F.col("source").eqNullSafe(F.col("_s"))).where("_before <= _left and _left < _before + _sum").select("_s", F.col("_bucket").alias("_b"), "_before", "_left")
-    last = rows.join(at, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
+    sums = sums.join(s, F.col("source").eqNullSafe(F.col("_s"))).withColumn("_from", F.lit(0).cast("long"))
+    at = C.materialize(_ending(sums, ["_s"], "_bucket").select("_s", F.col("_bucket").alias("_b"), "_before", "_left"), "mix-ends")
+    # rows of one place count together; they are added up before they travel
+    edge = rows.join(at, F.col("source").eqNullSafe(F.col("_s")) & (_bucket() == F.col("_b")))
+    edge = edge.groupBy("_s", "_b", "_key", "doc_id", "_size", "_before", "_left").agg(F.count("*").alias("_ties")).withColumn("_rest", _octave() - F.col("_b"))
+    edge = C.materialize(edge, "mix-edge")
+    for _ in range(5):  # five times ten bits of the key's logarithm: what is left then has one key
+        if not edge.groupBy("_s").count().where(F.col("count") > EDGE_ROWS).limit(1).count():
+            break
+        fine = edge.withColumn("_fine", F.floor(F.col("_rest") * FINER).cast("long"))
+        sums = fine.groupBy("_s", "_fine", F.col("_before").alias("_from"), "_left").agg(F.sum(F.col("_size") * F.col("_ties")).alias("_sum"))
+        end = _ending(sums, ["_s"], "_fine").select(F.col("_s").alias("_t"), F.col("_fine").alias("_f"), F.col("_before").alias("_now"))
+        fine = fine.join(end, F.col("_s").eqNullSafe(F.col("_t")) & (F.col("_fine") == F.col("_f")))
+        edge = C.materialize(fine.withColumn("_before", F.col("_now")).withColumn("_rest", F.col("_rest") * FINER - F.col("_fine")).drop("_t", "_f", "_now", "_fine"), "mix-edge")
     order = Window.partitionBy("_s").orderBy("_key", F.col("doc_id").asc_nulls_first(), "_size").rowsBetween(Window.unboundedPreceding, -1)
-    last = last.withColumn("_sum", F.col("_before") + F.coalesce(F.sum("_size").over(order), F.lit(0)))
-    last = last.where(F.col("_sum") + F.col("_size") / 2 <= F.col("_left")).groupBy("_s").agg(F.max(_place()).alias("_last"))
+    size = F.col("_size")
+    edge = edge.withColumn("_sum", F.col("_before") + F.coalesce(F.sum(size * F.col("_ties")).over(order), F.lit(0)))
+    # as many of a place's rows as end nearer to the budget with them than without
+    fit = F.when(size == 0, F.when(F.col("_sum") <= F.col("_left"), F.col("_ties")).otherwise(0)).otherwise(F.least(F.col("_ties"), F.floor((F.col("_left") - F.col("_sum") - size / 2) / size) + 1))
+    last = edge.withColumn("_take", fit.cast("long")).where("_take > 0").groupBy("_s").agg(F.max(F.struct(_place().alias("_last"), "_take", "_ties")).alias("_m"))
+    last = last.select(F.col("_s").alias("_t"), "_m.*")
     sources = sources.join(at.select("_s", "_b"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-    last = last.withColumnRenamed("_s", "_t")
-    return rows, C.materialize(sources.join(last, F.col("source").eqNullSafe(F.col("_t")), "left").drop("_t"), "mix-plan")
+    sources = sources.join(last, F.col("source").eqNullSafe(F.col("_t")), "left").drop("_t")
+    first = F.struct(F.lit(float("-inf")).alias("_key"), F.lit(None).cast("long").alias("doc_id"), F.lit(-1).cast("long").alias("_size"))
+    return rows, C.materialize(sources.withColumn("_last", F.coalesce("_last", first.cast(_PLACE))), "mix-plan")
+
+
+_PLACE = "struct<_key:double,doc_id:long,_size:long>"
 
 
 def _place() -> Column:
-    return F.struct("_key", "doc_id", "_size")
+    return F.struct("_key", F.col("doc_id").cast("long").alias("doc_id"), "_size").cast(_PLACE)
 
 
 def _copies(rows: DataFrame, sources: DataFrame) -> DataFrame:
-    """Adds ``copies``: complete epochs, and one if the partial epoch takes the row."""
+    """Adds ``copies``: complete epochs, and one if the partial epoch takes the row.
+
+    Where a budget ends among rows of one place, these are numbered, by partitions and within them, and the first are taken.
+    """
     s = sources.withColumnRenamed("source", "_source")
     out = rows.join(s, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    part = (F.col("_bucket") < F.col("_b")) | ((F.col("_bucket") == F.col("_b")) & F.coalesce(_place() <= F.col("_last"), F.lit(False)))
+    split = F.coalesce(F.col("_take") < F.col("_ties"), F.lit(False)) & (_bucket() == F.col("_b")) & (_place() == F.col("_last"))
+    part = (_bucket() < F.col("_b")) | ((_bucket() == F.col("_b")) & (_place() <= F.col("_last")))
     part = F.coalesce(part, F.col("_left") > 0)  # no bucket holds the budget's end: all rows fit
-    return out.withColumn("copies", F.when((F.col("_epochs") < CAP) & part, F.col("_epochs") + 1).otherwise(F.col("_epochs")))
+    if sources.where("_take < _ties").limit(1).count():
+        tied = C.materialize(out.where(split).withColumn("_pid", F.spark_partition_id()), "mix-ties")
+        held = tied.groupBy("source", "_pid").count()
+        over = Window.partitionBy("source").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+        held = held.select(F.col("source").alias("_source"), F.col("_pid").alias("_p"), F.coalesce(F.sum("count").over(over), F.lit(0)).alias("_start"))
+        tied = tied.join(held, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_pid") == F.col("_p")))
+        here = F.row_number().over(Window.partitionBy("source", "_pid").orderBy(F.lit(1)))
+        tied = tied.withColumn("_in", F.col("_start") + here <= F.col("_take")).drop("_source", "_p", "_start", "_pid")
+        out = out.where(~F.coalesce(split, F.lit(False))).withColumn("_in", part).unionByName(tied)
+    else:
+        out = out.withColumn("_in", part)
+    return out.withColumn("copies", F.when((F.col("_epochs") < CAP) & F.col("_in"), F.col("_epochs") + 1).otherwise(F.col("_epochs")))
 
 
 def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
     """``doc_id, source, size, source_size, target, taken`` of each row of ``docs(doc_id, text, source)``.
 
-    Null texts have size 0 and are never taken; null sources form a source of their own; a null ``doc_id`` draws as
-    the text "null". Rows alike in key, id and size are taken together. A document that a budget's end cuts is taken
-    if that brings the sum nearer to the target. Extra columns are ignored; an empty table gives an empty result.
+    Null texts have size 0 and are never taken; null sources form a source of their own; rows without a ``doc_id`` draw by their
+    text. Of rows alike in key, id and size any are taken, as many as the budget wants. A document that a budget's end cuts is
+    taken if that brings the sum nearer to the target. Extra columns are ignored; an empty table gives an empty result.
     """
     rows, sources = plan(docs, seed)
     out = _copies(rows, sources)
@@ -123,10 +175,10 @@ def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def resample(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """``docs`` as the mix takes them: each row as often as it is taken, columns unchanged."""
+    """``docs`` as the mix takes them: each row as often as it is taken, columns unchanged, whatever their names."""
     _, sources = plan(docs, seed)
-    out = _copies(_drawn(docs, seed), sources).where("copies > 0 and _size > 0")
-    return out.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    out = _copies(_drawn(docs, seed, F.struct("*").alias("_row")), sources).where("copies > 0 and _size > 0")
+    return out.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
@@ -139,7 +191,7 @@ def oracle(seed: int = 0) -> str:
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size,
     greatest(0.05::DOUBLE, coalesce(length(translate(text, '{symbols}', ''))::DOUBLE / nullif(length(text), 0), 0.05::DOUBLE)) AS w,
-    (('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u FROM documents
+    (('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, '')))), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u FROM documents
 ), k AS (SELECT *, -ln(u) / w AS key FROM d),
  s AS (SELECT source, sum(size)::BIGINT AS source_size FROM k GROUP BY source),
  r AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT AS weight FROM s),

@@ -150,11 +150,12 @@ def fit(docs: list[tuple[np.ndarray, float]], steps: int = STEPS, batch: int = 1
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, learn=None, limit: int = DOCS) -> AttentionPool | None:
+def train(docs: DataFrame, labels: DataFrame, learn=None, limit: int = DOCS, most: int | None = PASSAGES) -> AttentionPool | None:
     """Fit on ``docs(doc_id, text)`` and ``labels(doc_id, quality)``; ``learn`` tells which ``doc_id`` may teach.
 
-    Rows with a null label or id don't teach; several labels of a document count as their mean; several texts of one
-    id each teach. None if nothing can be learned (no label, or one kind only).
+    ``most``: passages that a document teaches with, spread evenly over its text; None takes all. Rows with a null label or id
+    don't teach; several labels of a document count as their mean; of several texts of one id the one with the smallest
+    SHA-256 teaches. None if nothing can be learned (no label, or one kind only). The sample comes to the driver.
     """
     labels = labels.where("quality is not null and doc_id is not null")
     labels = labels.where(learn) if learn is not None else labels
@@ -170,11 +171,13 @@ def train(docs: DataFrame, labels: DataFrame, learn=None, limit: int = DOCS) ->
                 own = []
                 for a, b in zip(at, at[1:]):
                     rows = x[a:b]
-                    rows = rows if len(rows) <= PASSAGES else rows[np.arange(PASSAGES) * len(rows) // PASSAGES]
+                    rows = rows if most is None or len(rows) <= most else rows[np.arange(most) * len(rows) // most]
                     own.append(rows.tobytes())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 200), batch.column(2).slice(lo, 200), pa.array(own, pa.binary())], names=["doc_id", "y", "x"])
 
-    rows = C.spread(docs, "doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "y")
+    rows = C.spread(docs, "doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    # one text an id, chosen before the shuffle as far as it goes
+    rows = rows.groupBy("doc_id", "y").agg(F.min(F.struct(F.sha2("text", 256).alias("key"), "text")).alias("own")).select("doc_id", "own.text", "y")
     found = sorted((r.doc_id, r.y, bytes(r.x)) for r in rows.mapInArrow(C.tidy(run), "doc_id long, y double, x binary").toLocalIterator())
     kept = [(np.frombuffer(x, np.float32).reshape(-1, WIDTH), y) for _, y, x in found]
     return fit(kept) if len({y >= 0.5 for _, y in kept}) > 1 else None
