@@ -3,16 +3,19 @@
 A store is a folder of shards in ascending ``doc_id`` order. Shard ``k`` has ``<k>.ids`` (the raw ids of its
 documents one after another, 16 or 32 bits each, little-endian) and ``<k>.idx``, its index:
 
-    header   magic, id width, documents, ids, bits of each level, offsets of the parts
-    levels   bit sets of a minimal perfect hash: at each level a key that is alone at its place sets a bit,
-             the others go on to the next level; a key's slot is the rank of its bit
-    ranks    the number of set bits before each 512-bit block, so that a rank needs one block only
+    header   magic, id width, documents, ids, bits of each level
+    blocks   bit sets of a minimal perfect hash: at each level a key that is alone at its place sets a bit,
+             the others go on to the next level; a key's slot is the rank of its bit. A block is the number of set
+             bits before it (64 bits) and 512 bits
     slots    by slot: fingerprint (32 bits), first id in the shard (64 bits), ids (64 bits)
-    keys     ``doc_id`` by position in the shard, and which of its repeats a row is
-
-A lookup reads one slot, whatever the store's size, and tells absent keys by the stored fingerprint. Shards and
-index files are written under names of their own attempt; only those named in the manifest count, so a task that
-runs twice or dies leaves no trace in the store. The manifest (Parquet) has one row a shard.
+    keys     ``doc_id`` by position in the shard, and which of its repeats a row is; the latter's highest bit but one
+             marks a row without an id
+
+A lookup of one key reads the header, a block for each level up to the key's (fewer than two are expected), one slot and
+the ids, whatever the shard's size, and tells absent keys by the stored fingerprint. Many keys of a shard are looked up
+together, and where they are more than its blocks the index is read in one piece. Shards and index files are written
+under names of their own attempt; only those named in the manifest count, and ``write`` removes what other attempts left.
+The manifest (Parquet) has one row a shard.
 """
 
 from __future__ import annotations
@@ -31,8 +34,14 @@ from . import bpe
 from . import common as C
 
 _U = np.uint64
-MAGIC, LEVELS, GAMMA = b"LKTS0001", 40, 2
-NULL_KEY = np.int64(-(2**63))
+MAGIC, LEVELS, GAMMA = b"LKTS0002", 40, 2
+#: Set in a row's repeat number if the row has no ``doc_id``.
+NO_ID = np.int64(1 << 62)
+#: Groups of shards whose bounds come to the driver in a lookup, 16 bytes each.
+BOUNDS = 1 << 20
+_HEAD = struct.Struct("<8sIQQI")
+_BLOCK = np.dtype([("before", "<u8"), ("bits", "u1", 64)])
+_SLOT = np.dtype([("print", "<u4"), ("first", "<u8"), ("n", "<u8")])
 
 
 def _hashes(keys: np.ndarray, repeat: np.ndarray) -> np.ndarray:
@@ -40,37 +49,37 @@ def _hashes(keys: np.ndarray, repeat: np.ndarray) -> np.ndarray:
 
 
 class PerfectHash:
-    """Slots 0..n-1 for n distinct 64-bit hashes."""
+    """Slots 0..n-1 for n distinct 64-bit hashes. ``blocks(at)`` gives the blocks at the ascending places ``at``."""
 
-    def __init__(self, levels: list[np.ndarray]):
-        self.levels = levels  # packed bits, little bit order, padded to 64 bytes
-        self.sizes = [len(x) * 8 for x in levels]
-        flat = np.concatenate(levels) if levels else np.zeros(0, np.uint8)
-        self.bits = flat
-        counts = np.bitwise_count(flat.reshape(-1, 64)).sum(axis=1).astype(np.int64) if len(flat) else np.zeros(0, np.int64)
-        self.before = np.concatenate(([0], np.cumsum(counts)))
+    def __init__(self, sizes: list[int], blocks):
+        self.sizes, self.blocks = sizes, blocks  # bits of each level
 
     @staticmethod
     def place(hashed: np.ndarray, level: int, size: int) -> np.ndarray:
         return (C.mix(hashed + _U((level * 0xD1B54A32D192ED03 + 1) % 2**64)) % _U(size)).astype(np.int64)
 
     @staticmethod
-    def build(hashed: np.ndarray) -> PerfectHash:
-        levels, rest = [], hashed
+    def build(hashed: np.ndarray) -> tuple[list[int], np.ndarray]:
+        """The levels' sizes, and all blocks."""
+        sizes, levels, rest = [], [np.zeros(0, np.uint8)], hashed
         for level in range(LEVELS):
             if not len(rest):
                 break
             size = -(-max(GAMMA * len(rest), 64) // 512) * 512
             at = PerfectHash.place(rest, level, size)
-            seen = np.bincount(at, minlength=size)
-            alone = seen[at] == 1
+            alone = np.bincount(at, minlength=size)[at] == 1
             bits = np.zeros(size, np.uint8)
             bits[at[alone]] = 1
+            sizes.append(size)
             levels.append(np.packbits(bits, bitorder="little"))
             rest = rest[~alone]
         if len(rest):
             raise ValueError("keys aren't distinct")
-        return PerfectHash(levels)
+        flat = np.concatenate(levels).reshape(-1, 64)
+        blocks = np.zeros(len(flat), _BLOCK)
+        blocks["bits"] = flat
+        blocks["before"][1:] = np.cumsum(np.bitwise_count(flat).sum(axis=1, dtype=np.uint64))[:-1]
+        return sizes, blocks
 
     def slots(self, hashed: np.ndarray) -> np.ndarray:
         """The slot of each key; -1 for most keys that aren't in the set (the fingerprint tells the rest)."""
@@ -81,69 +90,78 @@ class PerfectHash:
             if not len(live):
                 break
             at = base + self.place(hashed[live], level, size)
-            byte = self.bits[at >> 3]
-            hit = ((byte >> (at & 7).astype(np.uint8)) & 1).astype(bool)
-            pos = at[hit]
-            block = pos >> 9
-            inside = self.bits.reshape(-1, 64)[block]
-            whole = np.arange(64)[None, :] < ((pos & 511) >> 3)[:, None]
-            ones = (np.bitwise_count(inside) * whole).sum(axis=1)
-            part = np.bitwise_count(self.bits[pos >> 3] & ((1 << (pos & 7)) - 1).astype(np.uint8))
-            out[live[hit]] = self.before[block] + ones + part
+            which, back = np.unique(at >> 9, return_inverse=True)
+            block, inside = self.blocks(which)[back], at & 511
+            byte = block["bits"][np.arange(len(at)), inside >> 3]
+            hit = ((byte >> (inside & 7).astype(np.uint8)) & 1).astype(bool)
+            block, inside, byte = block[hit], inside[hit], byte[hit]
+            whole = np.arange(64)[None, :] < (inside >> 3)[:, None]
+            ones = (np.bitwise_count(block["bits"]) * whole).sum(axis=1)
+            out[live[hit]] = block["before"].astype(np.int64) + ones + np.bitwise_count(byte & ((1 << (inside & 7)) - 1).astype(np.uint8))
             live = live[~hit]
             base += size
         return out
 
 
-_SLOT = np.dtype([("print", "<u4"), ("first", "<u8"), ("n", "<u8")])
-
-
 def index_bytes(keys: np.ndarray, repeat: np.ndarray, first: np.ndarray, n: np.ndarray, width: int) -> bytes:
     hashed = _hashes(keys, repeat)
-    mph = PerfectHash.build(hashed)
+    sizes, blocks = PerfectHash.build(hashed)
     slots = np.zeros(len(keys), _SLOT)
-    at = mph.slots(hashed)
+    at = PerfectHash(sizes, lambda which: blocks[which]).slots(hashed)
     slots["print"][at], slots["first"][at], slots["n"][at] = (C.mix(hashed) >> _U(32)).astype(np.uint32), first, n
-    head = struct.pack("<8sIQQI", MAGIC, width, len(keys), int(n.sum()), len(mph.levels)) + struct.pack(f"<{len(mph.levels)}Q", *mph.sizes)
-    return head + b"".join(x.tobytes() for x in mph.levels) + mph.before.astype("<i8").tobytes() + slots.tobytes() + keys.astype("<i8").tobytes() + repeat.astype("<i8").tobytes()
+    head = _HEAD.pack(MAGIC, width, len(keys), int(n.sum()), len(sizes)) + struct.pack(f"<{len(sizes)}Q", *sizes)
+    return b"".join([head, blocks.tobytes(), slots.tobytes(), keys.astype("<i8").tobytes(), repeat.astype("<i8").tobytes()])
 
 
 class Shard:
-    """One shard opened for reading."""
+    """One shard opened for reading; ``read`` counts the bytes that came from its files."""
 
     def __init__(self, fs, ids_path: str, idx_path: str):
-        with fs.open_input_file(idx_path) as f:
-            raw = f.read()
-        magic, self.width, self.docs, self.total, levels = struct.unpack_from("<8sIQQI", raw)
+        self.read = 0
+        self.index, self.file = fs.open_input_file(idx_path), fs.open_input_file(ids_path)
+        magic, self.width, self.docs, self.total, levels = _HEAD.unpack(self._get(self.index, _HEAD.size, 0))
         if magic != MAGIC:
             raise ValueError(f"{idx_path} is not an index")
-        at = struct.calcsize("<8sIQQI")
-        sizes = struct.unpack_from(f"<{levels}Q", raw, at)
-        at += 8 * levels
-        parts = []
-        for s in sizes:
-            parts.append(np.frombuffer(raw, np.uint8, s // 8, at))
-            at += s // 8
-        self.mph = PerfectHash(parts)
-        at += 8 * len(self.mph.before)
-        self.slots = np.frombuffer(raw, _SLOT, self.docs, at)
-        at += _SLOT.itemsize * self.docs
-        self.keys = np.frombuffer(raw, "<i8", self.docs, at)
-        self.repeat = np.frombuffer(raw, "<i8", self.docs, at + 8 * self.docs)
-        self.file = fs.open_input_file(ids_path)
-
-    def find(self, keys: np.ndarray, repeat: np.ndarray) -> np.ndarray:
-        """Slots of keys; -1 where the key isn't in this shard."""
+        sizes = list(struct.unpack(f"<{levels}Q", self._get(self.index, 8 * levels, _HEAD.size)))
+        self.n_blocks = sum(sizes) // 512
+        self.at_blocks = _HEAD.size + 8 * levels
+        self.at_slots = self.at_blocks + _BLOCK.itemsize * self.n_blocks
+        self.at_keys = self.at_slots + _SLOT.itemsize * self.docs
+        self.mph = PerfectHash(sizes, lambda which: self._rows(_BLOCK, self.at_blocks, self.n_blocks, which))
+
+    def close(self) -> None:
+        self.index.close()
+        self.file.close()
+
+    def _get(self, f, n: int, at: int) -> bytes:
+        self.read += n
+        return f.read_at(n, at)
+
+    def _rows(self, kind: np.dtype, start: int, n: int, which: np.ndarray) -> np.ndarray:
+        """Records of the index by number: one read each, or all of them if that is most of them anyhow."""
+        if 4 * len(which) > n:
+            return np.frombuffer(self._get(self.index, kind.itemsize * n, start), kind)[which]
+        return np.frombuffer(b"".join(self._get(self.index, kind.itemsize, start + kind.itemsize * int(i)) for i in which), kind)
+
+    def keys(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        """``doc_id`` and repeat numbers of the documents ``lo:hi``."""
+        return tuple(np.frombuffer(self._get(self.index, 8 * (hi - lo), self.at_keys + 8 * (k * self.docs + lo)), "<i8") for k in (0, 1))
+
+    def find(self, keys: np.ndarray, repeat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First ids' places and numbers of ids of keys, the latter -1 where a key isn't in this shard."""
         hashed = _hashes(keys, repeat)
         at = self.mph.slots(hashed)
-        if len(self.slots):
-            at[(at >= 0) & (self.slots["print"][np.maximum(at, 0)] != (C.mix(hashed) >> _U(32)).astype(np.uint32))] = -1
-        return at
+        first, n = np.zeros(len(keys), np.int64), np.full(len(keys), -1, np.int64)
+        some = at >= 0
+        if some.any():
+            which, back = np.unique(at[some], return_inverse=True)
+            slots = self._rows(_SLOT, self.at_slots, self.docs, which)[back]
+            good = slots["print"] == (C.mix(hashed[some]) >> _U(32)).astype(np.uint32)
+            first[some], n[some] = slots["first"], np.where(good, slots["n"].astype(np.int64), -1)
+        return first, n
 
-    def ids(self, slot: int) -> np.ndarray:
-        s = self.slots[slot]
-        self.file.seek(int(s["first"]) * self.width)
-        return np.frombuffer(self.file.read(int(s["n"]) * self.width), f"<u{self.width}")
+    def ids(self, first: int, n: int) -> np.ndarray:
+        return np.frombuffer(self._get(self.file, n * self.width, first * self.width), f"<u{self.width}")
 
 
 def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int | None = 2, shards: int | None = None) -> DataFrame:
@@ -151,8 +169,8 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int | None = 2,
 
     Ids come from the tokenizers library (special tokens' strings in a text become their ids, none are added), each
     distinct word once a batch and worker; ``end_id`` closes every document. Null texts are empty. Rows that repeat
-    a ``doc_id`` are kept side by side and told apart by a count; a null ``doc_id`` sorts first. An empty table gives
-    a store without shards. Columns but these two are ignored.
+    a ``doc_id`` are kept side by side and told apart by a count; rows without a ``doc_id`` come first. An empty table gives
+    a store without shards. Columns but these two are ignored. ``folder`` belongs to the store: what else is in it goes.
     """
     spark = docs.sparkSession
     C.importable(spark)
@@ -167,7 +185,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int | None = 2,
         own = _library(vocabulary)
         name = ids_file = None
         total, pid = 0, -1
-        keys, lengths = [], []
+        keys, missing, lengths = [], [], []
         for batch in batches:
             for part in bpe.sliced(batch):
                 if ids_file is None:
@@ -181,18 +199,20 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int | None = 2,
                 flat = np.frombuffer(b"".join(rows), "<u4").astype(own.dtype)
                 ids_file.write(flat.tobytes())
                 total += len(flat)
-                keys.append(np.array([NULL_KEY if k is None else k for k in part.column(0).to_pylist()], np.int64))
+                keys.append(part.column(0).fill_null(0).to_numpy())
+                missing.append(part.column(0).is_null().to_numpy(zero_copy_only=False))
                 lengths.append(sizes)
         own.words.rest()
         if ids_file is None:
             return
         ids_file.close()
-        k, n = np.concatenate(keys), np.concatenate(lengths)
-        run_start = np.concatenate(([True], k[1:] != k[:-1]))
-        repeat = np.arange(len(k)) - np.maximum.accumulate(np.where(run_start, np.arange(len(k)), 0))
+        k, none, n = np.concatenate(keys), np.concatenate(missing), np.concatenate(lengths)
+        run_start = np.concatenate(([True], (k[1:] != k[:-1]) | (none[1:] != none[:-1])))
+        repeat = (np.arange(len(k)) - np.maximum.accumulate(np.where(run_start, np.arange(len(k)), 0))) | np.where(none, NO_ID, 0)
         with fs.open_output_stream(f"{root}/{name}.idx") as f:
             f.write(index_bytes(k, repeat, np.cumsum(n) - n, n, own.dtype.itemsize))
-        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((pid, pa.int32()), (name, pa.string()), (len(k), pa.int64()), (total, pa.int64()), (int(k[0]), pa.int64()), (int(k[-1]), pa.int64()))], names=["pid", "name", "docs", "ids", "first_key", "last_key"])
+        ends = [None if none[i] else int(k[i]) for i in (0, -1)]
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((pid, pa.int32()), (name, pa.string()), (len(k), pa.int64()), (total, pa.int64()), (ends[0], pa.int64()), (ends[1], pa.int64()))], names=["pid", "name", "docs", "ids", "first_key", "last_key"])
 
     # one small row a shard comes to the driver, never a document
     found = sorted(dealt.mapInArrow(C.tidy(run), "pid int, name string, docs long, ids long, first_key long, last_key long").collect(), key=lambda r: r.pid)
@@ -202,9 +222,20 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int | None = 2,
         start += r.ids
     manifest = spark.createDataFrame(rows, "shard int, path string, docs long, ids long, start long, first_key long, last_key long")
     manifest.write.mode("overwrite").parquet(f"{folder}/manifest")
+    _sweep(folder, {r.name for r in found})
     return read_manifest(spark, folder)
 
 
+def _sweep(folder: str, names: set[str]) -> None:
+    """Remove files of attempts that did not win."""
+    from pyarrow import fs as pafs
+
+    fs, root = C.filesystem(folder)
+    for x in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
+        if x.is_file and x.extension in ("ids", "idx") and x.base_name[:-4] not in names:
+            fs.delete_file(x.path)
+
+
 def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/manifest")
 
@@ -219,15 +250,17 @@ def scan(manifest: DataFrame, each, schema: str) -> DataFrame:
             for row in batch.to_pylist():
                 fs, path = C.filesystem(row["path"])
                 shard = Shard(fs, f"{path}.ids", f"{path}.idx")
-                slots = shard.find(shard.keys, shard.repeat)
-                if (slots < 0).any():
-                    raise ValueError(f"{path}: a key isn't found by its own index")
-                for lo in range(0, len(slots), 2000):
-                    out = []
-                    for key, slot in zip(shard.keys[lo : lo + 2000], slots[lo : lo + 2000]):
-                        first = int(shard.slots["first"][slot])
-                        out.append(each(None if key == NULL_KEY else int(key), row["start"] + first, shard.ids(slot)))
-                    yield pa.RecordBatch.from_pandas(_frame(out, names), preserve_index=False)
+                for lo in range(0, shard.docs, 50000):
+                    keys, repeat = shard.keys(lo, min(lo + 50000, shard.docs))
+                    first, size = shard.find(keys, repeat)
+                    if (size < 0).any():
+                        raise ValueError(f"{path}: a key isn't found by its own index")
+                    for at in range(0, len(keys), 2000):
+                        out = []
+                        for key, rep, a, m in zip(*(x[at : at + 2000].tolist() for x in (keys, repeat, first, size))):
+                            out.append(each(None if rep & int(NO_ID) else key, row["start"] + a, shard.ids(a, m)))
+                        yield pa.RecordBatch.from_pandas(_frame(out, names), preserve_index=False)
+                shard.close()
 
     return manifest.repartitionByRange(n, "shard").mapInArrow(C.tidy(run), schema)
 
@@ -241,34 +274,74 @@ def _frame(rows: list[tuple], names: list[str]):
 def lookup(manifest: DataFrame, keys: DataFrame) -> DataFrame:
     """Keyed access: ``doc_id, start, ids`` of every row of the store whose ``doc_id`` is in ``keys(doc_id)``.
 
-    Keys that aren't in the store give no row. Each key goes to the shards whose key range holds it, and there costs
-    one slot and one read. The manifest (a row a shard) is joined, not collected.
+    A null key finds the rows without an id. Keys that aren't in the store give no row; repeated keys ask once. Bounds of
+    groups of neighbouring shards, ``BOUNDS`` at most, tell which groups may hold a key; the key meets those by an
+    equi-join on the group's number and is looked up together with the others of its shard.
     """
-    want = keys.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NULL_KEY))).alias("doc_id")).distinct()
-    shards = manifest.select("shard", "path", "start", "first_key", "last_key")
-    salted = want.join(shards, want.doc_id.between(shards.first_key, shards.last_key))
+    spark = manifest.sparkSession
+    many = -(-max(manifest.count(), 1) // BOUNDS)
+    group = F.floor(F.col("shard") / many).cast("long")
+    # None sorts before every number
+    low, high = F.struct(F.col("first_key").isNotNull().alias("some"), F.coalesce("first_key", F.lit(0)).alias("key")), F.struct(F.col("last_key").isNotNull().alias("some"), F.coalesce("last_key", F.lit(0)).alias("key"))
+    bounds = manifest.groupBy(group.alias("part")).agg(F.min(low).alias("low"), F.max(high).alias("high")).orderBy("part").collect()
+    if not bounds:
+        return spark.createDataFrame([], "doc_id long, start long, ids array<long>")
+    pair = np.dtype([("some", "?"), ("key", "<i8")])
+    lows, highs = (np.array([(r[c].some, r[c].key) for r in bounds], pair) for c in ("low", "high"))
+    held = spark.sparkContext.broadcast((lows, highs))
+
+    def deal(batches):
+        lows, highs = held.value
+        for batch in batches:
+            own = np.zeros(batch.num_rows, pair)
+            own["some"], own["key"] = ~batch.column(0).is_null().to_numpy(zero_copy_only=False), batch.column(0).fill_null(0).to_numpy()
+            a, b = np.searchsorted(highs, own, "left"), np.searchsorted(lows, own, "right")
+            times = np.maximum(b - a, 0)
+            at = np.repeat(np.arange(len(own)), times)
+            part = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times) + a[at]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(part)], names=["doc_id", "part"])
+
+    want = keys.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().mapInArrow(deal, "doc_id long, part long")
+    shards = manifest.select(group.alias("part"), "shard", "path", "start", low.alias("low"), high.alias("high"))
+    mine = F.struct(F.col("doc_id").isNotNull().alias("some"), F.coalesce("doc_id", F.lit(0)).alias("key"))
+    asked = want.join(shards, "part").where((F.col("low") <= mine) & (mine <= F.col("high"))).select("shard", "path", "start", "doc_id")
+
+    def found(shard, start, docs):
+        """Rows of one shard: every key's first row, then the second of those that had one, and so on."""
+        none = np.array([k is None for k in docs])
+        key, repeat = np.array([0 if k is None else k for k in docs], np.int64), 0
+        while len(key):
+            first, n = shard.find(key, np.where(none, NO_ID, 0) | repeat)
+            key, none, first, n = (x[n >= 0] for x in (key, none, first, n))
+            for k, no, a, m in zip(key.tolist(), none.tolist(), first.tolist(), n.tolist()):
+                yield {"doc_id": None if no else k, "start": start + a, "ids": shard.ids(a, m)}
+            repeat += 1
 
     def run(batches):
-        opened: dict[str, Shard] = {}
         for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                if row["path"] not in opened:
-                    opened.clear()
-                    fs, path = C.filesystem(row["path"])
-                    opened[row["path"]] = Shard(fs, f"{path}.ids", f"{path}.idx")
-                shard, repeat = opened[row["path"]], 0
-                while True:
-                    slot = int(shard.find(np.array([row["doc_id"]]), np.array([repeat]))[0])
-                    if slot < 0:
-                        break
-                    key = None if row["doc_id"] == NULL_KEY else row["doc_id"]
-                    out.append({"doc_id": key, "start": row["start"] + int(shard.slots["first"][slot]), "ids": shard.ids(slot).tolist()})
-                    repeat += 1
-            if out:
-                yield pa.RecordBatch.from_pylist(out, pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.list_(pa.int64()))]))
-
-    return salted.sortWithinPartitions("path").mapInArrow(C.tidy(run), "doc_id long, start long, ids array<long>")
+            rows, lo = batch.to_pylist(), 0
+            while lo < len(rows):
+                hi = lo
+                while hi < len(rows) and rows[hi]["path"] == rows[lo]["path"]:
+                    hi += 1
+                fs, path = C.filesystem(rows[lo]["path"])
+                shard = Shard(fs, f"{path}.ids", f"{path}.idx")
+                out, held = [], 0
+                for r in found(shard, rows[lo]["start"], [r["doc_id"] for r in rows[lo:hi]]):
+                    out.append(r)
+                    held += len(r["ids"])
+                    if held > 1 << 19:
+                        yield pa.RecordBatch.from_pylist(out, _FOUND)
+                        out, held = [], 0
+                if out:
+                    yield pa.RecordBatch.from_pylist(out, _FOUND)
+                shard.close()
+                lo = hi
+
+    return asked.sortWithinPartitions("shard").mapInArrow(C.tidy(run), "doc_id long, start long, ids array<long>")
+
+
+_FOUND = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.list_(pa.int64()))])
 
 
 class _Library:

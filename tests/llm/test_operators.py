@@ -194,16 +194,77 @@ def test_token_store_odd_rows_and_lookup(spark, odd, none):
     assert tokenstore.write(none, common.scratch(spark, "t"), bpe.vocabulary()).count() == 0
 
 
+def test_token_store_keys_at_the_edges(spark):
+    low = -(2**63)
+    rows = [(low, "lowest"), (None, "none"), (None, "none at all"), (2**63 - 1, "highest"), (0, "zero"), (0, "zero again"), (low, "lowest again")]
+    m = tokenstore.write(spark.createDataFrame(rows, "doc_id long, text string"), common.scratch(spark, "t"), bpe.vocabulary(), shards=4)
+    _, ids = library([t for _, t in rows])
+    want = sorted((str(k), own + [2]) for (k, _), own in zip(rows, ids))
+    found = tokenstore.lookup(m, spark.createDataFrame([(low,), (None,), (2**63 - 1,), (0,), (5,), (0,)], "doc_id long")).collect()
+    assert sorted((str(r.doc_id), list(r.ids)) for r in found) == want
+    every = tokenstore.scan(m, lambda k, start, own: (k, start, len(own)), "doc_id long, start long, n_tokens long").collect()
+    assert sorted(str(r.doc_id) for r in every) == sorted(str(k) for k, _ in rows)
+
+
+def test_token_store_reads_one_slot(tmp_path):
+    """A lookup's bytes do not grow with the shard, and absent keys are told."""
+    from pyarrow import fs
+
+    rng, read = np.random.default_rng(4), {}
+    for docs in (2000, 200000):
+        keys = rng.permutation(docs * 3)[:docs].astype(np.int64)
+        n = rng.integers(1, 9, docs)
+        first, flat = np.cumsum(n) - n, rng.integers(0, 60000, int(n.sum())).astype("<u2")
+        (tmp_path / f"{docs}.ids").write_bytes(flat.tobytes())
+        (tmp_path / f"{docs}.idx").write_bytes(tokenstore.index_bytes(keys, np.zeros(docs, np.int64), first, n, 2))
+        cost = []
+        for i in rng.integers(0, docs, 60):
+            shard = tokenstore.Shard(fs.LocalFileSystem(), f"{tmp_path}/{docs}.ids", f"{tmp_path}/{docs}.idx")
+            a, m = shard.find(keys[i : i + 1], np.zeros(1, np.int64))
+            assert (shard.ids(a[0], m[0]) == flat[first[i] : first[i] + n[i]]).all()
+            cost.append(shard.read)
+            shard.close()
+        read[docs] = np.mean(cost)
+        shard = tokenstore.Shard(fs.LocalFileSystem(), f"{tmp_path}/{docs}.ids", f"{tmp_path}/{docs}.idx")
+        a, m = shard.find(keys, np.zeros(docs, np.int64))
+        assert (a == first).all() and (m == n).all()
+        assert (shard.find(keys + docs * 3, np.zeros(docs, np.int64))[1] < 0).all()
+    assert read[200000] < 1.3 * read[2000] < 800
+
+
 def test_perfect_hash():
     rng = np.random.default_rng(3)
     for n in (1, 2, 63, 1000, 20000):
         h = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
-        mph = tokenstore.PerfectHash.build(h)
-        assert sorted(mph.slots(h)) == list(range(len(h)))
+        sizes, blocks = tokenstore.PerfectHash.build(h)
+        assert sorted(tokenstore.PerfectHash(sizes, lambda which, b=blocks: b[which]).slots(h)) == list(range(len(h)))
     with pytest.raises(ValueError):
         tokenstore.PerfectHash.build(np.array([5, 5], np.uint64))
 
 
+def test_bpe_of_one_endless_word():
+    import time
+
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(300_000)), "ab" * 150_000, "the" * 60_000 + "é" * 60_000]
+    _, want = library(words)
+    own, start = bpe.Codec(bpe.vocabulary()), time.process_time()
+    assert own.encode(words) == want and time.process_time() - start < 15
+    for n in (65, 100, 1000):
+        word = "".join(rng.choice("etaoins hr'") for _ in range(n))
+        assert own._by_heap([own.byte_list[b] for b in word.encode()]) == _by_list(own, word)
+
+
+def _by_list(own, word):
+    ids = [own.byte_list[b] for b in word.encode()]
+    while True:
+        ranks = [own.joined.get(x << 24 | y, 1 << 60) for x, y in zip(ids, ids[1:])]
+        if not ranks or min(ranks) == 1 << 60:
+            return ids
+        i = ranks.index(min(ranks))
+        ids[i : i + 2] = [min(ranks) & 0xFFFFFF]
+
+
 def test_bpe_against_the_library():
     rng = random.Random(5)
     bits = ["a", "b", "e", "th", "the", " ", "  ", "\n", "'s", "é", "ß", "1", "23", "!", "..", "中", "\x1f", "\x85", " In", "ing", "<|endoftext|>", " \n", "\n ", "\t", "　", "ɐ", "ñ", "'"]
