@@ -185,9 +185,23 @@ class Codec:
                 heappush(heap, low << 32 | h)
         return [i for i in ids if i >= 0]
 
-    def learn_plain(self, pieces: list[str]) -> list[bytes]:
-        """Ids of words of a blank and Latin letters, given without the blank."""
-        return self.learn([" " + p for p in pieces])
+    def learn_words(self, words: set[str]) -> None:
+        unknown = self.known.missing(words)
+        if unknown:
+            self.known.now.update(zip(unknown, self.learn(unknown)))
+
+    def learn_pieces(self, pieces: list[str], words: set[str]) -> None:
+        """Remember new pieces, given without the blank before them, and ``words``."""
+        # a piece of letters alone is one word, and remembered as a piece only
+        plain, mixed = [], []
+        for p in pieces:
+            (plain if p.isalpha() and (p.isascii() or max(p) < "\u0250") else mixed).append(p)
+        inside = [self.words.findall(" " + p) for p in mixed]
+        self.learn_words(words.union(*inside))
+        if plain:
+            self.pieces.now.update(zip(plain, self.learn([" " + p for p in plain])))
+        word, join = self.known.now.__getitem__, b"".join
+        self.pieces.now.update((p, join(map(word, own))) for p, own in zip(mixed, inside))
 
     def learn(self, words: list[str]) -> list[bytes]:
         """Ids of distinct words: speculate, verify, and merge the failing ones exactly."""
@@ -246,20 +260,8 @@ class Codec:
                 pieces.update(rest)
                 cut.append((own, rest))
         fresh = self.pieces.missing(pieces)
-        # a piece of letters alone is one word, and remembered as a piece only
-        plain, mixed = [], []
-        for p in fresh:
-            (plain if p.isalpha() and (p.isascii() or max(p) < "\u0250") else mixed).append(p)
-        inside = [self.words.findall(" " + p) for p in mixed]
-        for own in inside:
-            words.update(own)
-        unknown = self.known.missing(words)
-        if unknown:
-            self.known.now.update(zip(unknown, self.learn(unknown)))
-        if plain:
-            self.pieces.now.update(zip(plain, self.learn_plain(plain)))
+        self.learn_pieces(fresh, words)
         word, join = self.known.now.__getitem__, b"".join
-        self.pieces.now.update((p, join(map(word, own))) for p, own in zip(mixed, inside))
         piece = self.pieces.now.__getitem__
         out = []
         for own in cut:

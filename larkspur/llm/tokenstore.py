@@ -202,7 +202,6 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int | None = 2,
                 keys.append(part.column(0).fill_null(0).to_numpy())
                 missing.append(part.column(0).is_null().to_numpy(zero_copy_only=False))
                 lengths.append(sizes)
-        own.words.rest()
         if ids_file is None:
             return
         ids_file.close()
@@ -354,7 +353,7 @@ class _Library:
         from tokenizers import Tokenizer
 
         self.words = bpe.Codec(path)  # a codec of its own: its cache holds the library's ids only
-        self.words.learn, self.words.learn_plain = self._learn, self._learn_plain
+        self.words.learn, self.words.learn_pieces = self._learn, self._learn_pieces
         self.begins = np.array([b[:1] == b" " for b in self.words.bytes_of])
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
@@ -367,9 +366,9 @@ class _Library:
             out += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words[lo : lo + 4096], add_special_tokens=False)]
         return out
 
-    def _learn_plain(self, pieces: list[str]) -> list[bytes]:
-        """Many words go to the library as one text, which it cuts at the blanks again."""
-        out: list[bytes] = []
+    def _learn_pieces(self, pieces: list[str], words: set[str]) -> None:
+        """Many pieces go to the library as one text, which it cuts at the blanks again."""
+        self.words.learn_words(words)
         for lo in range(0, len(pieces), 2048):
             part = pieces[lo : lo + 2048]
             ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
@@ -378,8 +377,7 @@ class _Library:
                 raise ValueError("the library cuts words otherwise than the pattern")
             raw = ids.tobytes()
             at.append(len(ids))
-            out += [raw[4 * a : 4 * b] for a, b in zip(at, at[1:])]
-        return out
+            self.words.pieces.now.update(zip(part, (raw[4 * a : 4 * b] for a, b in zip(at, at[1:]))))
 
 
 @lru_cache(maxsize=2)
