@@ -17,12 +17,19 @@ LEAST_SCORE = 0.4
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents with a language. It learns from those rows of its input that have a ``lang``."""
+    """Keeps documents with a language. It learns from those rows of its input that have a ``lang``.
+
+    A document goes if it has no text, no letter, or a score below ``LEAST_SCORE`` in its likeliest language. Where no row
+    has a ``lang``, nothing can be learned, and only documents without a letter go.
+    """
     C.importable(spark)
-    columns = docs.columns
-    found = langid.identify(docs.withColumnsRenamed({c: f"_{c}" for c in columns if c in ("lang_pred", "score")}), langid.train(docs))
-    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)) if "lang" in columns else found
-    return kept.drop("lang_pred", "score").withColumnsRenamed({f"_{c}": c for c in ("lang_pred", "score") if c in columns})
+    model = langid.train(docs)
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    clash = [c for c in docs.columns if c.lower() in ("lang_pred", "score")]
+    aside = dict(zip(clash, C.free([*docs.columns, "lang_pred", "score"], *clash)))
+    found = langid.identify(docs.withColumnsRenamed(aside), model)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*(F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,20 +39,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     The row with the smallest ``doc_id`` stays, one without an id only if no other is in the group. Texts without words all stay.
     """
     C.importable(spark)
-    row = "_row"
-    while row.lower() in map(str.lower, docs.columns):
-        row = f"_{row}"
+    row, key, group = C.free([*docs.columns, "doc_id"], "row", "key", "group")
     # written, as a number drawn anew in each reading need not fall on the same row
     rows = C.materialize(docs.withColumn(row, F.monotonically_increasing_id()), "pipeline-rows")
-    groups = neardup.near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), width=5).select(F.col("doc_id").alias(row), F.col("component_id").alias("_group"))
-    best = groups.join(rows.select(row, F.col("doc_id").alias("_id")), row).groupBy("_group").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", row)).alias("_best"))
-    return rows.join(best.select(F.col(f"_best.{row}").alias(row)), row, "left_semi").select(*docs.columns)
+    groups = neardup.near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), width=5).select(F.col("doc_id").alias(row), F.col("component_id").alias(group))
+    own = F.col("doc_id") if "doc_id" in docs.columns else F.lit(None).cast("long")
+    ids = rows.select(row, own.alias(key))
+    first = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.col(row).alias("row")))
+    best = groups.join(ids, row).groupBy(group).agg(first.alias(key))
+    return rows.join(best.select(F.col(f"{key}.row").alias(row)), row, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps every document, with its secrets replaced by a mark."""
     C.importable(spark)
-    return secrets.redact(docs)
+    return secrets.redact(docs, path=bpe.vocabulary())
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,9 +75,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; of the tables in between only the last stage's input is left in the shared folder."""
     docs = C.read_documents(spark, sf_dir)
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = C.materialize(docs, f"pipeline-{name}")
-    return docs
+    with C.workspace(spark) as keep:
+        for name, stage in STAGES[:-1]:
+            with C.workspace(spark) as inner:
+                docs = C.materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+                inner.append(C.last_path())
+        keep.append(C.last_path())
+    return STAGES[-1][1](spark, docs, sf_dir)

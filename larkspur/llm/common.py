@@ -59,24 +59,34 @@ def scratch(spark: SparkSession, tag: str) -> str:
 
 
 @contextmanager
-def workspace(spark: SparkSession, *keep: str):
-    """Remove at the end all that is put into the shared folder inside, but for folders whose tag is in ``keep``.
+def workspace(spark: SparkSession):
+    """Remove at the end all that is put into the shared folder inside, but for the paths added to the list it gives.
 
     Results that read the removed folders must be written before the end.
     """
-    start = len(_made)
+    start, keep = len(_made), []
     try:
-        yield
+        yield keep
     finally:
         jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         inside = _made[start:]
         del _made[start:]
+        _made.extend(name for name in inside if name in keep)
         for name in inside:
-            if any(name.rsplit("/", 1)[1].startswith(f"{tag}-") for tag in keep):
-                _made.append(name)
-                continue
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(conf).delete(path, True)
+            if name not in keep:
+                path = jvm.org.apache.hadoop.fs.Path(name)
+                path.getFileSystem(conf).delete(path, True)
+
+
+def last_path() -> str:
+    """The path of what was materialized last."""
+    return _made[-1]
+
+
+def move_last(path: str) -> None:
+    """Make ``path`` the last one."""
+    _made.remove(path)
+    _made.append(path)
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -132,6 +142,17 @@ def spread(df: DataFrame, *need: str) -> DataFrame:
     return df.select(*(F.col(c) if c in df.columns else F.lit(None).alias(c) for c in need))
 
 
+def free(names: list[str], *wanted: str) -> list[str]:
+    """Names like the wanted ones that ``names`` doesn't have, whatever the case."""
+    taken, out = {n.lower() for n in names}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 # ---------------------------------------------------------------- bytes and words, vectorised
 
 _U = np.uint64
@@ -234,16 +255,18 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     sees one count a round. Every round's labels are written to the shared folder. Edges with a null end, edges from a
     node to itself and repeated edges add nothing; without edges the result is empty.
     """
-    both = materialize(
-        edges.select("a", "b").where("a <> b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct(), tag
-    )
-    labels = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp")), tag)
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("m"))
-        low = labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "m").alias("comp"))
-        jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
-        new = materialize(low.join(jump, "comp", "left").select("node", "old", F.least("comp", F.coalesce("up", "comp")).alias("comp")), tag)
-        changed = new.where("old <> comp").limit(1).count()
-        labels = new.select("node", "comp")
-        if not changed:
-            return labels
+    spark = edges.sparkSession
+    with workspace(spark) as keep:
+        both = edges.select("a", "b").where("a <> b")
+        both = materialize(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), tag)
+        labels = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp")), tag)
+        while True:
+            near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("m"))
+            low = labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "m").alias("comp"))
+            jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
+            new = materialize(low.join(jump, "comp", "left").select("node", "old", F.least("comp", F.coalesce("up", "comp")).alias("comp")), tag)
+            changed = new.where("old <> comp").limit(1).count()
+            labels = new.select("node", "comp")
+            if not changed:
+                keep.append(last_path())
+                return labels

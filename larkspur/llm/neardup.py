@@ -1,15 +1,17 @@
 """Near-duplicate documents by a signature-coordinate inverted join.
 
-Every distinct shingle set (a *class* of documents) gets ``COORDS`` min-wise hash values. A coordinate and
-its value make one token; each class posts itself under its rarest tokens only. Two classes whose sets have
-a Jaccard similarity of ``num/den`` share at least ``MATCHES`` of the ``COORDS`` tokens but for a chance of
-some 1e-6 at the threshold itself (far less above it), and so share one of the ``COORDS - MATCHES + 1``
-rarest: the long lists of common tokens are never merged, only probed when collisions are counted.
-
-Collisions are counted on a second, wider signature (one permutation, ``BINS`` bins of a byte) and what
-passes is confirmed on the full sets. Rows are kept linear in hot lists: first every poster is held against
-the list's medoid only (the poster with most collisions in all), components are built, and then only lists
-that still hold several components are compared block by block inside tasks, across components.
+Every distinct shingle set (a *class* of documents) gets ``COORDS`` min-wise hash values. A coordinate and its value
+make one token; each class posts itself under its rarest tokens only. Two classes whose sets have a Jaccard similarity of
+``num/den`` collide in at least ``MATCHES`` of the ``COORDS`` coordinates but for a chance of some 4e-6 at the threshold
+itself (far less above it), and so share one of the ``COORDS - MATCHES + 1`` rarest tokens. Collisions of a pair are
+counted by skip merging: the short lists of rare tokens are merged, which finds the pair once; the long lists are skipped
+and only probed for the pair, by comparing the two signatures at the other coordinates. Pairs of ``MATCHES`` collisions or
+more stay. A wider sketch (one permutation, ``BINS`` bins of a byte) spares those that can't reach the threshold the
+comparison of full sets, which decides.
+
+Rows are kept linear in hot lists: first every poster is held against the list's medoid only (the poster with most
+collisions in all), components are built, and then only lists that still hold several components are compared block by
+block inside tasks, across components.
 """
 
 from __future__ import annotations
@@ -23,9 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import bpe
 from . import common as C
 
-COORDS, MATCHES, BINS, BLOCK = 64, 36, 512, 4096
+COORDS, MATCHES, BINS, BLOCK, SPOKES = 64, 36, 512, 4096, 2048
 _U = np.uint64
 _A = C.mix(np.arange(1, COORDS + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U(1)
 _B = C.mix(np.arange(1001, 1001 + COORDS, dtype=_U) * _U(0xC2B2AE3D27D4EB4F))
@@ -67,11 +70,16 @@ def set_print(own: np.ndarray) -> bytes:
 
 
 def signature(own: np.ndarray) -> np.ndarray:
-    """``COORDS`` tokens: the minimum under each hash function, mixed with the coordinate's number."""
+    """The minimum under each of ``COORDS`` hash functions, 32 bits of each."""
     low = np.full(COORDS, np.iinfo(np.uint64).max, _U)
     for at in range(0, len(own), 4096):
         low = np.minimum(low, (own[None, at : at + 4096] * _A[:, None] + _B[:, None]).min(axis=1))
-    return C.mix(low ^ _B)
+    return (C.mix(low ^ _B) >> _U(32)).astype(np.uint32)
+
+
+def collisions(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many coordinates pairs of signatures (rows) collide."""
+    return np.count_nonzero(a == b, axis=-1)
 
 
 def sketch(own: np.ndarray) -> np.ndarray:
@@ -119,8 +127,7 @@ _FEATURES = T.StructType(
 def _features(width: int):
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            for part in bpe.sliced(batch, 512):
                 sets = shingle_sets(C.encoded(part.column(1)), width)
                 full = [len(s) > 0 for s in sets]
                 yield pa.RecordBatch.from_arrays(
@@ -138,18 +145,21 @@ def _features(width: int):
 
 
 def _tokens(batches):
+    """Each coordinate and its value as one token."""
+    coordinate = np.arange(COORDS, dtype=_U) << _U(32)
     for batch in batches:
         keys, sigs = batch.column(0), batch.column(1)
         n = batch.num_rows
-        flat = np.frombuffer(b"".join(sigs.to_pylist()), np.int64)
+        flat = np.frombuffer(b"".join(sigs.to_pylist()), np.uint32).reshape(n, COORDS)
+        flat = C.mix(flat.astype(_U) | coordinate).view(np.int64).reshape(-1)
         yield pa.RecordBatch.from_arrays([keys.take(pa.array(np.repeat(np.arange(n), COORDS))), pa.array(flat)], names=["print", "token"])
 
 
 def _sets(width: int):
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                sets = shingle_sets(C.encoded(batch.column(0).slice(lo, 512)), width)
+            for part in bpe.sliced(batch, 512):
+                sets = shingle_sets(C.encoded(part.column(0)), width)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([set_print(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["print", "own"]
                 )
@@ -157,38 +167,52 @@ def _sets(width: int):
     return run
 
 
+def _linked(num: int, den: int):
+    """Of rows sorted by hub and share, the hub's set first, the pairs whose full sets meet the threshold."""
+
+    def run(batches):
+        hub = own = None
+        for batch in batches:
+            a, b = [], []
+            for x, y, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                other = np.frombuffer(data.as_buffer(), _U)
+                if y is None:
+                    hub, own = x, other.copy()
+                    continue
+                if x != hub:
+                    raise ValueError("a pair came without its hub")
+                both = len(np.intersect1d(own, other, assume_unique=True))
+                if den * both >= num * (len(own) + len(other) - both):
+                    a.append(min(x, y))
+                    b.append(max(x, y))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    return run
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose full sets meet the threshold."""
-    need = classes.join(pairs.select(F.explode(F.array("a", "b")).alias("print")).distinct(), "print", "left_semi").select("print", "rep")
-    texts = docs.join(need, docs.doc_id.eqNullSafe(need.rep), "left_semi").select("text")
-    sets = C.materialize(
-        texts.mapInArrow(C.tidy(_sets(width)), "print binary, own binary").join(need.select("print"), "print", "left_semi").groupBy("print").agg(F.first("own").alias("own")),
-        "neardup-sets",
-    )
+    """The pairs of ``(hub, spoke)`` whose full sets meet the threshold, as ``(a, b)``.
 
-    @F.pandas_udf("boolean")
-    def linked(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b):
-            x, y = np.frombuffer(x, _U), np.frombuffer(y, _U)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(den * both >= num * (len(x) + len(y) - both))
-        return pd.Series(out, dtype=bool)
-
-    return (
-        pairs.join(sets.select(F.col("print").alias("a"), F.col("own").alias("own_a")), "a")
-        .join(sets.select(F.col("print").alias("b"), F.col("own").alias("own_b")), "b")
-        .where(linked("own_a", "own_b"))
-        .select("a", "b")
-    )
+    A hub's set travels once for each ``SPOKES`` pairs of it, a spoke's once a pair; a task holds one hub's set at a time.
+    """
+    need = classes.join(pairs.select(F.explode(F.array("hub", "spoke")).alias("print")).distinct(), "print", "left_semi").select("print", "rep")
+    texts = docs.join(need, docs.doc_id.eqNullSafe(need.rep), "left_semi").select("text")
+    sets = texts.mapInArrow(C.tidy(_sets(width)), "print binary, own binary").join(need.select("print"), "print", "left_semi")
+    sets = C.materialize(sets.groupBy("print").agg(F.first("own").alias("own")), "neardup-sets")
+    shares = pairs.groupBy("hub").agg(F.ceil(F.count("*") / SPOKES).cast("int").alias("shares"))
+    spokes = pairs.join(shares, "hub").withColumn("share", F.pmod(F.xxhash64("spoke"), F.col("shares")).cast("int"))
+    spokes = spokes.join(sets.withColumnRenamed("print", "spoke"), "spoke").select("hub", "spoke", "own", "share")
+    hubs = shares.join(sets.withColumnRenamed("print", "hub"), "hub").select("hub", F.lit(None).cast("binary").alias("spoke"), "own", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    rows = hubs.unionByName(spokes).repartition("hub", "share").sortWithinPartitions("hub", "share", F.col("spoke").isNotNull())
+    return rows.select("hub", "spoke", "own").mapInArrow(C.tidy(_linked(num, den)), "a binary, b binary")
 
 
 def _across(share: float, flush: int = 1 << 13):
-    """Within blocks of posting lists: pairs of different components that may be alike.
+    """Within blocks of posting lists: pairs of different components with ``MATCHES`` collisions that may be alike.
 
     Rows come sorted by list, block pair and set size; a block pair has at most two blocks of rows. Of all the lists
-    that hold a pair, only that of its smallest common token tells it. Candidates of many small lists are tested
-    together.
+    that hold a pair, only that of its smallest common token tells it, so none is told twice. Candidates of many small
+    lists are tested together.
     """
 
     def pairs_of(lo, hi, one, two, block, sizes, comp):
@@ -211,16 +235,20 @@ def _across(share: float, flush: int = 1 << 13):
         comp = pd.factorize(np.array(table.column("comp").to_pylist(), dtype=object))[0]
         prints = table.column("print").to_pylist()
         sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
+        sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, COORDS)
         mine = table.column("mine").combine_chunks()
         at, values = mine.offsets.to_numpy(), mine.values.to_numpy()
-        found: set[tuple[bytes, bytes]] = set()
 
         def test(i, j):
+            enough = collisions(sigs[i], sigs[j]) >= MATCHES
+            i, j = i[enough], j[enough]
             ok = alike(sketches[i], sketches[j], share, sizes[i] + sizes[j])
+            found = []
             for a, b in zip(i[ok].tolist(), j[ok].tolist()):
                 common = np.intersect1d(values[at[a] : at[a + 1]], values[at[b] : at[b + 1]])
                 if common[0] == token[a]:
-                    found.add((min(prints[a], prints[b]), max(prints[a], prints[b])))
+                    found.append((prints[a], prints[b]))
+            yield from _pair_batches(found)
 
         held, n = [], 0
         for lo, hi in zip(starts, [*starts[1:], table.num_rows]):
@@ -228,11 +256,10 @@ def _across(share: float, flush: int = 1 << 13):
                 held.append(pair)
                 n += len(pair[0])
                 if n >= flush:
-                    test(*(np.concatenate(x) for x in zip(*held)))
+                    yield from test(*(np.concatenate(x) for x in zip(*held)))
                     held, n = [], 0
         if held:
-            test(*(np.concatenate(x) for x in zip(*held)))
-        return found
+            yield from test(*(np.concatenate(x) for x in zip(*held)))
 
     def run(batches):
         held: list = []
@@ -246,13 +273,13 @@ def _across(share: float, flush: int = 1 << 13):
             if new and (held or cut):
                 # all rows before the last list's are complete
                 table = pa.Table.from_batches([*held, batch.slice(0, cut)])
-                yield from _pair_batches(told(table, _starts(table)))
+                yield from told(table, _starts(table))
                 held = []
             held.append(batch.slice(cut) if new else batch)
             last = key[-1]
         if held:
             table = pa.Table.from_batches(held)
-            yield from _pair_batches(told(table, _starts(table)))
+            yield from told(table, _starts(table))
 
     return run
 
@@ -267,80 +294,103 @@ def _starts(table) -> list[int]:
 
 
 def _pair_batches(pairs):
-    pairs = sorted(pairs)
-    yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)], names=["a", "b"])
-
-
-def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs(doc_id, text)``.
-
-    Words are the runs of bytes that are not ASCII white space, with A-Z lower-cased; a document's set is its
-    distinct ``width``-word shingles, or its whole sequence if it has fewer words. Two documents are linked
-    when ``den * |both| >= num * |either|``.
-
-    Null and empty texts (and texts of white space) have no set: ``n_shingles`` 0, linked with nothing,
-    ``component_id`` their own ``doc_id``, kept. Rows that repeat a ``doc_id`` are rows of their own; a
-    ``doc_id`` of null takes part (null ids sort after all others, so they name a component only if no other id
-    is in it). Extra columns are ignored. An empty table gives an empty result.
-    """
-    docs = C.spread(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
+    if pairs:
+        yield pa.RecordBatch.from_arrays([pa.array([f(p) for p in pairs], pa.binary()) for f in (min, max)], names=["hub", "spoke"])
+
+
+def _posted(classes: DataFrame) -> DataFrame:
+    """``print, score, mine``: the tokens each class posts, and with how many others it collides in all its tokens."""
+    with C.workspace(classes.sparkSession) as keep:
+        tokens = classes.select("print", "sig").mapInArrow(C.tidy(_tokens), "print binary, token long")
+        shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+        common = C.materialize(tokens.join(shared, "token"), "neardup-tokens")
+        # the rarest tokens first; those that no other class has fill the prefix without being posted
+        posted = (
+            common.groupBy("print")
+            .agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("own"), F.sum("df").alias("score"))
+            .withColumn("take", F.lit(COORDS - MATCHES + 1) - (F.lit(COORDS) - F.size("own")))
+            .where("take > 0")
+            .select("print", "score", F.slice("own", F.lit(1), F.col("take"))["token"].alias("mine"))
+        )
+        posted = C.materialize(posted, "neardup-posts")
+        keep.append(C.last_path())
+    return posted
+
+
+def _groups(docs: DataFrame, classes: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Components ``(node, comp)`` of linked classes, the last table that it writes."""
     share = num / den
-    features = C.materialize(docs.mapInArrow(C.tidy(_features(width)), _FEATURES), "neardup-features")
-    classes = C.materialize(
-        features.where("print is not null")
-        .groupBy("print")
-        .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch")),
-        "neardup-classes",
-    )
-    tokens = classes.select("print", "sig").mapInArrow(C.tidy(_tokens), "print binary, token long")
-    shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    common = C.materialize(tokens.join(shared, "token"), "neardup-tokens")
-    # the rarest tokens first; those that no other class has fill the prefix without being posted
-    prefix = COORDS - MATCHES + 1
-    posted = (
-        common.groupBy("print")
-        .agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("own"), F.sum("df").alias("score"))
-        .withColumn("take", F.lit(prefix) - (F.lit(COORDS) - F.size("own")))
-        .where("take > 0")
-        .select("print", "score", F.slice("own", F.lit(1), F.col("take"))["token"].alias("mine"))
-    )
-    posted = C.materialize(posted, "neardup-posts")
+    posted = _posted(classes)
     posts = posted.select("print", "score", F.explode("mine").alias("token"))
     medoid = posts.groupBy("token").agg(F.max(F.struct("score", "print")).alias("top"), F.count("*").alias("m")).where("m > 1")
-    star = posts.join(medoid, "token").select("print", F.col("top.print").alias("hub")).where("print <> hub").distinct()
-    star = star.select(F.least("print", "hub").alias("a"), F.greatest("print", "hub").alias("b")).distinct()
+    star = posts.join(medoid, "token").select("print", F.col("top.print").alias("hub")).where("print <> hub")
+    # a pair once, whichever of the two is the hub
+    star = star.groupBy(F.least("print", "hub").alias("one"), F.greatest("print", "hub").alias("two")).agg(F.min("hub").alias("hub"))
+    star = star.select("hub", F.when(F.col("hub") == F.col("one"), F.col("two")).otherwise(F.col("one")).alias("spoke"))
 
     @F.pandas_udf("boolean")
-    def may(a: pd.Series, b: pd.Series, total: pd.Series) -> pd.Series:
+    def may(a: pd.Series, b: pd.Series, x: pd.Series, y: pd.Series, total: pd.Series) -> pd.Series:
         if not len(a):
             return pd.Series([], dtype=bool)
-        x, y = (np.frombuffer(b"".join(z), np.uint8).reshape(-1, BINS) for z in (a, b))
-        return pd.Series(alike(x, y, share, total.to_numpy()))
-
-    side = lambda c: classes.select(F.col("print").alias(c), F.col("sketch").alias(f"s{c}"), F.col("n_shingles").alias(f"n{c}"))
-    star = star.join(side("a"), "a").join(side("b"), "b").where(f"na * {den} >= nb * {num} and nb * {den} >= na * {num}").where(may("sa", "sb", F.col("na") + F.col("nb"))).select("a", "b")
+        rows = lambda z, kind, n: np.frombuffer(b"".join(z), kind).reshape(-1, n)
+        ok = collisions(rows(a, np.uint32, COORDS), rows(b, np.uint32, COORDS)) >= MATCHES
+        ok[ok] = alike(rows(x, np.uint8, BINS)[ok], rows(y, np.uint8, BINS)[ok], share, total.to_numpy()[ok])
+        return pd.Series(ok)
+
+    side = lambda c: classes.select(F.col("print").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("sketch").alias(f"sketch_{c}"), F.col("n_shingles").alias(f"n_{c}"))
+    star = star.join(side("hub"), "hub").join(side("spoke"), "spoke").where(f"n_hub * {den} >= n_spoke * {num} and n_spoke * {den} >= n_hub * {num}")
+    star = star.where(may("sig_hub", "sig_spoke", "sketch_hub", "sketch_spoke", F.col("n_hub") + F.col("n_spoke"))).select("hub", "spoke")
     star = C.materialize(star, "neardup-star")
     edges = C.materialize(_confirmed(star, docs, classes, width, num, den), "neardup-edges")
     comp = C.components(edges, "neardup-comp")
+    last = C.last_path()
 
     now = posts.select("token", "print").join(comp.withColumnRenamed("node", "print"), "print", "left").withColumn("comp", F.coalesce("comp", "print"))
     now = C.materialize(now, "neardup-now")
     mixed = now.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("token", "m")
     rest = (
         now.join(mixed, "token")
-        .join(classes.select("print", "n_shingles", "sketch").join(posted.select("print", "mine"), "print"), "print")
+        .join(classes.select("print", "n_shingles", "sig", "sketch").join(posted.select("print", "mine"), "print"), "print")
         .withColumn("parts", F.ceil(F.col("m") / BLOCK).cast("int"))
         .withColumn("block", F.pmod(F.xxhash64("print"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("token", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "print", "comp", "n_shingles", "sketch", "mine")
+        .select("token", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "print", "comp", "n_shingles", "sig", "sketch", "mine")
     )
     lists = rest.repartition("token", "one", "two").sortWithinPartitions("token", "one", "two", "n_shingles")
-    across = lists.mapInArrow(C.tidy(_across(share)), "a binary, b binary").distinct().join(star, ["a", "b"], "left_anti")
+    tested = star.select(F.least("hub", "spoke").alias("hub"), F.greatest("hub", "spoke").alias("spoke"))
+    across = lists.mapInArrow(C.tidy(_across(share)), "hub binary, spoke binary").join(tested, ["hub", "spoke"], "left_anti")
     across = C.materialize(across, "neardup-across")
     if not across.isEmpty():
         more = C.materialize(_confirmed(across, docs, classes, width, num, den), "neardup-more")
         if not more.isEmpty():
-            comp = C.components(edges.unionByName(more), "neardup-comp")
+            return C.components(edges.unionByName(more), "neardup-comp")
+    C.move_last(last)
+    return comp
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs(doc_id, text)``.
+
+    Words are the runs of bytes that are not ASCII white space, with A-Z lower-cased; a document's set is its
+    distinct ``width``-word shingles, or its whole sequence if it has fewer words. Two documents are linked
+    when ``den * |both| >= num * |either|``.
+
+    Null and empty texts (and texts of white space) have no set: ``n_shingles`` 0, linked with nothing,
+    ``component_id`` their own ``doc_id``, kept. Rows that repeat a ``doc_id`` are rows of their own; a
+    ``doc_id`` of null takes part (null ids sort after all others, so they name a component only if no other id
+    is in it). Extra columns are ignored. An empty table gives an empty result.
+    """
+    docs = C.spread(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
+    features = C.materialize(docs.mapInArrow(C.tidy(_features(width)), _FEATURES), "neardup-features")
+    classes = C.materialize(
+        features.where("print is not null")
+        .groupBy("print")
+        .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch")),
+        "neardup-classes",
+    )
+    with C.workspace(docs.sparkSession) as keep:
+        comp = _groups(docs, classes, width, num, den)
+        keep.append(C.last_path())
 
     named = classes.join(comp.withColumnRenamed("node", "print"), "print", "left").select("print", F.coalesce("comp", "print").alias("comp"), "rep")
     lowest = named.groupBy("comp").agg(F.min("rep").alias("component_id"))

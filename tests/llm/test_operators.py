@@ -623,6 +623,66 @@ def test_secrets_brute_force(spark, odd, none):
     assert secrets.scan(odd).count() == odd.count() and secrets.scan(none).count() == 0
 
 
+def plain_bits(value, path=None):
+    """The cheapest segmentation by trying all of them."""
+    import functools
+    import math
+    import re
+
+    day, month, year = "(0[1-9]|[12][0-9]|3[01])", "(0[1-9]|1[0-2])", "(19|20)[0-9][0-9]"
+    words = list(dict.fromkeys(secrets.FAVOURED))
+
+    def segment(s):
+        n, out = len(s), []
+        if n == 1:
+            out.append(math.log2(10 if s in "0123456789" else 26 if s.isalpha() else 33))
+        for rank, w in enumerate(words, 1):
+            stands = {"a": "4@", "e": "3", "o": "0", "i": "1!", "l": "1", "s": "5$", "t": "7"}
+            if len(w) == n and all(c == x or c in stands.get(x, "") for c, x in zip(s.lower(), w)):
+                upper, letters = sum(c.isupper() for c in s), sum(c.isalpha() for c in s)
+                case = 0 if not upper else 1 if s[1:] == s[1:].lower() or s == s.upper() else math.log2(sum(math.comb(letters, k) for k in range(min(upper, letters - upper) + 1)))
+                out.append(1 + math.log2(rank + 1) + sum(c != x for c, x in zip(s.lower(), w)) + case)
+        if re.fullmatch(year, s):
+            out.append(1 + math.log2(200))
+        for order in ((year, month, day), (day, month, year), (month, day, year)):
+            if re.fullmatch("".join(order), s):
+                out.append(1 + math.log2(200 * 366))
+            if re.fullmatch("[-/._]".join(order), s):
+                out.append(3 + math.log2(200 * 366))
+        for p in range(1, min(32, n // 2) + 1):
+            if n % p == 0 and s == s[:p] * (n // p):
+                out.append(1 + (segment(s[:1]) if p == 1 else whole(s[:p])) + math.log2(n // p))
+        rows = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
+        if n > 2 and all(any(a + b in r or b + a in r for r in rows) for a, b in zip(s.lower(), s.lower()[1:])):
+            out.append(2 + math.log2(47) + math.log2(n))
+        return min(out, default=math.inf)
+
+    @functools.lru_cache(maxsize=None)
+    def whole(s):
+        return min((whole(s[:k]) + segment(s[k:]) for k in range(len(s))), default=0.0)
+
+    return whole(value)
+
+
+def test_guess_costs_by_brute_force():
+    rng = random.Random(12)
+    bits = ["a", "b", "A", "1", "2", "q", "w", "e", "#", "pass", "PASS", "Pass", "p4$s", "l0v3", "love", "root", "temp", "2019", "05", "04", "-", "2019-05-04", "04052019", "aa", "abab", "qwe", "ewq", "0"]
+    for _ in range(600):
+        value = "".join(rng.choice(bits) for _ in range(rng.randint(1, 6)))[:16]
+        assert secrets.guess_bits(value) == pytest.approx(plain_bits(value)), value
+    for value in ("abcabcabcabcab", "xyxyxyxyxyx", "aaaabaaaabaaaab", "qwqwqwqwqw", "20192019201905"):
+        assert secrets.guess_bits(value) == pytest.approx(plain_bits(value)), value
+
+
+def test_guess_costs_use_the_ranked_vocabulary():
+    path = bpe.vocabulary()
+    words, longest = secrets.dictionary(path)
+    assert sum(map(len, words.values())) > 10000 and longest > 12
+    assert secrets.guess_bits("Government", path) < 20 < secrets.guess_bits("Government")
+    assert secrets.guess_bits("correcthorsebatterystaple", path) < secrets.guess_bits("correcthorsebatterystaple")
+    assert secrets.guess_bits("İİkK\u212a9", path) > 10 and secrets.guess_bits("", path) == 0
+
+
 def test_guess_costs():
     bits = secrets.guess_bits
     assert max(map(bits, ("password123", "qwertyuiop", "aaaaaaaaaaaaaaaa", "2019-05-04", "letmein2020", "abcabcabcabc", ""))) < 20
@@ -694,3 +754,77 @@ def test_mix_targets_and_odd_rows(spark, odd, none):
     assert mixing.resample(df).groupBy("source").count().count() == len(by)
     assert mixing.mix(odd).count() == odd.count() and mixing.resample(odd).columns == odd.columns
     assert mixing.mix(none).count() == 0 and mixing.resample(none).count() == 0
+
+
+def test_mix_of_repeated_rows(spark):
+    """Rows alike in everything: as many are taken as the budget wants, however they are dealt."""
+    rows = [(1, "a b c d e f g h i j", "hot")] * 300 + [(k, "w " * (k % 7 + 1), "rest") for k in range(400)] + [(None, f"no id {k}", "none") for k in range(200)]
+    for parts in (1, 5):
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts)
+        by = {}
+        for r in mixing.mix(df).collect():
+            own = by.setdefault(r.source, [r.target, 0, r.source_size, 0])
+            own[1] += r.taken
+            own[3] = max(own[3], r.taken // r["size"])
+        assert all(abs(n - t) <= 10 and most <= 3 for t, n, _, most in by.values()), by
+        words = {r.source: r.n for r in mixing.resample(df).groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " "))).alias("n")).collect()}
+        assert words == {s: n for s, (_, n, _, _) in by.items()}
+
+
+def test_mix_keeps_columns(spark):
+    names = ["_key", "_size", "_bucket", "target", "source_size", "_left", "_epochs", "_b", "_last", "copies", "_row", "col"]
+    rows = [(i, f"text {'w ' * i}", "ab"[i % 2], *(f"{c}{i}" for c in range(len(names)))) for i in range(30)]
+    df = spark.createDataFrame(rows, ", ".join(["doc_id long, text string, source string", *(f"`{c}` string" for c in names)]))
+    got = mixing.resample(df)
+    assert got.columns == df.columns and {tuple(r) for r in got.collect()} <= set(rows) and got.count() > 0
+    assert mixing.mix(df).columns == ["doc_id", "source", "size", "source_size", "target", "taken"]
+
+
+def test_mix_cuts_large_edges(spark, monkeypatch):
+    """Where more rows than fit a sort lie in the bucket at a budget's end, finer buckets find the same place."""
+    rows = [(i, "w " * (i % 5 + 1), "abc"[i % 3]) for i in range(6000)] + [(9, "same row of words", "a")] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = sorted(map(tuple, mixing.mix(df).collect()))
+    monkeypatch.setattr(mixing, "EDGE_ROWS", 2)
+    assert sorted(map(tuple, mixing.mix(df).collect())) == want
+
+
+# ---------------------------------------------------------------- what all share
+
+
+def test_hashes_of_spans_over_segments(monkeypatch):
+    rng = np.random.default_rng(0)
+    data = rng.choice(np.frombuffer(b"abcde  \n", np.uint8), 5000)
+    data[700:1900] = 97  # a word longer than several segments
+    start, end = common.word_spans(data)
+    whole = common.span_hashes(data, start, end)
+    power = lambda base: common._powers(base, 64)
+    monkeypatch.setattr(common, "SEGMENT", 64)
+    monkeypatch.setattr(common, "_UP", power(common._BASE))
+    monkeypatch.setattr(common, "_DOWN", power(common._BASE_INV))
+    assert (common.span_hashes(data, start, end) == whole).all()
+    by = {}
+    for a, b, h in zip(start, end, whole):
+        assert by.setdefault(data[a:b].tobytes(), h) == h
+    assert len(set(by.values())) == len(by)
+
+
+def test_workspace_removes_what_is_not_kept(spark):
+    import os
+
+    with common.workspace(spark) as keep:
+        one, two = common.materialize(spark.range(3), "one"), common.materialize(spark.range(4), "two")
+        keep.append(common.last_path())
+        paths = [p.removeprefix("file://") for p in common._made[-2:]]
+        assert one.count() == 3 and all(map(os.path.isdir, paths))
+    assert two.count() == 4 and [os.path.isdir(p) for p in paths] == [False, True]
+
+
+def test_components_of_a_long_chain(spark):
+    """To the fixpoint, whatever the number of rounds; nulls and loops add nothing."""
+    rng = random.Random(3)
+    ids = list(range(400))
+    rng.shuffle(ids)
+    edges = list(zip(ids, ids[1:])) + [(1000, 1000), (None, 4), (2000, 2001)]
+    got = dict(map(tuple, common.components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert got == {i: 0 for i in range(400)} | {2000: 2000, 2001: 2000}

@@ -1,7 +1,7 @@
 """The pipeline's stages against plain versions."""
 
 import hashlib
-import zlib  # noqa: F401
+import random
 
 import numpy as np
 
@@ -60,6 +60,27 @@ def test_stages_on_odd_rows(spark, odd, none):
     assert langid.train(none) is None
 
 
+def test_columns_keep_their_names_and_values(spark):
+    """Columns named like those the stages use pass through every stage but the last, with their values."""
+    words = "der die das und nicht ein eine mit auf sich the and of to in is that it was for".split()
+    rng = random.Random(1)
+    rows = [(i, " ".join(rng.choice(words) for _ in range(30 + i)), "de" if i % 2 else "en", "ab"[i % 2], *(f"{c}{i}" for c in range(14))) for i in range(40)]
+    names = ["_key", "_size", "_bucket", "target", "source_size", "score", "_score", "lang_pred", "_kept", "row", "key", "group", "copies", "ids"]
+    start = spark.createDataFrame(rows, ", ".join(["doc_id long, text string, lang string, source string", *(f"`{c}` string" for c in names)]))
+    want = {r[0]: r[2:] for r in rows}
+    docs = start
+    for name, stage in P.STAGES[:-1]:
+        docs = stage(spark, docs, SMALL)
+        assert docs.columns == start.columns, name
+        assert all((r[2:] == want[r[0]]) for r in map(tuple, docs.collect())), name
+    assert docs.count() > 10 and P.encoded(spark, docs, SMALL).count() == docs.count()
+
+
+def test_language_without_labels(spark):
+    docs = spark.createDataFrame([(1, "some words"), (2, "12 34"), (3, None), (4, "漢字")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in P.language(spark, docs, SMALL).collect()) == [1, 4]
+
+
 def test_one_row_of_each_group_stays(spark):
     one, two, three = (" ".join(f"{w}{i}" for i in range(60)) for w in ("ab", "cd", "ef"))
     rows = [
