@@ -10,6 +10,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import frames
 from .functions import strings
 from .operators import relational
 
@@ -37,6 +38,7 @@ _LIT = "\x00(\\d+)\x00"
 def rewrite(sql: str) -> str:
     """Spark SQL for a statement."""
     s, kept = _hidden(sql.strip().rstrip(";"))
+    s = _projected_in(frames.rewrite(s))
 
     def similar(m):
         body = kept[int(m[3])][1:-1].replace("''", "'")
@@ -55,7 +57,7 @@ def rewrite(sql: str) -> str:
     s = re.sub(_OPERAND + r"\s*=\s*(?:ANY|SOME)\s*\(\s*(ARRAY\s*\[[^\]]*\]|[\w.]+)\s*\)", lambda m: f"exists({_array(m[2])}, _x -> _x = {m[1]})", s, flags=re.I)
     s = re.sub(_OPERAND + r"\s*(<>|<=|>=|<|>|=)\s*ALL\s*\(\s*(ARRAY\s*\[[^\]]*\]|[\w.]+)\s*\)", lambda m: f"forall({_array(m[3])}, _x -> {m[1]} {m[2]} _x)", s, flags=re.I)
     s = re.sub(r"=\s*(?:ANY|SOME)\s*\(\s*(?=SELECT)", "IN (", s, flags=re.I)
-    s = re.sub(_OPERAND + r"\s+AT\s+TIME\s+ZONE\s+" + _LIT, lambda m: f"to_utc_timestamp({m[1]}, \x00{m[2]}\x00)", s, flags=re.I)
+    s = re.sub(_OPERAND + r"\s+AT\s+TIME\s+ZONE\s+" + _LIT, lambda m: f"if(typeof({m[1]}) = 'timestamp', from_utc_timestamp({m[1]}, \x00{m[2]}\x00), to_utc_timestamp({m[1]}, \x00{m[2]}\x00))", s, flags=re.I)
     s = re.sub(r"EXTRACT\s*\(\s*EPOCH\s+FROM\s+([^()]+)\)", r"(unix_micros(CAST(\1 AS TIMESTAMP)) / 1e6D)", s, flags=re.I)
     s = re.sub(r"EXTRACT\s*\(\s*DOW\s+FROM\s+([^()]+)\)", r"(dayofweek(\1) - 1)", s, flags=re.I)
     s = re.sub(r"TABLESAMPLE\s+BERNOULLI\s*\(\s*([\d.]+)\s*\)", r"TABLESAMPLE (\1 PERCENT)", s, flags=re.I)
@@ -66,6 +68,25 @@ def rewrite(sql: str) -> str:
     return _shown(s, kept)
 
 
+def _projected_in(s: str) -> str:
+    """``x [NOT] IN (SELECT …)`` in the statement's own list, where Spark's join would give false for unknown."""
+    depth, end = 0, 0
+    for m in re.finditer(r"[()]|\bFROM\b", s, re.I):
+        if m[0] in "()":
+            depth += 1 if m[0] == "(" else -1
+        elif not depth:
+            end = m.start()
+            break
+    out, at = [], 0
+    for m in re.finditer(_OPERAND + r"\s+(NOT\s+)?IN\s*(?=\(\s*SELECT\b)", s[:end], re.I):
+        close = frames._closing(s, m.end())
+        x, sub = m[1], s[m.end() + 1 : close]
+        known = f"CASE WHEN (SELECT count(*) FROM ({sub})) = 0 THEN false WHEN {x} IS NULL THEN NULL WHEN {x} IN ({sub}) THEN true WHEN (SELECT bool_or(_c IS NULL) FROM ({sub}) AS _s(_c)) THEN NULL ELSE false END"
+        out += [s[at : m.start()], f"{'(NOT ' if m[2] else '('}{known})"]
+        at = close + 1
+    return "".join([*out, s[at:]])
+
+
 def _array(text: str) -> str:
     return re.sub(r"ARRAY\s*\[(.*)\]", r"array(\1)", text, flags=re.I | re.S)
 
@@ -81,14 +102,31 @@ def _distinct_on(s: str) -> str:
     return f"SELECT {names} FROM (SELECT {columns}, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) AS _rn FROM {source}) WHERE _rn = 1{limit or ''}"
 
 
+_TIES = re.compile(r"(.*?\bFROM\b.*?)\s+ORDER\s+BY\s+(.*?)\s+FETCH\s+(?:FIRST|NEXT)\s+(\d+)\s+ROWS?\s+WITH\s+TIES\s*;?\s*", re.I | re.S)
+_PLAIN = re.compile(r"\w+(?:\s+(?:ASC|DESC))?(?:\s+NULLS\s+(?:FIRST|LAST))?", re.I)
+
+
 def _ties(s: str) -> str:
-    m = re.fullmatch(r"(.*?\bFROM\b.*?)\s+ORDER\s+BY\s+(.*?)\s+FETCH\s+(?:FIRST|NEXT)\s+(\d+)\s+ROWS?\s+WITH\s+TIES\s*", s, flags=re.I | re.S)
+    """``WITH TIES`` inside a statement, or by expressions: the rank of all rows."""
+    m = _TIES.fullmatch(s)
     if not m:
         return s
     inner, order, n = m.groups()
     return f"SELECT * EXCEPT (_rk) FROM (SELECT *, rank() OVER (ORDER BY {_null_order(order)}) AS _rk FROM ({inner})) WHERE _rk <= {n}"
 
 
+def _with_ties(spark: SparkSession, statement: str, args: dict) -> DataFrame | None:
+    """A statement that ends ``WITH TIES`` by columns of its list: a top-n finds the edge, a filter the rows up to it."""
+    m = _TIES.fullmatch(statement)
+    order = [t.strip() for t in m[2].split(",")] if m else []
+    if not order or not all(map(_PLAIN.fullmatch, order)):
+        return None
+    rows = spark.sql(rewrite(m[1]), args=args or None)
+    if not {t.split()[0].lower() for t in order} <= set(map(str.lower, rows.columns)):
+        return None
+    return relational.fetch_with_ties(rows, int(m[3]), *order)
+
+
 def _null_order(order: str) -> str:
     out = []
     for term in re.split(r",(?![^()]*\))", order):
@@ -122,7 +160,12 @@ def sql(spark: SparkSession, statement: str, **args) -> DataFrame:
         learn = rows.where(train) if train else rows.where(f"{target} is not null")
         ask = rows.where(where) if where else rows
         return ml.predict(learn, ask, names, target, "class" if kind.upper() == "CLASS" else "value")
-    return spark.sql(rewrite(statement), args=args or None)
+    from . import dml
+
+    if dml.is_change(statement):
+        return dml.run(spark, statement, args)
+    tied = _with_ties(spark, statement, args)
+    return spark.sql(rewrite(statement), args=args or None) if tied is None else tied
 
 
 def parse_tree(spark: SparkSession, statement: str) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -82,3 +82,13 @@ def sample(a, n: int, seed: int) -> Column:
 
 def symmetric_difference(a, b) -> Column:
     return F.array_union(F.array_except(_c(a), _c(b)), F.array_except(_c(b), _c(a)))
+
+
+def int_array_aggregate(x) -> Column:
+    """All integers of a group in one array, nulls left out."""
+    return F.collect_list(F.col(x).cast("int") if isinstance(x, str) else x.cast("int"))
+
+
+def int_array_enum(df: DataFrame, array: str, name: str) -> DataFrame:
+    """A row for each element of an integer array."""
+    return df.select("*", F.explode(array).alias(name))

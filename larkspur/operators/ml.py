@@ -14,18 +14,25 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .relational import running_sum
+
+#: Categories that an expression may list; beyond it a dictionary is joined, or the step refuses.
+CATEGORIES = 1000
+#: Query vectors that are broadcast at once.
+QUERIES = 20_000
+
 # ---------------------------------------------------------------- encoding
 
 
 def encode_mapping(df: DataFrame, column: str, known: DataFrame | None = None) -> DataFrame:
     """``(text, encoded)``: stable codes from 1; new values get the next codes in order, known ones keep theirs."""
     values = df.select(F.col(column).alias("text")).where("text is not null").distinct()
+    base = 0
     if known is not None:
         values = values.join(known, "text", "left_anti")
-        base = known.agg(F.coalesce(F.max("encoded"), F.lit(0)).alias("_base"))
-        fresh = values.withColumn("encoded", F.row_number().over(Window.orderBy("text"))).crossJoin(F.broadcast(base))
-        return known.unionByName(fresh.select("text", (F.col("encoded") + F.col("_base")).cast("int").alias("encoded")))
-    return values.withColumn("encoded", F.row_number().over(Window.orderBy("text")))
+        base = known.agg(F.max("encoded")).first()[0] or 0
+    fresh = running_sum(values, [F.col("text")], F.lit(1).cast("long"), "_n").select("text", (F.col("_n") + 1 + base).cast("int").alias("encoded"))
+    return fresh if known is None else known.unionByName(fresh)
 
 
 def encode_column(df: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
@@ -39,16 +46,25 @@ def encode_column(df: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
 
 @dataclass
 class Step:
-    """A fitted preparation: an expression for each column it makes."""
+    """A fitted preparation: an expression for each column it makes, or a dictionary that is joined to one column."""
 
     name: str
     exprs: dict[str, Column] = field(default_factory=dict)
     drop: list[str] = field(default_factory=list)
+    codes: tuple[str, DataFrame] | None = None
 
     def apply(self, df: DataFrame) -> DataFrame:
+        if self.codes:
+            return encode_column(df, *self.codes)
         return df.withColumns(self.exprs).drop(*self.drop)
 
 
+def _categories(df: DataFrame, column: str) -> list | None:
+    """A column's values in order; None if they are more than ``CATEGORIES``."""
+    found = df.select(column).where(F.col(column).isNotNull()).distinct().limit(CATEGORIES + 1).collect()
+    return None if len(found) > CATEGORIES else sorted(r[0] for r in found)
+
+
 def _stats(df: DataFrame, aggs: dict[str, Column]) -> dict:
     return df.agg(*(a.alias(k) for k, a in aggs.items())).first().asDict()
 
@@ -97,13 +113,19 @@ def kbins(df: DataFrame, column: str, n: int, how: str = "quantile") -> Step:
 
 
 def one_hot(df: DataFrame, column: str) -> Step:
-    """A 0/1 column for each value, in order; the number of values must be small."""
-    values = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).collect()]
+    """A 0/1 column for each value, in order, of which there may be ``CATEGORIES``."""
+    values = _categories(df, column)
+    if values is None:
+        raise ValueError(f"{column} has more than {CATEGORIES} values; encode it by a dictionary instead")
     return Step("one_hot", {f"{column}_{v}": F.coalesce((F.col(column) == v).cast("int"), F.lit(0)) for v in values}, [column])
 
 
 def label_encoder(df: DataFrame, column: str) -> Step:
-    values = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).collect()]
+    """Codes from 0 in order of the values; null for null and for new values. Many values make a dictionary that is joined."""
+    values = _categories(df, column)
+    if values is None:
+        m = encode_mapping(df, column)
+        return Step("label", codes=(column, m.withColumn("encoded", F.col("encoded").cast("long") - 1)))
     return Step("label", {column: F.nullif(F.array_position(F.array(*map(F.lit, values)), F.col(column)), F.lit(0).cast("long")) - 1})
 
 
@@ -297,11 +319,17 @@ def classification_metrics(df: DataFrame, y: str, p: str) -> DataFrame:
 def auc(df: DataFrame, y: str, score: str) -> DataFrame:
     """Area under the curve by rank sums over distinct scores (ties count half); 0 if there is one class only."""
     by = df.groupBy(score).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.sum(1 - F.col(y).cast("long")).alias("neg"))
-    w = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    below = by.withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
+    below = running_sum(by, [F.col(score)], F.col("neg"), "below")
     return below.agg(F.coalesce(F.try_divide(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)), F.sum("pos") * F.sum("neg")), F.lit(0.0)).alias("auc"))
 
 
+def accuracy_at(df: DataFrame, key: str, y: str, score: str, k: int) -> DataFrame:
+    """``accuracy@k``: the share of keys with a row ``y = 1`` among their ``k`` best scores; ties go to the positive row."""
+    best = Window.partitionBy(key).orderBy(F.col(score).desc(), F.col(y).desc())
+    top = df.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).groupBy(key).agg(F.max(F.col(y)).alias("hit"))
+    return top.agg(F.coalesce(F.avg(F.col("hit").cast("double")), F.lit(0.0)).alias("accuracy"))
+
+
 def regression_metrics(df: DataFrame, y: str, p: str) -> DataFrame:
     e = F.col(y) - F.col(p)
     tot = F.var_pop(y) * F.count(y)
@@ -312,14 +340,80 @@ def regression_metrics(df: DataFrame, y: str, p: str) -> DataFrame:
 
 
 def knn(queries: DataFrame, base: DataFrame, k: int, qid: str, bid: str, vec: str, distance) -> DataFrame:
-    """Exact nearest neighbours: each query's ``k`` nearest, ids breaking ties. The queries must be few (broadcast if small)."""
+    """Exact nearest neighbours: each query's ``k`` nearest, ids breaking ties.
+
+    The queries are counted. Up to ``QUERIES`` are broadcast; more are dealt into blocks of about that many, each of which
+    meets every base row by an equi-join on the block's number.
+    """
+    n = queries.count()
     q = queries.select(F.col(qid).alias("query_id"), F.col(vec).alias("_q"))
-    pairs = base.select(F.col(bid).alias("neighbor_id"), F.col(vec).alias("_b")).join(q)
+    b = base.select(F.col(bid).alias("neighbor_id"), F.col(vec).alias("_b"))
+    if n <= QUERIES:
+        pairs = b.crossJoin(F.broadcast(q))
+    else:
+        blocks = -(-n // QUERIES)
+        pairs = b.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(q.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")), "_block")
     near = pairs.select("query_id", "neighbor_id", distance(F.col("_q"), F.col("_b")).alias("distance"))
     w = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+class VectorIndex:
+    """An inverted-file vector index: vectors lie by their nearest of ``cells`` centroids, a query reads its ``probes`` nearest cells.
+
+    Centroids come from at most ``SAMPLE`` vectors by k-means in numpy; every vector is indexed. The index is a Parquet table
+    partitioned by cell in the shared folder, so inserts append and a query's cells are pruned at the scan.
+    """
+
+    SAMPLE = 20_000
+
+    def __init__(self, spark: SparkSession, path: str, centroids: np.ndarray):
+        self.spark, self.path, self.centroids = spark, path, centroids
+
+    @staticmethod
+    def build(df: DataFrame, vec_id: str, vec: str, path: str, cells: int, rounds: int = 12, seed: int = 5) -> VectorIndex:
+        rows = df.select(F.col(vec).cast("array<double>").alias("v")).orderBy(F.xxhash64(F.col(vec_id), F.lit(seed)), vec_id).limit(VectorIndex.SAMPLE).collect()
+        x = np.array([r.v for r in rows])
+        rng = np.random.default_rng(seed)
+        c = x[rng.choice(len(x), min(cells, len(x)), replace=False)]
+        for _ in range(rounds):
+            near = ((x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)).argmin(1)
+            sums, counts = np.zeros_like(c), np.bincount(near, minlength=len(c))
+            np.add.at(sums, near, x)
+            c = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], c)
+        index = VectorIndex(df.sparkSession, path, c)
+        index.insert(df, vec_id, vec)
+        return index
+
+    def _distances(self, v: Column) -> Column:
+        """``(distance, cell)`` of each centroid."""
+        cells = F.array(*(F.struct(F.lit(i).alias("cell"), F.array(*map(F.lit, map(float, c))).alias("c")) for i, c in enumerate(self.centroids)))
+        return F.transform(cells, lambda x: F.struct(F.aggregate(F.zip_with(v, x["c"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d).alias("d"), x["cell"].alias("cell")))
+
+    def insert(self, df: DataFrame, vec_id: str, vec: str) -> None:
+        """Add vectors, one or many."""
+        v = F.col(vec).cast("array<double>")
+        rows = df.select(F.col(vec_id).alias("vec_id"), v.alias("vec"), F.array_min(self._distances(v))["cell"].alias("cell"))
+        rows.repartition("cell").write.mode("append").partitionBy("cell").parquet(self.path)
+
+    def table(self) -> DataFrame:
+        return self.spark.read.parquet(self.path)
+
+    def size(self) -> int:
+        return self.table().count()
+
+    def retrieve(self, ids: list) -> DataFrame:
+        return self.table().where(F.col("vec_id").isin(ids)).select("vec_id", "vec")
+
+    def query(self, queries: DataFrame, qid: str, vec: str, k: int, probes: int, distance) -> DataFrame:
+        """``query_id, neighbor_id, distance, rank``: the ``k`` nearest among the cells that are probed."""
+        v = F.col(vec).cast("array<double>")
+        q = queries.select(F.col(qid).alias("query_id"), v.alias("_q"), F.explode(F.slice(F.array_sort(self._distances(v)), 1, probes)["cell"]).alias("cell"))
+        near = self.table().join(q, "cell").select("query_id", F.col("vec_id").alias("neighbor_id"), distance(F.col("_q"), F.col("vec")).alias("distance"))
+        w = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
+        return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def kmeans_route(df: DataFrame, centroids: DataFrame, vec: str, distance) -> DataFrame:
     """Each vector's nearest centroid (``centroid_id``); the centroids are a fixed small table."""
     c = centroids.agg(F.sort_array(F.collect_list(F.struct("centroid_id", "centroid"))).alias("_c"))
@@ -332,16 +426,6 @@ def running_centroid(old: Column, n: Column, x: Column) -> Column:
     return F.zip_with(old, x, lambda a, b: a + (b - a) / (n + 1))
 
 
-def lsh_neighbors(df: DataFrame, vec_id: str, vec: str, threshold: float, bucket: float = 2.0, tables: int = 4) -> DataFrame:
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    v = df.select(vec_id, array_to_vector(F.col(vec).cast("array<double>")).alias("_v"))
-    model = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=bucket, numHashTables=tables, seed=3).fit(v)
-    found = model.approxSimilarityJoin(v, v, threshold, "distance")
-    return found.select(F.col(f"datasetA.{vec_id}").alias("a"), F.col(f"datasetB.{vec_id}").alias("b"), "distance").where("a < b")
-
-
 def distance_strategy(d: Column, top: float) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.log2(d) / np.log2(top)))
 

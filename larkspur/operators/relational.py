@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+from dataclasses import dataclass, field
 from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 
 def ordering(*terms: str) -> list[Column]:
     """``"a"``, ``"b desc"``, ``"c nulls first"``: ascending puts nulls last, descending first."""
@@ -55,43 +60,76 @@ def _at_or_before(term: str, rest: Column) -> Column:
 # ---------------------------------------------------------------- data changes as queries
 
 
+class CardinalityViolation(ValueError):
+    """A statement would change one row twice."""
+
+
 def insert_on_conflict(target: DataFrame, source: DataFrame, keys: list[str], update: list[str] | None = None) -> DataFrame:
-    """``INSERT … ON CONFLICT (keys) DO NOTHING``, or ``DO UPDATE SET`` the named columns to the new values."""
-    fresh = source.join(target.select(keys), keys, "left_anti").select(target.columns)
+    """``INSERT … ON CONFLICT (keys) DO NOTHING``, or ``DO UPDATE SET`` the named columns to the new values.
+
+    Of new rows with one key DO NOTHING inserts one, the least in column order; DO UPDATE refuses them. A null in a key
+    conflicts with nothing.
+    """
+    some = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
+    keyed, free = source.where(some), source.where(~some).select(target.columns)
+    fresh = keyed.join(target.select(keys), keys, "left_anti").select(target.columns)
     if not update:
-        return target.unionByName(fresh)
-    new = source.select(*keys, *(F.col(c).alias(f"_new_{c}") for c in update), F.lit(True).alias("_hit"))
+        once = fresh.groupBy(*keys).agg(F.min(F.struct(*target.columns)).alias("_r")).select("_r.*")
+        return target.unionByName(once).unionByName(free)
+    if keyed.groupBy(*keys).count().where("count > 1").limit(1).count():
+        raise CardinalityViolation("ON CONFLICT DO UPDATE command cannot affect row a second time")
+    new = keyed.select(*keys, *(F.col(c).alias(f"_new_{c}") for c in update), F.lit(True).alias("_hit"))
     changed = target.join(new, keys, "left").select(*(F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in update else F.col(c) for c in target.columns))
-    return changed.unionByName(fresh)
+    return changed.unionByName(fresh).unionByName(free)
 
 
-class CardinalityViolation(ValueError):
-    """A target row has several matching source rows."""
+@dataclass
+class When:
+    """One action of ``MERGE``. ``kind``: ``both``, ``source`` (not matched by the target) or ``target`` (not matched by the source);
+    ``action``: ``update``, ``delete``, ``insert`` or ``nothing``; ``values``: new values by column."""
+
+    kind: str
+    action: str
+    condition: Column | str | None = None
+    values: dict = field(default_factory=dict)
 
 
-def merge(target: DataFrame, source: DataFrame, keys: list[str], update: dict[str, Column] | None = None, delete: Column | None = None, insert: dict[str, Column] | None = None, check: bool = True) -> DataFrame:
-    """``MERGE``: one full join. In expressions target columns are ``t.…`` and source columns ``s.…``.
+def merge(target: DataFrame, source: DataFrame, keys: list[str], *whens: When) -> DataFrame:
+    """``MERGE``: the target after the first fitting action of each row. In expressions target columns are ``t.…``, source columns ``s.…``.
 
-    Matching rows are deleted where ``delete`` holds, else updated; source rows without a match are inserted.
+    Source rows may repeat a key as long as no target row is changed twice; those without a match are inserted one by one.
     """
-    if check and source.groupBy(*keys).count().where("count > 1").limit(1).count():
-        raise CardinalityViolation("MERGE command cannot affect row a second time")
-    t, s = target.withColumn("_t", F.lit(True)).alias("t"), source.withColumn("_s", F.lit(True)).alias("s")
     on = reduce(lambda a, b: a & b, (F.col(f"t.{k}") == F.col(f"s.{k}") for k in keys))
-    both = F.col("_t").isNotNull() & F.col("_s").isNotNull()
-    rows = t.join(s, on, "full")
-    if delete is not None:
-        rows = rows.where(~(both & F.coalesce(delete, F.lit(False))))
-    if insert is None:
-        rows = rows.where(F.col("_t").isNotNull())
-    update, put = update or {}, insert or {}
-    cols = []
-    for c in target.columns:
-        old = F.col(f"t.{c}")
-        value = F.when(F.col("_t").isNull(), put.get(c, F.lit(None)))
-        value = value.when(both, update[c]) if c in update else value
-        cols.append(value.otherwise(old).alias(c))
-    return rows.select(cols)
+    state = {"both": F.col("s._source").isNotNull(), "target": F.col("s._source").isNull(), "source": F.lit(True)}
+
+    def which(kinds: set[str]) -> Column:
+        out = F.lit(None).cast("int")
+        for i, w in reversed([(i, w) for i, w in enumerate(whens) if w.kind in kinds]):
+            out = F.when(state[w.kind] & (F.lit(True) if w.condition is None else F.coalesce(w.condition, F.lit(False))), F.lit(i)).otherwise(out)
+        return out
+
+    def values(action: str, c: str, old: Column) -> Column:
+        out = old
+        for i, w in enumerate(whens):
+            if w.action == action and c in w.values:
+                out = F.when(F.col("_which") == i, w.values[c]).otherwise(out)
+        return out.cast(target.schema[c].dataType).alias(c)
+
+    t = target.withColumn("_row", F.monotonically_increasing_id()).alias("t")
+    s = source.withColumn("_source", F.lit(True)).alias("s")
+    acts = [i for i, w in enumerate(whens) if w.action != "nothing"]
+    rows = t.join(s, on, "left").withColumn("_which", which({"both", "target"}))
+    acting = F.col("_which").isin(acts)
+    # the row's number is drawn once in each plan, and compared within it only
+    if rows.where(acting).groupBy("t._row").count().where("count > 1").limit(1).count():
+        raise CardinalityViolation("MERGE command cannot affect row a second time")
+    first = Window.partitionBy("t._row").orderBy(F.coalesce(acting, F.lit(False)).desc())
+    rows = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    gone = [i for i, w in enumerate(whens) if w.action == "delete"]
+    old = rows.where(~F.coalesce(F.col("_which").isin(gone), F.lit(False))).select(*(values("update", c, F.col(f"t.{c}")) for c in target.columns))
+    new = s.join(target.select(keys).alias("t"), on, "left_anti").withColumn("_which", which({"source"}))
+    new = new.where(F.col("_which").isin([i for i, w in enumerate(whens) if w.action == "insert"]))
+    return old.unionByName(new.select(*(values("insert", c, F.lit(None)) for c in target.columns)))
 
 
 def update_from(target: DataFrame, source: DataFrame, keys: list[str], values: dict[str, str]) -> DataFrame:
@@ -207,15 +245,19 @@ def crosstab_positional(df: DataFrame, row: str, category: str, value: str, n: i
 def connectby(df: DataFrame, key: str, parent: str, start, max_depth: int = 0, delim: str = "~") -> DataFrame:
     """``keyid, parent_keyid, level, branch`` of the tree below ``start``; a row that is its own ancestor is an error.
 
-    Breadth-first: each round joins the frontier with the edges; the driver sees one flag a round.
+    Breadth-first: each round joins the frontier with the edges and writes what it found to the shared folder, which cuts
+    the lineage; the driver sees one flag a round.
     """
+    spark, folder = df.sparkSession, f"{shared_folder(df.sparkSession)}/larkspur-{uuid.uuid4().hex}"
     edges = df.select(F.col(key).alias("keyid"), F.col(parent).alias("parent_keyid"))
     frontier = edges.where(F.col("keyid") == start).limit(1).select("keyid", F.lit(None).cast(edges.schema["parent_keyid"].dataType).alias("parent_keyid"), F.lit(0).alias("level"), F.col("keyid").cast("string").alias("branch"))
     found, level = frontier, 0
     while not max_depth or level < max_depth:
         level += 1
         f = frontier.select(F.col("keyid").alias("parent_keyid"), F.col("branch").alias("_up"))
-        frontier = edges.join(f, "parent_keyid").select("keyid", "parent_keyid", F.lit(level).alias("level"), F.concat("_up", F.lit(delim), F.col("keyid").cast("string")).alias("branch"), "_up").persist()
+        frontier = edges.join(f, "parent_keyid").select("keyid", "parent_keyid", F.lit(level).alias("level"), F.concat("_up", F.lit(delim), F.col("keyid").cast("string")).alias("branch"), "_up")
+        frontier.write.parquet(f"{folder}-{level}")
+        frontier = spark.read.schema(frontier.schema).parquet(f"{folder}-{level}")
         loop = frontier.where(F.array_contains(F.split("_up", "\\Q" + delim + "\\E"), F.col("keyid").cast("string"))).limit(1).count()
         if loop:
             raise ValueError("infinite recursion detected")
@@ -226,6 +268,24 @@ def connectby(df: DataFrame, key: str, parent: str, start, max_depth: int = 0, d
     return found
 
 
+def running_sum(df: DataFrame, order: list[Column], value: Column, name: str) -> DataFrame:
+    """``name``: the sum of ``value`` over all rows before each row in the order, without one task that holds all rows.
+
+    Rows are dealt into ranges and written, so that they lie the same in both readings; one sum a range meets the driver.
+    """
+    spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/larkspur-{uuid.uuid4().hex}"
+    df.withColumn("_v", value).repartitionByRange(*order).withColumn("_pid", F.spark_partition_id()).write.parquet(path)
+    placed = spark.read.parquet(path)
+    total, rows = 0, []
+    for r in sorted(placed.groupBy("_pid").agg(F.sum("_v").alias("s")).collect()):
+        rows.append((r["_pid"], total))
+        total += r["s"] or 0
+    kind = placed.schema["_v"].dataType.simpleString()
+    base = spark.createDataFrame(rows, f"_pid int, _base {kind if kind == 'double' else 'bigint'}")
+    before = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return placed.join(F.broadcast(base), "_pid").withColumn(name, F.col("_base") + F.coalesce(F.sum("_v").over(before), F.lit(0))).drop("_pid", "_base", "_v")
+
+
 def generate_series(spark, start: int, stop: int, step: int = 1) -> DataFrame:
     return spark.range(start, stop + (1 if step > 0 else -1), step).select(F.col("id").alias("generate_series"))
 
@@ -253,5 +313,14 @@ def tablesample(df: DataFrame, method: str, percent: float, seed: int | None = N
     return df.where(kept)
 
 
-def system_rows(df: DataFrame, n: int) -> DataFrame:
-    return df.limit(n)
+def system_rows(df: DataFrame, n: int, seed: int | None = None) -> DataFrame:
+    """``TABLESAMPLE system_rows(n)``: ``n`` rows drawn at random, or all if there are fewer, by a top-n of random keys."""
+    return df.withColumn("_u", F.rand(seed)).orderBy("_u").limit(n).drop("_u")
+
+
+def system_time(df: DataFrame, ms: float, seed: int = 0) -> DataFrame:
+    """``TABLESAMPLE system_time(ms)``: what can be read in about so long. The rate is measured on a thousandth of the rows."""
+    share, start = 0.001, time.perf_counter()
+    df.sample(share, seed).write.format("noop").mode("overwrite").save()
+    spent = max(time.perf_counter() - start, 1e-3) * 1000
+    return df.sample(min(1.0, share * ms / spent), seed) if ms / spent * share < 1 else df

@@ -34,11 +34,34 @@ def series(log: DataFrame, at: str, key: str, seconds: int) -> DataFrame:
 
 
 def ewma(df: DataFrame, key: str, at: str, value: str, alpha: float) -> DataFrame:
-    """Exponentially weighted mean after each row of a key, from the first value on."""
-    w = Window.partitionBy(key).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
-    own = F.collect_list(F.col(value).cast("double")).over(w)
-    fold = F.aggregate(F.slice(own, F.lit(2), F.greatest(F.size(own) - 1, F.lit(0))), own[0], lambda s, x: s * (1 - alpha) + x * alpha)
-    return df.withColumn("ewma", fold)
+    """Exponentially weighted mean after each row of a key, from the first value on, in work linear in the rows."""
+    w = Window.partitionBy(key).orderBy(at)
+    rows = df.withColumn("_i", F.row_number().over(w) - 1)
+    rows = rows.withColumn("_y", F.col(value).cast("double") * F.when(F.col("_i") == 0, 1.0).otherwise(alpha))
+    return _decayed(rows, key, "_i", "_y", 1 - alpha, "ewma").drop("_i", "_y")
+
+
+def _decayed(rows: DataFrame, key: str, i: str, y: str, keep: float, out: str) -> DataFrame:
+    """``out``: the sum of all ``y`` up to a row, each times ``keep`` to the power of its distance.
+
+    Rows fall into blocks in which powers stay within a double's range; a block's sum is carried into the next one, by
+    the same rule over blocks.
+    """
+    size = 256 if keep >= 1 or keep <= 0 else max(2, min(256, int(200 / -math.log10(keep))))
+    block, inside = F.floor(F.col(i) / size), F.col(i) % size
+    w = Window.partitionBy(key, "_b").orderBy(i).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_b", block).withColumn("_p", F.pow(F.lit(float(keep)), inside.cast("double")))
+    rows = rows.withColumn("_own", F.sum(F.col(y) / F.col("_p")).over(w) * F.col("_p"))
+    ends = rows.groupBy(key, "_b").agg(F.max_by("_own", i).alias("_t"))
+    onward = keep**size
+    if onward > 1e-18:  # else what lies further back is below the last digit
+        sums = _decayed(ends.withColumnRenamed("_b", "_j"), key, "_j", "_t", onward, "_e").select(key, (F.col("_j") + 1).alias("_b"), F.col("_e").alias("_c"))
+    else:
+        sums = ends.select(key, (F.col("_b") + 1).alias("_b"), F.col("_t").alias("_c"))
+    sums = sums.withColumnRenamed(key, "_k").withColumnRenamed("_b", "_b2")
+    rows = rows.join(sums, rows[key].eqNullSafe(sums["_k"]) & (F.col("_b") == F.col("_b2")), "left")
+    carried = F.coalesce(F.col("_c"), F.lit(0.0)) * F.col("_p") * float(keep)
+    return rows.withColumn(out, F.col("_own") + carried).drop("_b", "_p", "_own", "_k", "_b2", "_c")
 
 
 def forecast_linear(df: DataFrame, key: str, x: str, y: str, horizon: int) -> DataFrame:
@@ -161,11 +184,6 @@ def optimize_query(sql: str, sizes: dict[str, int], form: str = "hint") -> str:
     return re.sub(r"(?i)^\s*SELECT\b", f"SELECT /*+ {', '.join(hints)} */", sql, count=1) if hints else sql
 
 
-def encode_latency(v: float, timeout: float) -> float:
-    """Latency on a log scale in 200 steps."""
-    return int(math.log(2 + v) / math.log(timeout) * 200) / 200
-
-
 class PlanBuffer:
     """Plans tried for a query, with their latencies; the nearest neighbours' best hint is chosen."""
 

@@ -92,13 +92,10 @@ def _(t, spark):
     return t("lineitem").agg(F.approx_count_distinct("l_partkey").alias("parts"), F.hll_sketch_estimate(F.hll_sketch_agg("l_orderkey")).alias("orders"))
 
 
-@built("hash_sort_agg_agree", "SELECT 0::BIGINT AS differing")
+@built("hash_sort_agg_agree", "SELECT o_custkey, count(*) AS n, max(o_orderkey) AS by_hash, max(o_orderkey) AS by_sort FROM orders GROUP BY o_custkey")
 def _(t, spark):
-    """One aggregation by two plans (grouped; by windows and distinct): the difference both ways is empty."""
-    from pyspark.sql import Window
-
+    """One aggregation by two plans, side by side: a number's maximum is kept in a hash table, a string's by sorting."""
     o = t("orders")
-    a = o.groupBy("o_custkey").agg(F.count("*").alias("n"), F.max("o_orderkey").alias("m"))
-    w = Window.partitionBy("o_custkey")
-    b = o.select("o_custkey", F.count("*").over(w).alias("n"), F.max("o_orderkey").over(w).alias("m")).distinct()
-    return a.exceptAll(b).unionAll(b.exceptAll(a)).agg(F.count("*").alias("differing"))
+    a = o.groupBy("o_custkey").agg(F.count("*").alias("n"), F.max("o_orderkey").alias("by_hash"))
+    b = o.groupBy("o_custkey").agg(F.max(F.lpad(F.col("o_orderkey").cast("string"), 20, "0")).cast("long").alias("by_sort"))
+    return a.join(b, "o_custkey")

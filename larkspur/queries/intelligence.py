@@ -128,23 +128,28 @@ def _(t, spark):
 
 @built("predict_class")
 def _(t, spark):
+    """Three classes, all rows."""
     from .. import dialect
 
-    t("orders").where("o_orderstatus <> 'P'").createOrReplaceTempView("orders")
+    t("orders").createOrReplaceTempView("orders")
     return dialect.sql(spark, "PREDICT CLASS OF o_orderstatus FROM orders TRAIN ON o_totalprice, o_custkey").select("o_orderkey", "o_orderstatus", "prediction")
 
 
-@built("model_registry", "SELECT count(*) AS n, true AS found, true AS moved FROM part")
+_FIT = "(SELECT regr_slope(p_retailprice, p_size) AS b, regr_intercept(p_retailprice, p_size) AS a, regr_slope(p_retailprice, p_size) FILTER (WHERE p_size > 25) AS b2, regr_intercept(p_retailprice, p_size) FILTER (WHERE p_size > 25) AS a2 FROM part)"
+
+
+@built("model_registry", f"SELECT p_partkey, round(a + b * p_size, 3) AS first, round((a + a2) / 2 + (b + b2) / 2 * p_size, 3) AS tuned, 1::BIGINT AS found FROM part, {_FIT}")
 def _(t, spark):
+    """A model is trained, looked up, used, tuned half way to other rows, and used again."""
     from .tables import _folder
 
     t("part").createOrReplaceTempView("part")
     r = ml.Registry(spark, _folder(spark))
-    one = r.train("part", ["p_size"], "p_retailprice")
-    found = r.lookup("part", ["p_size"], "p_retailprice") == one and r.lookup("part", ["p_partkey"], "p_retailprice") is None
-    old = r.load(one).bias
-    r.finetune(one, t("part").where("p_size > 25"), "p_retailprice")
-    return r.inference(one, t("part")).agg(F.count("prediction").alias("n")).select("n", F.lit(found).alias("found"), F.lit(old != r.load(one).bias).alias("moved"))
+    r.train("part", ["p_size"], "p_retailprice")
+    found = r.lookup("part", ["p_size"], "p_retailprice")
+    one = r.inference(found, t("part"), "first")
+    r.finetune(found, t("part").where("p_size > 25"), "p_retailprice")
+    return r.inference(found, one, "tuned").select("p_partkey", F.round("first", 3).alias("first"), F.round("tuned", 3).alias("tuned"), F.lit(found).cast("long").alias("found"))
 
 
 _D = "list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
@@ -164,17 +169,23 @@ def _(t, spark):
     return ml.kmeans_route(e, c, "embedding", G.l2).select("vec_id", "centroid_id")
 
 
-@built("ann_lsh")
+@built("ann_ivf")
 def _(t, spark):
-    return ml.lsh_neighbors(t("embeddings"), "vec_id", "embedding", 0.8)
+    """The nearest ten of every row whose id is divisible by 50, by an inverted-file index over all rows."""
+    from .tables import _folder
+
+    e = t("embeddings")
+    index = ml.VectorIndex.build(e, "vec_id", "embedding", _folder(spark), cells=32)
+    return index.query(e.where("vec_id % 50 = 0"), "vec_id", "embedding", 10, 20, G.l2).select("query_id", "neighbor_id", "rank")
 
 
-@built("quantize_delta", "SELECT count(*) AS n, true AS within FROM embeddings")
+@built("quantize_delta", """
+SELECT vec_id, round(step, 9) AS scale, round(lo, 9) AS zero, list_sum(list_transform(x, lambda v: round((v - lo) / step)))::BIGINT AS codes
+FROM (SELECT *, (list_max(x) - list_min(x)) / 255.0 AS step, list_min(x) AS lo FROM (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings))""")
 def _(t, spark):
     q = ml.quantize(F.col("embedding").cast("array<double>"), 8)
-    e = t("embeddings").select(F.col("embedding").cast("array<double>").alias("x"), q.alias("q"))
-    off = F.array_max(F.zip_with("x", ml.dequantize(F.col("q")), lambda a, b: F.abs(a - b)))
-    return e.agg(F.count("*").alias("n"), F.bool_and(off <= F.col("q.scale") * 0.500001).alias("within"))
+    total = F.aggregate(F.col("q.codes"), F.lit(0).cast("long"), lambda a, b: a + b)
+    return t("embeddings").select("vec_id", q.alias("q")).select("vec_id", F.round("q.scale", 9).alias("scale"), F.round("q.zero", 9).alias("zero"), total.alias("codes"))
 
 
 @built("strategy_scores", "SELECT p_partkey, round(greatest(0, least(1, log2(p_size) / log2(64))), 8) AS d, CASE WHEN ceil(log2(p_size / 0.1)) <= 6 THEN 0 ELSE round(1 - exp(-0.5 * (ceil(log2(p_size / 0.1)) - 6)), 8) END AS b FROM part")
@@ -251,7 +262,18 @@ def _(t, spark):
     return spark.createDataFrame(made, "table string, column string")
 
 
-@built("interpolate_series", "SELECT x, y FROM (VALUES (1, 1.0::DOUBLE), (2, 2.0), (3, 3.0), (4, 3.0)) v(x, y)")
+@built("interpolate_series", """
+WITH d AS (SELECT p_partkey % 5 AS k, p_partkey AS x, CASE WHEN p_partkey % 3 > 0 THEN p_retailprice END AS y FROM part),
+n AS (SELECT *, last_value(CASE WHEN y IS NOT NULL THEN x END IGNORE NULLS) OVER b AS x0, last_value(y IGNORE NULLS) OVER b AS y0, first_value(CASE WHEN y IS NOT NULL THEN x END IGNORE NULLS) OVER f AS x1, first_value(y IGNORE NULLS) OVER f AS y1
+ FROM d WINDOW b AS (PARTITION BY k ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (PARTITION BY k ORDER BY x ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT x, round(coalesce(y, y0 + (y1 - y0) * (x - x0)::DOUBLE / (x1 - x0), y0, y1), 6) AS y FROM n""")
+def _(t, spark):
+    d = t("part").select((F.col("p_partkey") % 5).alias("k"), F.col("p_partkey").alias("x"), F.expr("CASE WHEN p_partkey % 3 > 0 THEN p_retailprice END").alias("y"))
+    return W.interpolate(d, "k", "x", "y").select("x", F.round("y", 6).alias("y"))
+
+
+@built("accuracy_at_k", """
+SELECT avg(hit)::DOUBLE AS accuracy FROM (SELECT l_orderkey, max(hit) AS hit FROM (SELECT l_orderkey, (l_returnflag = 'R')::INT AS hit, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, (l_returnflag = 'R')::INT DESC) AS rn FROM lineitem) WHERE rn <= 2 GROUP BY 1)""")
 def _(t, spark):
-    d = spark.createDataFrame([(1, 1, 1.0), (1, 2, None), (1, 3, 3.0), (1, 4, None)], "k int, x int, y double")
-    return W.interpolate(d, "k", "x", "y").select("x", "y")
+    li = t("lineitem").select("l_orderkey", (F.col("l_returnflag") == "R").cast("int").alias("y"), "l_quantity")
+    return ml.accuracy_at(li, "l_orderkey", "y", "l_quantity", 2)

@@ -28,7 +28,13 @@ SELECT r_name, p_brand, count(*) AS n, round(sum(l_extendedprice), 2) AS price F
 JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
 WHERE p_size < 15 AND s_acctbal > 0 GROUP BY r_name, p_brand""")
 same("join_comma_implicit", "SELECT min(c_name) AS c, min(o_orderdate) AS d, count(*) AS n FROM customer, orders, nation WHERE c_custkey = o_custkey AND c_nationkey = n_nationkey AND n_name < 'F'")
-pair("not_in_projected", "SELECT n_nationkey, CASE WHEN n_nationkey IN (1, 2) THEN false WHEN n_nationkey IS NULL THEN NULL ELSE NULL END AS out_of FROM nation", "SELECT n_nationkey, n_nationkey NOT IN (1, 2, NULL) AS out_of FROM nation")
+same("not_in_list_projected", "SELECT n_nationkey, n_nationkey NOT IN (1, 2, NULL) AS out_of, nullif(n_nationkey, 3) NOT IN (1, 2) AS other FROM nation")
+same("not_in_projected", "SELECT n_nationkey, n_nationkey NOT IN (SELECT nullif(r_regionkey, 3) FROM region) AS out_of, nullif(n_nationkey, 5) NOT IN (SELECT r_regionkey FROM region) AS other FROM nation")
+same("in_projected", "SELECT s_suppkey, s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) AS near FROM supplier")
+same("join_theta_only", "SELECT a.r_regionkey AS a, count(*) AS n, min(b.n_nationkey) AS lo FROM region a JOIN nation b ON a.r_regionkey * 5 < b.n_nationkey GROUP BY a.r_regionkey")
+same("join_theta_left", "SELECT n.n_nationkey, r.r_regionkey FROM nation n LEFT JOIN region r ON n.n_nationkey < r.r_regionkey")
+same("join_merge_forced", "SELECT /*+ MERGE(c) */ c.c_mktsegment, o.o_orderpriority, count(*) AS n FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY c.c_mktsegment, o.o_orderpriority")
+same("join_merge_full", "SELECT /*+ MERGE(b) */ a.k AS ak, b.k AS bk FROM (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F') a FULL JOIN (SELECT c_custkey AS k FROM customer WHERE c_acctbal > 0) b ON a.k = b.k")
 
 
 @built("join_asof", """

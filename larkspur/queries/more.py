@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..functions import crypto, textsearch, xml
+from ..functions import arrays, crypto, textsearch, xml
 from ..functions import ranges as N
 from ..operators import procedural as P
 from ..operators import relational as R
@@ -49,7 +49,10 @@ def _(t, spark):
     return t("nation").select("n_nationkey", crypto.digest(n, "md5").alias("m"), crypto.digest(n, "sha1").alias("s1"), crypto.digest(n, "sha256").alias("s2"), crypto.decrypt(crypto.encrypt(n, key), key).alias("back"))
 
 
-@built("fn_hmac")
+_PADS = [bytes(b ^ x for b in b"key".ljust(64, b"\0")).hex() for x in (0x5C, 0x36)]
+
+
+@built("fn_hmac", f"SELECT n_nationkey, sha256(from_hex('{_PADS[0]}') || from_hex(sha256(from_hex('{_PADS[1]}') || encode(n_name)))) AS h FROM nation")
 def _(t, spark):
     return t("nation").select("n_nationkey", crypto.hmac("n_name", F.lit("key"), F.lit("sha256")).alias("h"))
 
@@ -112,6 +115,15 @@ def _(t, spark):
     return t("orders").where("o_orderkey = 32").select("o_orderkey", "o_totalprice")
 
 
-same("agg_int_array", "SELECT n_regionkey, count(*) AS n, min(n_nationkey) AS lo FROM nation GROUP BY n_regionkey")
+
+
+@built("agg_int_array", "SELECT n_regionkey, array_to_string(list(n_nationkey ORDER BY n_nationkey), ',') AS keys, sum(n_nationkey)::BIGINT AS total FROM nation GROUP BY n_regionkey")
+def _(t, spark):
+    """``int_array_aggregate`` and, the other way, ``int_array_enum``: the keys in an array, and taken out of it again."""
+    packed = t("nation").groupBy("n_regionkey").agg(arrays.int_array_aggregate("n_nationkey").alias("a"))
+    out = arrays.int_array_enum(packed, "a", "key").groupBy("n_regionkey").agg(F.sum("key").alias("total"))
+    return packed.join(out, "n_regionkey").select("n_regionkey", F.array_join(F.array_sort("a"), ",").alias("keys"), "total")
+
+
 pair("extract_epoch_dow_sql", "SELECT event_id, EXTRACT(DOW FROM ts) AS d, CAST(EXTRACT(EPOCH FROM ts) AS BIGINT) AS e FROM events", "SELECT event_id, extract(dow FROM ts)::INT AS d, floor(epoch(ts))::BIGINT AS e FROM events")
 pair("at_time_zone_sql", "SELECT event_id, CAST(ts AT TIME ZONE 'Asia/Tokyo' AS TIMESTAMP_NTZ) AS u FROM events", "SELECT event_id, ts - INTERVAL 9 HOUR AS u FROM events")

@@ -1,12 +1,12 @@
 """Set operations, recursion, data changes as queries, tables from tables, files and streams."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from .. import catalog
 from ..operators import relational as R
+from ..session import shared_folder
 from ..sources import copy, vectors
 from ..streaming import events as S
 from . import built, same
@@ -41,7 +41,8 @@ SELECT coalesce(t.o_orderkey, s.o_orderkey) AS o_orderkey, coalesce(t.o_custkey,
 FROM {_BASE} t FULL JOIN {_CHANGES} s ON t.o_orderkey = s.o_orderkey WHERE NOT (t.o_orderkey IS NOT NULL AND s.o_orderkey IS NOT NULL AND s.o_custkey % 2 = 0)""")
 def _(t, spark):
     put = {c: F.col(f"s.{c}") for c in ("o_orderkey", "o_custkey", "o_totalprice")}
-    return R.merge(_base(t), _changes(t), ["o_orderkey"], update={"o_totalprice": F.col("s.o_totalprice")}, delete=F.col("s.o_custkey") % 2 == 0, insert=put)
+    whens = [R.When("both", "delete", F.col("s.o_custkey") % 2 == 0), R.When("both", "update", None, {"o_totalprice": F.col("s.o_totalprice")}), R.When("source", "insert", None, put)]
+    return R.merge(_base(t), _changes(t), ["o_orderkey"], *whens)
 
 
 @built("update_from", f"SELECT t.o_orderkey, t.o_custkey, coalesce(s.o_totalprice, t.o_totalprice) AS o_totalprice FROM {_BASE} t LEFT JOIN {_CHANGES} s ON t.o_orderkey = s.o_orderkey")
@@ -59,9 +60,19 @@ def _(t, spark):
     return _base(t).join(_changes(t), ["o_orderkey"], "left_semi")
 
 
+@built("merge_repeated_source", f"""
+SELECT o_orderkey, o_custkey, o_totalprice FROM {_BASE} UNION ALL SELECT s.* FROM {_CHANGES} s, range(2) WHERE s.o_orderkey NOT IN (SELECT o_orderkey FROM orders) AND s.o_custkey % 3 = 0""")
+def _(t, spark):
+    """Source rows that repeat a key without a match are inserted one by one; matching ones that do nothing are no error."""
+    put = {c: F.col(f"s.{c}") for c in ("o_orderkey", "o_custkey", "o_totalprice")}
+    return R.merge(_base(t), _changes(t).unionByName(_changes(t)), ["o_orderkey"], R.When("both", "nothing"), R.When("source", "insert", F.col("s.o_custkey") % 3 == 0, put))
+
+
 @built("on_conflict_do_nothing", f"SELECT * FROM {_BASE} t UNION ALL SELECT * FROM {_CHANGES} s WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders)")
 def _(t, spark):
-    return R.insert_on_conflict(_base(t), _changes(t), ["o_orderkey"])
+    """New rows come twice, the second time dearer: one of each key goes in."""
+    twice = _changes(t).unionByName(_changes(t).withColumn("o_totalprice", F.col("o_totalprice") + 1))
+    return R.insert_on_conflict(_base(t), twice, ["o_orderkey"])
 
 
 @built("on_conflict_do_update", f"SELECT coalesce(t.o_orderkey, s.o_orderkey) AS o_orderkey, coalesce(t.o_custkey, s.o_custkey) AS o_custkey, coalesce(s.o_totalprice, t.o_totalprice) AS o_totalprice FROM {_BASE} t FULL JOIN {_CHANGES} s ON t.o_orderkey = s.o_orderkey")
@@ -70,8 +81,7 @@ def _(t, spark):
 
 
 def _folder(spark) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
-    return f"{root.rstrip('/')}/larkspur-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/larkspur-{uuid.uuid4().hex}"
 
 
 @built("ctas", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus")

@@ -40,3 +40,12 @@ def _(t, spark):
 
 pair("win_top_per_group", "SELECT o_custkey, o_orderkey, CAST(rn AS BIGINT) AS rn FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC NULLS LAST, o_orderkey) AS rn FROM orders) x WHERE rn <= 3",
      "SELECT o_custkey, o_orderkey, CAST(rn AS BIGINT) AS rn FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC NULLS LAST, o_orderkey) AS rn FROM orders) x WHERE rn <= 3")
+
+
+_W = "SELECT l_orderkey, l_linenumber, {} FROM lineitem"
+_O = "PARTITION BY l_orderkey ORDER BY l_quantity"
+same("win_groups_sql", _W.format(f"sum(l_quantity) OVER ({_O} GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS s, count(*) OVER ({_O} GROUPS 2 PRECEDING) AS n, min(l_linenumber) OVER ({_O} GROUPS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS lo"))
+same("win_groups_exclude_sql", _W.format(", ".join(f"{fn}({x}) OVER ({_O} GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW EXCLUDE {e}) AS {fn}_{k}" for k, e in enumerate(("CURRENT ROW", "GROUP", "TIES", "NO OTHERS")) for fn, x in (("sum", "l_linenumber"), ("count", "l_linenumber"), ("max", "l_linenumber")))))
+same("win_exclude_running_sql", "SELECT o_orderkey, {} FROM orders".format(", ".join(f"{fn}(o_orderkey % 7) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW EXCLUDE {e}) AS {fn}_{k}" for k, e in enumerate(("CURRENT ROW", "GROUP", "TIES")) for fn in ("sum", "count", "min", "max"))))
+same("win_exclude_range_sql", _W.format(", ".join(f"{fn}(l_linenumber) OVER ({_O} RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE {e}) AS {fn}_{k}" for k, e in enumerate(("CURRENT ROW", "GROUP", "TIES")) for fn in ("sum", "count", "max"))))
+same("win_exclude_peers_rows_sql", "SELECT o_orderkey, sum(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderstatus, o_orderkey ROWS BETWEEN 1 PRECEDING AND 3 FOLLOWING EXCLUDE TIES) AS s, avg(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING EXCLUDE CURRENT ROW) AS a FROM orders WHERE o_totalprice > 1000")
