@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import frames
 from .functions import strings
@@ -145,21 +146,42 @@ def _order_nulls(s: str) -> str:
     return f"{m[1]}ORDER BY {_null_order(m[2])}{m[3] or ''}"
 
 
-_PREDICT = re.compile(r"\s*PREDICT\s+(VALUE|CLASS)\s+OF\s+(\w+)\s+FROM\s+(\w+)(?:\s+WHERE\s+(.*?))?\s+TRAIN\s+ON\s+(\*|[\w\s,]+?)(?:\s+WITH\s+(.*?))?\s*;?\s*", re.I | re.S)
+_PREDICT = re.compile(r"\s*PREDICT\s+(VALUE|CLASS)\s+OF\s+(\w+|\"[^\"]+\")\s+FROM\s+([\w.]+|\"[^\"]+\")(?:\s+WHERE\s+(.*?))?\s+TRAIN\s+ON\s+(.+?)(?:\s+WITH\s+(.*?))?(?:\s+USING\s+MODEL\s+(\w+))?\s*;?\s*", re.I | re.S)
+
+
+def _predict(spark: SparkSession, m: re.Match) -> DataFrame:
+    """``TRAIN ON`` takes columns, expressions, quoted names or ``*``.
+
+    ``USING MODEL linear | mlp | cross`` trains a network; where the session sets ``larkspur.models`` to a folder, networks are
+    kept there and a later statement with the same table, features and target uses what it finds.
+    """
+    from .dml import _items
+    from .operators import ml, models
+
+    kind, target, name, where, listed, train, model = m.groups()
+    name = name.strip('"')
+    rows = spark.table(name)
+    bare = target.strip('"')
+    columns = [f"`{c}`" for c in rows.columns if c != bare] if listed.strip() == "*" else [re.sub(r'"([^"]+)"', r"`\1`", c) for c in _items(listed)]
+    learn = rows.where(rewrite(train)) if train else rows.where(F.col(f"`{bare}`").isNotNull())
+    ask = rows.where(rewrite(where)) if where else rows
+    folder = spark.conf.get("larkspur.models", None)
+    if model or folder:
+        classify = kind.upper() == "CLASS"
+        if folder:
+            return models.predict(models.Store(spark, folder), name, ask, columns, f"`{bare}`", kind.lower(), learn)
+        return ask.withColumn("prediction", models.fit(learn, columns, f"`{bare}`", model.lower(), classify).column())
+    # expressions become columns of their own for the closed forms
+    plain = {f"_x{i}": c for i, c in enumerate(columns)}
+    made = lambda df: df.withColumns({k: F.expr(c) for k, c in plain.items()})
+    return ml.predict(made(learn), made(ask), list(plain), bare, kind.lower()).drop(*plain)
 
 
 def sql(spark: SparkSession, statement: str, **args) -> DataFrame:
-    """Run a statement. ``PREDICT VALUE | CLASS OF target FROM table [WHERE …] TRAIN ON columns [WITH train condition]``."""
+    """Run a statement. ``PREDICT VALUE | CLASS OF target FROM table [WHERE …] TRAIN ON list [WITH train condition] [USING MODEL kind]``."""
     m = _PREDICT.fullmatch(statement)
     if m:
-        from .operators import ml
-
-        kind, target, name, where, columns, train = m.groups()
-        rows = spark.table(name)
-        names = [c for c in rows.columns if c != target] if columns.strip() == "*" else [c.strip() for c in columns.split(",")]
-        learn = rows.where(train) if train else rows.where(f"{target} is not null")
-        ask = rows.where(where) if where else rows
-        return ml.predict(learn, ask, names, target, "class" if kind.upper() == "CLASS" else "value")
+        return _predict(spark, m)
     from . import dml
 
     if dml.is_change(statement):

@@ -71,6 +71,36 @@ def forecast_linear(df: DataFrame, key: str, x: str, y: str, horizon: int) -> Da
     return steps.select(key, "step", (F.col("intercept") + F.col("slope") * (F.col("last") + F.col("step"))).alias("forecast"))
 
 
+class Forecaster:
+    """A straight line for each key: ``fit``, ``predict`` a horizon, ``evaluate`` on later periods.
+
+    Periods are numbers. Keys need ten periods; gaps between them don't matter to a line. The fitted lines are one aggregate.
+    """
+
+    LEAST = 10
+
+    def __init__(self, key: str, x: str, y: str):
+        self.key, self.x, self.y, self.lines = key, x, y, None
+
+    def fit(self, df: DataFrame) -> Forecaster:
+        own = F.regr_slope(self.y, self.x), F.regr_intercept(self.y, self.x)
+        self.lines = df.groupBy(self.key).agg(F.count("*").alias("_n"), F.max(self.x).alias("_last"), own[0].alias("_slope"), own[1].alias("_intercept")).where(F.col("_n") >= self.LEAST)
+        return self
+
+    def predict(self, horizon: int) -> DataFrame:
+        """``key, x, forecast`` for the ``horizon`` periods after each key's last one; no line falls below zero."""
+        steps = self.lines.withColumn("_step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
+        at = F.col("_last") + F.col("_step")
+        return steps.select(self.key, at.alias(self.x), F.greatest(F.lit(0.0), F.col("_intercept") + F.col("_slope") * at).alias("forecast"))
+
+    def evaluate(self, later: DataFrame) -> DataFrame:
+        """``mae, rmse, mape, n`` over the rows of ``later`` whose key has a line; ``mape`` leaves actual zeros out."""
+        both = later.join(self.lines, self.key)
+        e = F.col(self.y) - F.greatest(F.lit(0.0), F.col("_intercept") + F.col("_slope") * F.col(self.x))
+        share = F.abs(e / F.nullif(F.col(self.y).cast("double"), F.lit(0.0)))
+        return both.agg(F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), (F.avg(share) * 100).alias("mape"), F.count("*").alias("n"))
+
+
 def interpolate(df: DataFrame, key: str, at: str, value: str) -> DataFrame:
     """Gaps filled on the straight line between their neighbours; at the ends by the nearest value."""
     back = Window.partitionBy(key).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
@@ -99,47 +129,88 @@ def index_budget(candidates: DataFrame, score: str, size: str, budget: float) ->
     return candidates.withColumn("running", F.sum(size).over(order)).where(F.col("running") <= budget)
 
 
+class Journal:
+    """Small tables as appended Parquet files under a folder, so that they outlive the driver. The newest row of a key counts."""
+
+    def __init__(self, spark: SparkSession, path: str | None, schemas: dict[str, str]):
+        self.spark, self.path, self.schemas = spark, path, schemas
+
+    def table(self, name: str) -> DataFrame:
+        try:
+            if self.path is not None:
+                return self.spark.read.schema(self.schemas[name]).parquet(f"{self.path}/{name}")
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+        return self.spark.createDataFrame([], self.schemas[name])
+
+    def add(self, name: str, rows: list[tuple]) -> None:
+        if self.path is not None and rows:
+            self.spark.createDataFrame(rows, self.schemas[name]).coalesce(1).write.mode("append").parquet(f"{self.path}/{name}")
+
+    def newest(self, name: str, keys: list[str]) -> list:
+        """The last row of each key by ``at``."""
+        t = self.table(name)
+        return t.groupBy(*keys).agg(F.max_by(F.struct(*t.columns), "at").alias("r")).select("r.*").collect()
+
+
 class LayoutAdvisor:
     """The registry of layouts (Spark's stand-in for indexes): sorted and bucketed copies under a storage budget.
 
     Queries come in by ``enqueue`` (SELECTs only); ``work`` scores the columns they filter on with fading weights and
-    creates what pays within the budget.
+    creates what pays within the budget. With a ``path``, queue, facts and registry are tables there, and another
+    driver goes on where this one ended. Their rows are columns of tables and queries in wait, never data.
     """
 
-    def __init__(self, spark: SparkSession, budget_mb: float, fade: float = 0.7):
+    TABLES = {
+        "work_queue": "sql string, state string, at double",
+        "facts": "table string, column string, score double, at double",
+        "registry": "table string, column string, size_mb double, state string, at double",
+    }
+
+    def __init__(self, spark: SparkSession, budget_mb: float, fade: float = 0.7, path: str | None = None):
         self.spark, self.budget_mb, self.fade = spark, budget_mb, fade
-        self.queue: list[str] = []
-        self.scores: dict[tuple[str, str], float] = {}
-        self.registry: dict[tuple[str, str], float] = {}
+        self.journal = Journal(spark, path, self.TABLES)
+        done = {(r.sql, r.at) for r in self.journal.table("work_queue").where("state = 'done'").collect()}
+        self.queue = [(r.sql, r.at) for r in self.journal.table("work_queue").where("state = 'waiting'").orderBy("at").collect() if (r.sql, r.at) not in done]
+        self.scores = {(r.table, r.column): r.score for r in self.journal.newest("facts", ["table", "column"])}
+        self.registry = {(r.table, r.column): r.size_mb for r in self.journal.newest("registry", ["table", "column"]) if r.state == "created"}
 
     def enqueue(self, sql: str) -> bool:
         if not re.match(r"(?is)\s*(select|with)\b", sql):
             return False
-        self.queue.append(sql)
+        self.queue.append((sql, time.time()))
+        self.journal.add("work_queue", [(sql, "waiting", self.queue[-1][1])])
         return True
 
     def work(self, owners: dict[str, str], size_mb: dict[str, float]) -> list[tuple[str, str]]:
         """``owners``: the table of each column. Returns the layouts that were created."""
         seen: dict[tuple[str, str], int] = {}
-        for sql in self.queue:
+        for sql, _ in self.queue:
             for c in re.findall("(?i)" + _COLUMN, sql):
                 if c.lower() in owners:
                     seen[owners[c.lower()], c.lower()] = seen.get((owners[c.lower()], c.lower()), 0) + 1
+        self.journal.add("work_queue", [(sql, "done", at) for sql, at in self.queue])
         self.queue.clear()
         for k in {*self.scores, *seen}:
             self.scores[k] = self.fade * self.scores.get(k, 0.0) + (1 - self.fade) * seen.get(k, 0)
-        made = []
+        now, made = time.time(), []
+        self.journal.add("facts", [(*k, v, now) for k, v in sorted(self.scores.items())])
         for k in sorted(self.scores, key=lambda k: (-self.scores[k] / max(size_mb[k[0]], 1e-9), k)):
             if k not in self.registry and self.storage_mb() + size_mb[k[0]] <= self.budget_mb and self.scores[k] > 0:
                 self.registry[k] = size_mb[k[0]]
                 made.append(k)
+        self.journal.add("registry", [(*k, self.registry[k], "created", now) for k in made])
         return made
 
     def storage_mb(self) -> float:
         return sum(self.registry.values())
 
     def drop(self, table: str, column: str) -> bool:
-        return self.registry.pop((table, column), None) is not None
+        if self.registry.pop((table, column), None) is None:
+            return False
+        self.journal.add("registry", [(table, column, 0.0, "dropped", time.time())])
+        return True
 
     def write(self, table: str, column: str, buckets: int) -> str:
         name = f"{table}_by_{column}"
@@ -184,33 +255,63 @@ def optimize_query(sql: str, sizes: dict[str, int], form: str = "hint") -> str:
     return re.sub(r"(?i)^\s*SELECT\b", f"SELECT /*+ {', '.join(hints)} */", sql, count=1) if hints else sql
 
 
+def plan_features(df: DataFrame) -> list[float]:
+    """What a router knows of a query: numbers of joins, aggregates and filters, and the log of the estimated bytes."""
+    text = df._jdf.queryExecution().optimizedPlan().toString()
+    return [float(len(re.findall(rf"\b{k}\b", text))) for k in ("Join", "Aggregate", "Filter")] + [math.log1p(plan_bytes(df))]
+
+
 class PlanBuffer:
-    """Plans tried for a query, with their latencies; the nearest neighbours' best hint is chosen."""
+    """Plans tried for a query, with their latencies, and a router over experts.
+
+    An expert turns a statement into one with hints. ``route`` asks for the expert whose plans ran fastest on the ``k`` queries
+    nearest by features; experts that were tried on fewer are tried first, in order of their names. With a ``path`` the buffer
+    is a table there.
+    """
 
-    def __init__(self):
-        self.rows: list[dict] = []
+    TABLES = {"buffer": "query string, expert string, latency double, features array<double>, plan string, at double"}
 
-    def run(self, df: DataFrame, query: str, hint: str) -> float:
+    def __init__(self, spark: SparkSession | None = None, path: str | None = None):
+        self.journal = Journal(spark, path, self.TABLES)
+        self.rows: list[dict] = [r.asDict() for r in self.journal.table("buffer").orderBy("at").collect()] if path else []
+
+    def run(self, df: DataFrame, query: str, expert: str) -> float:
         start = time.perf_counter()
         df.write.format("noop").mode("overwrite").save()
         latency = time.perf_counter() - start
-        self.rows.append({"query": query, "hint": hint, "latency": latency, "plan": df._jdf.queryExecution().executedPlan().toString()})
+        self.rows.append({"query": query, "expert": expert, "latency": latency, "features": plan_features(df), "plan": df._jdf.queryExecution().executedPlan().toString(), "at": time.time()})
+        self.journal.add("buffer", [tuple(self.rows[-1].values())])
         return latency
 
     def table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows, "query string, hint string, latency double, plan string")
+        return spark.createDataFrame([tuple(r.values()) for r in self.rows], self.TABLES["buffer"])
 
     def best(self, query: str) -> str | None:
         own = [r for r in self.rows if r["query"] == query]
-        return min(own, key=lambda r: r["latency"])["hint"] if own else None
-
-
-def knn_latency(seen: list[tuple[list[float], float]], at: list[float], k: int, far: float, top: float) -> float | None:
-    """Mean latency of the ``k`` nearest feature vectors; ``top`` if the nearest is farther than ``far``; None if fewer."""
-    if len(seen) < k:
-        return None
-    near = sorted((math.dist(v, at), y) for v, y in seen)[:k]
-    return top if near[0][0] > far else sum(y for _, y in near) / k
+        return min(own, key=lambda r: r["latency"])["expert"] if own else None
+
+    def route(self, experts: list[str], features: list[float], k: int = 3) -> str:
+        guess = {}
+        for name in sorted(experts):
+            near = sorted((math.dist(r["features"], features), r["latency"]) for r in self.rows if r["expert"] == name)[:k]
+            if len(near) < k:
+                return name
+            guess[name] = sum(y for _, y in near) / k
+        return min(guess, key=lambda name: (guess[name], name))
+
+
+#: Experts by name: what each makes of a statement and the bytes of its tables.
+EXPERTS = {
+    "default": lambda sql, sizes: sql,
+    "broadcast": lambda sql, sizes: optimize_query(sql, sizes),
+    "merge": lambda sql, sizes: re.sub(r"(?i)^\s*SELECT\b", f"SELECT /*+ MERGE({', '.join(sorted(sizes))}) */", sql, count=1) if sizes else sql,
+}
+
+
+def routed(spark: SparkSession, sql: str, sizes: dict[str, int], buffer: PlanBuffer) -> tuple[str, DataFrame]:
+    """The expert that the buffer's router chooses, and the query as it makes it."""
+    name = buffer.route(list(EXPERTS), plan_features(spark.sql(sql)))
+    return name, spark.sql(EXPERTS[name](sql, sizes))
 
 
 def explain(df: DataFrame, mode: str = "formatted") -> str:

@@ -237,7 +237,6 @@ def test_advice(spark):
     a = workload.LayoutAdvisor(spark, 5)
     assert not a.enqueue("INSERT INTO t VALUES (1)") and a.enqueue("SELECT 1 FROM t WHERE c = 1")
     assert a.work({"c": "t"}, {"t": 9.0}) == [] and a.work({"c": "t"}, {"t": 4.0}) == [("t", "c")] and a.drop("t", "c") and not a.drop("t", "c")
-    assert workload.knn_latency([([0.0], 1.0)], [0.0], 2, 1, 9) is None and workload.knn_latency([([0.0], 1.0), ([1.0], 3.0)], [0.0], 2, 1, 9) == 2.0
     b = workload.PlanBuffer()
     b.run(spark.range(10), "q", "none")
     assert b.best("q") == "none" and b.table(spark).count() == 1 and "== Physical Plan ==" in workload.explain(spark.range(3))
@@ -475,3 +474,148 @@ def test_samples(spark):
 def test_time_zones_by_type(spark):
     r = dialect.sql(spark, "SELECT cast(a AT TIME ZONE 'Asia/Tokyo' AS string) AS a, cast(b AT TIME ZONE 'Asia/Tokyo' AS string) AS b FROM (SELECT TIMESTAMP_NTZ '2020-01-01 09:00:00' AS a, TIMESTAMP '2020-01-01 00:00:00' AS b)").first()
     assert (r.a, r.b) == ("2020-01-01 00:00:00", "2020-01-01 09:00:00")
+
+
+# ---------------------------------------------------------------- layered models
+
+
+@pytest.fixture(scope="module")
+def curve(spark):
+    rng = np.random.default_rng(2)
+    x = rng.uniform(-2, 2, (4000, 2))
+    rows = [(i, float(a), float(b), float(a * b + a), "in" if a * a + b * b < 2 else "out") for i, (a, b) in enumerate(x)]
+    spark.createDataFrame([*rows, (9999, None, 1.0, None, None)], 'id long, a double, b double, y double, ring string').createOrReplaceTempView("curve")
+    return rows
+
+
+def test_networks_learn_what_lines_cannot(spark, curve):
+    err = {}
+    for kind in ("linear", "mlp", "cross"):
+        out = dialect.sql(spark, f"PREDICT VALUE OF y FROM curve WHERE id < 9000 TRAIN ON a, b USING MODEL {kind}")
+        err[kind] = out.selectExpr("avg((prediction - y) * (prediction - y)) AS e").first().e
+    assert err["mlp"] < 0.1 * err["linear"] and err["cross"] < 0.01 * err["linear"]
+    got = dialect.sql(spark, "PREDICT CLASS OF ring FROM curve WHERE id < 9000 TRAIN ON a * a, b * b, \"a\" WITH id < 3000 USING MODEL linear")
+    assert got.where("prediction = ring").count() > 0.97 * got.count() and got.columns == ["id", "a", "b", "y", "ring", "prediction"]
+    closed = dialect.sql(spark, "PREDICT VALUE OF y FROM curve WHERE id < 9000 TRAIN ON a * b, a")
+    assert closed.where("abs(prediction - y) > 1e-6").count() == 0 and "prediction" in closed.columns
+
+
+def test_network_gradient():
+    from larkspur.operators import models
+
+    rng = np.random.default_rng(0)
+    x, y = rng.standard_normal((50, 3)), rng.standard_normal(50)
+    net = models.Network("mlp", list("abc"), None, [np.stack([np.zeros(3), np.ones(3)]), rng.standard_normal((4, 5)), rng.standard_normal((6, 1))])
+    loss = lambda: 0.5 * float(((net.forward(x)[-1][:, 0] - y) ** 2).mean())
+    h = net.forward(x)
+    d = (h[-1] - y[:, None]) / len(x)
+    g2 = np.concatenate([h[1].T @ d, d.sum(axis=0, keepdims=True)])
+    d = (d @ net.layers[2][:-1].T) * (h[1] > 0)
+    g1 = np.concatenate([h[0].T @ d, d.sum(axis=0, keepdims=True)])
+    for k, g, at in ((1, g1, (2, 3)), (1, g1, (3, 1)), (2, g2, (4, 0))):
+        w = net.layers[k][at]
+        net.layers[k][at] = w + 1e-5
+        up = loss()
+        net.layers[k][at] = w - 1e-5
+        assert abs((up - loss()) / 2e-5 - g[at]) < 1e-6
+        net.layers[k][at] = w
+
+
+def test_model_store(spark, curve, tmp_path):
+    from larkspur.operators import models
+
+    store = models.Store(spark, str(tmp_path / "m"), tolerance=1e-3)
+    assert store.lookup("curve", ["a", "b"], "y", "value") is None
+    one = models.train(store, "curve", ["a", "b"], "y", "mlp", epoch=2)
+    assert store.lookup("curve", ["b", "a"], "y", "value") == one and store.lookup("curve", ["a"], "y", "value") is None
+    first = store.load(one)
+    before = max(r.create_time for r in store.table("layer").collect())
+    models.finetune(store, one, spark.table("curve").where("id < 500"), "y", epoch=1)
+    tuned = store.load(one)
+    assert any(np.abs(a - b).max() > 0.01 for a, b in zip(first.layers, tuned.layers))
+    old = store.load(one, before)
+    assert all((a == b).all() for a, b in zip(first.layers, old.layers))
+    rows = store.table("layer").collect()
+    # a tuned layer is coded against the one before it, in fewer bits
+    assert any(r.base_model == one for r in rows) and len(rows) == 2 * len(first.layers)
+    w = tuned.layers[1] + 1
+    store.update(one, 1, w)
+    assert np.abs(store.load(one).layers[1] - w).max() <= 1.001e-3
+    out = models.inference(store, one, spark.table("curve"))
+    assert out.where("prediction is null").count() == 0 and out.count() == 4001
+    store.delete(one)
+    assert store.lookup("curve", ["a", "b"], "y", "value") is None
+    with pytest.raises(KeyError):
+        store.load(one)
+
+
+def test_tensor_packets():
+    from larkspur.operators import models
+
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((7, 5))
+    for base, tolerance in ((None, 1e-3), (x + rng.standard_normal((7, 5)) * 0.01, 1e-4), (x, 1e-6)):
+        p = models.pack(x, base, tolerance)
+        assert np.abs(models.unpack(p, base) - x).max() <= tolerance * 1.0001
+    assert models.pack(x, x, 1e-6)["bits"] == 0 and models.pack(x, x + 0.01, 1e-3)["bits"] <= 1 < models.pack(x, None, 1e-3)["bits"]
+
+
+def test_predict_uses_stored_models(spark, curve, tmp_path):
+    from larkspur.operators import models
+
+    spark.conf.set("larkspur.models", str(tmp_path / "kept"))
+    spark.conf.set("larkspur.epoch", "1")
+    try:
+        ask = "PREDICT VALUE OF y FROM curve WHERE id < 50 TRAIN ON {}"
+        one = [r.prediction for r in dialect.sql(spark, ask.format("a, b")).orderBy("id").collect()]
+        again = [r.prediction for r in dialect.sql(spark, ask.format("a, b")).orderBy("id").collect()]
+        dialect.sql(spark, ask.format("a"))
+        store = models.Store(spark, str(tmp_path / "kept"))
+        assert one == again and store.table("model").count() == 2 and store.table("router").count() == 2
+    finally:
+        spark.conf.unset("larkspur.models")
+        spark.conf.unset("larkspur.epoch")
+
+
+# ---------------------------------------------------------------- advice that outlives the driver
+
+
+def test_advisor_goes_on_in_another_driver(spark, tmp_path):
+    path, owners, sizes = str(tmp_path / "advice"), {"o_orderkey": "orders", "l_quantity": "lineitem"}, {"orders": 8.0, "lineitem": 30.0}
+    one = workload.LayoutAdvisor(spark, 10, path=path)
+    assert one.enqueue("SELECT * FROM orders WHERE o_orderkey = 1") and not one.enqueue("DELETE FROM orders")
+    two = workload.LayoutAdvisor(spark, 10, path=path)
+    assert len(two.queue) == 1 and two.work(owners, sizes) == [("orders", "o_orderkey")]
+    three = workload.LayoutAdvisor(spark, 40, path=path)
+    assert three.queue == [] and three.registry == {("orders", "o_orderkey"): 8.0} and three.scores == two.scores
+    assert three.drop("orders", "o_orderkey") and not three.drop("orders", "o_orderkey")
+    assert workload.LayoutAdvisor(spark, 40, path=path).registry == {}
+
+
+def test_router_learns_from_the_buffer(spark, tmp_path):
+    spark.read.parquet(f"{FOLDER}/orders.parquet").createOrReplaceTempView("orders")
+    spark.read.parquet(f"{FOLDER}/customer.parquet").createOrReplaceTempView("customer")
+    sql = "SELECT c_mktsegment, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment"
+    buffer, tried = workload.PlanBuffer(spark, str(tmp_path / "b")), []
+    for _ in range(3):
+        name, df = workload.routed(spark, sql, {"orders": 10**6, "customer": 10**5}, buffer)
+        tried.append((name, tuple(map(str, sorted(map(tuple, df.collect()))))))
+        for _ in range(3):
+            buffer.run(df, sql, name)
+    assert [n for n, _ in tried] == ["broadcast", "default", "merge"] and len({r for _, r in tried}) == 1
+    again = workload.PlanBuffer(spark, str(tmp_path / "b"))
+    assert len(again.rows) == 9 and again.table(spark).count() == 9 and again.best(sql) in workload.EXPERTS
+    f = workload.plan_features(spark.sql(sql))
+    assert f[0] == 1.0 and f[1] >= 1.0
+    for r in again.rows:
+        r["latency"] = {"broadcast": 3.0, "default": 1.0, "merge": 2.0}[r["expert"]]
+    assert again.route(list(workload.EXPERTS), f) == "default"
+
+
+def test_forecaster(spark):
+    rows = [(k, x, 2.0 * x + (5 if k == "a" else 0)) for k in "ab" for x in range(12)] + [("short", x, 1.0) for x in range(3)]
+    f = workload.Forecaster("k", "x", "y").fit(spark.createDataFrame(rows, "k string, x long, y double"))
+    got = sorted(map(tuple, f.predict(2).collect()))
+    assert [(k, x, round(v, 6)) for k, x, v in got] == [("a", 12, 29.0), ("a", 13, 31.0), ("b", 12, 24.0), ("b", 13, 26.0)]
+    r = f.evaluate(spark.createDataFrame([("a", 12, 30.0), ("b", 12, 24.0), ("short", 3, 1.0), ("b", 0, 0.0)], "k string, x long, y double")).first()
+    assert (round(r.mae, 6), r.n) == (round(1 / 3, 6), 3) and r.mape == pytest.approx(100 / 30 / 2)
