@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 CACHE, SHORT = 160_000, 64
+#: Characters of a text, and ids, that are worked on at once.
+PART = 1 << 20
 #: The word pattern of this family of vocabularies, as published with them.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Code points that count as white space for the pattern (property White_Space).
@@ -234,7 +236,29 @@ class Codec:
             memo.now, memo.old = {}, {}
 
     def encode_bytes(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text, as the vocabulary's library gives them without added tokens: 32 bits each, little-endian."""
+        """Ids of each text, as the vocabulary's library gives them without added tokens: 32 bits each, little-endian.
+
+        A long text goes in parts, cut before blanks between words, where every word begins anew.
+        """
+        out: list[bytes] = []
+        held: list = []
+        size = 0
+        for s in texts:
+            if s and len(s) > PART:
+                out += self._encode(held)
+                out.append(b"".join(x for part in parts(s) for x in self._encode([part])))
+                held, size = [], 0
+                continue
+            held.append(s)
+            size += len(s) if s else 0
+            if size > 4 * PART:
+                out += self._encode(held)
+                held, size = [], 0
+        return out + self._encode(held)
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
+        if not texts:
+            return []
         self.known.turn()
         self.pieces.turn()
         cut: list = []
@@ -275,20 +299,38 @@ class Codec:
         return [np.frombuffer(b, "<u4").tolist() for b in self.encode_bytes(texts)]
 
     def decode_bytes(self, ids: list[bytes]) -> list[bytes]:
-        """The bytes of each text's ids, all texts in one gather."""
+        """The bytes of each text's ids, all texts in one gather, a part at a time."""
         counts = [len(b) // 4 for b in ids]
         flat = np.frombuffer(b"".join(ids), "<u4")
-        sizes = self.size[flat]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        data = self.blob[np.repeat(self.at[flat] - (ends - sizes), sizes) + np.arange(total)].tobytes()
-        edges = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))].tolist()
-        return [data[a:b] for a, b in zip(edges, edges[1:])]
+        data = []
+        for lo in range(0, len(flat), PART):
+            part = flat[lo : lo + PART]
+            sizes = self.size[part]
+            ends = np.cumsum(sizes)
+            data.append(self.blob[np.repeat(self.at[part] - (ends - sizes), sizes) + np.arange(ends[-1])].tobytes())
+        whole, ends = b"".join(data), np.cumsum(self.size[flat])
+        edges = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))].tolist()
+        return [whole[a:b] for a, b in zip(edges, edges[1:])]
 
     def decode(self, ids: list[int]) -> str:
         return self.decode_bytes([np.array(ids, "<u4").tobytes()])[0].decode("utf-8", "replace")
 
 
+def parts(text: str):
+    """``text`` in parts of about ``PART`` characters, each but the first from a blank on that stands between two words."""
+    at = 0
+    while len(text) - at > PART:
+        cut = _BETWEEN.search(text, at + PART)
+        if not cut:
+            break
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:]
+
+
+_BETWEEN = re.compile(f"(?<=[^{WHITE}]) (?=[^{WHITE}])")
+
+
 @lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
     return Codec(path)

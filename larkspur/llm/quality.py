@@ -27,6 +27,19 @@ _KIND[[*b".,;:"]], _KIND[[*b"!?"]], _KIND[[*b"'\"()-"]] = 7, 8, 9
 _KIND[[b for b in range(33, 127) if _KIND[b] == 0]] = 10
 KINDS = 11
 WIDTH = KINDS + KINDS * KINDS + 5
+#: Bytes of a long text that are worked on at once, whole passages.
+PIECE = PASSAGE << 11
+
+
+def _kinds(data: np.ndarray, of_byte: np.ndarray, n: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes, bytes of each kind, and pairs of neighbours of each two kinds, by passage."""
+    n = n or max(1, -(-len(data) // PASSAGE))
+    kind = _KIND[data]
+    one = np.bincount(of_byte * KINDS + kind, minlength=n * KINDS).reshape(n, KINDS)
+    same = of_byte[1:] == of_byte[:-1]
+    pair = (of_byte[1:] * KINDS + kind[:-1]) * KINDS + kind[1:]
+    two = np.bincount(pair[same], minlength=n * KINDS * KINDS).reshape(n, KINDS * KINDS)
+    return one.sum(axis=1).astype(np.float32), one, two
 
 
 def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -41,22 +54,19 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         begin = np.concatenate(([0], np.cumsum(sizes)))[:-1]
         first = np.concatenate(([0], np.cumsum(counts)))[:-1]
         n = int(counts.sum())
-        of_byte = np.repeat(first, sizes) + (np.arange(len(data)) - np.repeat(begin, sizes)) // PASSAGE
-        length = np.bincount(of_byte, minlength=n).astype(np.float32)
-        kind = _KIND[data]
-        one = np.bincount(of_byte * KINDS + kind, minlength=n * KINDS).reshape(n, KINDS)
-        same = of_byte[1:] == of_byte[:-1] if len(data) else np.zeros(0, bool)
-        pair = kind[:-1] * KINDS + kind[1:] if len(data) else np.zeros(0, np.int64)
-        two = np.bincount(of_byte[1:][same] * KINDS * KINDS + pair[same], minlength=n * KINDS * KINDS).reshape(n, KINDS * KINDS)
+        if len(part) == 1:
+            # one text, maybe a long one: passage by passage is known, so a piece of it is worked on at a time
+            length, one, two = (np.concatenate(x) for x in zip(*(_kinds(data[at : at + PIECE], np.arange(len(data[at : at + PIECE])) // PASSAGE) for at in range(0, max(len(data), 1), PIECE))))
+        else:
+            length, one, two = _kinds(data, np.repeat(first, sizes) + (np.arange(len(data)) - np.repeat(begin, sizes)) // PASSAGE, n)
         # words by the passage they begin in; a word does not run over the end of its text
         marked = np.frombuffer(b" ".join(part), np.uint8)
         start, end = C.word_spans(marked)
         words = C.span_hashes(marked, start, end)
         text_of = np.searchsorted(np.cumsum(sizes + 1), start, "right")
-        at = of_byte[np.minimum(start - text_of, max(len(data) - 1, 0))] if len(data) else np.zeros(0, np.int64)
+        at = first[text_of] + (start - text_of - begin[text_of]) // PASSAGE
         m = np.bincount(at, minlength=n).astype(np.float32)
         key = C.mix(words + at.astype(_U) * _U(0x9E3779B97F4A7C15))
-        distinct = np.unique(key)
         fresh = np.zeros(n, np.float32)
         _, pos = np.unique(key, return_index=True)
         np.add.at(fresh, at[pos], 1)
@@ -64,7 +74,6 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if len(words) > 1:
             twice = (words[1:] == words[:-1]) & (at[1:] == at[:-1])
             np.add.at(repeat_next, at[1:][twice], 1)
-        del distinct
         # words of the passage that also begin another passage of the same text
         whole = C.mix(words + text_of.astype(_U) * _U(0xC2B2AE3D27D4EB4F))
         _, back, times = np.unique(whole, return_inverse=True, return_counts=True)

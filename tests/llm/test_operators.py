@@ -255,6 +255,20 @@ def test_bpe_of_one_endless_word():
         assert own._by_heap([own.byte_list[b] for b in word.encode()]) == _by_list(own, word)
 
 
+def test_bpe_of_long_texts_in_parts(monkeypatch):
+    """Parts of a text give the ids of the whole; decoding in parts gives it back."""
+    rng = random.Random(8)
+    bits = ["a", "the", "é", "漢", "  ", " ", "\n", " \n", "<|endoftext|>", "'s", "12", "!", "word", " and", "\u00a0", "\u3000x"]
+    texts = ["".join(rng.choice(bits) + rng.choice(["", " "]) for _ in range(rng.randint(0, 200))) for _ in range(200)]
+    _, want = library(texts)
+    monkeypatch.setattr(bpe, "PART", 25)
+    own = bpe.Codec(bpe.vocabulary())
+    assert sum(len(list(bpe.parts(t))) for t in texts) > 1500 and all("".join(bpe.parts(t)) == t for t in texts)
+    assert own.encode(texts) == want and [own.decode(i) for i in want] == texts
+    assert [b.decode() for b in own.decode_bytes([np.array(i, "<u4").tobytes() for i in want])] == texts
+    assert tokenstore._Library(bpe.vocabulary()).words.encode(texts) == want
+
+
 def _by_list(own, word):
     ids = [own.byte_list[b] for b in word.encode()]
     while True:
@@ -416,6 +430,47 @@ def test_fingerprints(spark, texts, odd, none):
     assert len(one) == 1 and one[0].near_next == 1.0
 
 
+def plain_print(text):
+    """The fingerprint by loops: paragraphs of six words, hashed by XXH64 from the seed 42, summed lane by lane."""
+    import re
+
+    import xxhash
+
+    lanes, s0, s1, n = [0] * 64, 0, 0, 0
+    for line in (text or "").split("\n"):
+        words = [m.span() for m in re.finditer(r"[^ \t\n\x0b\f\r]+", line)]
+        for k in range(0, len(words), 6):
+            p = line[words[k][0] : words[min(k + 5, len(words) - 1)][1]].encode()
+            h = xxhash.xxh64_intdigest(p, 42)
+            wide = xxhash.xxh64_intdigest((1).to_bytes(4, "little"), h)
+            lanes = [a + (h >> j & 1) for j, a in enumerate(lanes)]
+            s0, s1, n = (s0 + (h >> 2)) % 2**62, (s1 + (wide >> 2)) % 2**62, n + 1
+    return lanes, s0, s1, n
+
+
+def plain_form(p):
+    lanes, s0, s1, n = p
+    return "".join(f"{x:016x}" for x in [*(lanes[j] | lanes[32 + j] << 32 for j in range(32)), s0, s1, n])
+
+
+def plain_likeness(a, b):
+    if a == b:
+        return 1.0
+    x, y = ([2 * v - p[3] for v in p[0]] for p in (a, b))
+    norm = (sum(v * v for v in x) * sum(v * v for v in y)) ** 0.5
+    return round(max(0.0, min(1.0, sum(v * w for v, w in zip(x, y)) / norm)), 6) if norm else 0.0
+
+
+def test_fingerprints_by_brute_force(spark, texts):
+    got, ids = by_id(fingerprint.op4(spark, SMALL)), list(texts)
+    for i, k in enumerate(ids):
+        own, after = texts[k] or "", texts[ids[(i + 1) % len(ids)]] or ""
+        n = len(own) // 4
+        a, b, c = (plain_print(t) for t in (own, own[: len(own) - n] + after[:n], after))
+        assert (got[k].fingerprint, got[k].edited_fingerprint) == (plain_form(a), plain_form(b))
+        assert got[k].near_edited == pytest.approx(plain_likeness(a, b), abs=2e-6) and got[k].near_next == pytest.approx(plain_likeness(a, c), abs=2e-6)
+
+
 def test_fingerprint_is_homomorphic(spark):
     lines = ["a b c", "d", "e f", "d", "g h i j"]
     df = spark.createDataFrame([("\n".join(lines), "\n".join(reversed(lines)), "\n".join(lines[:-1]), lines[-1])], "t string, r string, less string, p string")
@@ -493,6 +548,18 @@ def test_quality(spark, odd, none):
     assert quality.score(none, model).count() == 0
 
 
+def test_quality_of_a_long_text_in_pieces(monkeypatch):
+    """A text's features don't depend on the pieces it is worked on in, nor on the texts beside it."""
+    rng = np.random.default_rng(5)
+    texts = [bytes(rng.choice(np.frombuffer(b"abc DE.1\n\xc3\xa9", np.uint8), n)) for n in (10, 384, 5000, 0, 769, 3000)]
+    together, owner = quality.passages(texts)
+    monkeypatch.setattr(quality, "PIECE", quality.PASSAGE * 2)
+    for i, t in enumerate(texts):
+        alone, _ = quality.passages([t])
+        assert np.allclose(alone, together[owner == i], atol=1e-6)
+        assert np.isclose(alone[:, -1].sum() * quality.PASSAGE, len(t))
+
+
 def test_quality_gradient_and_passages():
     texts = [b"one two two THREE!! " * 60, b"", b"x", b"plain words of a text " * 30]
     x, owner = quality.passages(texts)
@@ -548,6 +615,51 @@ def test_short_passages_and_whole_copies(spark):
     assert all(got[i].repeat_bytes == 0 < got[i + 100].repeat_bytes == len(dict(rows)[i]) for i in range(1000, 1040))
 
 
+def test_passages_by_brute_force(spark):
+    """All rows that share 51 words are told, none that shares less than 40 words and less than 256 bytes."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopé") for _ in range(rng.randint(2, 8)))
+    prose = lambda n: [word() for _ in range(n)]
+    rows, common_lines = [], [" ".join(prose(12)) for _ in range(3)]
+    for i in range(160):
+        own = prose(rng.randint(5, 160))
+        if i and rng.random() < 0.6:  # a passage of some other row
+            other = rng.choice(rows)[1].split()
+            n = rng.choice([10, 20, 30, 38, 52, 60, 90])
+            at = rng.randrange(max(1, len(other) - n))
+            put = rng.randint(0, len(own))
+            own[put:put] = other[at : at + n]
+        text = " ".join(own)
+        rows.append((i, f"{text}\n{rng.choice(common_lines)}" if rng.random() < 0.5 else text))
+
+    def sharing(n, cut):
+        by = {}
+        for i, t in rows:
+            units = cut(t)
+            for k in range(len(units) - n + 1):
+                by.setdefault(tuple(units[k : k + n]) if n != 256 else bytes(units[k : k + n]), set()).add(i)
+        return set().union(*(v for v in by.values() if len(v) > 1))
+
+    got = by_id(substrings.repeats(spark.createDataFrame(rows, "doc_id long, text string")))
+    must, may = sharing(51, str.split), sharing(40, str.split) | sharing(256, str.encode)
+    assert must <= set(got) <= may and 20 < len(must) < len(may) < 140
+
+
+def test_texts_without_their_repeats(spark, odd, none):
+    rng = random.Random(22)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghijklmñop") for _ in range(6)) for _ in range(n))
+    shared, fresh = prose(120), [prose(80) for _ in range(6)]
+    rows = [(1, f"{fresh[0]} {shared} {fresh[1]}", "a"), (2, f"{fresh[2]} {shared}", "b"), (3, fresh[3], "c"), (3, fresh[3], "d"), (None, f"{shared} {fresh[4]}", "e"), (4, None, "f"), (5, "", "g")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row string").coalesce(1)
+    got = {r.row: r.text for r in substrings.deduplicated(df).collect()}
+    assert substrings.deduplicated(df).columns == df.columns and got.keys() == set("abcdefg") and got["f"] is None and got["g"] == ""
+    assert got["a"] == rows[0][1] and sorted([got["c"], got["d"]]) == ["", fresh[3]]
+    middle = shared[200:-200]
+    assert fresh[2] in got["b"] and middle not in got["b"] and fresh[4] in got["e"] and middle not in got["e"]
+    assert substrings.deduplicated(odd).count() == odd.count() and substrings.deduplicated(none).count() == 0
+    assert substrings.without("aé漢b", "2-4") == "aé漢b" and substrings.without("aé漢b", "1-3") == "a漢b" and substrings.without("abc", "0-3") == ""
+
+
 def test_passages_of_rows_without_an_id(spark):
     rng = random.Random(9)
     prose = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n))
@@ -571,8 +683,8 @@ def test_chosen_runs_of_words():
         here = (first >= low) & (first < edges[i])
         # the same as alone, but for which of equal runs is told
         assert set(one[here].tolist()) == {x[2] for x in alone[i]} and (last[here] <= edges[i]).all()
-    assert len(alone[3]) == 0 < len(alone[4]) and len(alone[1]) < 120 and len(alone[2]) < 30
-    assert all(len(texts[1][a:b].split()) == substrings.WORDS for a, b, *_ in alone[1])
+    assert len(alone[3]) == 0 < len(alone[4]) and len(alone[1]) < 180 and len(alone[2]) < 30
+    assert all(len(texts[1][a:b].split()) == substrings.RUN for a, b, *_ in alone[1])
 
 
 def test_chunks_cover_and_shift():
@@ -828,3 +940,17 @@ def test_components_of_a_long_chain(spark):
     edges = list(zip(ids, ids[1:])) + [(1000, 1000), (None, 4), (2000, 2001)]
     got = dict(map(tuple, common.components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {i: 0 for i in range(400)} | {2000: 2000, 2001: 2000}
+
+
+@pytest.mark.parametrize("name", ["texts_of_op1", "texts_of_op4", "texts_of_op7", "counts_of_op8"])
+def test_columns_that_sql_can_tell(spark, name):
+    import duckdb
+
+    from larkspur.llm.queries import ORACLE_SQL, QUERIES
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SMALL}/documents.parquet')")
+    cur = con.execute(ORACLE_SQL[name])
+    names = [d[0] for d in cur.description]
+    want, got = sorted(cur.fetchall()), QUERIES[name](spark, SMALL).select(*names)
+    assert sorted(tuple(r) for r in got.collect()) == want
