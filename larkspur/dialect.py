@@ -63,6 +63,8 @@ def rewrite(sql: str) -> str:
     s = re.sub(r"EXTRACT\s*\(\s*DOW\s+FROM\s+([^()]+)\)", r"(dayofweek(\1) - 1)", s, flags=re.I)
     s = re.sub(r"TABLESAMPLE\s+BERNOULLI\s*\(\s*([\d.]+)\s*\)", r"TABLESAMPLE (\1 PERCENT)", s, flags=re.I)
     s = re.sub(r"\bARRAY\s*\[([^\]]*)\]", r"array(\1)", s, flags=re.I)
+    s = re.sub(r"([\w.]+(?:\((?:[^()]|\([^()]*\))*\))?)\[\s*(\w+)\s*:\s*(\w+)\s*\]", r"slice(\1, \2, greatest(0, \3 - \2 + 1))", s, flags=re.I)
+    s = re.sub(r"\bunnest\s*(\((?:[^()]|\([^()]*\))*\))\s+WITH\s+ORDINALITY\s+(?:AS\s+)?(\w+)\s*\(\s*(\w+)\s*,\s*(\w+)\s*\)", r"LATERAL (SELECT col AS \3, pos + 1 AS \4 FROM posexplode\1) AS \2", s, flags=re.I)
     s = re.sub(r"FETCH\s+(?:FIRST|NEXT)\s+(\d+)\s+ROWS?\s+ONLY", r"LIMIT \1", s, flags=re.I)
     s = _ties(_distinct_on(s))
     s = _order_nulls(s)
@@ -149,6 +151,10 @@ def _order_nulls(s: str) -> str:
 _PREDICT = re.compile(r"\s*PREDICT\s+(VALUE|CLASS)\s+OF\s+(\w+|\"[^\"]+\")\s+FROM\s+([\w.]+|\"[^\"]+\")(?:\s+WHERE\s+(.*?))?\s+TRAIN\s+ON\s+(.+?)(?:\s+WITH\s+(.*?))?(?:\s+USING\s+MODEL\s+(\w+))?\s*;?\s*", re.I | re.S)
 
 
+#: ``DO $$ BEGIN … END $$``: the body runs as a script of the engine's own.
+_DO = re.compile(r"\s*DO\s+(?:LANGUAGE\s+\w+\s+)?(\$\w*\$)\s*(.*?)\s*;?\s*\1(?:\s*LANGUAGE\s+\w+)?\s*;?\s*", re.I | re.S)
+
+
 def _predict(spark: SparkSession, m: re.Match) -> DataFrame:
     """``TRAIN ON`` takes columns, expressions, quoted names or ``*``.
 
@@ -184,6 +190,9 @@ def sql(spark: SparkSession, statement: str, **args) -> DataFrame:
         return _predict(spark, m)
     from . import dml
 
+    body = _DO.fullmatch(statement)
+    if body:
+        return spark.sql(body[2])
     if dml.is_change(statement):
         return dml.run(spark, statement, args)
     tied = _with_ties(spark, statement, args)

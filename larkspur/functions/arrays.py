@@ -31,7 +31,7 @@ def overlap(a, b) -> Column:
 
 
 def replace(a, old, new) -> Column:
-    return F.transform(_c(a), lambda x: F.when(x.eqNullSafe(F.lit(old)), F.lit(new)).otherwise(x))
+    return F.transform(_c(a), lambda x: F.when(x.eqNullSafe(old if isinstance(old, Column) else F.lit(old)), F.lit(new)).otherwise(x))
 
 
 def fill(v, n: int) -> Column:

@@ -43,3 +43,4 @@ def crypt(password: pd.Series, salt: pd.Series) -> pd.Series:
     """A slow salted hash: PBKDF2 with 100,000 rounds."""
     make = lambda p, s: hashlib.pbkdf2_hmac("sha256", p.encode(), s.encode(), 100_000).hex()
     return pd.Series([None if p is None or s is None else make(p, s) for p, s in zip(password, salt)], dtype=object)
+

@@ -68,7 +68,7 @@ def _udf(fn, kind=K.StringType()):
         except ValueError:
             return None
 
-    return F.udf(run, kind)
+    return F.udf(run, kind, useArrow=True)
 
 
 def _at(value, path):
@@ -138,7 +138,7 @@ jsonb_concat = _udf(lambda d, other: json.dumps(d | json.loads(other) if isinsta
 
 
 def has_unique_keys(doc) -> Column:
-    @F.udf(K.BooleanType())
+    @F.udf(K.BooleanType(), useArrow=True)
     def run(text):
         if text is None:
             return None
@@ -155,3 +155,49 @@ def has_unique_keys(doc) -> Column:
 def path_query(doc, path: str) -> Column:
     """``jsonb_path_query_first`` for paths of keys, places and ``[*]`` without filters."""
     return F.try_variant_get(F.try_parse_json(_c(doc)), path, "string")
+
+
+def object_agg_strict(key, value) -> Column:
+    """``json_object_agg_strict``: pairs with a null value are left out."""
+    pair = F.when(_c(value).isNotNull(), F.struct(_c(key).alias("key"), _c(value).alias("value")))
+    return F.to_json(F.map_from_entries(F.array_sort(F.collect_list(pair))))
+
+
+def object_agg_unique(key, value) -> Column:
+    """``json_object_agg_unique``: a key that comes twice is an error."""
+    pairs = F.array_sort(F.collect_list(F.struct(_c(key).alias("key"), _c(value).alias("value"))))
+    same = F.size(F.array_distinct(F.transform(pairs, lambda p: p["key"]))) == F.size(pairs)
+    return F.when(same, F.to_json(F.map_from_entries(pairs), {"ignoreNullFields": "false"})).otherwise(F.raise_error(F.lit("duplicate JSON object key value")))
+
+
+_WORD = r'("(?:[^"\\]|\\.)*"|[^\s,=>"]+)'
+
+
+def hstore(text) -> Column:
+    """``a=>1, "b c"=>NULL`` as a map of strings."""
+
+    def bare(s: Column) -> Column:
+        inner = F.regexp_replace(F.substring(s, F.lit(2), F.length(s) - 2), r"\\(.)", "$1")
+        return F.when(F.startswith(s, F.lit('"')), inner).otherwise(s)
+
+    keys, values = (F.regexp_extract_all(_c(text), F.lit(rf"{_WORD}\s*=>\s*{_WORD}"), F.lit(i)) for i in (1, 2))
+    return F.map_from_arrays(F.transform(keys, bare), F.transform(values, lambda v: F.when(F.upper(v) != "NULL", bare(v))))
+
+
+def _quoted(s: Column) -> Column:
+    """A string as a JSON string."""
+    one = F.to_json(F.array(s))
+    return F.substring(one, F.lit(2), F.length(one) - 2)
+
+
+def hstore_to_json(h, loose: bool = False) -> Column:
+    """A map of strings as JSON, keys in order; ``loose`` writes numbers and truth values bare."""
+
+    def shown(v: Column) -> Column:
+        out = F.when(v.isNull(), "null")
+        if loose:
+            out = out.when(v == "t", "true").when(v == "f", "false").when(v.rlike(r"^-?(0|[1-9][0-9]*)([.][0-9]+)?([eE][+-]?[0-9]+)?$"), v)
+        return out.otherwise(_quoted(v))
+
+    cells = F.transform(F.array_sort(F.map_entries(_c(h))), lambda e: F.concat(_quoted(e["key"]), F.lit(":"), shown(e["value"])))
+    return F.concat(F.lit("{"), F.array_join(cells, ","), F.lit("}"))

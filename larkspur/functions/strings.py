@@ -85,7 +85,7 @@ def quote_ident(s) -> Column:
     return F.when(plain, s).otherwise(F.concat(F.lit('"'), F.replace(s, F.lit('"'), F.lit('""')), F.lit('"')))
 
 
-@F.udf(K.StringType())
+@F.udf(K.StringType(), useArrow=True)
 def format_text(template, args):
     """``%s``, ``%I``, ``%L``, ``%n$s`` and widths."""
     import re
@@ -167,7 +167,7 @@ def initcap(s) -> Column:
     return F.array_join(F.transform(parts, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substring(x, F.lit(2), F.length(x))))), "")
 
 
-@F.udf(K.ArrayType(K.StringType()))
+@F.udf(K.ArrayType(K.StringType()), useArrow=True)
 def parse_ident(s):
     import re
 
@@ -176,7 +176,7 @@ def parse_ident(s):
     return [a.replace('""', '"') if q else b.lower() for q, a, b in re.findall(r'("((?:[^"]|"")+)")|([A-Za-z_][\w$]*)', s)]
 
 
-@F.udf(K.StringType())
+@F.udf(K.StringType(), useArrow=True)
 def unistr(s):
     import re
 
@@ -192,7 +192,7 @@ def levenshtein(a, b) -> Column:
     return F.levenshtein(_c(a), _c(b))
 
 
-@F.udf(K.IntegerType())
+@F.udf(K.IntegerType(), useArrow=True)
 def levenshtein_costs(a, b, ins, dele, sub):
     if a is None or b is None:
         return None
@@ -234,7 +234,7 @@ def word_similarity(a, b) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(x, trigrams(b))).cast("double"), F.size(x)), F.lit(0.0))
 
 
-@F.udf(K.StringType())
+@F.udf(K.StringType(), useArrow=True)
 def metaphone(s):
     """A consonant skeleton by common English spelling rules."""
     import re
@@ -248,3 +248,16 @@ def metaphone(s):
     for a, b in rules:
         s = re.sub(a, b, s)
     return s[:1] + re.sub(r"[AEIOU]", "", s[1:])
+
+
+def strict_word_similarity(a, b) -> Column:
+    """The best similarity of ``a`` to a run of whole words of ``b``."""
+    words = F.filter(F.split(F.lower(_c(b)), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 0)
+    n = F.size(words)
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(i, n), lambda j: F.array_join(F.slice(words, i, j - i + 1), " "))))
+    return F.when(n == 0, 0.0).otherwise(F.coalesce(F.array_max(F.transform(runs, lambda r: similarity(a, r))), F.lit(0.0)))
+
+
+def to_ascii(s) -> Column:
+    """Latin letters without their marks; what has no plain form is dropped."""
+    return F.regexp_replace(unaccent(_c(s)), r"[^\x00-\x7F]", "")

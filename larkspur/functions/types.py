@@ -45,14 +45,21 @@ def uuid(s) -> Column:
     return F.when(h.rlike(r"^[0-9a-f]{32}$"), form)
 
 
-@F.udf(K.StringType())
-def uuid_v5(space, name):
-    return None if space is None or name is None else str(_uuid.uuid5(_uuid.UUID(space), name))
+def _named(space, name, digest, version: str) -> Column:
+    raw = F.concat(F.unhex(F.regexp_replace(_c(space), "-", "")), F.encode(_c(name), "UTF-8"))
+    h = digest(raw)
+    variant = F.substring(F.lit("89ab" * 4), F.conv(F.substring(h, 17, 1), 16, 10).cast("int") + 1, F.lit(1))
+    return F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-" + version), F.substring(h, 14, 3), F.lit("-"), variant, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))
 
 
-@F.udf(K.StringType())
-def uuid_v3(space, name):
-    return None if space is None or name is None else str(_uuid.uuid3(_uuid.UUID(space), name))
+def uuid_v5(space, name) -> Column:
+    """A name's uuid in a name space, by SHA-1."""
+    return _named(space, name, F.sha1, "5")
+
+
+def uuid_v3(space, name) -> Column:
+    """A name's uuid in a name space, by MD5."""
+    return _named(space, name, F.md5, "3")
 
 
 def money(x) -> Column:
@@ -65,7 +72,7 @@ def enum_rank(x, labels: list[str]) -> Column:
     return F.nullif(F.array_position(F.array(*map(F.lit, labels)), _c(x)), F.lit(0).cast("long"))
 
 
-@F.udf(K.StringType())
+@F.udf(K.StringType(), useArrow=True)
 def cash_words(amount):
     """An amount of money in words."""
     if amount is None:
@@ -134,3 +141,48 @@ def bit_set(bits, i: int, v: int) -> Column:
 
 def bit_count(bits) -> Column:
     return F.length(F.translate(_c(bits), "0", ""))
+
+
+def input_error_info(s, kind: str) -> Column:
+    """``pg_input_error_info``: ``message`` and ``sql_error_code`` of a text that is no value of the type, else nulls."""
+    x = _c(s)
+    bad = x.isNotNull() & ~F.coalesce(input_is_valid(x, kind), F.lit(False))
+    number = x.rlike(r"^\s*[+-]?\d+\s*$") if kind in ("int", "bigint", "smallint", "tinyint") else F.lit(False)
+    message = F.when(number, F.format_string(f'value "%s" is out of range for type {kind}', x)).otherwise(F.format_string(f'invalid input syntax for type {kind}: "%s"', x))
+    return F.when(bad, F.struct(message.alias("message"), F.when(number, "22003").otherwise("22P02").alias("sql_error_code")))
+
+
+def trunc_macaddr(m) -> Column:
+    """The maker's three bytes of a hardware address, the rest zero; addresses in any usual spelling."""
+    h = F.lower(F.regexp_replace(_c(m), "[:.-]", ""))
+    return F.when(h.rlike("^[0-9a-f]{12}$"), F.concat(*(F.concat(F.substring(h, i, 2), F.lit(":")) for i in (1, 3, 5)), F.lit("00:00:00")))
+
+
+def satisfies_hash_partition(modulus: int, remainder: int, *columns) -> Column:
+    """Whether a row's hash falls into a partition; each row is in one of ``modulus``."""
+    return F.pmod(F.xxhash64(*map(_c, columns)), F.lit(modulus)) == remainder
+
+
+def strict(fn):
+    """A function that is null where any argument is, as functions marked STRICT are."""
+
+    def run(*xs):
+        some = F.lit(True)
+        for x in xs:
+            some = some & _c(x).isNotNull()
+        return F.when(some, fn(*map(_c, xs)))
+
+    return run
+
+
+def domain(kind: str, *checks, not_null: bool = False):
+    """``CREATE DOMAIN``: a cast that refuses values for which a check (a function of the value) is false; nulls pass unless ``not_null``."""
+
+    def run(x) -> Column:
+        v = _c(x).cast(kind)
+        bad = v.isNull() if not_null else F.lit(False)
+        for check in checks:
+            bad = bad | ~F.coalesce(check(v), F.lit(True))
+        return F.when(bad, F.raise_error(F.lit("value violates the domain's constraints")).cast(kind)).otherwise(v)
+
+    return run

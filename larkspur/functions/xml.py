@@ -38,7 +38,7 @@ def agg(x, *order) -> Column:
 
 
 def is_document(x) -> Column:
-    @F.udf("boolean")
+    @F.udf("boolean", useArrow=True)
     def run(text):
         from xml.etree import ElementTree
 

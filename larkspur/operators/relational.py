@@ -146,21 +146,42 @@ def delete_using(target: DataFrame, source: DataFrame, keys: list[str]) -> DataF
 # ---------------------------------------------------------------- joins
 
 
-def asof_join(left: DataFrame, right: DataFrame, key: list[str], at: str, right_at: str, values: list[str], how: str = "left") -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, key: list[str], at: str, right_at: str, values: list[str], how: str = "left", span: float | None = None) -> DataFrame:
     """For each left row the right row of the same key with the latest ``right_at`` not after ``at``.
 
     Both sides are united and sorted once by key and time, and the last right values carried forward: the work is
-    linear, where a range join would pair rows with all earlier ones.
+    linear, where a range join would pair rows with all earlier ones. ``span``, in seconds or the time column's own unit, cuts
+    the time of every key into ranges, each sorted by itself, for keys that hold more rows than a task should; the last right
+    row of each range, one small row, is carried into those after it.
     """
     l_ = left.withColumn("_t", F.col(at)).withColumn("_side", F.lit(1))
     r_ = right.select(*key, F.col(right_at).alias("_t"), F.lit(0).alias("_side"), F.struct(F.col(right_at).alias(f"_{right_at}"), *values).alias("_r"))
     both = l_.withColumn("_r", F.lit(None).cast(r_.schema["_r"].dataType)).unionByName(r_, allowMissingColumns=True)
-    w = Window.partitionBy(*key).orderBy(F.col("_t").asc_nulls_last(), "_side").rowsBetween(Window.unboundedPreceding, 0)
-    out = both.withColumn("_r", F.last("_r", ignorenulls=True).over(w)).where("_side = 1")
-    out = out.where("_r is not null") if how == "inner" else out
+    parts = list(key)
+    if span is not None:
+        timed = both.schema["_t"].dataType.typeName() in ("timestamp", "timestamp_ntz", "date")
+        number = F.unix_micros(F.col("_t").cast("timestamp")) / 1e6 if timed else F.col("_t").cast("double")
+        both = both.withColumn("_range", F.floor(number / span))
+        parts.append("_range")
+    w = Window.partitionBy(*parts).orderBy(F.col("_t").asc_nulls_last(), "_side").rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumn("_r", F.last("_r", ignorenulls=True).over(w)).where("_side = 1 AND _t IS NOT NULL")
+    if span is not None:
+        ends = both.where("_side = 0").groupBy(*parts).agg(F.max_by("_r", "_t").alias("_end"))
+        every = _pairs(both.select(*parts).distinct(), ends, parts)
+        before = Window.partitionBy(*key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+        carried = every.withColumn("_end", F.last("_end", ignorenulls=True).over(before))
+        out = _pairs(out, carried, parts).withColumn("_r", F.coalesce("_r", "_end")).drop("_end", "_range")
+    out = out.unionByName(both.drop("_range").where("_side = 1 AND _t IS NULL")) if how != "inner" else out.where("_r is not null")
     return out.select(*left.columns, F.col(f"_r._{right_at}").alias(f"matched_{right_at}"), *(F.col(f"_r.{v}").alias(v) for v in values))
 
 
+def _pairs(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """A left join by keys that may be null."""
+    c = b.withColumnsRenamed({k: f"_b_{k}" for k in keys})
+    on = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_b_{k}")) for k in keys))
+    return a.join(c, on, "left").drop(*(f"_b_{k}" for k in keys))
+
+
 def range_join(points: DataFrame, ranges: DataFrame, at: str, lo: str, hi: str, width: float) -> DataFrame:
     """Pairs with ``lo <= at < hi``. Both sides are cut into bins of ``width``, so the join is an equi-join on bins.
 
@@ -324,3 +345,71 @@ def system_time(df: DataFrame, ms: float, seed: int = 0) -> DataFrame:
     df.sample(share, seed).write.format("noop").mode("overwrite").save()
     spent = max(time.perf_counter() - start, 1e-3) * 1000
     return df.sample(min(1.0, share * ms / spent), seed) if ms / spent * share < 1 else df
+
+
+def recursive_union(start: DataFrame, step, cycle: list[str] | None = None, search: tuple[str, list[str]] | None = None, distinct: bool = False) -> DataFrame:
+    """``WITH RECURSIVE`` with ``CYCLE`` and ``SEARCH``: ``step`` makes the next rows from the last ones, until there are none.
+
+    ``cycle``: columns whose values tell a row; ``is_cycle`` marks a row that its own path holds already, from which nothing
+    goes on, ``path`` is what led to it. ``search``: ``("depth" | "breadth", columns)`` adds ``ordercol`` to sort by.
+    ``distinct``: as ``UNION``, rows found before don't go on. Each round is written to the shared folder, which cuts the
+    lineage; the driver sees one flag a round. ``step`` must carry ``path`` and ``ordercol`` along, which it finds in its rows.
+    """
+    spark, folder = start.sparkSession, f"{shared_folder(start.sparkSession)}/larkspur-{uuid.uuid4().hex}"
+    names = start.columns
+
+    def marked(df: DataFrame, before: bool, level: int) -> DataFrame:
+        if cycle:
+            own = F.struct(*cycle)
+            df = df.withColumn("is_cycle", F.array_contains("path", own) if before else F.lit(False)).withColumn("path", F.concat(F.col("path"), F.array(own)) if before else F.array(own))
+        if search:
+            here = F.array(F.struct(*search[1]))
+            order = F.concat(F.col("ordercol.keys"), here) if before and search[0] == "depth" else here
+            df = df.withColumn("ordercol", F.struct(F.lit(0 if search[0] == "depth" else level).alias("level"), order.alias("keys")))
+        return df
+
+    def written(df: DataFrame, level: int) -> DataFrame:
+        df.write.parquet(f"{folder}-{level}")
+        return spark.read.schema(df.schema).parquet(f"{folder}-{level}")
+
+    last = written(marked(start.distinct() if distinct else start, False, 0), 0)
+    found, level = last, 0
+    while True:
+        level += 1
+        new = marked(step(last.where("NOT is_cycle") if cycle else last), True, level).select(last.columns)
+        if distinct:
+            new = new.dropDuplicates(names).join(found.select(*(F.col(c).alias(f"_f_{c}") for c in names)), reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_f_{c}")) for c in names)), "left_anti")
+        last = written(new, level)
+        if last.isEmpty():
+            return found
+        found = found.unionByName(last)
+
+
+class Sequence:
+    """``CREATE SEQUENCE``: numbers that outlive the driver; a block of ``cache`` is taken by a file whose name only one can make."""
+
+    def __init__(self, spark, path: str, start: int = 1, increment: int = 1, cache: int = 100):
+        self.spark, self.path, self.start, self.increment, self.cache = spark, path.rstrip("/"), start, increment, cache
+        self.left: list[int] = []
+
+    def nextval(self) -> int:
+        if not self.left:
+            jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+            root = jvm.org.apache.hadoop.fs.Path(self.path)
+            fs = root.getFileSystem(conf)
+            fs.mkdirs(root)
+            block = len(fs.listStatus(root))
+            while not fs.createNewFile(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{block:012d}")):
+                block += 1
+            first = self.start + block * self.cache * self.increment
+            self.left = [first + i * self.increment for i in range(self.cache)][::-1]
+        return self.left.pop()
+
+    def assign(self, df: DataFrame, column: str) -> DataFrame:
+        """``DEFAULT nextval`` for many rows: gaps are allowed, as with any cached sequence; the driver takes whole blocks."""
+        first = self.nextval()
+        n = running_sum(df, [F.xxhash64(*(F.col(f"`{c}`") for c in df.columns))], F.lit(1).cast("long"), "_n")
+        taken = n.agg(F.max("_n")).first()[0] or 0
+        while taken > 0 and self.nextval() < first + taken * self.increment:
+            self.left.clear()
+        return n.withColumn(column, F.lit(first) + F.col("_n") * self.increment).drop("_n")

@@ -50,4 +50,4 @@ def built(name: str, oracle: str | None = None):
     return put
 
 
-from . import aggregates, changes, intelligence, joins, more, scalars, scans, tables, windows  # noqa: E402, F401
+from . import aggregates, changes, extras, intelligence, joins, more, scalars, scans, tables, windows  # noqa: E402, F401

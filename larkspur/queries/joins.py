@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import relational as R
-from . import built, pair, same
+from . import ORACLE, built, pair, same
 
 same("join_inner", "SELECT o.o_orderkey, c.c_name FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE c.c_acctbal > 5000")
 same("join_left", "SELECT c.c_custkey, count(o.o_orderkey) AS n FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P' GROUP BY c.c_custkey")
@@ -47,6 +47,15 @@ def _(t, spark):
     return R.asof_join(left, clicks, ["user_id"], "ts", "ts", ["value"]).drop("ts")
 
 
+@built("join_asof_by_ranges", ORACLE["join_asof"])
+def _(t, spark):
+    """The same by ranges of two days, each sorted by itself."""
+    e = t("events")
+    clicks = e.where("event_type = 'click'").groupBy("user_id", "ts").agg(F.max("value").alias("value"))
+    left = e.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    return R.asof_join(left, clicks, ["user_id"], "ts", "ts", ["value"], span=2 * 86400).drop("ts")
+
+
 @built("join_range_binned", """
 SELECT o.o_orderkey, s.s_suppkey FROM orders o JOIN supplier s ON o.o_totalprice >= s.s_acctbal * 10 AND o.o_totalprice < s.s_acctbal * 10 + 500""")
 def _(t, spark):

@@ -144,11 +144,13 @@ def _(t, spark):
     return t("documents").select("doc_id", A.overlap(w, F.array(F.lit("the"), F.lit("und"))).alias("o"), A.contains(w, F.array(F.lit("the"), F.lit("of"))).alias("c"))
 
 
-@built("fn_array_edit", "SELECT n_nationkey, '1,9,3' AS r, '1,2' AS tr, '7,7,7' AS f FROM nation")
+@built("fn_array_edit", """
+SELECT p_partkey, array_to_string(list_transform(a, lambda x: CASE WHEN x = p_size % 5 THEN 9 ELSE x END), ',') AS r, array_to_string(a[1:len(a) - 1], ',') AS tr, array_to_string(a[2:3], ',') AS sl
+FROM (SELECT p_partkey, p_size, range(0, p_size % 7) AS a FROM part)""")
 def _(t, spark):
-    a = F.array(*map(F.lit, (1, 2, 3)))
+    a = F.filter(F.sequence(F.lit(0), F.lit(6)), lambda x: x < F.col("p_size") % 7)
     text = lambda x: F.array_join(x.cast("array<string>"), ",")
-    return t("nation").select("n_nationkey", text(A.replace(a, 2, 9)).alias("r"), text(A.trim(a, 1)).alias("tr"), text(A.fill(7, 3)).alias("f"))
+    return t("part").select("p_partkey", text(A.replace(a, F.col("p_size") % 5, 9)).alias("r"), text(A.trim(a, 1)).alias("tr"), text(A.part(a, 2, 3)).alias("sl"))
 
 
 @built("fn_json_extract", "SELECT event_id, (props->>'$.k')::INT AS k, props->>'$.missing' AS miss, json_type(props->'$.k') IS NOT NULL AS has FROM events")
@@ -232,9 +234,13 @@ def _(t, spark):
     return t("nation").select("n_nationkey", S.levenshtein_less_equal("n_name", F.lit("CHINA"), 3).alias("d"))
 
 
-@built("levenshtein_costs", "SELECT n_nationkey, (levenshtein(n_name, 'PERU') * 2)::INT AS d FROM nation")
+@built("levenshtein_costs", """
+SELECT n_nationkey, 3 * (length(n_name) - 3)::INT AS cut, 2 * (length(n_name) - 3)::INT AS grown, length(n_name)::INT AS swapped, least(5, 7)::INT * length(n_name)::INT AS dear, (levenshtein(n_name, 'PERU') * 2)::INT AS even FROM nation""")
 def _(t, spark):
-    return t("nation").select("n_nationkey", S.levenshtein_costs("n_name", F.lit("PERU"), F.lit(2), F.lit(2), F.lit(2)).alias("d"))
+    """Three deletions a letter, two insertions, one substitution; and where a substitution is dearer than both others."""
+    cost = lambda a, b, *c: S.levenshtein_costs(a, b, *map(F.lit, c))
+    head, low = F.substring("n_name", 1, 3), F.regexp_replace("n_name", ".", "#")
+    return t("nation").select("n_nationkey", cost("n_name", head, 2, 3, 4).alias("cut"), cost(head, "n_name", 2, 3, 4).alias("grown"), cost("n_name", low, 2, 3, 1).alias("swapped"), cost("n_name", low, 2, 3, 7).alias("dear"), cost("n_name", F.lit("PERU"), 2, 2, 2).alias("even"))
 
 
 @built("soundex_difference")
@@ -273,14 +279,29 @@ def _(t, spark):
     return t("nation").select("n_nationkey", T.network(a).alias("net"), T.masklen(a).alias("len"), T.inet_within(a, F.lit("10.3.0.0/16")).alias("within"))
 
 
-@built("fn_uuid_money", "SELECT c_custkey, lower(substr(md5(c_name), 1, 8) || '-' || substr(md5(c_name), 9, 4) || '-' || substr(md5(c_name), 13, 4) || '-' || substr(md5(c_name), 17, 4) || '-' || substr(md5(c_name), 21)) AS u FROM customer")
+_MD5 = "lower(substr(md5(c_name), 1, 8) || '-' || substr(md5(c_name), 9, 4) || '-' || substr(md5(c_name), 13, 4) || '-' || substr(md5(c_name), 17, 4) || '-' || substr(md5(c_name), 21))"
+
+
+@built("fn_uuid_money", f"SELECT c_custkey, {_MD5} AS u, CASE WHEN c_acctbal < 0 THEN '-' ELSE '' END || '$' || format('{{:,.2f}}', abs(c_acctbal)) AS m FROM customer")
+def _(t, spark):
+    return t("customer").select("c_custkey", T.uuid(F.concat(F.lit("{"), F.upper(F.md5("c_name")), F.lit("}"))).alias("u"), T.money("c_acctbal").alias("m"))
+
+
+_SPACE = "6ba7b8109dad11d180b400c04fd430c8"
+
+
+@built("fn_uuid_named", f"""
+SELECT c_custkey, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS u
+FROM (SELECT c_custkey, sha1(from_hex('{_SPACE}') || encode(c_name)) AS h FROM customer)""")
 def _(t, spark):
-    return t("customer").select("c_custkey", T.uuid(F.concat(F.lit("{"), F.upper(F.md5("c_name")), F.lit("}"))).alias("u"))
+    return t("customer").select("c_custkey", T.uuid_v5(T.uuid(F.lit(_SPACE)), "c_name").alias("u"))
 
 
-@built("fn_bit_strings", "SELECT p_partkey, bit_count(p_partkey)::INT AS n FROM part")
+@built("fn_bit_strings", """
+SELECT p_partkey, bit_count(p_partkey)::INT AS n, b[1:2] || '1' || b[4:] AS s FROM (SELECT p_partkey, lpad(printf('%b', p_partkey), 16, '0') AS b FROM part)""")
 def _(t, spark):
-    return t("part").select("p_partkey", T.bit_count(F.bin("p_partkey")).alias("n"))
+    b = F.lpad(F.bin("p_partkey"), 16, "0")
+    return t("part").select("p_partkey", T.bit_count(b).alias("n"), T.bit_set(b, 2, 1).alias("s"))
 
 
 @built("udf_scalar", "SELECT p_partkey, p_size * 2 + 1 AS y FROM part")
@@ -307,7 +328,7 @@ def _(t, spark):
     return t("part").groupBy("p_brand").agg(F.round(geometric_mean("p_retailprice"), 4).alias("gm"))
 
 
-@built("udtf_setof")
+@built("udtf_setof", "SELECT i::INT AS i, (i * i)::INT AS sq FROM range(12) r(i)")
 def _(t, spark):
     @F.udtf(returnType="i int, sq int")
     class Squares:
