@@ -20,6 +20,21 @@ def register(spark: SparkSession, folder: str, names: list[str] | None = None) -
     return spark
 
 
+_keys: dict[str, list[str]] = {}
+
+
+def primary_key(table: str, *columns: str) -> None:
+    """Declare a table's key, on which its other columns depend; it is taken at its word."""
+    _keys[table.lower()] = [c.lower() for c in columns]
+
+
+def key_of(spark: SparkSession, table: str) -> tuple[list[str], set[str]]:
+    """A table's declared key and all its columns, in small letters; nothing for what is no table."""
+    if table.lower() not in _keys or not spark.catalog.tableExists(table):
+        return [], set()
+    return _keys[table.lower()], {c.lower() for c in spark.table(table).columns}
+
+
 def inherited(parent: DataFrame, *children: DataFrame, only: bool = False) -> DataFrame:
     """A parent with its children's rows cut to the parent's columns (``only``: the parent's own rows)."""
     if only:

@@ -130,27 +130,59 @@ def _with_ties(spark: SparkSession, statement: str, args: dict) -> DataFrame | N
     return relational.fetch_with_ties(rows, int(m[3]), *order)
 
 
+def _terms(order: str) -> list[str]:
+    """The terms of an order, commas in parentheses left alone."""
+    out, depth, at = [], 0, 0
+    for i, c in enumerate(order):
+        depth += (c in "([") - (c in ")]")
+        if c == "," and not depth:
+            out.append(order[at:i])
+            at = i + 1
+    return [*out, order[at:]]
+
+
 def _null_order(order: str) -> str:
     out = []
-    for term in re.split(r",(?![^()]*\))", order):
+    for term in _terms(order):
         t = term.strip()
         if not re.search(r"\bNULLS\s+(FIRST|LAST)\b", t, re.I):
-            t += " NULLS FIRST" if re.search(r"\bDESC\b", t, re.I) else " NULLS LAST"
+            t += " NULLS FIRST" if re.search(r"\bDESC\s*$", t, re.I) else " NULLS LAST"
         out.append(t)
     return ", ".join(out)
 
 
-def _order_nulls(s: str) -> str:
-    """Ascending order puts nulls last, descending first, at the statement's own ORDER BY."""
-    m = re.fullmatch(r"(.*)\bORDER\s+BY\s+((?:(?!\b(?:LIMIT|OFFSET|ROWS|RANGE|FROM|OVER)\b)[^()]|\([^()]*\))+?)(\s+(?:LIMIT|OFFSET)\b.*)?\s*", s, flags=re.I | re.S)
-    if not m or m[1].count("(") != m[1].count(")"):
-        return s
-    return f"{m[1]}ORDER BY {_null_order(m[2])}{m[3] or ''}"
+_AFTER_ORDER = re.compile(r"[()\[\]]|\b(?:LIMIT|OFFSET|FETCH|ROWS|RANGE|UNION|INTERSECT|EXCEPT|WINDOW)\b", re.I)
 
 
-_PREDICT = re.compile(r"\s*PREDICT\s+(VALUE|CLASS)\s+OF\s+(\w+|\"[^\"]+\")\s+FROM\s+([\w.]+|\"[^\"]+\")(?:\s+WHERE\s+(.*?))?\s+TRAIN\s+ON\s+(.+?)(?:\s+WITH\s+(.*?))?(?:\s+USING\s+MODEL\s+(\w+))?\s*;?\s*", re.I | re.S)
+def _order_nulls(s: str) -> str:
+    """Ascending order puts nulls last, descending first, in every ORDER BY: of statements, subqueries and windows.
 
+    Left alone are ordered-set aggregates, which leave nulls out.
+    """
+    out, at = [], 0
+    for m in re.finditer(r"\bORDER\s+BY\b", s, re.I):
+        if m.start() < at or re.search(r"\bWITHIN\s+GROUP\s*\(\s*$", s[: m.start()], re.I):
+            continue
+        depth, end = 0, len(s)
+        for x in _AFTER_ORDER.finditer(s, m.end()):
+            if x[0] in "([":
+                depth += 1
+            elif x[0] in ")]":
+                depth -= 1
+                if depth < 0:
+                    end = x.start()
+                    break
+            elif not depth:
+                end = x.start()
+                break
+        order = s[m.end() : end]
+        tail = order[len(order.rstrip()) :]
+        out += [s[at : m.end()], " ", _order_nulls(_null_order(order)), tail]
+        at = end
+    return "".join([*out, s[at:]])
 
+
+_PREDICT = re.compile(r"\s*PREDICT\s+(VALUE|CLASS)\s+OF\s+(\w+|\"[^\"]+\")\s+FROM\s+([\w.]+|\"[^\"]+\")(?:\s+WHERE\s+(.*?))?\s+TRAIN\s+ON\s+(.+?)(?:\s+WITH\s+(.*?))?(?:\s+USING\s+MODEL\s+(\w+))?\s*;?\s*", re.I | re.S)
 #: ``DO $$ BEGIN … END $$``: the body runs as a script of the engine's own.
 _DO = re.compile(r"\s*DO\s+(?:LANGUAGE\s+\w+\s+)?(\$\w*\$)\s*(.*?)\s*;?\s*\1(?:\s*LANGUAGE\s+\w+)?\s*;?\s*", re.I | re.S)
 
@@ -193,10 +225,93 @@ def sql(spark: SparkSession, statement: str, **args) -> DataFrame:
     body = _DO.fullmatch(statement)
     if body:
         return spark.sql(body[2])
+    explained = _EXPLAIN.fullmatch(statement)
+    if explained:
+        return _explain(spark, explained, args)
+    setting = _SETTING.fullmatch(statement)
+    if setting:
+        return _setting(spark, setting)
     if dml.is_change(statement):
         return dml.run(spark, statement, args)
     tied = _with_ties(spark, statement, args)
-    return spark.sql(rewrite(statement), args=args or None) if tied is None else tied
+    return _run(spark, rewrite(statement), args) if tied is None else tied
+
+
+def _run(spark: SparkSession, text: str, args: dict) -> DataFrame:
+    """Run a rewritten statement. Columns that depend on a grouped primary key (``catalog.primary_key``) need no aggregate."""
+    from pyspark.errors import AnalysisException
+
+    from . import catalog
+
+    while True:
+        try:
+            return spark.sql(text, args=args or None)
+        except AnalysisException as e:
+            m = re.fullmatch(r"(\s*SELECT\b)(.*?)(\bFROM\b.*?\bGROUP\s+BY\b\s*)(.*?)((?:\b(?:HAVING|ORDER|LIMIT)\b.*)?)", text, re.I | re.S)
+            if e.getCondition() != "MISSING_AGGREGATION" or not m:
+                raise
+            column = e.getMessageParameters()["expression"].strip('"`').split(".")[-1].strip("`")
+            grouped = {t.strip().split(".")[-1].strip("`").lower() for t in _terms(m[4])}
+            keys = [k for t in re.findall(r"\b(?:FROM|JOIN|,)\s*(\w+)", m[3], re.I) for k, columns in [catalog.key_of(spark, t)] if column.lower() in columns]
+            if not any(k and set(k) <= grouped for k in keys):
+                raise
+            items = _terms(m[2])
+            bare = [re.fullmatch(rf"\s*((?:\w+\.)?`?{re.escape(column)}`?)(?:\s+(?:AS\s+)?(\w+))?\s*", i, re.I) for i in items]
+            if not any(bare):
+                raise
+            items = [f" any_value({b[1]}) AS {b[2] or column} " if b else i for i, b in zip(items, bare)]
+            text = f"{m[1]}{','.join(items)}{m[3]}{m[4]}{m[5]}"
+
+
+_EXPLAIN = re.compile(r"\s*EXPLAIN\s+(?:\(([^()]*)\)\s*|((?:ANALYZE|VERBOSE)\s+)+)?(SELECT|WITH|VALUES|TABLE)\b(.*)", re.I | re.S)
+_SETTING = re.compile(r"\s*(SHOW|RESET|SET\s+(?:SESSION|LOCAL))\s+([\w.]*\.[\w.]+)(?:\s*(?:=|\bTO\b)\s*(.*?))?\s*;?\s*", re.I | re.S)
+
+
+def _explain(spark: SparkSession, m: re.Match, args: dict) -> DataFrame:
+    """``EXPLAIN [(ANALYZE, VERBOSE, COSTS, FORMAT TEXT | JSON)]``: a line a row in ``QUERY PLAN``; ANALYZE runs the statement."""
+    import json
+    import time
+
+    from .plans import workload
+
+    words = (m[1] or m[2] or "").upper()
+    df = sql(spark, f"{m[3]}{m[4]}", **args)
+    mode = "extended" if "VERBOSE" in words else "cost" if re.search(r"\bCOSTS\b(?!\s+(?:OFF|FALSE))", words) else "formatted"
+    lines, spent = [], None
+    if re.search(r"\bANALYZE\b(?!\s+(?:OFF|FALSE))", words):
+        start = time.perf_counter()
+        df.write.format("noop").mode("overwrite").save()
+        spent = (time.perf_counter() - start) * 1000
+        lines = [f"Execution Time: {spent:.3f} ms"]
+    lines = workload.explain(df, mode).splitlines() + lines
+    if "JSON" in words:
+        lines = [json.dumps([{"Plan": lines, **({"Execution Time": spent} if spent is not None else {})}])]
+    return spark.createDataFrame([(x,) for x in lines], "`QUERY PLAN` string")
+
+
+def _setting(spark: SparkSession, m: re.Match) -> DataFrame:
+    """``SHOW``, ``RESET`` and ``SET SESSION | LOCAL`` of a setting with a dot in its name; a driver's session has no transactions."""
+    what, name, value = m[1].split()[0].upper(), m[2], m[3]
+    if what == "RESET":
+        spark.conf.unset(name)
+    elif what == "SET":
+        spark.conf.set(name, value.strip("'"))
+    return spark.createDataFrame([(spark.conf.get(name, None),)], f"`{name}` string")
+
+
+def normalize(statement: str) -> str:
+    """A statement without its literals' values, in small letters and single blanks."""
+    s = re.sub(r"--[^\n]*|/\*.*?\*/", " ", statement, flags=re.S)
+    s = re.sub(r"'(?:[^']|'')*'|\b\d+(?:\.\d+)?\b", "?", s)
+    s = re.sub(r"\(\s*\?(?:\s*,\s*\?)+\s*\)", "(?)", s)
+    return re.sub(r"\s+", " ", s.strip().rstrip(";")).strip().lower()
+
+
+def fingerprint(statement: str) -> str:
+    """Equal for statements that differ in literals, case and blanks only."""
+    import hashlib
+
+    return hashlib.md5(normalize(statement).encode()).hexdigest()
 
 
 def parse_tree(spark: SparkSession, statement: str) -> str:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from .. import catalog
 from ..functions import arrays, json, ranges
 from ..operators import relational as R
 from . import built, pair, same
@@ -17,7 +18,10 @@ same("agg_grouping_sets", "SELECT p_brand, p_size, count(*) AS n FROM part GROUP
 pair("agg_grouping_id", "SELECT l_returnflag, l_linestatus, CAST(grouping_id(l_returnflag, l_linestatus) AS BIGINT) AS g, CAST(grouping(l_linestatus) AS BIGINT) AS gl, count(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus WITH CUBE",
      "SELECT l_returnflag, l_linestatus, grouping_id(l_returnflag, l_linestatus)::BIGINT AS g, grouping(l_linestatus)::BIGINT AS gl, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
 same("agg_ordinal_alias", "SELECT o_orderstatus AS s, count(*) AS n FROM orders GROUP BY 1")
-same("agg_functional_dependency", "SELECT c_custkey, any_value(c_name) AS c_name, count(*) AS n FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
+same("agg_alias", "SELECT lower(o_orderstatus) AS s, count(*) AS n FROM orders GROUP BY s")
+catalog.primary_key("customer", "c_custkey")
+pair("agg_functional_dependency", "SELECT c_custkey, c_name, customer.c_mktsegment AS segment, count(*) AS n FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey",
+     "SELECT c_custkey, any_value(c_name) AS c_name, any_value(c_mktsegment) AS segment, count(*) AS n FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
 
 
 @built("agg_group_by_distinct", """

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import json, strings, types
 from ..operators import relational as R
 from . import built, pair, same
+from .tables import _folder
 
 same("fn_make_dates", "SELECT o_orderkey, make_date(1990 + o_orderkey % 30, 1 + o_orderkey % 12, 1 + o_orderkey % 28) AS d FROM orders")
 same("fn_mod_signs", "SELECT o_orderkey, mod(o_custkey - 50, 7) AS m, (50 - o_custkey) % 7 AS n FROM orders")
@@ -102,8 +103,9 @@ def _(t, spark):
     """A partition-wise join: both sides lie in buckets of the key, so the join itself needs no exchange."""
     names = []
     for table, key, columns in (("orders", "o_orderkey", ["o_orderkey", "o_orderpriority"]), ("lineitem", "l_orderkey", ["l_orderkey", "l_extendedprice"])):
-        names.append(f"larkspur_{table}_in_buckets")
-        t(table).select(columns).write.mode("overwrite").bucketBy(8, key).sortBy(key).saveAsTable(names[-1])
+        folder = _folder(spark)
+        names.append(folder.rsplit("/", 1)[1].replace("-", "_"))
+        t(table).select(columns).write.option("path", folder).bucketBy(8, key).sortBy(key).saveAsTable(names[-1])
     joined = spark.table(names[0]).hint("merge").join(spark.table(names[1]), F.col("o_orderkey") == F.col("l_orderkey"))
     return joined.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("price"))
 

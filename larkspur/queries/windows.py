@@ -49,3 +49,7 @@ same("win_groups_exclude_sql", _W.format(", ".join(f"{fn}({x}) OVER ({_O} GROUPS
 same("win_exclude_running_sql", "SELECT o_orderkey, {} FROM orders".format(", ".join(f"{fn}(o_orderkey % 7) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW EXCLUDE {e}) AS {fn}_{k}" for k, e in enumerate(("CURRENT ROW", "GROUP", "TIES")) for fn in ("sum", "count", "min", "max"))))
 same("win_exclude_range_sql", _W.format(", ".join(f"{fn}(l_linenumber) OVER ({_O} RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE {e}) AS {fn}_{k}" for k, e in enumerate(("CURRENT ROW", "GROUP", "TIES")) for fn in ("sum", "count", "max"))))
 same("win_exclude_peers_rows_sql", "SELECT o_orderkey, sum(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderstatus, o_orderkey ROWS BETWEEN 1 PRECEDING AND 3 FOLLOWING EXCLUDE TIES) AS s, avg(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING EXCLUDE CURRENT ROW) AS a FROM orders WHERE o_totalprice > 1000")
+pair("win_null_order", "SELECT n_nationkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY nullif(n_nationkey % 4, 1), n_nationkey) AS up, row_number() OVER (PARTITION BY n_regionkey ORDER BY nullif(n_nationkey % 4, 1) DESC, n_nationkey) AS down FROM nation",
+     "SELECT n_nationkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY nullif(n_nationkey % 4, 1) NULLS LAST, n_nationkey) AS up, row_number() OVER (PARTITION BY n_regionkey ORDER BY nullif(n_nationkey % 4, 1) DESC NULLS FIRST, n_nationkey) AS down FROM nation")
+pair("subquery_null_order", "SELECT a.n_nationkey FROM (SELECT nullif(n_nationkey, 3) AS k, n_nationkey FROM nation ORDER BY k, n_nationkey LIMIT 24) a WHERE a.n_nationkey IN (SELECT n_nationkey FROM (SELECT nullif(n_nationkey, 5) AS k, n_nationkey FROM nation ORDER BY k DESC LIMIT 20))",
+     "SELECT a.n_nationkey FROM (SELECT nullif(n_nationkey, 3) AS k, n_nationkey FROM nation ORDER BY k NULLS LAST, n_nationkey LIMIT 24) a WHERE a.n_nationkey IN (SELECT n_nationkey FROM (SELECT nullif(n_nationkey, 5) AS k, n_nationkey FROM nation ORDER BY k DESC NULLS FIRST LIMIT 20))")

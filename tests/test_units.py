@@ -90,7 +90,7 @@ def test_asof_and_range_joins_are_linear(spark):
 def test_merge_rejects_two_matches(spark):
     t, s = spark.createDataFrame([(1, 1)], "k int, v int"), spark.createDataFrame([(1, 2), (1, 3)], "k int, v int")
     with pytest.raises(relational.CardinalityViolation):
-        relational.merge(t, s, ["k"], update={"v": F.col("s.v")})
+        relational.merge(t, s, ["k"], relational.When("both", "update", None, {"v": F.col("s.v")}))
 
 
 def test_connectby_finds_loops(spark):
@@ -619,3 +619,43 @@ def test_forecaster(spark):
     assert [(k, x, round(v, 6)) for k, x, v in got] == [("a", 12, 29.0), ("a", 13, 31.0), ("b", 12, 24.0), ("b", 13, 26.0)]
     r = f.evaluate(spark.createDataFrame([("a", 12, 30.0), ("b", 12, 24.0), ("short", 3, 1.0), ("b", 0, 0.0)], "k string, x long, y double")).first()
     assert (round(r.mae, 6), r.n) == (round(1 / 3, 6), 3) and r.mape == pytest.approx(100 / 30 / 2)
+
+
+# ---------------------------------------------------------------- statements about statements
+
+
+def test_explain_and_settings(spark):
+    spark.range(5).createOrReplaceTempView("five")
+    text = lambda s: "\n".join(r[0] for r in dialect.sql(spark, s).collect())
+    assert "Range" in text("EXPLAIN SELECT id FROM five ORDER BY id") and "Execution Time" not in text("EXPLAIN (VERBOSE) SELECT id FROM five")
+    assert "Execution Time" in text("EXPLAIN (ANALYZE, FORMAT JSON) SELECT count(*) FROM five") and text("EXPLAIN (FORMAT JSON) SELECT 1").startswith("[")
+    name = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(name)
+    try:
+        assert dialect.sql(spark, f"SET LOCAL {name} TO '5'").first()[0] == "5" and dialect.sql(spark, f"SHOW {name}").first()[0] == "5"
+    finally:
+        spark.conf.set(name, old)
+
+
+def test_statements_are_alike():
+    a, b = "SELECT *  FROM t -- all\nWHERE x IN (1, 2,3) AND s = 'it''s'", "select * from T where X in (7) and s = 'b' ;"
+    assert dialect.normalize(a) == "select * from t where x in (?) and s = ?" and dialect.fingerprint(a) == dialect.fingerprint(b)
+    assert dialect.fingerprint(a) != dialect.fingerprint("select 1 from t")
+
+
+def test_every_order_puts_nulls_in_their_place():
+    r = dialect.rewrite("SELECT max(x) OVER (PARTITION BY a ORDER BY b, f(c, d) DESC ROWS 1 PRECEDING), mode() WITHIN GROUP (ORDER BY e) FROM (SELECT * FROM t ORDER BY g LIMIT 3) ORDER BY h NULLS FIRST, i")
+    assert r == "SELECT max(x) OVER (PARTITION BY a ORDER BY b NULLS LAST, f(c, d) DESC NULLS FIRST ROWS 1 PRECEDING), mode() WITHIN GROUP (ORDER BY e) FROM (SELECT * FROM t ORDER BY g NULLS LAST LIMIT 3) ORDER BY h NULLS FIRST, i NULLS LAST"
+
+
+def test_grouped_keys_determine_columns(spark):
+    from pyspark.errors import AnalysisException
+
+    spark.createDataFrame([(1, "a", 2), (2, "b", 3)], "pk long, name string, v int").createOrReplaceTempView("keyed")
+    ask = "SELECT pk, name AS called, sum(v) AS s FROM keyed GROUP BY pk ORDER BY pk"
+    with pytest.raises(AnalysisException):
+        dialect.sql(spark, ask)
+    catalog.primary_key("keyed", "pk")
+    assert [tuple(r) for r in dialect.sql(spark, ask).collect()] == [(1, "a", 2), (2, "b", 3)]
+    with pytest.raises(AnalysisException):
+        dialect.sql(spark, "SELECT pk, name FROM keyed GROUP BY name")
