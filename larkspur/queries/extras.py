@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import json, strings, types
 from ..operators import relational as R
+from ..sources import binary, copy
 from . import built, pair, same
 from .tables import _folder
 
@@ -124,3 +125,21 @@ def _(t, spark):
       END WHILE lp;
       SELECT total, n;
     END $$""")
+
+
+@built("copy_binary_round_trip", "SELECT o_orderkey, nullif(o_orderstatus, 'F') AS s, o_totalprice, o_orderdate, CAST(o_orderdate AS DATE) AS d, o_custkey % 2 = 0 AS even FROM orders")
+def _(t, spark):
+    """Out to binary files and in again."""
+    path = _folder(spark)
+    o = t("orders").selectExpr("o_orderkey", "nullif(o_orderstatus, 'F') AS s", "o_totalprice", "o_orderdate", "CAST(o_orderdate AS DATE) AS d", "o_custkey % 2 = 0 AS even")
+    binary.copy_binary_to(o, path)
+    return binary.copy_binary_from(spark, path, o.schema)
+
+
+@built("copy_text_in", "SELECT c_custkey, nullif(c_mktsegment, 'BUILDING') AS seg, c_name || chr(9) || 'x' AS note FROM customer")
+def _(t, spark):
+    """Out to text files and in again by the reader of COPY."""
+    path = _folder(spark)
+    c = t("customer").select("c_custkey", F.expr("nullif(c_mktsegment, 'BUILDING')").alias("seg"), F.concat("c_name", F.lit("\tx")).alias("note"))
+    copy.copy_to(c, path)
+    return copy.copy_from(spark, path, "c_custkey long, seg string, note string")
