@@ -355,7 +355,10 @@ def sliced(batch, rows: int = 1024, limit: int = 4 << 20):
 
 
 def tokenize(docs: DataFrame, path: str) -> DataFrame:
-    """``docs`` with ``ids array<int>`` (null text: empty); other columns pass through, one named ``ids`` is replaced."""
+    """``docs`` with ``ids array<int>``; other columns pass through, one named ``ids`` is replaced.
+
+    A null or empty text has no ids. Rows that repeat an id, or have none, are rows of their own; an empty table stays empty.
+    """
     out = docs.drop("ids")
     names = out.columns
     at = names.index("text")
@@ -370,7 +373,12 @@ def tokenize(docs: DataFrame, path: str) -> DataFrame:
 
 
 def detokenize(rows: DataFrame, path: str) -> DataFrame:
-    """``rows(…, ids)`` with ``decoded string``; null ids decode to an empty text."""
+    """``rows(…, ids)`` with ``decoded string``; a column of that name is replaced, others pass through.
+
+    Null and empty ids decode to an empty text; bytes that are no UTF-8 become replacement characters. Repeated rows give
+    repeated results; an empty table stays empty.
+    """
+    rows = rows.drop("decoded")
     names = rows.columns
     at = names.index("ids")
 

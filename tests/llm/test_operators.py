@@ -518,6 +518,44 @@ def test_language_windows_cover_every_byte():
     assert np.allclose(whole[0], total / weight, atol=1e-5) and np.allclose(whole[2], 0)
 
 
+def test_language_memory_does_not_follow_a_text():
+    """However long a text, windows go through the network in blocks of bounded size, each once."""
+    model, seen = langid.ByteGRU.fresh(["a", "b"], 2), []
+
+    class Counting(langid.ByteGRU):
+        def probabilities(self, ids):
+            seen.append(ids.shape)
+            return np.broadcast_to(np.float32(0.5), (*ids.shape, 2))
+
+    langid.predict(Counting(model.labels, model.p), [b"word " * 400_000, b"x" * 1000, b"short"], rows=256)
+    assert max(n for n, _ in seen) <= 512 and sum(n for n, w in seen if w == langid.WINDOW) == -(-2_000_000 // 128) + 8
+
+
+def test_every_label_is_learned(spark):
+    """Labels beyond a hundred, rows that repeat, null ids; equal texts get equal predictions."""
+    rng = random.Random(1)
+    rows = [(i % 7 or None, f"{chr(97 + k % 26)}{chr(97 + k // 26)} " * rng.randint(5, 9), f"l{k:03}") for i, k in enumerate(list(range(130)) * 2)]
+    df = spark.createDataFrame(rows + rows[:20], "doc_id long, text string, lang string")
+    got = langid.identify(df.repartition(5), model := langid.train(df)).collect()
+    assert model.labels == sorted({r[2] for r in rows}) and len(model.labels) == 130
+    by = {}
+    assert all(by.setdefault(r.text, (r.lang_pred, r.score)) == (r.lang_pred, r.score) for r in got)
+    whole = langid.train(df, cuts=None)
+    assert whole.labels == model.labels and len(got) == df.count()
+
+
+def test_quality_learns_from_one_text_of_an_id(spark):
+    """Rows that repeat an id teach once, whatever their number; equal texts score alike."""
+    good, bad = "The plain words of a text, and more of them. " * 9, "BUY!!! now $$$ " * 30
+    docs = spark.createDataFrame([(1, good)] * 300 + [(1, "zzz")] + [(2, bad)] * 5 + [(k, good if k % 2 else bad) for k in range(3, 30)] + [(None, good)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 30)], "doc_id long, quality int")
+    model = quality.train(docs, labels, most=None)
+    by = {}
+    for r in quality.score(docs.repartition(4), model).collect():
+        assert by.setdefault(r.text, r.score) == r.score
+    assert by[good] > 0.7 > by[bad]
+
+
 def test_language_gradient():
     model = langid.ByteGRU.fresh(["a", "b"], 4)
     model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
