@@ -386,30 +386,48 @@ def recursive_union(start: DataFrame, step, cycle: list[str] | None = None, sear
 
 
 class Sequence:
-    """``CREATE SEQUENCE``: numbers that outlive the driver; a block of ``cache`` is taken by a file whose name only one can make."""
+    """``CREATE SEQUENCE``: numbers that outlive the driver. Each take makes a file named by its first number, which only one
+    can make; the file holds how many numbers were taken. Gaps are allowed, as with any cached sequence."""
 
     def __init__(self, spark, path: str, start: int = 1, increment: int = 1, cache: int = 100):
-        self.spark, self.path, self.start, self.increment, self.cache = spark, path.rstrip("/"), start, increment, cache
+        self.path, self.start, self.increment, self.cache = path.rstrip("/"), start, increment, cache
         self.left: list[int] = []
+        jvm = spark.sparkContext._jvm
+        self._path = jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._fs.mkdirs(self._path(self.path))
+
+    def _take(self, n: int) -> int:
+        """The place of the first of ``n`` numbers that no one else gets."""
+        while True:
+            names = sorted(x.getPath().getName() for x in self._fs.listStatus(self._path(self.path)))
+            first = 0
+            if names:
+                f = self._fs.open(self._path(f"{self.path}/{names[-1]}"))
+                held = f.readLine()
+                f.close()
+                if not held:  # another driver is writing it
+                    time.sleep(0.05)
+                    continue
+                first = int(names[-1]) + int(held)
+            try:
+                out = self._fs.create(self._path(f"{self.path}/{first:020d}"), False)
+            except Exception as e:
+                if "exist" not in str(e).lower():
+                    raise
+                continue
+            out.writeBytes(f"{n}\n")
+            out.close()
+            return first
 
     def nextval(self) -> int:
         if not self.left:
-            jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-            root = jvm.org.apache.hadoop.fs.Path(self.path)
-            fs = root.getFileSystem(conf)
-            fs.mkdirs(root)
-            block = len(fs.listStatus(root))
-            while not fs.createNewFile(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{block:012d}")):
-                block += 1
-            first = self.start + block * self.cache * self.increment
-            self.left = [first + i * self.increment for i in range(self.cache)][::-1]
+            first = self._take(self.cache)
+            self.left = [self.start + (first + i) * self.increment for i in range(self.cache)][::-1]
         return self.left.pop()
 
     def assign(self, df: DataFrame, column: str) -> DataFrame:
-        """``DEFAULT nextval`` for many rows: gaps are allowed, as with any cached sequence; the driver takes whole blocks."""
-        first = self.nextval()
+        """``DEFAULT nextval``: a number of the sequence for every row, drawn in one take."""
+        first = self._take(max(1, df.count()))
         n = running_sum(df, [F.xxhash64(*(F.col(f"`{c}`") for c in df.columns))], F.lit(1).cast("long"), "_n")
-        taken = n.agg(F.max("_n")).first()[0] or 0
-        while taken > 0 and self.nextval() < first + taken * self.increment:
-            self.left.clear()
-        return n.withColumn(column, F.lit(first) + F.col("_n") * self.increment).drop("_n")
+        return n.withColumn(column, F.lit(self.start) + (F.col("_n") + first) * self.increment).drop("_n")
