@@ -531,8 +531,9 @@ def test_language_memory_does_not_follow_a_text():
     assert max(n for n, _ in seen) <= 512 and sum(n for n, w in seen if w == langid.WINDOW) == -(-2_000_000 // 128) + 8
 
 
-def test_every_label_is_learned(spark):
+def test_every_label_is_learned(spark, monkeypatch):
     """Labels beyond a hundred, rows that repeat, null ids; equal texts get equal predictions."""
+    monkeypatch.setattr(langid, "fit", lambda windows, fit=langid.fit: fit(windows, steps=3))
     rng = random.Random(1)
     rows = [(i % 7 or None, f"{chr(97 + k % 26)}{chr(97 + k // 26)} " * rng.randint(5, 9), f"l{k:03}") for i, k in enumerate(list(range(130)) * 2)]
     df = spark.createDataFrame(rows + rows[:20], "doc_id long, text string, lang string")
