@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 BITS, SHORTEST, LONGEST, PASSAGE = 6, 16, 192, 256
-RUN, PICK = 40, 12
+RUN, PICK, HOT = 40, 12, 1000
 _LAG = C.mix(np.arange(1001, 1001 + RUN, dtype=np.uint64)) | np.uint64(1)
 _GEAR = (C.mix(np.arange(501, 757, dtype=np.uint64)) & np.uint64(0xFFFF)).astype(np.uint16)
 
@@ -169,10 +169,16 @@ def repeats(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
     """
     docs = C.spread(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
     units = docs.mapInArrow(C.tidy(_units), _UNITS)
-    # only digests that another row has travel on; they are aggregated before the shuffle, and the join splits hot digests
+    # only digests that another row has travel on; they are aggregated before the shuffle
     owner = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "key")
-    often = units.where("lead").groupBy("digest").agg(F.min(owner).alias("origin"), F.count("*").alias("rows")).where("rows > 1").select("digest", "origin")
-    found = units.drop("lead").join(often, "digest").select("doc_id", "key", "place", "digest", (owner != F.col("origin")).alias("again"), F.col("origin.key").alias("from"))
+    often = C.materialize(units.where("lead").groupBy("digest").agg(F.min(owner).alias("origin"), F.count("*").alias("rows")).where("rows > 1"), "substring-often")
+    # a digest with more than a HOT-th of all these rows is dealt out by salt; there are fewer than HOT of them
+    total = often.agg(F.sum("rows")).first()[0] or 1
+    hot = often.where(F.col("rows") * HOT > total).select(F.col("digest").alias("_hot"), F.ceil(F.col("rows") * HOT / total).cast("int").alias("_shares"))
+    salted = lambda df, salt: df.join(F.broadcast(hot), F.col("digest") == F.col("_hot"), "left").withColumn("salt", salt).drop("_hot", "_shares")
+    every = salted(often, F.explode(F.sequence(F.lit(0), F.coalesce("_shares", F.lit(1)) - 1))).select("digest", "salt", "origin")
+    found = salted(units.drop("lead"), F.coalesce(F.pmod(F.xxhash64("key", "place"), F.col("_shares")).cast("int"), F.lit(0))).join(every, ["digest", "salt"])
+    found = found.select("doc_id", "key", "place", "digest", (owner != F.col("origin")).alias("again"), F.col("origin.key").alias("from"))
     # equal rows have equal units: one set of them, made before the shuffle, and their number from the units of whole texts
     runs = found.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.struct("place", "digest", "again", "from"))).alias("own"), F.greatest(F.count_if(F.col("place").bitwiseAND(3) == 2), F.lit(1)).alias("n"))
     told = runs.select("doc_id", "own", "n").mapInArrow(C.tidy(_runs(passage)), "doc_id long, shared_bytes long, shared string, repeat_bytes long, repeats string, n long").where("shared_bytes > 0")
