@@ -300,8 +300,8 @@ def _(t, spark):
 @built("fn_bit_strings", """
 SELECT p_partkey, bit_count(p_partkey)::INT AS n, b[1:2] || '1' || b[4:] AS s FROM (SELECT p_partkey, lpad(printf('%b', p_partkey), 16, '0') AS b FROM part)""")
 def _(t, spark):
-    b = F.lpad(F.bin("p_partkey"), 16, "0")
-    return t("part").select("p_partkey", T.bit_count(b).alias("n"), T.bit_set(b, 2, 1).alias("s"))
+    b = F.bin("p_partkey")  # padding to 16 also cuts what is longer, so bits are counted before
+    return t("part").select("p_partkey", T.bit_count(b).alias("n"), T.bit_set(F.lpad(b, 16, "0"), 2, 1).alias("s"))
 
 
 @built("udf_scalar", "SELECT p_partkey, p_size * 2 + 1 AS y FROM part")
