@@ -102,11 +102,16 @@ class Forecaster:
 
 
 def interpolate(df: DataFrame, key: str, at: str, value: str) -> DataFrame:
-    """Gaps filled on the straight line between their neighbours; at the ends by the nearest value."""
-    back = Window.partitionBy(key).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(key).orderBy(at).rowsBetween(0, Window.unboundedFollowing)
+    """Gaps filled on the straight line between their neighbours; at the ends by the nearest value.
+
+    The value ahead is the last one in falling order: a frame up to a partition's end is read anew for each row, which is
+    quadratic. Of rows at one place those with a value come first, by value.
+    """
+    gap, rows = F.col(value).isNull(), (Window.unboundedPreceding, 0)
+    back = Window.partitionBy(key).orderBy(F.col(at).asc_nulls_last(), gap, F.col(value).asc()).rowsBetween(*rows)
+    ahead = Window.partitionBy(key).orderBy(F.col(at).desc_nulls_first(), gap, F.col(value).desc()).rowsBetween(*rows)
     pair = F.when(F.col(value).isNotNull(), F.struct(F.col(at).cast("double").alias("t"), F.col(value).alias("v")))
-    out = df.withColumn("_a", F.last(pair, ignorenulls=True).over(back)).withColumn("_b", F.first(pair, ignorenulls=True).over(ahead))
+    out = df.withColumn("_a", F.last(pair, ignorenulls=True).over(back)).withColumn("_b", F.last(pair, ignorenulls=True).over(ahead))
     a, b, t = F.col("_a"), F.col("_b"), F.col(at).cast("double")
     line = a["v"] + (b["v"] - a["v"]) * F.try_divide(t - a["t"], b["t"] - a["t"])
     return out.withColumn(value, F.coalesce(F.col(value), line, a["v"], b["v"])).drop("_a", "_b")

@@ -3,6 +3,7 @@
 import duckdb
 from compare import difference, oracle
 
+from larkspur.plans import workload
 from larkspur.queries import ORACLE, QUERIES
 
 
@@ -22,3 +23,18 @@ def test_bits_of_keys_wider_than_their_padding(spark, tmp_path):
     keys = "0, 1, 32768, 65535, 65536, 65537, 131071, 131073, 1099511627777, 9223372036854775807, -1, -5, -65536, NULL"
     folder = folder_of(tmp_path, part=f"SELECT unnest([{keys}])::BIGINT AS p_partkey")
     assert against_sql(spark, folder, "fn_bit_strings") == ""
+
+
+def test_series_are_filled_in_linear_work(spark, tmp_path):
+    """No frame is read anew for each row; series with gaps at their ends, long gaps, no value at all and no key."""
+    keys = "list_concat(range(-40, 400), range(5000, 5020), [9000, NULL])"
+    folder = folder_of(tmp_path, part=f"SELECT x AS p_partkey, CASE WHEN x % 7 < 5 THEN x * 1.5 + x % 11 END::DOUBLE AS p_retailprice FROM (SELECT unnest({keys})::BIGINT AS x)")
+    assert against_sql(spark, folder, "interpolate_series") == ""
+    assert "unboundedfollowing" not in QUERIES["interpolate_series"](spark, folder)._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_gaps_beside_values_of_the_same_place(spark):
+    """At one place a gap takes the value there, whichever row comes first."""
+    rows = spark.createDataFrame([("a", 1, None), ("a", 2, 4.0), ("a", 3, None), ("a", 3, 8.0), ("a", 4, None), ("a", 5, 0.0), ("a", 7, None), ("b", 1, None)], "k string, x int, y double")
+    got = sorted(tuple(r) for r in workload.interpolate(rows, "k", "x", "y").where("k = 'a'").collect())
+    assert got == [("a", 1, 4.0), ("a", 2, 4.0), ("a", 3, 8.0), ("a", 3, 8.0), ("a", 4, 4.0), ("a", 5, 0.0), ("a", 7, 0.0)]
