@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import time
 import uuid
 from dataclasses import dataclass, field
@@ -192,6 +193,26 @@ def range_join(points: DataFrame, ranges: DataFrame, at: str, lo: str, hi: str,
     return p.join(r, "_bin").where((F.col(at) >= F.col(lo)) & (F.col(at) < F.col(hi))).drop("_bin")
 
 
+def ordered_pairs(df: DataFrame, keys: list[str], at: str, names: tuple[str, str] = ("a", "b"), block: int = 1024, each: int = 8_000_000) -> DataFrame:
+    """``names``: all pairs of values of ``at`` with the lesser first, from rows that are equal in ``keys`` (a self join on ``<``).
+
+    A group's rows lie in order in blocks of ``block``, and each two blocks that can hold pairs are joined by themselves, so a
+    task makes about ``each`` pairs however large a group is; the number of pairs is counted for that.
+    """
+    rows = df.where(reduce(lambda x, y: x & y, (F.col(c).isNotNull() for c in [*keys, at]))).select(*keys, F.col(at).alias("_at"))
+    n = F.col("count").cast("double")
+    made = rows.groupBy(*keys).count().agg(F.sum(n * (n - 1) / 2).alias("pairs")).first()["pairs"] or 0
+    tasks = max(1, min(10_000, math.ceil(made / each)))
+    group = Window.partitionBy(*keys)
+    place = F.row_number().over(group.orderBy("_at")) - 1
+    rows = rows.withColumn("_own", F.floor(place / block)).withColumn("_most", F.floor((F.count("*").over(group) - 1) / block))
+    (a, b), unit = names, [*keys, "_i", "_j"]
+    lesser = rows.select(*keys, F.col("_own").alias("_i"), F.explode(F.sequence("_own", "_most")).alias("_j"), F.col("_at").alias(a))
+    later = rows.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), "_own")).alias("_i"), F.col("_own").alias("_j"), F.col("_at").alias(b))
+    joined = lesser.repartition(tasks, *unit).join(later.repartition(tasks, *unit).hint("merge"), unit)
+    return joined.where(F.col(a) < F.col(b)).select(a, b)
+
+
 def salted_join(big: DataFrame, other: DataFrame, keys: list[str], salts: int, how: str = "inner") -> DataFrame:
     """An equi-join for hot keys outside adaptive execution's reach: the big side salted, the other repeated."""
     b = big.withColumn("_salt", F.floor(F.rand(17) * salts).cast("int"))

@@ -2,7 +2,9 @@
 
 import duckdb
 from compare import difference, oracle
+from pyspark.sql import functions as F
 
+from larkspur.operators import relational
 from larkspur.plans import workload
 from larkspur.queries import ORACLE, QUERIES
 
@@ -38,3 +40,31 @@ def test_gaps_beside_values_of_the_same_place(spark):
     rows = spark.createDataFrame([("a", 1, None), ("a", 2, 4.0), ("a", 3, None), ("a", 3, 8.0), ("a", 4, None), ("a", 5, 0.0), ("a", 7, None), ("b", 1, None)], "k string, x int, y double")
     got = sorted(tuple(r) for r in workload.interpolate(rows, "k", "x", "y").where("k = 'a'").collect())
     assert got == [("a", 1, 4.0), ("a", 2, 4.0), ("a", 3, 8.0), ("a", 3, 8.0), ("a", 4, 4.0), ("a", 5, 0.0), ("a", 7, 0.0)]
+
+
+def test_pairs_of_one_large_group_are_made_by_several_tasks(spark, tmp_path):
+    """All customers in one group: every pair is there, and no task makes most of them."""
+    folder = folder_of(tmp_path, customer="SELECT i AS c_custkey, 7::INT AS c_nationkey, 'BUILDING' AS c_mktsegment FROM range(6000) r(i)")
+    made = QUERIES["join_self"](spark, folder).groupBy(F.spark_partition_id()).agg(F.count("*"), F.sum("a"), F.sum("b")).collect()
+    n = 6000
+    assert [sum(r[i] for r in made) for i in (1, 2, 3)] == [n * (n - 1) // 2, sum(i * (n - 1 - i) for i in range(n)), sum(i * i for i in range(n))]
+    assert max(r[1] for r in made) < 0.6 * n * (n - 1) / 2
+
+
+def test_pairs_of_repeated_and_missing_keys(spark, tmp_path):
+    """Equal keys are no pair, and each of them pairs with the others; rows without a key or group have none."""
+    odd = "SELECT * FROM (VALUES (NULL, 1, 'A'), (-3, 1, 'A'), (50, NULL, 'A'), (51, 1, NULL), (9223372036854775807, 2, 'A')) v(i, n, s)"
+    rows = f"SELECT i % 40 AS i, i % 3 AS n, 'A' AS s FROM range(200) r(i) UNION ALL {odd}"
+    folder = folder_of(tmp_path, customer=f"SELECT i::BIGINT AS c_custkey, n::INT AS c_nationkey, s::VARCHAR AS c_mktsegment FROM ({rows})")
+    assert against_sql(spark, folder, "join_self") == ""
+    want = sorted(tuple(r) for r in QUERIES["join_self"](spark, folder).collect())
+    small = relational.ordered_pairs(spark.read.parquet(f"{folder}/customer.parquet"), ["c_nationkey", "c_mktsegment"], "c_custkey", block=4, each=100)
+    assert sorted(tuple(r) for r in small.collect()) == want and small.rdd.getNumPartitions() > 10
+    none = relational.ordered_pairs(spark.range(0).select("id", F.lit(1).alias("k")), ["k"], "id")
+    assert none.columns == ["a", "b"] and none.count() == 0
+
+
+def test_pairs_keep_values_that_are_no_number(spark):
+    rows = spark.sql("SELECT * FROM VALUES (1D, 1D), (1D, 2D), (1D, double('NaN')), (double('NaN'), 1D), (double('NaN'), 2D) v(k, x)")
+    got = sorted(str(tuple(r)) for r in relational.ordered_pairs(rows, ["k"], "x", ("lo", "hi"), block=1).collect())
+    assert got == ["(1.0, 2.0)", "(1.0, 2.0)", "(1.0, nan)", "(2.0, nan)"]
