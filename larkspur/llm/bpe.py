@@ -235,6 +235,22 @@ class Codec:
         for memo in (self.known, self.pieces):
             memo.now, memo.old = {}, {}
 
+    def apart(self, text: str) -> bool:
+        """Whether a text can't be cut at its blanks."""
+        return bool(self.odd.search(text)) or any(k in text for k in self.special)
+
+    def remember(self, pieces: list[str], words: set[str]) -> list[bytes]:
+        """Ids of distinct pieces, given without the blank before them; ``words`` are known afterwards."""
+        self.known.turn()
+        self.pieces.turn()
+        now = self.pieces.now
+        found = list(map(now.get, pieces))
+        absent = [i for i, v in enumerate(found) if v is None]
+        self.learn_pieces(self.pieces.missing({pieces[i] for i in absent}), words)
+        for i in absent:
+            found[i] = now[pieces[i]]
+        return found
+
     def encode_bytes(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, as the vocabulary's library gives them without added tokens: 32 bits each, little-endian.
 
@@ -267,7 +283,7 @@ class Codec:
         for s in texts:
             if not s:
                 cut.append(())
-            elif self.odd.search(s) or any(k in s for k in self.special):
+            elif self.apart(s):
                 own: list = []
                 for part in self.cut.split(s) if self.cut else [s]:
                     if part in self.special:

@@ -20,6 +20,7 @@ The manifest (Parquet) has one row a shard.
 
 from __future__ import annotations
 
+import string
 import struct
 import uuid
 import zlib
@@ -27,6 +28,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +41,9 @@ MAGIC, LEVELS, GAMMA = b"LKTS0002", 40, 2
 NO_ID = np.int64(1 << 62)
 #: Groups of shards whose bounds come to the driver in a lookup, 16 bytes each.
 BOUNDS = 1 << 20
+#: Pieces of texts that a worker remembers, once or twice over, and characters of one that outlives its batch.
+PIECES, LONG = 400_000, 32
+_MARKS = string.punctuation
 _HEAD = struct.Struct("<8sIQQI")
 _BLOCK = np.dtype([("before", "<u8"), ("bits", "u1", 64)])
 _SLOT = np.dtype([("print", "<u4"), ("first", "<u8"), ("n", "<u8")])
@@ -193,11 +198,8 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int | None = 2,
                     fs.create_dir(root, recursive=True)
                     ids_file = fs.open_output_stream(f"{root}/{name}.ids")
                     pid = part.column(2)[0].as_py()
-                tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-                rows = [ids + tail for ids in own.words.encode_bytes(part.column(1).to_pylist())]
-                sizes = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
-                flat = np.frombuffer(b"".join(rows), "<u4").astype(own.dtype)
-                ids_file.write(flat.tobytes())
+                flat, sizes = own.ids(part.column(1), end_id)
+                ids_file.write(flat.astype(own.dtype).tobytes())
                 total += len(flat)
                 keys.append(part.column(0).fill_null(0).to_numpy())
                 missing.append(part.column(0).is_null().to_numpy(zero_copy_only=False))
@@ -354,30 +356,105 @@ class _Library:
 
         self.words = bpe.Codec(path)  # a codec of its own: its cache holds the library's ids only
         self.words.learn, self.words.learn_pieces = self._learn, self._learn_pieces
+        self.words.pieces.limit, self.long = PIECES, []
         self.begins = np.array([b[:1] == b" " for b in self.words.bytes_of])
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
 
-    def _learn(self, words: list[str]) -> list[bytes]:
+    def ids(self, column: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, each closed by ``end_id``, and how many each text has.
+
+        Arrow cuts the texts at blanks and numbers the distinct pieces, so that Python sees a piece once a batch.
+        """
+        own = self.words
+        texts, tail = column.to_pylist(), b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+        whole = [i for i, s in enumerate(texts) if s and (len(s) > bpe.PART or own.apart(s))]
+        heads = dict(zip(whole, own.encode_bytes([texts[i] for i in whole])))
+        if whole:
+            mask = np.zeros(len(texts), bool)
+            mask[whole] = True
+            column = pc.if_else(pa.array(mask), "", column)
+        lists = pc.split_pattern(pc.fill_null(column, ""), " ")
+        edge = lists.offsets.to_numpy().astype(np.int64)
+        pieces = lists.values.dictionary_encode()
+        at, first = pieces.indices.to_numpy()[edge[0] : edge[-1]], edge[:-1] - edge[0]
+        # the first piece has no blank before it
+        rest = np.ones(len(at), bool)
+        rest[first] = False
+        used = np.flatnonzero(np.bincount(at[rest], minlength=len(pieces.dictionary)))
+        opening = [[] if i in heads or not s else own.words.findall(s.partition(" ")[0]) for i, s in enumerate(texts)]
+        known = own.remember(pieces.dictionary.take(pa.array(used)).to_numpy(zero_copy_only=False).tolist(), set().union(*opening))
+        for p in self.long:
+            own.pieces.now.pop(p, None)
+            own.pieces.old.pop(p, None)
+        self.long.clear()
+        word, join = own.known.now.__getitem__, b"".join
+        known += [heads[i] if i in heads else join(map(word, w)) for i, w in enumerate(opening)]
+        place = np.zeros(len(pieces.dictionary), np.int64)
+        place[used] = np.arange(len(used))
+        at = place[at]
+        at[first] = len(used) + np.arange(len(texts))
+        known.append(tail)
+        at = np.insert(at, edge[1:] - edge[0], len(known) - 1)
+        found = pa.array(known, pa.large_binary()).take(pa.array(at))
+        _, ends, data = found.buffers()
+        ends = np.frombuffer(ends, np.int64)[: len(at) + 1]
+        return np.frombuffer(data, "<u4", ends[-1] // 4), np.diff(ends[edge - edge[0] + np.arange(len(edge))]) // 4
+
+    def _alone(self, words: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for lo in range(0, len(words), 4096):
             out += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words[lo : lo + 4096], add_special_tokens=False)]
         return out
 
+    def _together(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """Words that aren't white space go to the library as lines of one text, which it cuts at the line ends again."""
+        found: dict[str, bytes] = {}
+        solid, line_end = [w for w in words if not w.isspace()], self.words.byte_list[10]
+        for lo in range(0, len(solid), 2048):
+            part = solid[lo : lo + 2048]
+            ids = self._together("\n".join(part))
+            at = np.flatnonzero(ids == line_end).tolist()
+            if len(at) == len(part) - 1:
+                raw = ids.tobytes()
+                found.update(zip(part, (raw[4 * a : 4 * b] for a, b in zip([0, *(x + 1 for x in at)], [*at, len(ids)]))))
+        alone = [w for w in words if w not in found]
+        found.update(zip(alone, self._alone(alone)))
+        return [found[w] for w in words]
+
     def _learn_pieces(self, pieces: list[str], words: set[str]) -> None:
-        """Many pieces go to the library as one text, which it cuts at the blanks again."""
-        self.words.learn_words(words)
-        for lo in range(0, len(pieces), 2048):
-            part = pieces[lo : lo + 2048]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+        """Pieces are put together from their words; many new words with a blank before them go to the library as one text, which it cuts at the blanks again."""
+        memo, cut = self.words.pieces, self.words.words.findall
+        plain, mixed, marked = set(), [], []
+        for p in pieces:
+            if p.isalpha() and (p.isascii() or max(p) < "\u0250"):
+                plain.add(p)
+            elif (word := p.rstrip(_MARKS)).isalpha() and (word.isascii() or max(word) < "\u0250"):
+                # letters, and the marks after them, are a word each
+                marked.append((p, word, p[len(word) :]))
+            else:
+                first, *more = cut(" " + p)
+                mixed.append((p, first[1:], more))
+        self.words.learn_words(words.union((x[2] for x in marked), *(x[2] for x in mixed)))
+        new = [*plain, *memo.missing({x[1] for x in (*marked, *mixed)} - plain)]
+        self.long += [p for some in (pieces, new) for p in some if len(p) > LONG]
+        for lo in range(0, len(new), 2048):
+            part = new[lo : lo + 2048]
+            ids = self._together(" " + " ".join(part))
             at = np.flatnonzero(self.begins[ids]).tolist()
             if len(at) != len(part):
                 raise ValueError("the library cuts words otherwise than the pattern")
             raw = ids.tobytes()
             at.append(len(ids))
-            self.words.pieces.now.update(zip(part, (raw[4 * a : 4 * b] for a, b in zip(at, at[1:]))))
+            memo.now.update(zip(part, (raw[4 * a : 4 * b] for a, b in zip(at, at[1:]))))
+        piece, word, join = memo.now, self.words.known.now, b"".join
+        piece.update([(p, piece[first] + word[marks]) for p, first, marks in marked])
+        piece.update([(p, piece[first] + join(map(word.__getitem__, more))) for p, first, more in mixed])
 
 
 @lru_cache(maxsize=2)

@@ -206,6 +206,55 @@ def test_token_store_keys_at_the_edges(spark):
     assert sorted(str(r.doc_id) for r in every) == sorted(str(k) for k, _ in rows)
 
 
+def test_token_store_ids_of_a_batch(monkeypatch):
+    """Ids that Arrow puts together are the library's, whatever stands in and around a piece."""
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    bits = ["a", "the", "é", "ª", "漢", "  ", " ", "\n", " \n", "<|endoftext|>", "'s", "'", "12", "!", "word", " and", "\u00a0", "\u3000x", "\x1f", "***", "_", "²", ".", ","]
+    texts = ["".join(rng.choice(bits) + rng.choice(["", "", " "]) for _ in range(rng.randint(0, 40))) for _ in range(2000)]
+    texts += [None, "", " ", "a ", " a", "\n", "one", "one two, three. " * 90 + "four"]
+    _, want = library([t or "" for t in texts])
+    monkeypatch.setattr(bpe, "PART", 1000)
+    own = tokenstore._Library(bpe.vocabulary())
+    for limit, rows, end in ((tokenstore.PIECES, 500, 2), (20, 3, None), (20, 7, 70000)):
+        own.words.pieces.limit = own.words.known.limit = limit
+        tail = [] if end is None else [end]
+        for kind in (pa.string(), pa.large_string()):
+            column = pa.array(texts, kind)
+            for lo in range(0, len(texts), rows):
+                flat, n = own.ids(column.slice(lo, rows), end)
+                assert flat.tolist() == [i for ids in want[lo : lo + rows] for i in ids + tail] and n.tolist() == [len(ids + tail) for ids in want[lo : lo + rows]]
+
+
+def test_token_store_forgets_long_pieces():
+    """Pieces without end, of writing without blanks, are not kept for later batches."""
+    import pyarrow as pa
+
+    own = tokenstore._Library(bpe.vocabulary())
+    texts = [f"and {k} " + "漢字" * (k + 1) + ", " + "x" * (k + 1) + "'s " + "y" * (k + 1) for k in range(100)]
+    for _ in range(2):
+        assert own.ids(pa.array(texts), None)[0].tolist() == [i for ids in library(texts)[1] for i in ids]
+        assert max(map(len, own.words.pieces.now)) <= tokenstore.LONG and not own.words.pieces.old
+
+
+def test_token_store_asks_the_library_for_a_word_once():
+    rng = random.Random(10)
+    words = ["".join(rng.choice("aeiourstlné") for _ in range(9)) for _ in range(3000)]
+    texts = ["so " + " ".join(w + mark for w in words) for mark in ("", ",", ".", "!?", "***", ".\nSo")]
+    _, want = library(texts)
+    own, asked = tokenstore._Library(bpe.vocabulary()), []
+
+    class Counting:
+        def encode_batch_fast(self, texts, *a, t=own.tokenizer, **b):
+            asked.extend(map(len, texts))
+            return t.encode_batch_fast(texts, *a, **b)
+
+    own.tokenizer = Counting()
+    assert [ids for s in texts for ids in own.words.encode([s])] == want
+    assert sum(asked) < 1.2 * len(texts[0])
+
+
 def test_token_store_reads_one_slot(tmp_path):
     """A lookup's bytes do not grow with the shard, and absent keys are told."""
     from pyarrow import fs
