@@ -243,11 +243,16 @@ class Codec:
         """Ids of distinct pieces, given without the blank before them; ``words`` are known afterwards."""
         self.known.turn()
         self.pieces.turn()
-        now = self.pieces.now
+        now, old, fresh = self.pieces.now, self.pieces.old, []
         found = list(map(now.get, pieces))
-        absent = [i for i, v in enumerate(found) if v is None]
-        self.learn_pieces(self.pieces.missing({pieces[i] for i in absent}), words)
-        for i in absent:
+        for i in [i for i, v in enumerate(found) if v is None]:
+            v = found[i] = old.get(pieces[i])
+            if v is None:
+                fresh.append(i)
+            else:
+                now[pieces[i]] = v
+        self.learn_pieces([pieces[i] for i in fresh], words)
+        for i in fresh:
             found[i] = now[pieces[i]]
         return found
 

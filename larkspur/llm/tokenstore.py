@@ -430,31 +430,34 @@ class _Library:
     def _learn_pieces(self, pieces: list[str], words: set[str]) -> None:
         """Pieces are put together from their words; many new words with a blank before them go to the library as one text, which it cuts at the blanks again."""
         memo, cut = self.words.pieces, self.words.words.findall
-        plain, mixed, marked = set(), [], []
+        plain, mixed = set(), []
+        marked, stems, marks = [], [], []
         for p in pieces:
             if p.isalpha() and (p.isascii() or max(p) < "\u0250"):
                 plain.add(p)
             elif (word := p.rstrip(_MARKS)).isalpha() and (word.isascii() or max(word) < "\u0250"):
                 # letters, and the marks after them, are a word each
-                marked.append((p, word, p[len(word) :]))
+                marked.append(p)
+                stems.append(word)
+                marks.append(p[len(word) :])
             else:
-                first, *more = cut(" " + p)
-                mixed.append((p, first[1:], more))
-        self.words.learn_words(words.union((x[2] for x in marked), *(x[2] for x in mixed)))
-        new = [*plain, *memo.missing({x[1] for x in (*marked, *mixed)} - plain)]
+                mixed.append(p)
+        inside = [cut(" " + p) for p in mixed]
+        firsts = [x.pop(0)[1:] for x in inside]
+        self.words.learn_words(words.union(marks, *inside))
+        new = [*plain, *memo.missing({*stems, *firsts} - plain)]
         self.long += [p for some in (pieces, new) for p in some if len(p) > LONG]
         for lo in range(0, len(new), 2048):
             part = new[lo : lo + 2048]
             ids = self._together(" " + " ".join(part))
-            at = np.flatnonzero(self.begins[ids]).tolist()
+            at = (4 * np.flatnonzero(self.begins[ids])).tolist()
             if len(at) != len(part):
                 raise ValueError("the library cuts words otherwise than the pattern")
             raw = ids.tobytes()
-            at.append(len(ids))
-            memo.now.update(zip(part, (raw[4 * a : 4 * b] for a, b in zip(at, at[1:]))))
+            memo.now.update(zip(part, [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)])]))
         piece, word, join = memo.now, self.words.known.now, b"".join
-        piece.update([(p, piece[first] + word[marks]) for p, first, marks in marked])
-        piece.update([(p, piece[first] + join(map(word.__getitem__, more))) for p, first, more in mixed])
+        piece.update(zip(marked, [piece[w] + word[m] for w, m in zip(stems, marks)]))
+        piece.update(zip(mixed, [piece[w] + join(map(word.__getitem__, more)) for w, more in zip(firsts, inside)]))
 
 
 @lru_cache(maxsize=2)
